@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.session import ship
+
 #: Words are maximal runs of characters other than ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: Entries a worker keeps in one memo table; words beyond it are worked out anew.
@@ -25,7 +27,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts."""
+    """Sends the package to the executors, and keeps Arrow batches small enough for long texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts, token_file
-from .common import Scratch, read
+from . import decontamination, mixing, near_duplicates, passage_quality, quality_rules, secrets, token_counts, token_file, toxicity, window_lm
+from .common import Scratch, crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,14 +25,70 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def in_training(id_col: str, parts: int, held_out: int) -> Column:
+    """Rows whose crc32 of the id's text doesn't leave `held_out` modulo `parts`."""
+    return crc_fold(F.col(id_col), parts) != held_out
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.prefix_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "n_bytes", F.col("n_tokens"), (F.col("n_tokens") > 2048).alias("over_limit"), "budget_chars")
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "lm")
+    words, counts = window_lm.vocabulary(scratch.keep(window_lm.word_counts(docs), "words"))
+    return window_lm.score(docs, words, counts, window_lm.train(docs, words, counts))
+
+
 @query
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-file").base
     token_file.write_token_file(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_file.read_token_file(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return secrets.find_secrets(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def _predicted(scores: DataFrame, parts: int, held_out: int) -> DataFrame:
+    return scores.select("doc_id", (~in_training("doc_id", parts, held_out)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _predicted(toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"), in_training("doc_id", 5, 0))), 5, 0)
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _predicted(passage_quality.score(docs, passage_quality.train(docs, read(spark, sf_dir, "labels"), in_training("doc_id", 3, 1))), 3, 1)
