@@ -48,10 +48,9 @@ class Scratch:
         self.spark, self.n = spark, count()
         self.base = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         path = f"{self.base}/{name}-{next(self.n)}"
-        writer = df.write.mode("error")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

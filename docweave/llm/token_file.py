@@ -2,7 +2,7 @@
 
 The file format is a Parquet table of independent blocks. A block holds whole
 documents in ascending order of id: their ids and token counts, the code bits
-of all their tokens, and a checkpoint (bit offset) for every `STEP` tokens, so
+of all their tokens, and a checkpoint (bit offset) for every `STEP` tokens of each, so
 that any stretch can be decoded on its own and many stretches side by side. A
 code is canonical: the list of code lengths, stored beside the blocks, is all
 that a reader needs.
@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,26 +33,59 @@ STEP, BLOCK_TOKENS = 256, 1 << 16
 PIECE = 1 << 20
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 
 
 class UnitEncoder:
     """ids of whole texts. A byte-level pre-token never reaches from a visible character into white space, so
     a text parts into units (white space, then a run without it) that the library encodes one by one with the same
-    ids; each distinct unit is encoded once in a worker. Texts with other white space or a special string go whole."""
+    ids; each distinct unit is encoded once in a worker. In a unit of a word and marks of punctuation, the word
+    is a pre-token of its own, which goes straight to the library's model. Texts with other white space or a special string go whole."""
 
-    def __init__(self, path: str, limit: int = MEMO_LIMIT):
+    def __init__(self, path: str, limit: int = MEMO_LIMIT // 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer, self.known, self.older, self.limit = Tokenizer.from_file(path), {}, {}, limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+        parts = self.tokenizer.pre_tokenizer
+        self.plain = isinstance(parts, pre_tokenizers.ByteLevel) and parts.use_regex and not parts.add_prefix_space and self.tokenizer.normalizer is None
+        if self.plain:
+            byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            two = "".join(map(chr, range(0x80, 0x800)))  # all bytes of letters in two bytes
+            shown = byte.pre_tokenize_str(two)[0][0]
+            self.shown = {x: shown[i] for i, x in enumerate(two.encode()) if x >= 0x80} | {32: byte.pre_tokenize_str(" ")[0][0]}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        text = word.replace(" ", self.shown[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(text)])
 
     def _learn(self, units: set[str]) -> None:
-        unseen = list(units.difference(self.known))
-        for e, u in zip(self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), unseen, strict=True):
-            self.known[u] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known  # words in use come back from the older table
+        known, older, rest, marks = self.known, self.older, [], {}
+        for u in units.difference(known):
+            if u in older:
+                known[u] = older[u]
+            elif not self.plain or (m := _WORD_AND_MARKS.fullmatch(u)) is None:
+                rest.append(u)
+            else:
+                word, mark = m.groups()
+                if (w := known.get(word) if mark else None) is None:
+                    w = self._word(word)
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = self._pack(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+                    w += marks[mark]
+                known[u] = w
+        for e, u in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
+            self.known[u] = self._pack(e.ids)
 
     def pieces(self, text: str):
         at = 0
@@ -60,17 +95,15 @@ class UnitEncoder:
         yield text[at:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text as little-endian unsigned 32-bit integers."""
+        """ids of each text, packed as self.dtype."""
         out = []
-        if len(self.known) > self.limit:
-            self.known.clear()
-        small = [t for t in texts if len(t) <= PIECE and not self._whole(t)]
-        split = [_UNIT.findall(t) for t in small]
+        whole = [self._whole(t) for t in texts]
+        split = [_UNIT.findall(t) for t, w in zip(texts, whole, strict=True) if not w and len(t) <= PIECE]
         self._learn(set().union(*split))
         ready = iter([b"".join(map(self.known.__getitem__, units)) for units in split])
-        for t in texts:
-            if self._whole(t):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+        for t, w in zip(texts, whole, strict=True):
+            if w:
+                out.append(self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids))
             elif len(t) <= PIECE:
                 out.append(next(ready))
             else:
@@ -83,7 +116,7 @@ class UnitEncoder:
         return out
 
     def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or not text.isascii() and _ODD_SPACE.search(text) is not None or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return any(s in text for s in self.special) or _ODD_SPACE.search(text) is not None
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -138,120 +171,149 @@ class Code:
         sizes[: self.spans.sum()] = np.repeat(self.lengths[self.order], self.spans)
         return ids, sizes
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits of ids, first bit highest, and the bit offsets of every STEP-th id."""
+    def encode(self, ids: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+        """How many ids, the bit offsets of every STEP-th one, and their bits, first bit highest."""
         sizes = self.lengths[ids].astype(np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
         total = int(ends[-1]) if len(ends) else 0
-        word, at = begins >> 5, begins & 31
-        wide = self.codes[ids] << (64 - sizes - at).astype(np.uint64)  # two words of 32 bits from `word` on
+        word = begins >> 5
+        wide = self.codes[ids] << (64 - sizes - (begins & 31)).astype(np.uint64)  # two words of 32 bits from `word` on
         n = (total >> 5) + 2
         # bits of different codes don't overlap: sums stay below 2**32, which a double holds exactly
-        high = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n)
-        low = np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-        return (high + low[:n]).astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], begins[::STEP]
+        bits = np.bincount(word, wide >> np.uint64(32), n)
+        bits[1:] += np.bincount(word, wide & np.uint64(0xFFFFFFFF), n)[:-1]
+        return len(ids), begins[::STEP], bits.astype(">u4").tobytes()[: (total + 7) // 8]
 
-    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """n ids; all stretches between checkpoints advance together, one table look-up for each token."""
+    def decode(self, payload: bytes, checkpoints: np.ndarray, sizes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The ids of documents of these sizes; all stretches between checkpoints advance together, one table look-up for each token."""
         raw = np.frombuffer(payload + bytes(8 + -len(payload) % 4), ">u4").astype(np.uint64)
         pairs = (raw[:-1] << np.uint64(32)) | raw[1:]
-        ids, sizes = table
-        out = np.zeros((STEP, len(checkpoints)), np.int32)
-        at, last = checkpoints.astype(np.int64), n - STEP * (len(checkpoints) - 1)
-        shift = 64 - self.bits
-        for i in range(min(STEP, n)):
-            if i == last:
-                at = at[:-1]
-            window = (pairs[at >> 5] << (at & 31).astype(np.uint64)) >> np.uint64(shift)
-            out[i, : len(at)] = ids[window]
-            at = at + sizes[window]
-        return out.T.reshape(-1)[:n]
+        ids, lengths = table
+        stretches = -(-sizes // STEP)
+        full = np.full(int(stretches.sum()), STEP, np.int64)
+        last = np.cumsum(stretches)[stretches > 0] - 1
+        full[last] = (sizes - STEP * (stretches - 1))[stretches > 0]
+        order = np.argsort(-full, kind="stable")  # the longest first, so that those still running are a prefix
+        running = np.searchsorted(-full[order], -np.arange(STEP), "left")
+        out = np.zeros((len(full), STEP), np.int32)
+        at, shift = checkpoints[order].astype(np.int64), np.uint64(64 - self.bits)
+        for i in range(int(full.max(initial=0))):
+            k = running[i]
+            now = at[:k]
+            window = (pairs[now >> 5] << (now & 31).astype(np.uint64)) >> shift
+            out[order[:k], i] = ids[window]
+            now += lengths[window]
+        return out[np.arange(STEP) < full[:, None]]
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (binary, little-endian unsigned 32-bit) of each row of docs; a null text is empty."""
+    """id, width and ids of each row of docs: packed little-endian unsigned integers of `width` bytes; a null text is empty."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def start():
         encoder = UnitEncoder(tokenizer_path)
+        end = b"" if end_id is None else encoder._pack([end_id])
 
         def work(batch: pa.RecordBatch) -> dict:
             coded = encoder.encode([t or "" for t in texts_of(batch)])
-            return {"id": batch.column(0), "ids": [x + end for x in coded]}
+            return {"id": batch.column(0), "width": [np.dtype(encoder.dtype).itemsize] * len(coded), "ids": [x + end for x in coded]}
 
         return work
 
-    return arrow_map(rows, f"id {rows.schema['id'].dataType.simpleString()}, ids binary", start)
+    return arrow_map(rows, f"id {rows.schema['id'].dataType.simpleString()}, width int, ids binary", start)
 
 
 def id_counts(coded: DataFrame) -> np.ndarray:
     """How often each id occurs in all rows. Summed in the tasks first; the driver gets a number for each id of the vocabulary."""
 
-    def start():
-        def work(batch: pa.RecordBatch) -> dict | None:
-            blob = b"".join(x for x in batch.column(0).to_pylist() if x)
-            if not blob:
-                return None
-            n = np.bincount(np.frombuffer(blob, "<u4"))
-            seen = np.flatnonzero(n)
-            return {"token": seen, "n": n[seen]}
-
-        return work
-
-    found = arrow_map(coded.select("ids"), "token long, n long", start).groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(0, np.int64)
+        for batch in batches:
+            for width in (2, 4):
+                blob = b"".join(x for w, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w == width)
+                n = np.bincount(np.frombuffer(blob, f"<u{width}"), minlength=len(sums))
+                n[: len(sums)] += sums
+                sums = n
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sums[seen], pa.int64())], ["token", "n"])
+
+    found = coded.select("width", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(found["token"].max()) + 1 if len(found) else 1, np.int64)
     out[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
 
+def shard_bounds(coded: DataFrame, shards: int) -> list:
+    """The least id of each shard but the first: range partitions of the ids alone, a value for each."""
+    parts = coded.where("id IS NOT NULL").select("id").repartitionByRange(shards, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
+    return sorted(r["low"] for r in parts.collect())[1:]
+
+
 _BLOCK = "shard int, block int, block_start long, doc_ids array<{id}>, doc_tokens array<int>, n_tokens int, checkpoints binary, payload binary"
 
 
-def write_blocks(coded: DataFrame, code: Code, path: str) -> None:
-    """Sorts the rows by id over range partitions (shards) and writes each shard's blocks; rows with one id keep a fixed order."""
-    kind = coded.schema["id"].dataType.simpleString()
-    ordered = coded.repartitionByRange("id").sortWithinPartitions("id", F.length("ids"), F.xxhash64("ids"))
-    lengths = code.lengths
+def write_blocks(coded: DataFrame, code: Code, path: str, shards: int) -> None:
+    """Encodes each row, deals the rows out to shards (ranges of the id), sorts them, and writes each shard's blocks.
+    Rows with one id keep a fixed order; null ids come first."""
+    kind, bounds, lengths = coded.schema["id"].dataType.simpleString(), shard_bounds(coded, shards), code.lengths
 
-    def start():
-        own, shard = Code(lengths), TaskContext.get().partitionId()
-        state = {"block": 0, "start": 0}
+    def coder():
+        own = Code(lengths)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            ids = batch.column(0).to_pylist()
+            out = [own.encode(np.frombuffer(x, f"<u{w}")) for w, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            return {
+                "shard": [0 if i is None else bisect_right(bounds, i) for i in ids], "id": batch.column(0),
+                "n": [n for n, _, _ in out], "marks": [m.astype("<i8").tobytes() for _, m, _ in out], "bits": [b for _, _, b in out],
+            }
+
+        return work
+
+    ready = arrow_map(coded, f"shard int, id {kind}, n int, marks binary, bits binary", coder)
+    dealt = ready.repartition(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "id", "n", "bits")
+
+    def packer():
+        state = {"shard": -1, "block": 0, "start": 0}
 
         def work(batch: pa.RecordBatch) -> dict | None:
-            ids, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = batch.to_pylist()
             out = {k: [] for k in ("shard", "block", "block_start", "doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload")}
             first, held = 0, 0
-            for i, blob in enumerate(blobs):
-                held += len(blob) // 4
-                if held >= BLOCK_TOKENS or i == len(blobs) - 1:
-                    tokens = np.frombuffer(b"".join(blobs[first : i + 1]), "<u4")
-                    payload, marks = own.encode(tokens)
-                    row = (shard, state["block"], state["start"], ids[first : i + 1], [len(b) // 4 for b in blobs[first : i + 1]], len(tokens), marks.astype("<i8").tobytes(), payload)
-                    for k, v in zip(out, row, strict=True):
+            for i, row in enumerate(rows):
+                held += row["n"]
+                if held >= BLOCK_TOKENS or i == len(rows) - 1 or rows[i + 1]["shard"] != row["shard"]:
+                    own = rows[first : i + 1]
+                    if state["shard"] != row["shard"]:
+                        state.update(shard=row["shard"], block=0, start=0)
+                    at, marks = 0, []  # every document begins with a whole byte
+                    for r in own:
+                        marks.append(np.frombuffer(r["marks"], "<i8") + 8 * at)
+                        at += len(r["bits"])
+                    values = (row["shard"], state["block"], state["start"], [r["id"] for r in own], [r["n"] for r in own], held, np.concatenate(marks).astype("<i8").tobytes(), b"".join(r["bits"] for r in own))
+                    for k, v in zip(out, values, strict=True):
                         out[k].append(v)
                     state["block"] += 1
-                    state["start"] += len(tokens)
+                    state["start"] += held
                     first, held = i + 1, 0
-            return out if blobs else None
+            return out if rows else None
 
         return work
 
-    arrow_map(ordered, _BLOCK.format(id=kind), start).write.parquet(f"{path}/blocks")
+    arrow_map(dealt, _BLOCK.format(id=kind), packer).write.parquet(f"{path}/blocks")
 
 
-def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes docs and writes `path`/code (code lengths) and `path`/blocks. Rows are tokenized once, into a scratch table
-    in the shared folder, from which counts and blocks are made."""
+    in the shared folder, from which counts and blocks are made. shards: by default three for each shuffle partition."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ids")
-    coded = scratch.keep(encode_ids(docs, tokenizer_path, end_id, id_col, text_col))
-    counts = id_counts(coded)
-    code = Code(code_lengths(counts))
+    coded = scratch.keep(encode_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids", compression="zstd")
+    code = Code(code_lengths(id_counts(coded)))
     spark.createDataFrame([(bytearray(code.lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    write_blocks(coded, code, path)
+    write_blocks(coded, code, path, shards or 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     scratch.drop(coded)
 
 
@@ -277,7 +339,7 @@ def read_token_file(spark: SparkSession, path: str, id_col: str = "doc_id", with
         def work(batch: pa.RecordBatch) -> dict:
             out = {"id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
             for row in batch.to_pylist():
-                tokens = own.decode(row["payload"], np.frombuffer(row["checkpoints"], "<i8"), row["n_tokens"], table)
+                tokens = own.decode(row["payload"], np.frombuffer(row["checkpoints"], "<i8"), np.array(row["doc_tokens"], np.int64), table)
                 raw, at, begin = memoryview(tokens.astype("<u4").tobytes()), 0, before[row["shard"]] + row["block_start"]
                 for n in row["doc_tokens"]:
                     own_bytes = raw[4 * at : 4 * (at + n)]
