@@ -63,6 +63,23 @@ class _Rows:
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.ends = np.cumsum(self.sizes)
 
+    def _with(self, flat: np.ndarray, sizes: np.ndarray) -> _Rows:
+        out = _Rows([])
+        out.flat, out.sizes, out.ends = flat, sizes, np.cumsum(sizes)
+        return out
+
+    def only(self, chosen: np.ndarray) -> _Rows:
+        """These features alone, numbered from 0."""
+        number = np.full(BUCKETS, -1, np.int64)
+        number[chosen] = np.arange(len(chosen))
+        now = number[self.flat]
+        rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return self._with(now[now >= 0], np.bincount(rows[now >= 0], minlength=len(self.sizes)))
+
+    def named(self, chosen: np.ndarray) -> _Rows:
+        """Numbers turned back to features."""
+        return self._with(chosen[self.flat], self.sizes)
+
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Features and row numbers of the chosen rows."""
         n = self.sizes[which]
@@ -70,40 +87,52 @@ class _Rows:
         return self.flat[at], np.repeat(np.arange(len(which)), n)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 3e-4, seed: int = 7) -> Model:
-    """Adagrad on the non-negative risk with the logistic loss. Without positives every text scores low."""
-    if not positive or not unlabelled:
-        return Model(np.zeros(BUCKETS, np.float32), -4.0)
-    rng = np.random.default_rng(seed)
-    p, u = _Rows(positive), _Rows(unlabelled)
-    often = np.bincount(np.concatenate([p.flat, u.flat]), minlength=BUCKETS) >= 3
-    w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    gw, gb = np.full(BUCKETS, 1e-2), 1e-2
-    steps = max(len(positive), len(unlabelled)) // batch + 1
+def _descend(p: _Rows, u: _Rows, size: int, prior: float, epochs: int, sparsity: float, batch: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Adagrad on the non-negative risk with the logistic loss; after each step weights shrink towards zero by `sparsity` times the prior."""
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    gw, gb = np.full(size, 1e-2), 1e-2
+    n_p, n_u = len(p.sizes), len(u.sizes)
     for _ in range(epochs):
-        order_u, order_p = rng.permutation(len(unlabelled)), rng.permutation(max(len(positive), 1))
-        for s in range(steps):
-            iu = order_u[np.arange(s * batch, (s + 1) * batch) % len(order_u)]
-            ip = order_p[np.arange(s * batch, (s + 1) * batch) % len(order_p)]
+        order_u, order_p = rng.permutation(n_u), rng.permutation(n_p)
+        for s in range(max(n_p, n_u) // batch + 1):
+            iu = order_u[np.arange(s * batch, (s + 1) * batch) % n_u]
+            ip = order_p[np.arange(s * batch, (s + 1) * batch) % n_p]
             fp, rp = p.take(ip)
             fu, ru = u.take(iu)
             zp, zu = b + np.bincount(rp, w[fp], len(ip)), b + np.bincount(ru, w[fu], len(iu))
             sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             # derivatives of the logistic loss: s - 1 for label +1, s for label -1
-            dp, du = prior * (sp - 1) / len(ip), np.zeros(len(iu))
             if negative >= 0:
-                dp, du = dp - prior * sp / len(ip), su / len(iu)
+                dp, du = prior * (sp - 1) / len(ip) - prior * sp / len(ip), su / len(iu)
             else:
                 dp, du = prior * sp / len(ip), -su / len(iu)
-            g = np.bincount(fp, dp[rp], BUCKETS) + np.bincount(fu, du[ru], BUCKETS)
-            g = np.where(often, g, 0) + decay * w
+            g = np.bincount(fp, dp[rp], size) + np.bincount(fu, du[ru], size)
             gw += g * g
-            w -= rate * g / np.sqrt(gw)
+            pace = rate / np.sqrt(gw)
+            w -= pace * g
+            w = np.sign(w) * np.maximum(0, np.abs(w) - pace * sparsity * prior)
             db = dp.sum() + du.sum()
             gb += db * db
             b -= rate * db / np.sqrt(gb)
-    return Model(w.astype(np.float32), b)
+    return w, b
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 256, rate: float = 0.3, sparsity: float = 0.02, second: float = 0.25, seed: int = 7) -> Model:
+    """Two descents: the first, with shrinkage, picks the features, so that those of less than about `sparsity` of the
+    positives get no weight; the second shrinks them by `second` times that only. Without positives every text scores low."""
+    weights, bias = np.zeros(BUCKETS, np.float32), -4.0
+    if positive and unlabelled:
+        rng, p, u = np.random.default_rng(seed), _Rows(positive), _Rows(unlabelled)
+        chosen = np.flatnonzero(np.bincount(np.concatenate([p.flat, u.flat]), minlength=BUCKETS) >= 3)
+        for shrink in (sparsity, sparsity * second):
+            p, u = p.only(chosen), u.only(chosen)
+            w, bias = _descend(p, u, len(chosen), prior, epochs, shrink, batch, rate, rng)
+            weights = np.zeros(BUCKETS, np.float32)
+            weights[chosen] = w
+            p, u = p.named(chosen), u.named(chosen)
+            chosen = np.flatnonzero(weights)
+    return Model(weights, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str = "toxic", prior: float | None = None, id_col: str = "doc_id",
