@@ -75,6 +75,18 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(make: Callable, *key):
+    """make(*key), kept by the worker process for its next tasks; only the last one asked for is kept, to save memory."""
+    at = (make.__module__, make.__qualname__, *key)
+    if at not in _held:
+        _held.clear()
+        _held[at] = make(*key)
+    return _held[at]
+
+
 def ascii_lower_words(text: str | None) -> list[bytes]:
     """UTF-8 words of a text, A-Z lower-cased; bytes.split() parts at exactly the ASCII white space of WORD_GAP."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, hashes, shingles, short_batches, texts_of
+from .common import Memo, arrow_map, hashes, held, shingles, short_batches, texts_of
 
 #: Bits by which fingerprints may differ. At the threshold of 0.8 about 10 of 64 bits differ, with a deviation of 3.
 RADIUS = 22
@@ -191,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
 
         def start(items=items):
-            memo, classes = word_memo(), size_classes(items, width, RADIUS)
+            memo, classes = held(word_memo), size_classes(items, width, RADIUS)
             seen = seen_bits(classes)
 
             def work(batch: pa.RecordBatch) -> dict | None:
@@ -223,7 +223,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: flo
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
 
         def run(batches, items=items):
-            memo, classes = word_memo(), size_classes(items, width, RADIUS)
+            memo, classes = held(word_memo), size_classes(items, width, RADIUS)
             seen = seen_bits(classes)
             for batch in batches:
                 free = [next(matches(hashes(words_of(t), memo), classes, width, similarity, seen), None) is None for t in batch.column(at).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, ascii_lower_words, hash_memo, hashes, list_array, mix, shingles, short_batches, texts_of
+from .common import Scratch, arrow_map, ascii_lower_words, hash_memo, hashes, held, list_array, mix, shingles, short_batches, texts_of
 from .links import components
 
 #: Coordinates of a signature, and slots of the circle.
@@ -79,7 +79,7 @@ def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     r = band_rows(similarity)
 
     def start():
-        memo = hash_memo()
+        memo = held(hash_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(t, width, memo) for t in texts_of(batch)]
@@ -99,7 +99,7 @@ def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     def start():
-        memo = hash_memo()
+        memo = held(hash_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(t, width, memo) for t in texts_of(batch)]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, list_array, short_batches, texts_of
+from .common import Memo, arrow_map, held, list_array, short_batches, texts_of
 from .training import labelled
 
 #: Words of a passage, buckets for hashed words, and labelled documents that the network is fitted on, at most.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
     rows = labelled(docs, labels, label, in_training, max_docs, id_col, text_col).select("text", F.col("y").cast("int").alias("y"))
 
     def start():
-        memo = facts_memo()
+        memo = held(facts_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
             return {"x": [encode(t, memo).astype(np.float16).tobytes() for t in texts_of(batch)], "y": batch.column(1)}
@@ -174,7 +174,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
-        memo = facts_memo()
+        memo = held(facts_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
             bags = [encode(t, memo) for t in texts_of(batch)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, arrow_map, list_array, short_batches, texts_of
+from .common import MEMO_LIMIT, arrow_map, held, list_array, short_batches, texts_of
 
 _SCHEMA = "id {id}, n_bytes long, n_tokens long, prefix_ends array<int>, prefix_tokens array<int>, budget_chars int"
 
@@ -68,7 +68,7 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
-        counter = UnitCounter(tokenizer_path)
+        counter = held(UnitCounter, tokenizer_path)
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in texts_of(batch)]

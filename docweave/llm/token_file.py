@@ -20,21 +20,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, Scratch, arrow_map, list_array, short_batches, texts_of
+from .common import Scratch, arrow_map, held, list_array, short_batches, texts_of
 
 #: Longest code in bits; a decoding table has 2**MAX_BITS entries.
 MAX_BITS = 20
 #: Tokens between two checkpoints, and tokens after which a block is closed.
-STEP, BLOCK_TOKENS = 256, 1 << 16
+STEP, BLOCK_TOKENS = 256, 1 << 18
+#: Units in a worker's table of those in use; it keeps an older table of that size as well.
+KNOWN_UNITS = 500_000
 #: Code points of a text that are split into units at once.
 PIECE = 1 << 20
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
+_WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]*)")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_UNEVEN = ("  ", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")
 _CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 
 
@@ -44,7 +48,7 @@ class UnitEncoder:
     ids; each distinct unit is encoded once in a worker. In a unit of a word and marks of punctuation, the word
     is a pre-token of its own, which goes straight to the library's model. Texts with other white space or a special string go whole."""
 
-    def __init__(self, path: str, limit: int = MEMO_LIMIT // 2):
+    def __init__(self, path: str, limit: int = KNOWN_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -57,6 +61,7 @@ class UnitEncoder:
             byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             two = "".join(map(chr, range(0x80, 0x800)))  # all bytes of letters in two bytes
             shown = byte.pre_tokenize_str(two)[0][0]
+            self.line_end, self.marks = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids), {}
             self.shown = {x: shown[i] for i, x in enumerate(two.encode()) if x >= 0x80} | {32: byte.pre_tokenize_str(" ")[0][0]}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -69,24 +74,27 @@ class UnitEncoder:
     def _learn(self, units: set[str]) -> None:
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known  # words in use come back from the older table
-        known, older, rest, marks = self.known, self.older, [], {}
+        known, older, rest = self.known, self.older, []
         for u in units.difference(known):
             if u in older:
                 known[u] = older[u]
-            elif not self.plain or (m := _WORD_AND_MARKS.fullmatch(u)) is None:
-                rest.append(u)
+            elif self.plain and (m := _WORD_AND_MARKS.fullmatch(u)):
+                known[u] = self._marked(m)
+            elif self.plain and "\n" in u and all(parts := [_WORD_AND_MARKS.fullmatch(x) for x in u.split("\n")]):
+                known[u] = self.line_end.join(map(self._marked, parts))  # one line end between visible characters stands alone
             else:
-                word, mark = m.groups()
-                if (w := known.get(word) if mark else None) is None:
-                    w = self._word(word)
-                if mark:
-                    if mark not in marks:
-                        marks[mark] = self._pack(self.tokenizer.encode(mark, add_special_tokens=False).ids)
-                    w += marks[mark]
-                known[u] = w
+                rest.append(u)
         for e, u in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
             self.known[u] = self._pack(e.ids)
 
+    def _marked(self, m: re.Match) -> bytes:
+        word, mark = m.groups()
+        if (w := self.known.get(word)) is None:
+            w = self._word(word)
+        if mark and mark not in self.marks:
+            self.marks[mark] = self._pack(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+        return w + self.marks[mark] if mark else w
+
     def pieces(self, text: str):
         at = 0
         while len(text) - at > PIECE and (m := _CUT.search(text, at + PIECE)):
@@ -96,27 +104,51 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text, packed as self.dtype."""
-        out = []
-        whole = [self._whole(t) for t in texts]
-        split = [_UNIT.findall(t) for t, w in zip(texts, whole, strict=True) if not w and len(t) <= PIECE]
-        self._learn(set().union(*split))
-        ready = iter([b"".join(map(self.known.__getitem__, units)) for units in split])
-        for t, w in zip(texts, whole, strict=True):
-            if w:
-                out.append(self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids))
-            elif len(t) <= PIECE:
-                out.append(next(ready))
+        out: list[bytes] = [b""] * len(texts)
+        simple = []
+        for i, t in enumerate(texts):
+            if self._whole(t):
+                out[i] = self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            elif self.plain and self._single_spaced(t):
+                simple.append(i)
             else:
-                parts = []
                 for piece in self.pieces(t):
                     units = _UNIT.findall(piece)
                     self._learn(set(units))
-                    parts.append(b"".join(map(self.known.__getitem__, units)))
-                out.append(b"".join(parts))
+                    out[i] += b"".join(map(self.known.__getitem__, units))
+        if simple:
+            for i, ids in zip(simple, self._encode_single_spaced([texts[i] for i in simple]), strict=True):
+                out[i] = ids
         return out
 
+    def _single_spaced(self, t: str) -> bool:
+        """Whether every blank stands alone between visible characters, so that units begin at the blanks."""
+        return 0 < len(t) <= PIECE and not any(x in t for x in _UNEVEN) and t[0] not in " \n" and t[-1] not in " \n"
+
+    def _encode_single_spaced(self, texts: list[str]) -> list[bytes]:
+        """Splits and counts distinct units in Arrow; only those pass through Python."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        units = [" " + u for u in coded.dictionary.to_numpy(zero_copy_only=False)]
+        first = [t.partition(" ")[0] for t in texts]  # the first unit has no blank before it
+        self._learn(set(units).union(first))
+        which[offsets[:-1]] = len(units) + np.arange(len(first))
+        ids = list(map(self.known.__getitem__, units + first))
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        taken = flat[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        cuts = np.concatenate([[0], ends[offsets[1:] - 1]]) * flat.itemsize
+        return [taken[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or _ODD_SPACE.search(text) is not None
+        if any(s in text for s in self.special):
+            return True
+        return any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text) is not None
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -213,7 +245,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
-        encoder = UnitEncoder(tokenizer_path)
+        encoder = held(UnitEncoder, tokenizer_path)
         end = b"" if end_id is None else encoder._pack([end_id])
 
         def work(batch: pa.RecordBatch) -> dict:

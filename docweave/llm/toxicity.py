@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, short_batches, texts_of
+from .common import Memo, arrow_map, held, short_batches, texts_of
 from .training import SCALE, bounded
 
 #: Hashed features; rows of each kind that a classifier is fitted on, at most.
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
     mixed = rows.join(F.broadcast(chosen), "id", "left").where(free | F.col("y").isNotNull()).select("text", F.coalesce("y", F.lit(0)).alias("y"), free.alias("free"))
 
     def start():
-        memo = feature_memo()
+        memo = held(feature_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
             return {"x": [features(t, memo).tobytes() for t in texts_of(batch)], "y": batch.column(1), "free": batch.column(2)}
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
-        memo = feature_memo()
+        memo = held(feature_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
             return {"id": batch.column(0), "score": [model.score(features(t, memo)) for t in texts_of(batch)]}
@@ -197,7 +197,7 @@ def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -
     at = docs.columns.index(text_col)
 
     def run(batches):
-        memo = feature_memo()
+        memo = held(feature_memo)
         for batch in batches:
             yield batch.filter(pa.array([model.score(features(t, memo)) < limit for t in batch.column(at).to_pylist()], pa.bool_()))
 
