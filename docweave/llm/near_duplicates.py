@@ -19,6 +19,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from .links import components
 COORDINATES, SLOTS = 192, 1 << 21
 #: Chance, at most, that a pair exactly at the threshold shares no band.
 MISS = 1e-6
-#: Rounds with other pivots before the rest is compared.
-ROUNDS = 2
+#: Rounds with other pivots before the rest is compared; shingles of a block in which it is compared.
+ROUNDS, BLOCK = 2, 1_000_000
 
 
 def band_rows(similarity: float, coordinates: int = COORDINATES) -> int:
@@ -84,17 +85,16 @@ def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(t, width, memo) for t in texts_of(batch)]
             signatures = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, COORDINATES), np.uint32)
-            sketch = np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64) if len(sets) else np.zeros((0, 3), np.int64)
             keys = band_keys(signatures, r)
             return {
                 "id": batch.column(0), "n": [len(s) for s in sets], "node": [set_key(s) for s in sets],
-                "s0": sketch[:, 0], "s1": sketch[:, 1], "s2": sketch[:, 2], "bands": list_array(list(keys), pa.int64()),
+                "bands": list_array(list(keys), pa.int64()),
             }
 
         return work
 
     kind = rows.schema["id"].dataType.simpleString()
-    return arrow_map(rows, f"id {kind}, n int, node binary, s0 long, s1 long, s2 long, bands array<long>", start)
+    return arrow_map(rows, f"id {kind}, n int, node binary, bands array<long>", start)
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -115,6 +115,45 @@ def _alike_enough(na: str, nb: str, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def _links_of_block(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between the outside rows and all rows of one bucket's block that have another root.
+
+    A pair is looked at in the first band that its rows share, and nowhere else. Each outside row is held against all
+    rows at once: their shingles are numbered, and a table tells which numbers it has.
+    """
+    every, outside = rows[~rows["outside"]], rows[rows["outside"]]
+    if not len(every) or not len(outside):
+        return []
+    key, bands = rows["key"].iloc[0], np.stack(every["bands"].to_numpy())
+    sizes, roots, nodes = every["n"].to_numpy(), every["root"].to_numpy(), every["node"].to_numpy()
+    known, codes = np.unique(np.concatenate(every["shingles"].to_numpy()), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for o in outside.itertuples():
+        same = bands == o.bands
+        mine = same.any(1) & (bands[np.arange(len(bands)), same.argmax(1)] == key) & (roots != o.root)
+        mine &= 100 * np.minimum(sizes, o.n) >= percent * np.maximum(sizes, o.n)
+        if mine.any():
+            at = np.minimum(np.searchsorted(known, o.shingles), len(known) - 1)
+            has = np.zeros(len(known), np.int32)
+            has[at[known[at] == o.shingles]] = 1
+            common = np.add.reduceat(has[codes], starts)
+            out += [(o.node, n) for n in nodes[mine & (100 * common >= percent * (sizes + o.n - common))]]
+    return out
+
+
+def _rest(placed: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members outside the pivot's component and the members of other components, in every bucket that has
+    such members. Large buckets are cut into blocks, and a task gets two blocks of one bucket at a time."""
+    known = facts.select("node", "bands").join(sets, "node")
+    rows = placed.select("key", "node", "n", "root").join(open_.select("key", "proot", "blocks"), "key").join(known, "node")
+    block, each = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    columns = ["key", "node", "n", "root", "bands", "shingles"]
+    every = rows.select(*columns, F.lit(False).alias("outside"), block.alias("j"), F.explode(each).alias("i"))
+    outside = rows.where("root <> proot").select(*columns, F.lit(True).alias("outside"), F.explode(each).alias("j"), block.alias("i"))
+    return every.unionByName(outside).groupBy("key", "i", "j").applyInPandas(lambda g: pd.DataFrame(_links_of_block(g, percent), columns=["a", "b"]), "a binary, b binary")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose full sets reach the threshold."""
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -136,32 +175,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = scratch.keep(_signatures(rows, width, percent / 100), "signatures")
     full = signed.where("n > 0")
     # a class for each distinct set, combined in the tasks before it is shuffled
-    classes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("n", "s0", "s1", "s2", "bands")).alias("m")).select("node", "id", "m.*"), "classes")
+    classes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("n", "bands")).alias("m")).select("node", "id", "m.*"), "classes")
     buckets = classes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    facts = classes.select("node", "id", "n", "s0", "s1", "s2")
+    facts = classes.select("node", "id", "n", "bands")
     met = scratch.keep(buckets.join(shared, "key"), "met")
     nodes = met.select("node").distinct()
     facts = scratch.keep(facts.join(nodes, "node"), "facts")
     sets = scratch.keep(_sets(rows.join(facts.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["node"]), "sets")
-    members = scratch.keep(met.join(facts.drop("id"), "node"), "members")
+    members = scratch.keep(met.join(facts.select("node", "n"), "node"), "members")
 
     links, roots = None, None
     for turn in range(ROUNDS + 1):
         placed = members.withColumn("root", F.col("node")) if roots is None else scratch.keep(
             members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-        pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
+        pivot = placed.groupBy("key").agg(
+            F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"),
+            F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
         # a bucket whose members all have one root is done
-        open_ = pivot.where("low <> high").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
-        outside = placed.join(open_, "key").where("root <> proot")
+        open_ = pivot.where("low <> high").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"), "blocks")
         if turn < ROUNDS:
-            pairs = outside.where(_alike_enough("n", "pn", percent)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            outside = placed.join(open_, "key").where((F.col("root") != F.col("proot")) & _alike_enough("n", "pn", percent))
+            pairs = outside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            found = scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), sets, percent), "links")
         else:
-            outside = scratch.keep(outside.select("key", "node", "n", "root", "s0", "s1", "s2"), "outside")
-            o = outside.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "s0", "s1", "s2")))
-            far = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}"))) for i in range(3))
-            pairs = placed.join(o, "key").where((F.col("root") != F.col("o_root")) & _alike_enough("n", "o_n", percent) & (far <= _far_limit(percent))).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
-        found = scratch.keep(_confirmed(scratch.keep(pairs.distinct(), "pairs"), sets, percent), "links")
+            found = scratch.keep(_rest(placed, open_, facts, sets, percent), "links")
         links = found if links is None else links.union(found)
         roots = components(links, scratch)
 
@@ -175,8 +213,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )
 
-
-def _far_limit(percent: int) -> int:
-    """Differing low bits of two signatures that a pair at the threshold exceeds with a chance below 1e-9 (six deviations)."""
-    p = (1 - percent / 100) / 2
-    return int(COORDINATES * p + 6 * (COORDINATES * p * (1 - p)) ** 0.5) + 1
