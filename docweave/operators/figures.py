@@ -22,7 +22,8 @@ def coverage(images: DataFrame, boxes: DataFrame, page: str = "page_id", image:
     i = images.select(page, image, *[F.col(c).alias(f"i{c}") for c in ("x0", "y0", "x1", "y1")])
     overlap = F.greatest(F.lit(0.0), F.least("ix1", "x1") - F.greatest("ix0", "x0")) * F.greatest(F.lit(0.0), F.least("iy1", "y1") - F.greatest("iy0", "y0"))
     area = F.greatest(F.lit(0.0), F.col("ix1") - F.col("ix0")) * F.greatest(F.lit(0.0), F.col("iy1") - F.col("iy0"))
-    sums = i.join(boxes, page, "left").groupBy(image).agg(F.sum(F.coalesce(overlap, F.lit(0.0))).alias("s"), F.max(area).alias("area"))
+    shared = F.when(F.col("x0").isNull(), 0.0).otherwise(overlap)  # least and greatest pass over nulls
+    sums = i.join(boxes, page, "left").groupBy(image).agg(F.sum(shared).alias("s"), F.max(area).alias("area"))
     share = F.when(F.col("area") > 0, F.least(F.lit(1.0), F.col("s") / F.col("area"))).otherwise(1.0)
     return sums.select(image, share.alias("coverage"), (share >= 0.7).alias("covered"))
 
