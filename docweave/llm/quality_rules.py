@@ -1,7 +1,7 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule votes for keeping (1), against (-1) or abstains (0). Expectation-
-maximisation estimates how often each rule is right when it votes, and how many documents are good,
+maximisation estimates how accurate each rule is on good and on bad documents, and how many documents are good,
 from the agreement of the rules alone; a document is kept if its posterior probability of
 being good is at least one half. The votes of all documents are first
 counted by pattern, at most 3 ** rules of them, so that a round of estimation is one small aggregation.
@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, Scratch
 
-#: Rounds of estimation; bounds of a rule's accuracy; right and wrong votes that each rule is given to begin with.
-ROUNDS, LEAST, MOST, PRIOR_RIGHT, PRIOR_WRONG = 12, 0.55, 0.98, 8.0, 2.0
+#: Rounds of estimation; how votes fall on good and on bad documents to begin with, and how many documents that counts as.
+ROUNDS, STRENGTH = 12, 20.0
+PRIOR_GOOD, PRIOR_BAD = {1: 0.9, 0: 0.095, -1: 0.005}, {1: 0.4, 0: 0.2, -1: 0.4}
+#: A rule votes against a good document this often at most, and against a bad one this often at least. Defects are often seen
+#: by one rule alone; without these bounds, rules that never agree would outvote each other.
+MOST_WRONG, LEAST_RIGHT = 0.005, 0.1
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +77,7 @@ def rules() -> dict[str, Column]:
         "length": _vote(n, (n >= 50) & (n <= 100_000), n < 50),
         "word_length": _vote(mean, mean.between(3, 10), (mean < 2.5) | (mean > 12)),
         "symbols": _vote(symbols, symbols < 0.05, symbols > 0.1),
-        "lines": _vote(copies, copies < 0.1, copies > 0.3),
+        "lines": _vote(copies, copies < 0.1, (copies > 0.3) & (F.col("n_dup_lines") > 2)),
         "repeats": _vote(repeats, repeats < 0.1, repeats > 0.3),
         "letters": _vote(letters, letters > 0.8, letters < 0.65),
         "capitals": _vote(capitals, capitals < 0.15, capitals > 0.4),
@@ -81,27 +85,39 @@ def rules() -> dict[str, Column]:
     }
 
 
-def posterior(names: list[str], accuracy: dict[str, float], good: float) -> Column:
+#: rule -> vote -> (share of good documents with this vote, share of bad ones)
+Rates = dict[str, dict[int, tuple[float, float]]]
+
+
+def posterior(rates: Rates, good: float) -> Column:
     """Probability that a document with these votes is good."""
-    odds = reduce(lambda a, b: a + b, [F.col(k) * F.lit(log(accuracy[k] / (1 - accuracy[k]))) for k in names], F.lit(log(good / (1 - good))))
-    return 1 / (1 + F.exp(-odds))
+    weights = [F.when(F.col(k) > 0, log(r[1][0] / r[1][1])).when(F.col(k) < 0, log(r[-1][0] / r[-1][1])).otherwise(log(r[0][0] / r[0][1])) for k, r in rates.items()]
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, weights, F.lit(log(good / (1 - good))))))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracy of each rule and share of good documents, from pattern counts (columns: names and n)."""
-    accuracy, good = dict.fromkeys(names, PRIOR_RIGHT / (PRIOR_RIGHT + PRIOR_WRONG)), 0.8
-    clip = lambda x, low, high: min(high, max(low, x))
+def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[Rates, float]:
+    """How often each rule casts each vote on good and on bad documents, and the share of good ones, from pattern counts (columns:
+    names and n). A rule can be reliable in one way only: its votes against may weigh more than its votes for."""
+    rates, good = {k: {v: (PRIOR_GOOD[v], PRIOR_BAD[v]) for v in (1, 0, -1)} for k in names}, 0.8
+    n = F.col("n")
     for _ in range(rounds):
-        q, n = posterior(names, accuracy, good), F.col("n")
-        right = lambda k: F.when(F.col(k) > 0, q).when(F.col(k) < 0, 1 - q).otherwise(0.0)
+        q = posterior(rates, good)
+        each = {(k, v): F.col(k) == v for k in names for v in (1, 0, -1)}
         sums = patterns.agg(
             F.sum(n * q).alias("good"), F.sum(n).alias("all"),
-            *[F.sum(n * right(k)).alias(f"right_{k}") for k in names], *[F.sum(n * F.abs(F.col(k))).alias(f"votes_{k}") for k in names]).first()
+            *[F.coalesce(F.sum(F.when(c, n * q)), F.lit(0.0)).alias(f"good_{k}_{v}") for (k, v), c in each.items()],
+            *[F.coalesce(F.sum(F.when(c, n * (1 - q))), F.lit(0.0)).alias(f"bad_{k}_{v}") for (k, v), c in each.items()]).first()
         if not sums["all"]:
             break
-        accuracy = {k: clip((sums[f"right_{k}"] + PRIOR_RIGHT) / (sums[f"votes_{k}"] + PRIOR_RIGHT + PRIOR_WRONG), LEAST, MOST) for k in names}
-        good = clip(sums["good"] / sums["all"], 0.05, 0.95)
-    return accuracy, good
+        bad = sums["all"] - sums["good"]
+        rates = {
+            k: {v: ((sums[f"good_{k}_{v}"] + STRENGTH * PRIOR_GOOD[v]) / (sums["good"] + STRENGTH), (sums[f"bad_{k}_{v}"] + STRENGTH * PRIOR_BAD[v]) / (bad + STRENGTH)) for v in (1, 0, -1)}
+            for k in names
+        }
+        for r in rates.values():
+            r[-1] = (min(r[-1][0], MOST_WRONG), max(r[-1][1], LEAST_RIGHT))
+        good = min(0.95, max(0.2, sums["good"] / sums["all"]))
+    return rates, good
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +130,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names = [f"vote_{k}" for k in votes]
     measured = scratch.keep(measures(docs, id_col, text_col).select("*", *[v.alias(f"vote_{k}") for k, v in votes.items()]), "measures")
     patterns = scratch.keep(measured.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    accuracy, good = estimate(patterns, names)
+    rates, good = estimate(patterns, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    quality = posterior(names, accuracy, good)
+    quality = posterior(rates, good)
     return measured.select("*", failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= 0.5)).alias("kept"))
