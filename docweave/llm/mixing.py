@@ -28,13 +28,14 @@ def n_words(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """0.2 to 1: the share of letters and blanks in a text, squared; text full of marks and digits is drawn later."""
-    plain = F.length(F.regexp_replace(text, "[^\\p{L}\\s]+", "")) / F.when(F.length(text) > 0, F.length(text))
+    plain = F.length(F.regexp_replace(text, "[^\\p{L} ]+", "")) / F.when(F.length(text) > 0, F.length(text))
     return F.greatest(F.lit(0.2), F.coalesce(plain * plain, F.lit(0.2)))
 
 
 def exponential_key(key: Column, weight: Column, seed: int) -> Column:
     """-ln(u) / weight with u in (0, 1) from a hash of the id, the same in every run."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     return -F.log(u) / weight
 
 

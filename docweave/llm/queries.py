@@ -16,9 +16,38 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(f):
     QUERIES[f.__name__] = f
+    if f.__name__ in ALL_SQL:
+        ORACLE_SQL[f.__name__] = ALL_SQL[f.__name__]
     return f
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All links by counting common shingles of all pairs, then all that can be reached.
+ALL_SQL = {
+    "op3_near_duplicates": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op9_mixing": r"""WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST(length(regexp_replace(text, '[^\p{L} ]+', '', 'g')) AS DOUBLE) / nullif(length(text), 0) AS plain,
+  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+d AS (SELECT doc_id, source, size, -ln(u) / greatest(0.2::DOUBLE, coalesce(plain * plain, 0.2::DOUBLE)) AS k FROM t),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(i - 1) % 3 + 1] AS DOUBLE) AS weight, 3::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, cap / weight AS ratio FROM w),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+g AS (SELECT *, least(cap, weight * (SELECT level FROM v WHERE ratio >= level ORDER BY ratio, i LIMIT 1)) AS target FROM v),
+b AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
+f AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN before + size / 2::DOUBLE <= budget THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f""",
+}
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
