@@ -97,6 +97,33 @@ class SizeClass:
     index: HammingIndex
 
 
+@dataclass
+class Items:
+    """All items, by length, and quick tests on whether a shingle occurs in any of them."""
+
+    classes: list[SizeClass]
+    seen: np.ndarray  # a bit for each value of a shingle's low bits
+    known: np.ndarray  # all shingles, sorted
+
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Where shingles of any item are."""
+        maybe = np.flatnonzero(self.seen[own & np.uint64(len(self.seen) - 1)])
+        return maybe[_among(self.known, own[maybe])] if len(maybe) else maybe
+
+
+def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ordered, values)
+    return ordered[np.minimum(at, len(ordered) - 1)] == values
+
+
+def prepare(items: list[tuple[object, list[int]]], width: int, radius: int) -> Items:
+    classes = size_classes(items, width, radius)
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c.known for c in classes)]))
+    seen = np.zeros(1 << 22, bool)
+    seen[known & np.uint64(len(seen) - 1)] = True
+    return Items(classes, seen, known)
+
+
 def size_classes(items: list[tuple[object, list[int]]], width: int, radius: int) -> list[SizeClass]:
     """items: id and word hashes. Items without words match nothing."""
     by: dict[int, list] = {}
@@ -119,23 +146,19 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return common / (int(a[1].sum() + b[1].sum()) - common)
 
 
-def matches(found: np.ndarray, classes: list[SizeClass], width: int, similarity: float, seen: np.ndarray) -> Iterator[tuple]:
-    """The best window (earliest of equals) for each item that the document with these word hashes holds: id, start, words, similarity.
-
-    seen: a bit for each value of the low 20 bits of a shingle that occurs in any item.
-    """
-    by_width: dict[int, np.ndarray] = {}
-    for c in classes:
+def matches(found: np.ndarray, items: Items, width: int, similarity: float) -> Iterator[tuple]:
+    """The best window (earliest of equals) for each item that the document with these word hashes holds: id, start, words, similarity."""
+    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for c in items.classes:
         k, w = max(1, c.words - width + 1), min(width, c.words)
         if len(found) < c.words:
             continue
         if w not in by_width:
-            by_width[w] = shingles(found, w)
-        own = by_width[w]
-        maybe = np.flatnonzero(seen[own & np.uint64(0xFFFFF)])
-        if not len(maybe):
-            continue
-        maybe = maybe[np.isin(own[maybe], c.known)]
+            own = shingles(found, w)
+            by_width[w] = own, items.places(own)
+        own, maybe = by_width[w]
+        if len(maybe):
+            maybe = maybe[_among(c.known, own[maybe])]
         if not len(maybe):
             continue
         hit = np.zeros(len(own) + 1, np.int32)
@@ -191,13 +214,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
 
         def start(items=items):
-            memo, classes = held(word_memo), size_classes(items, width, RADIUS)
-            seen = seen_bits(classes)
+            memo, ready = held(word_memo), prepare(items, width, RADIUS)
 
             def work(batch: pa.RecordBatch) -> dict | None:
                 out = {k: [] for k in ("id", "item", "start_word", "n_words", "similarity")}
                 for key, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                    for found in matches(hashes(words_of(text), memo), classes, width, similarity, seen):
+                    for found in matches(hashes(words_of(text), memo), ready, width, similarity):
                         for column, value in zip(out.values(), (key, *found), strict=True):
                             column.append(value)
                 return out if out["id"] else None
@@ -209,13 +231,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "start_word", "n_words", "similarity")
 
 
-def seen_bits(classes: list[SizeClass]) -> np.ndarray:
-    seen = np.zeros(1 << 20, bool)
-    for c in classes:
-        seen[c.known & np.uint64(0xFFFFF)] = True
-    return seen
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no item; nothing is joined or shuffled."""
     short_batches(docs.sparkSession)
@@ -223,10 +238,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: flo
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
 
         def run(batches, items=items):
-            memo, classes = held(word_memo), size_classes(items, width, RADIUS)
-            seen = seen_bits(classes)
+            memo, ready = held(word_memo), prepare(items, width, RADIUS)
             for batch in batches:
-                free = [next(matches(hashes(words_of(t), memo), classes, width, similarity, seen), None) is None for t in batch.column(at).to_pylist()]
+                free = [next(matches(hashes(words_of(t), memo), ready, width, similarity), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(free, pa.bool_()))
 
         docs = docs.mapInArrow(run, kept)
