@@ -29,9 +29,10 @@ def parse_triples(replies: DataFrame, raw: str = "raw") -> DataFrame:
     verb or object are dropped. A reply that isn't such JSON gives nothing here; see malformed().
     """
     text = unfenced(F.col(raw))
-    listed = F.from_json(text, f"ARRAY<STRUCT<{_struct()}>>")
-    nested = F.from_json(text, f"STRUCT<triples: ARRAY<STRUCT<{_struct()}>>>")["triples"]
-    rows = replies.select(*[c for c in replies.columns if c != raw], F.posexplode(F.when(text.startswith("["), listed).otherwise(nested)).alias("position", "t"))
+    # items are taken as text first: one that is no object doesn't spoil the others
+    items = F.when(text.startswith("["), F.from_json(text, "ARRAY<STRING>")).otherwise(F.from_json(text, "STRUCT<triples: ARRAY<STRING>>")["triples"])
+    rows = replies.select(*[c for c in replies.columns if c != raw], F.posexplode(items).alias("position", "item"))
+    rows = rows.withColumn("t", F.from_json("item", f"STRUCT<{_struct()}>")).drop("item")
     t = lambda k: F.col(f"t.{k}")
     valid = t("subject").isNotNull() & t("verb").isNotNull() & t("object").isNotNull()
     return rows.where(valid).select(

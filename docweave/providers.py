@@ -56,10 +56,8 @@ def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "vector")
     @F.pandas_udf("array<double>")
     def encode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in frames:
-            there = s.notna()
-            out = pd.Series([None] * len(s), dtype=object)
-            out[there.to_numpy()] = embedder.encode_batch(s[there].tolist())
-            yield out
+            found = iter(embedder.encode_batch(s.dropna().tolist()))
+            yield pd.Series([None if pd.isna(t) else next(found) for t in s])
 
     return rows.withColumn(name, encode(text))
 
