@@ -35,6 +35,13 @@ MISS = 1e-6
 ROUNDS, BLOCK = 2, 1_000_000
 
 
+def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps. Rows that repeat one id and text stay or go together."""
+    gone = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_hash").alias("__hash"))
+    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__hash"])
+    return docs.join(gone, same, "left_anti")
+
+
 def band_rows(similarity: float, coordinates: int = COORDINATES) -> int:
     """The most coordinates a band can have so that a pair at `similarity` is missed with a chance of MISS at most."""
     return max(r for r in range(1, 33) if r == 1 or (1 - similarity**r) ** (coordinates // r) <= MISS)
@@ -87,14 +94,14 @@ def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
             signatures = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, COORDINATES), np.uint32)
             keys = band_keys(signatures, r)
             return {
-                "id": batch.column(0), "n": [len(s) for s in sets], "node": [set_key(s) for s in sets],
+                "id": batch.column(0), "h": batch.column(2), "n": [len(s) for s in sets], "node": [set_key(s) for s in sets],
                 "bands": list_array(list(keys), pa.int64()),
             }
 
         return work
 
     kind = rows.schema["id"].dataType.simpleString()
-    return arrow_map(rows, f"id {kind}, n int, node binary, bands array<long>", start)
+    return arrow_map(rows, f"id {kind}, h long, n int, node binary, bands array<long>", start)
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -162,7 +169,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept for each row of docs.
+    """id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for each row of docs.
 
     Words are runs without ASCII white space, A-Z lower-cased; two sets link if 100 * |intersection| >= percent * |union|;
     component_id is the smallest id of the group. A text without words (null, empty, blank) has no shingles and links with
@@ -171,7 +178,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     short_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     signed = scratch.keep(_signatures(rows, width, percent / 100), "signatures")
     full = signed.where("n > 0")
     # a class for each distinct set, combined in the tasks before it is shuffled
@@ -182,7 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     met = scratch.keep(buckets.join(shared, "key"), "met")
     nodes = met.select("node").distinct()
     facts = scratch.keep(facts.join(nodes, "node"), "facts")
-    sets = scratch.keep(_sets(rows.join(facts.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(_sets(rows.select("id", "text").join(facts.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["node"]), "sets")
     members = scratch.keep(met.join(facts.select("node", "n"), "node"), "members")
 
     links, roots = None, None
@@ -206,10 +214,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = placed.join(lowest, "root").select("node", "component_id")
-    out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
+    out = signed.select("id", "h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.col("h").alias("text_hash"),
     )
 

@@ -72,7 +72,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85).drop("text_hash")
 
 
 @query

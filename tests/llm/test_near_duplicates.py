@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from docweave.llm.near_duplicates import band_rows, near_duplicates
+from docweave.llm.near_duplicates import band_rows, near_duplicates, without_copies
 
 
 def brute(rows, width, percent):
@@ -58,6 +58,8 @@ def test_null_ids_repeated_ids_and_empty_tables(spark):
     got = sorted(((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(docs, 3, 85).collect()), key=str)
     assert got == sorted([("None", 7, False), ("7", 7, True), ("7", 7, True), ("None", None, True)], key=str)
     assert near_duplicates(docs.limit(0), 3, 85).collect() == []
+    kept = [(str(r.doc_id), r.text) for r in without_copies(docs.union(spark.createDataFrame([(9, "x y z w")], docs.schema)), 3, 85).collect()]
+    assert sorted(kept) == [("7", "a b c d"), ("7", "x y z w"), ("None", "q r s t")]
 
 
 def test_bands_miss_one_pair_in_a_million_at_most():
