@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docweave.config import RELATIONS
 from docweave.functions import text as T
 from docweave.functions import vectors as V
-from docweave.operators import classify, clusters, coreference, entities, figures, graph, tasks
+from docweave.operators import classify, clusters, coreference, entities, figures, graph, staging, tasks
 from docweave.session import ship
 from docweave.sources import web
 
@@ -118,6 +118,23 @@ def svo_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.explode(T.windows(F.col("s"))).alias("w")).select("doc_id", "w.chunk_index", "w.total", "w.sentence_start", "w.sentence_end")
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS source, CASE WHEN doc_id % 11 = 0 THEN 'no chunks' END AS error, CASE WHEN doc_id % 11 = 0 THEN 'original' WHEN doc_id % 3 = 0 THEN 'index' ELSE 'original' END AS origin FROM documents""")
+def stage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging with errors, and where the sentences of each document then come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source"), F.when(F.col("doc_id") % 11 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("text"))
+    staged = staging.stage(docs)
+    index = staged.where("error IS NULL AND CAST(source AS BIGINT) % 3 = 0").select("source", "sentences")
+    origin = staging.sentences_or_rebuild(docs, index, docs).select("source", "origin")
+    return staged.select("source", "error").join(origin, "source")
+
+
+@query("""SELECT vec_id AS source, CASE WHEN vec_id % 4 = 0 THEN 'kg_new' ELSE 'kg' || label END AS kg_id FROM embeddings""")
+def membership_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _vectors(spark, sf_dir).select(F.col("vec_id").alias("source"), F.concat(F.lit("kg"), "label").alias("kg_id"))
+    moves = own.where("source % 4 = 0").select("source", F.explode(F.array(F.struct(F.lit("kg_old").alias("kg_id"), F.lit(1).alias("at")), F.struct(F.lit("kg_new").alias("kg_id"), F.lit(2).alias("at")))).alias("m"))
+    return staging.assign(own, moves.select("source", "m.kg_id", "m.at"))
+
+
 @query(r"""SELECT doc_id, length(t) < 80 OR length(regexp_replace(t, '[^一-龥a-zA-Z0-9]', '', 'g')) / length(t) < 0.6 AS low_quality
 FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t FROM documents)""")
 def text_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,3 +195,25 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("One. Two.")
     streams.run_available(streams.chunk_stream(streams.text_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert [r.chunk for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["One. Two."]
+
+
+def test_staging(spark):
+    from docweave.operators import staging
+
+    docs = spark.createDataFrame([("a.txt", "第一句。" * 200), ("", "x"), ("b", " ")], "source string, text string")
+    staged = staging.stage(docs)
+    got = {r.source: r for r in staged.collect()}
+    assert got[""].error == "source is blank" and got["b"].error == "no chunks" and got["a.txt"].total_chunks > 1
+    rows = staging.chunk_rows(staged).orderBy("chunk_index").collect()
+    assert rows[0].filename == "chunk-001-of-002.md" and rows[0].file.startswith('---\nsource: "a.txt"\nchunk_index: 1\ntotal_chunks: 2\n---\n\n第一句。')
+    pairs = spark.createDataFrame([("s", [f"o{i}" for i in range(6)], [f"n{i}" for i in range(6)])], "source string, sentences array<string>, normalized array<string>")
+    w = staging.extraction_windows(pairs).orderBy("chunk_index").collect()
+    assert [(r.sentence_start, r.sentence_end, r.original[0], r.normalized[-1]) for r in w] == [(1, 5, "o0", "n4"), (4, 6, "o3", "n5")]
+    with pytest.raises(Exception, match="differ in number"):
+        staging.extraction_windows(pairs.withColumn("normalized", F.array(F.lit("x")))).collect()
+    with pytest.raises(Exception, match="unknown relation"):
+        spark.range(1).select(staging.strict_relation(F.lit("NOT_ALLOWED"))).collect()
+    staging.create_collection(spark, "kg_a")
+    assert staging.list_collections(spark) == ["kg_a"]
+    staging.drop_collection(spark, "kg_a")
+    assert staging.list_collections(spark) == []
