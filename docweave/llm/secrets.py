@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, short_batches, texts_of
+from .common import arrow_map, held, short_batches, texts_of
 
 #: Order of kinds that begin at one place.
 KINDS = ("assign", "access", "hex", "random")
@@ -94,7 +94,7 @@ def find_secrets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
-        test = RandomTest(ranks_path, pattern)
+        test = held(RandomTest, ranks_path, pattern)
 
         def work(batch: pa.RecordBatch) -> dict:
             all_spans = [spans_of(t or "", test) for t in texts_of(batch)]
