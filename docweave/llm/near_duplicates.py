@@ -16,6 +16,7 @@ component need no comparison: the result is what all links would give.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -95,13 +96,13 @@ def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
             keys = band_keys(signatures, r)
             return {
                 "id": batch.column(0), "h": batch.column(2), "n": [len(s) for s in sets], "node": [set_key(s) for s in sets],
-                "bands": list_array(list(keys), pa.int64()),
+                "bands": list_array(list(keys), pa.int64()), "low": [x.tobytes() for x in signatures.astype(np.uint8)],
             }
 
         return work
 
     kind = rows.schema["id"].dataType.simpleString()
-    return arrow_map(rows, f"id {kind}, h long, n int, node binary, bands array<long>", start)
+    return arrow_map(rows, f"id {kind}, h long, n int, node binary, bands array<long>, low binary", start)
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -122,43 +123,79 @@ def _alike_enough(na: str, nb: str, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _links_of_block(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between the outside rows and all rows of one bucket's block that have another root.
+def _candidates(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each outside row of a bucket's block, its number and which of the other rows it may link with: another root, sizes that allow it,
+    enough equal coordinates, and this bucket as the first band that both share."""
+    every, outside = rows[~rows["outside"]], rows[rows["outside"]]
+    if not len(every) or not len(outside):
+        return
+    key, bands, low = rows["key"].iloc[0], np.stack(every["bands"].to_numpy()), np.stack([np.frombuffer(x, np.uint8) for x in every["low"]])
+    sizes, roots = every["n"].to_numpy(), every["root"].to_numpy()
+    for i, o in enumerate(outside.itertuples()):
+        mine = (roots != o.root) & (100 * np.minimum(sizes, o.n) >= percent * np.maximum(sizes, o.n))
+        at = np.flatnonzero(mine)
+        at = at[(low[at] == np.frombuffer(o.low, np.uint8)).sum(1) >= least_equal(percent)]
+        same = bands[at] == o.bands
+        at = at[bands[at, same.argmax(1)] == key] if len(at) else at
+        if len(at):
+            yield i, at
+
+
+def _needed_of_block(rows: pd.DataFrame, percent: int) -> list[bytes]:
+    """Nodes of the rows that are in a candidate pair."""
+    every, outside = rows[~rows["outside"]]["node"].to_numpy(), rows[rows["outside"]]["node"].to_numpy()
+    out: set[bytes] = set()
+    for i, at in _candidates(rows, percent):
+        out.add(outside[i])
+        out.update(every[at])
+    return list(out)
 
-    A pair is looked at in the first band that its rows share, and nowhere else. Each outside row is held against all
-    rows at once: their shingles are numbered, and a table tells which numbers it has.
-    """
+
+def _links_of_block(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of the candidate pairs. An outside row is held against all its candidates at once: shingles are numbered, and a table tells which numbers it has."""
     every, outside = rows[~rows["outside"]], rows[rows["outside"]]
     if not len(every) or not len(outside):
         return []
-    key, bands = rows["key"].iloc[0], np.stack(every["bands"].to_numpy())
-    sizes, roots, nodes = every["n"].to_numpy(), every["root"].to_numpy(), every["node"].to_numpy()
-    known, codes = np.unique(np.concatenate(every["shingles"].to_numpy()), return_inverse=True)
+    sets, sizes, nodes = every["shingles"].to_numpy(), every["n"].to_numpy(), every["node"].to_numpy()
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    out = []
-    for o in outside.itertuples():
-        same = bands == o.bands
-        mine = same.any(1) & (bands[np.arange(len(bands)), same.argmax(1)] == key) & (roots != o.root)
-        mine &= 100 * np.minimum(sizes, o.n) >= percent * np.maximum(sizes, o.n)
-        if mine.any():
-            at = np.minimum(np.searchsorted(known, o.shingles), len(known) - 1)
-            has = np.zeros(len(known), np.int32)
-            has[at[known[at] == o.shingles]] = 1
-            common = np.add.reduceat(has[codes], starts)
-            out += [(o.node, n) for n in nodes[mine & (100 * common >= percent * (sizes + o.n - common))]]
+    out, names, own = [], outside["node"].to_numpy(), outside["shingles"].to_numpy()
+    for i, at in _candidates(rows, percent):
+        where = np.minimum(np.searchsorted(known, own[i]), len(known) - 1)
+        has = np.zeros(len(known), np.int32)
+        has[where[known[where] == own[i]]] = 1
+        common = np.add.reduceat(has[codes], starts)[at]
+        out += [(names[i], n) for n in nodes[at[100 * common >= percent * (sizes[at] + len(own[i]) - common)]]]
     return out
 
 
-def _rest(placed: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def least_equal(percent: int) -> int:
+    """Equal coordinates that a pair at the threshold falls short of with a chance below 1e-8 (six deviations)."""
+    p = percent / 100
+    return int(COORDINATES * p - 6 * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
+def _rest(placed: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between the members outside the pivot's component and the members of other components, in every bucket that has
-    such members. Large buckets are cut into blocks, and a task gets two blocks of one bucket at a time."""
-    known = facts.select("node", "bands").join(sets, "node")
-    rows = placed.select("key", "node", "n", "root").join(open_.select("key", "proot", "blocks"), "key").join(known, "node")
-    block, each = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["key", "node", "n", "root", "bands", "shingles"]
-    every = rows.select(*columns, F.lit(False).alias("outside"), block.alias("j"), F.explode(each).alias("i"))
-    outside = rows.where("root <> proot").select(*columns, F.lit(True).alias("outside"), F.explode(each).alias("j"), block.alias("i"))
-    return every.unionByName(outside).groupBy("key", "i", "j").applyInPandas(lambda g: pd.DataFrame(_links_of_block(g, percent), columns=["a", "b"]), "a binary, b binary")
+    such members. Large buckets are cut into blocks, and a task gets two blocks of one bucket at a time. A first pass, without the sets, finds
+    the rows that are in a candidate pair; only theirs are sent to the second."""
+    rows = placed.select("key", "node", "n", "root").join(open_.select("key", "proot", "blocks"), "key").join(facts.select("node", "bands", "low"), "node")
+
+    def by_block(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        block, each = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+        kept = [c for c in rows.columns if c not in ("proot", "blocks")]
+        every = rows.select(*kept, F.lit(False).alias("outside"), block.alias("j"), F.explode(each).alias("i"))
+        outside = rows.where("root <> proot").select(*kept, F.lit(True).alias("outside"), F.explode(each).alias("j"), block.alias("i"))
+        return every.unionByName(outside).groupBy("key", "i", "j").applyInPandas(work, schema)
+
+    def needed_rows(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"node": _needed_of_block(g, percent)}, dtype=object).assign(key=g["key"].iloc[0])
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_links_of_block(g, percent), columns=["a", "b"])
+
+    needed = scratch.keep(by_block(rows, needed_rows, "node binary, key long").distinct(), "needed")
+    return by_block(rows.join(needed, ["key", "node"]).join(sets, "node"), links, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,10 +220,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = scratch.keep(_signatures(rows, width, percent / 100), "signatures")
     full = signed.where("n > 0")
     # a class for each distinct set, combined in the tasks before it is shuffled
-    classes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("n", "bands")).alias("m")).select("node", "id", "m.*"), "classes")
+    classes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("n", "bands", "low")).alias("m")).select("node", "id", "m.*"), "classes")
     buckets = classes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    facts = classes.select("node", "id", "n", "bands")
+    facts = classes.select("node", "id", "n", "bands", "low")
     met = scratch.keep(buckets.join(shared, "key"), "met")
     nodes = met.select("node").distinct()
     facts = scratch.keep(facts.join(nodes, "node"), "facts")
@@ -207,7 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs = outside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
             found = scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), sets, percent), "links")
         else:
-            found = scratch.keep(_rest(placed, open_, facts, sets, percent), "links")
+            found = scratch.keep(_rest(placed, open_, facts, sets, percent, scratch), "links")
         links = found if links is None else links.union(found)
         roots = components(links, scratch)
 
