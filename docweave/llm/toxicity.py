@@ -22,7 +22,7 @@ from .common import Memo, arrow_map, held, short_batches, texts_of
 from .training import SCALE, bounded
 
 #: Hashed features; rows of each kind that a classifier is fitted on, at most.
-BUCKETS, MAX_POSITIVE, MAX_UNLABELLED = 1 << 18, 6000, 14000
+BUCKETS, MAX_POSITIVE, MAX_UNLABELLED = 1 << 18, 4000, 8000
 
 _WORD = re.compile(r"\w+")
 
@@ -59,7 +59,7 @@ class _Rows:
     """Sparse rows of ones."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.ends = np.cumsum(self.sizes)
 
@@ -70,11 +70,12 @@ class _Rows:
 
     def only(self, chosen: np.ndarray) -> _Rows:
         """These features alone, numbered from 0."""
-        number = np.full(BUCKETS, -1, np.int64)
+        number = np.full(BUCKETS, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
         now = number[self.flat]
-        rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return self._with(now[now >= 0], np.bincount(rows[now >= 0], minlength=len(self.sizes)))
+        there = now >= 0
+        before = np.concatenate([[0], np.cumsum(there, dtype=np.int64)])
+        return self._with(now[there], before[self.ends] - before[self.ends - self.sizes])
 
     def named(self, chosen: np.ndarray) -> _Rows:
         """Numbers turned back to features."""
@@ -124,14 +125,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     weights, bias = np.zeros(BUCKETS, np.float32), -4.0
     if positive and unlabelled:
         rng, p, u = np.random.default_rng(seed), _Rows(positive), _Rows(unlabelled)
-        chosen = np.flatnonzero(np.bincount(np.concatenate([p.flat, u.flat]), minlength=BUCKETS) >= 3)
+        chosen = np.flatnonzero(np.bincount(p.flat, minlength=BUCKETS) + np.bincount(u.flat, minlength=BUCKETS) >= 3).astype(np.int32)
         for shrink in (sparsity, sparsity * second):
             p, u = p.only(chosen), u.only(chosen)
             w, bias = _descend(p, u, len(chosen), prior, epochs, shrink, batch, rate, rng)
             weights = np.zeros(BUCKETS, np.float32)
             weights[chosen] = w
             p, u = p.named(chosen), u.named(chosen)
-            chosen = np.flatnonzero(weights)
+            chosen = np.flatnonzero(weights).astype(np.int32)
     return Model(weights, bias)
 
 
