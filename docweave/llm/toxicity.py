@@ -24,6 +24,9 @@ from .training import SCALE, bounded
 #: Hashed features; rows of each kind that a classifier is fitted on, at most.
 BUCKETS, MAX_POSITIVE, MAX_UNLABELLED = 1 << 18, 4000, 8000
 
+#: Log odds that the bias is raised by after fitting, at most.
+MOST_LIFT = 1.0
+
 _WORD = re.compile(r"\w+")
 
 
@@ -89,11 +92,13 @@ class _Rows:
 
 
 def _descend(p: _Rows, u: _Rows, size: int, prior: float, epochs: int, sparsity: float, batch: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Adagrad on the non-negative risk with the logistic loss; after each step weights shrink towards zero by `sparsity` times the prior."""
+    """Adagrad on the non-negative risk with the logistic loss; after each step weights shrink towards zero by `sparsity` times the prior.
+    Steps that turn the gradient round make single ones restless: the mean over the second half is the result."""
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     gw, gb = np.full(size, 1e-2), 1e-2
     n_p, n_u = len(p.sizes), len(u.sizes)
-    for _ in range(epochs):
+    mean_w, mean_b, n = np.zeros(size), 0.0, 0
+    for epoch in range(epochs):
         order_u, order_p = rng.permutation(n_u), rng.permutation(n_p)
         for s in range(max(n_p, n_u) // batch + 1):
             iu = order_u[np.arange(s * batch, (s + 1) * batch) % n_u]
@@ -116,10 +121,14 @@ def _descend(p: _Rows, u: _Rows, size: int, prior: float, epochs: int, sparsity:
             db = dp.sum() + du.sum()
             gb += db * db
             b -= rate * db / np.sqrt(gb)
-    return w, b
+            if 2 * epoch >= epochs:
+                n += 1
+                mean_w += (w - mean_w) / n
+                mean_b += (b - mean_b) / n
+    return mean_w, mean_b
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 256, rate: float = 0.3, sparsity: float = 0.02, second: float = 0.25, seed: int = 7) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 20, batch: int = 256, rate: float = 0.3, sparsity: float = 0.02, second: float = 0.25, seed: int = 7) -> Model:
     """Two descents: the first, with shrinkage, picks the features, so that those of less than about `sparsity` of the
     positives get no weight; the second shrinks them by `second` times that only. Without positives every text scores low."""
     weights, bias = np.zeros(BUCKETS, np.float32), -4.0
@@ -132,7 +141,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             weights = np.zeros(BUCKETS, np.float32)
             weights[chosen] = w
             p, u = p.named(chosen), u.named(chosen)
-            chosen = np.flatnonzero(weights).astype(np.int32)
+            chosen = np.flatnonzero(np.abs(weights) > 1e-3).astype(np.int32)
+        # shrinkage holds scores down: the bias rises until nearly the prior's share of unlabelled rows scores one half
+        scores = bias + np.bincount(np.repeat(np.arange(len(u.sizes)), u.sizes), weights[u.flat], len(u.sizes))
+        bias += min(MOST_LIFT, max(0.0, -float(np.quantile(scores, 1 - 0.95 * prior))))
     return Model(weights, bias)
 
 
