@@ -1,13 +1,14 @@
 """Benchmark passages inside documents.
 
-Windows as long as an item slide over a document. A window and an item are
+Windows as long as an item slide over a document; a shorter document is one window. A window and an item are
 compared by 64-bit SimHash fingerprints of their word shingles: fingerprints are cut into RADIUS + 1
 blocks, and two within RADIUS bits must agree in a whole block, so an index on each block finds
 every fingerprint within the radius. What it finds is confirmed by exact weighted similarity, the sum of
 the smaller over the sum of the larger shingle counts.
 
 A window can reach the threshold only if that share of its shingles occurs in
-items of its length. Other windows get no fingerprint; this loses nothing.
+items of its length. Other windows get no fingerprint; this loses nothing. A shorter document needs no
+fingerprint: all items that share shingles with it are compared.
 """
 
 from __future__ import annotations
@@ -95,6 +96,7 @@ class SizeClass:
     sets: list[tuple[np.ndarray, np.ndarray]]  # distinct shingles and their counts
     known: np.ndarray  # all their shingles, sorted
     index: HammingIndex
+    owners: tuple[np.ndarray, np.ndarray]  # the distinct shingles of all sets in order, and the items they are of
 
 
 @dataclass
@@ -135,10 +137,19 @@ def size_classes(items: list[tuple[object, list[int]]], width: int, radius: int)
         k = len(group[0][1])
         prints = np.array([fingerprints(bit_rows(s), np.zeros(1, int), k)[0] for _, s in group], np.uint64)
         sets = [np.unique(s, return_counts=True) for _, s in group]
-        out.append(SizeClass(n, [key for key, _ in group], sets, np.unique(np.concatenate([s for _, s in group])), HammingIndex(prints, radius)))
+        flat, owner = np.concatenate([s for s, _ in sets]), np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
+        order = np.argsort(flat, kind="stable")
+        out.append(SizeClass(n, [key for key, _ in group], sets, np.unique(flat), HammingIndex(prints, radius), (flat[order], owner[order])))
     return out
 
 
+def sharing(own: np.ndarray, c: SizeClass) -> list[int]:
+    """The items of a class that have any of these distinct shingles."""
+    ordered, owner = c.owners
+    low, high = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
+    return sorted({i for a, b in zip(low.tolist(), high.tolist(), strict=True) for i in owner[a:b].tolist()})
+
+
 def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of the smaller counts over the sum of the larger counts."""
     _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -147,12 +158,13 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def matches(found: np.ndarray, items: Items, width: int, similarity: float) -> Iterator[tuple]:
-    """The best window (earliest of equals) for each item that the document with these word hashes holds: id, start, words, similarity."""
+    """The best window (earliest of equals) for each item that the document with these word hashes holds: id, start, words, similarity.
+    The one window of a document shorter than an item is all of it."""
     by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for c in items.classes:
         k, w = max(1, c.words - width + 1), min(width, c.words)
-        if len(found) < c.words:
-            continue
+        if len(found) < w or len(found) - w + 1 < similarity * k - 1e-9:
+            continue  # too short to reach the threshold
         if w not in by_width:
             own = shingles(found, w)
             by_width[w] = own, items.places(own)
@@ -161,6 +173,14 @@ def matches(found: np.ndarray, items: Items, width: int, similarity: float) -> I
             maybe = maybe[_among(c.known, own[maybe])]
         if not len(maybe):
             continue
+        if len(found) < c.words:
+            if len(maybe) >= similarity * k - 1e-9:
+                whole = np.unique(own, return_counts=True)
+                for item in sharing(whole[0], c):
+                    score = weighted_similarity(whole, c.sets[item])
+                    if score >= similarity:
+                        yield c.ids[item], 0, len(found), score
+            continue
         hit = np.zeros(len(own) + 1, np.int32)
         hit[maybe + 1] = 1
         hit = np.cumsum(hit)
@@ -203,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
                  item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: id, item id, start_word, n_words, similarity of the best window.
 
-    A null, empty or too short text holds nothing; null, empty or blank items match nothing; items with equal texts are
+    A null or empty text holds nothing, one shorter than an item is compared as a whole; null, empty or blank items match nothing; items with equal texts are
     each reported; repeated rows of docs give repeated rows; other columns are left out. Items shorter than a
     shingle count as one shingle. Both ids may be null and are carried along.
     """

@@ -101,3 +101,35 @@ def test_base_spans_equal_plain_searches(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
     assert found[12].spans == "random:0:28"
     assert not any(found[i].n_random for i in (10, 13, 17, 18))
+
+
+def test_documents_shorter_than_an_item_are_found(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 60)))) for i in range(30)]
+    docs = [(0, " ".join(items[0][1].split()[:-1]))]
+    for d in range(1, 200):
+        p = items[d % 30][1].split()
+        at = rng.randint(0, 6)
+        p = p[at // 2 : len(p) - (at - at // 2)]
+        if p and d % 3 == 0:
+            p[rng.randrange(len(p))] = "changed"
+        docs.append((d, " ".join(p)))
+    sixty = [f"s{i}" for i in range(60)]
+    items.append((99, " ".join(sixty)))
+    docs.append((999, " ".join(sixty[:-2])))
+    want = brute(docs, items)
+    for d, t in docs:  # brute() has only windows as long as the item
+        for i, p in items:
+            a, b = t.split(), p.split()
+            k = min(5, len(b))
+            if k <= len(a) < len(b):
+                x, y = ([tuple(w[j : j + k]) for j in range(len(w) - k + 1)] for w in (a, b))
+                common = sum(min(x.count(s), y.count(s)) for s in set(x))
+                if common / (len(x) + len(y) - common) >= 0.8:
+                    want[d, i] = common / (len(x) + len(y) - common)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in D.contaminated(frame, bench).collect()}
+    assert {k: v[2] for k, v in got.items()} == want
+    assert got[999, 99] == (0, 58, 54 / 56) and sum(len(docs[d][1].split()) < len(items[i][1].split()) for d, i in want if d < 200) > 30
+    assert 999 not in {r.doc_id for r in D.clean(frame, bench).collect()}
