@@ -36,10 +36,23 @@ ROUNDS, BLOCK = 2, 1_000_000
 
 
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps. Rows that repeat one id and text stay or go together."""
-    gone = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_hash").alias("__hash"))
-    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__hash"])
-    return docs.join(gone, same, "left_anti")
+    """One row of each group, with all its columns: of the rows that near_duplicates() keeps the one with the smallest hash
+    of all columns, where rows repeat an id and a text. Rows without words all stay."""
+    near = near_duplicates(docs, width, percent, id_col, text_col).where("n_shingles > 0")
+    marks = near.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    marks = Scratch(docs.sparkSession, "near-marks").keep(marks.where("not __kept or __n > 1"), "marks")
+    repeated = marks.where("__kept")
+
+    def same(other: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(other["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == other["__hash"])
+
+    out = docs.join(marks, same(marks), "left_anti")
+    if repeated.isEmpty():
+        return out
+    order = F.xxhash64(*[F.col(f.name) for f in docs.schema if f.dataType.typeName() != "map"])
+    keys = F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash")
+    one = docs.join(repeated, same(repeated), "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return out.unionByName(one.select("__row.*"))
 
 
 def band_rows(similarity: float, coordinates: int = COORDINATES) -> int:
@@ -174,7 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Words are runs without ASCII white space, A-Z lower-cased; two sets link if 100 * |intersection| >= percent * |union|;
     component_id is the smallest id of the group. A text without words (null, empty, blank) has no shingles and links with
     nothing. Rows are told apart by their texts even if they repeat an id; a null id never names a group,
-    and a group without any other id has a null component_id and keeps its rows. Other columns are left out.
+    and a group without any other id has a null component_id. kept marks the first row of a group by id (null last), then
+    text_hash; rows that repeat its id and text are marked with it. Other columns are left out.
     """
     short_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
@@ -183,14 +197,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = scratch.keep(_signatures(rows, width, percent / 100), "signatures")
     full = signed.where("n > 0")
     # a class for each distinct set, combined in the tasks before it is shuffled
-    classes = scratch.keep(full.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("n", "bands")).alias("m")).select("node", "id", "m.*"), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")).alias("first")
+    classes = scratch.keep(full.groupBy("node").agg(first, F.min(F.struct("n", "bands")).alias("m")).select("node", "first", "m.*"), "classes")
     buckets = classes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    facts = classes.select("node", "id", "n", "bands")
+    facts = classes.select("node", "first", "n", "bands")
     met = scratch.keep(buckets.join(shared, "key"), "met")
     nodes = met.select("node").distinct()
     facts = scratch.keep(facts.join(nodes, "node"), "facts")
-    sets = scratch.keep(_sets(rows.select("id", "text").join(facts.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["node"]), "sets")
+    # the first row of each class, whose id may be null or repeated
+    chosen = facts.select(F.col("first.id").alias("of"), F.col("first.h").alias("fh"))
+    own = rows.join(chosen, rows["id"].eqNullSafe(chosen["of"]) & (rows["h"] == chosen["fh"]), "left_semi").select("id", "text")
+    sets = scratch.keep(_sets(own, width).dropDuplicates(["node"]), "sets")
     members = scratch.keep(met.join(facts.select("node", "n"), "node"), "members")
 
     links, roots = None, None
@@ -211,13 +229,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = found if links is None else links.union(found)
         roots = components(links, scratch)
 
-    placed = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = placed.join(lowest, "root").select("node", "component_id")
+    placed = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = placed.groupBy("root").agg(F.min("first").alias("lead"))
+    of_class = placed.join(lowest, "root").select("node", "lead")
     out = signed.select("id", "h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    component = F.when(F.col("n") > 0, F.col("lead.id")).otherwise(F.col("id"))
+    leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("h") == F.col("lead.h"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.col("h").alias("text_hash"),
+        F.when(F.col("n") > 0, leads).otherwise(True).alias("kept"), F.col("h").alias("text_hash"),
     )
 

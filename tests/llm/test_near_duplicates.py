@@ -66,3 +66,19 @@ def test_bands_miss_one_pair_in_a_million_at_most():
     for s in (0.8, 0.85, 0.9):
         r = band_rows(s)
         assert (1 - s**r) ** (192 // r) <= 1e-6
+
+
+def test_near_copies_hang_together_through_rows_with_null_or_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    middle = " ".join(words)
+    left, right = " ".join(["x1", "x2", "x3", "x4", *words[4:]]), " ".join([*words[:-4], "y1", "y2", "y3", "y4"])
+    alone = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, left), (None, middle), (2, right), (None, alone), (None, alone + " end"), (8, "p q r s"), (8, "p q r s"), (9, None), (9, None), (7, "t " + " ".join(words[::-1])), (7, " ".join(words[::-1]))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    got = near_duplicates(docs, 3, 85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles > 50 and r.doc_id != 7} == {(1, 1, True), (None, 1, False), (2, 1, False)}
+    assert sorted(r.kept for r in got if r.doc_id == 7) == [False, True]
+    kept = without_copies(docs, 3, 85)
+    assert kept.columns == docs.columns
+    left_over = sorted((str(r.doc_id), (r.text or "-").split()[0][0]) for r in kept.collect())
+    assert left_over == sorted([("1", "x"), ("None", "v"), ("8", "p"), ("9", "-"), ("9", "-"), ("7", "t" if next(r for r in got if r.doc_id == 7 and r.kept).n_shingles == 59 else "w")])
