@@ -78,8 +78,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "lm")
-    words, counts = window_lm.vocabulary(scratch.keep(window_lm.word_counts(docs), "words"))
-    return window_lm.score(docs, words, counts, window_lm.train(docs, words, counts))
+    corpus = scratch.keep(window_lm.word_counts(docs), "words")
+    words, counts = window_lm.vocabulary(corpus)
+    return window_lm.score(docs, words, counts, window_lm.train(docs, words, counts), corpus=corpus)
 
 
 @query

@@ -4,13 +4,17 @@ Every token is hidden in turn and predicted from the two tokens on either
 side: a hidden layer over the four neighbours' embeddings, then a two-step softmax, first the group of the token, then the token
 in its group. The sum of the log-probabilities scores a document.
 
-The vocabulary comes from word counts of the whole corpus. All documents train the network: each task
+The vocabulary comes from word counts of the whole corpus and grows with it, and so do the groups: every word whose count
+reaches threshold() is a token. The other words share classes; the network predicts the class, and the counts of the
+corpus the word in its class, so that each word has a probability of its own. All documents train the network: each task
 starts from the same parameters, makes one pass over its documents with Adagrad, and
 the parameters are averaged, weighed by tokens, in two steps of streaming sums.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,11 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, ascii_lower_words, short_batches, texts_of
+from .common import Memo, Scratch, arrow_map, ascii_lower_words, short_batches, texts_of
 
-#: GROUPS * SIZE tokens: frequent words, then OTHER classes that the remaining words share by a hash of their endings.
-GROUPS, SIZE, OTHER = 32, 32, 64
-TOKENS = GROUPS * SIZE
+#: A vocabulary has as many groups as a group has tokens, SIDE at least; at its end OTHER classes that the remaining words
+#: share by a hash of their endings. TOKENS is the least size.
+SIDE, OTHER = 32, 64
+TOKENS = SIDE * SIDE
+#: The count from which a word is a token is the square root of the words of the corpus, divided by SPARE.
+SPARE = 20
 #: Neighbours, width of the hidden layer, tokens of a training step and of a scoring step.
 OFFSETS, HIDDEN, STEP, SCORE_STEP = (-2, -1, 1, 2), 16, 4096, 1 << 15
 #: Distinct words a task counts before it hands them on.
@@ -55,23 +62,52 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def threshold(total: int) -> int:
+    """The least count of a token in a corpus of `total` words."""
+    return max(2, math.ceil(math.sqrt(total) / SPARE))
+
+
 def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The TOKENS - OTHER most frequent words (ties by the word), and the corpus count of every token."""
-    top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - OTHER).collect()
-    words = [bytes(r["word"]) for r in top]
-    n = np.zeros(TOKENS)
-    n[: len(top)] = [r["n"] for r in top]
+    """All words that reach the threshold (most frequent first, ties by the word), and the corpus count of every token."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    n[TOKENS - OTHER :] = max(0, total - n.sum()) / OTHER
+    top = sorted((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= threshold(total)).collect())
+    words = [w for _, w in top]
+    n = np.zeros(max(SIDE, math.ceil(math.sqrt(len(words) + OTHER))) ** 2)
+    n[: len(top)] = [-c for c, _ in top]
+    n[len(n) - OTHER :] = max(0, total - n.sum()) / OTHER
     return words, n
 
 
-def token_memo(words: list[bytes]) -> Memo:
+def class_of(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word[-2:]) % OTHER
+
+
+def class_totals(counts: DataFrame, words: list[bytes]) -> np.ndarray:
+    """For each class the words that share it: their occurrences and their number, and one for the unseen ones.
+
+    A word that occurs n times has n parts of that total; each distinct word leaves one part, and the last one is added, to unseen words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sums = set(words), np.zeros(OTHER)
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w not in known:
+                    sums[class_of(w)] += n + 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(OTHER), pa.int32()), pa.array(sums, pa.float64())], ["class", "total"])
+
+    out = np.ones(OTHER)
+    for r in counts.select("word", "n").mapInArrow(run, "class int, total double").groupBy("class").agg(F.sum("total").alias("total")).collect():
+        out[r["class"]] += r["total"]
+    return out
+
+
+def token_memo(words: list[bytes], size: int) -> Memo:
     known = {w: i for i, w in enumerate(words)}
 
     def token(word: bytes) -> int:
         i = known.get(word)
-        return TOKENS - OTHER + xxhash.xxh32_intdigest(word[-2:]) % OTHER if i is None else i
+        return size - OTHER + class_of(word) if i is None else i
 
     return Memo(token)
 
@@ -82,22 +118,23 @@ def tokens_of(text: str | None, memo: Memo) -> np.ndarray:
 
 
 class Network:
-    SHAPES = {"E": (len(OFFSETS), TOKENS + 1, HIDDEN), "e": (HIDDEN,), "G": (HIDDEN, GROUPS), "g": (GROUPS,), "W": (GROUPS, HIDDEN, SIZE), "w": (GROUPS, SIZE)}
-
     def __init__(self, counts: np.ndarray, seed: int = 3):
         """Begins as the unigram distribution: the biases are the log counts."""
-        rng, n = np.random.default_rng(seed), counts.reshape(GROUPS, SIZE) + 1.0
+        self.tokens, self.side = len(counts), math.isqrt(len(counts))
+        side = self.side
+        self.shapes = {"E": (len(OFFSETS), self.tokens + 1, HIDDEN), "e": (HIDDEN,), "G": (HIDDEN, side), "g": (side,), "W": (side, HIDDEN, side), "w": (side, side)}
+        rng, n = np.random.default_rng(seed), counts.reshape(side, side) + 1.0
         scale = {"E": 0.3, "G": 0.1, "W": 0.1}
-        self.p = {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in self.SHAPES.items()}
+        self.p = {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in self.shapes.items()}
         self.p["g"][:] = np.log(n.sum(1) / n.sum())
         self.p["w"][:] = np.log(n / n.sum(1, keepdims=True))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
+        return np.concatenate([self.p[k].ravel() for k in self.shapes])
 
     def load(self, flat: np.ndarray) -> Network:
         at = 0
-        for k, s in self.SHAPES.items():
+        for k, s in self.shapes.items():
             n = int(np.prod(s))
             self.p[k] = flat[at : at + n].reshape(s).astype(np.float32)
             at += n
@@ -111,58 +148,66 @@ class Network:
 
     def by_group(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of tokens by group, and where each group begins and ends in it."""
-        group = tokens // SIZE
-        return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+        group = tokens // self.side
+        return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=self.side))])
 
     def log_probabilities(self, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
         z = h @ self.p["G"] + self.p["g"]
         z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(tokens)), tokens // SIZE] - np.log(np.exp(z).sum(1))
+        out = z[np.arange(len(tokens)), tokens // self.side] - np.log(np.exp(z).sum(1))
         order, ends = self.by_group(tokens)
-        for g in range(GROUPS):
+        for g in range(self.side):
             at = order[ends[g] : ends[g + 1]]
             if len(at):
                 z = h[at] @ self.p["W"][g] + self.p["w"][g]
                 z -= z.max(1, keepdims=True)
-                out[at] += z[np.arange(len(at)), tokens[at] % SIZE] - np.log(np.exp(z).sum(1))
+                out[at] += z[np.arange(len(at)), tokens[at] % self.side] - np.log(np.exp(z).sum(1))
         return out
 
     def gradients(self, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability."""
+        out, embedded = self.sparse_gradients(tokens, around)
+        out["E"] = np.zeros(self.shapes["E"], np.float32)
+        for o, (at, g) in enumerate(embedded):
+            out["E"][o][at] = g
+        return out
+
+    def sparse_gradients(self, tokens: np.ndarray, around: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+        """The gradients but that of E, and for each offset the rows of E that have any and theirs."""
         n, h = len(tokens), self.hidden(around)
-        out = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items() if k in "Ww"}
+        out = {k: np.zeros(s, np.float32) for k, s in self.shapes.items() if k in "Ww"}
         z = h @ self.p["G"] + self.p["g"]
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
-        z[np.arange(n), tokens // SIZE] -= 1
+        z[np.arange(n), tokens // self.side] -= 1
         out["G"], out["g"], dh = h.T @ z / n, z.sum(0) / n, z @ self.p["G"].T
         order, ends = self.by_group(tokens)
-        for g in range(GROUPS):
+        for g in range(self.side):
             at = order[ends[g] : ends[g + 1]]
             if len(at):
                 own = h[at]
                 z = own @ self.p["W"][g] + self.p["w"][g]
                 z = np.exp(z - z.max(1, keepdims=True))
                 z /= z.sum(1, keepdims=True)
-                z[np.arange(len(at)), tokens[at] % SIZE] -= 1
+                z[np.arange(len(at)), tokens[at] % self.side] -= 1
                 out["W"][g], out["w"][g] = own.T @ z / n, z.sum(0) / n
                 dh[at] += z @ self.p["W"][g].T
         dz = dh * (1 - h * h) / n
         out["e"] = dz.sum(0)
-        out["E"] = np.zeros(self.SHAPES["E"], np.float32)
+        embedded = []
         for o in range(len(OFFSETS)):
             order = np.argsort(around[o], kind="stable")
             own = around[o][order]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out["E"][o][own[first]] = np.add.reduceat(dz[order], first, axis=0)
-        return out
+            embedded.append((own[first], np.add.reduceat(dz[order], first, axis=0)))
+        return out, embedded
 
 
-def neighbours(tokens: np.ndarray) -> np.ndarray:
-    """For each offset the token there; the mark TOKENS beyond either end of the text."""
+def neighbours(tokens: np.ndarray, mark: int) -> np.ndarray:
+    """For each offset the token there; the mark beyond either end of the text."""
     reach = max(OFFSETS)
-    padded = np.full(len(tokens) + 2 * reach, TOKENS, np.int32)
+    padded = np.full(len(tokens) + 2 * reach, mark, np.int32)
     padded[reach : reach + len(tokens)] = tokens
     return np.stack([padded[reach + o : reach + o + len(tokens)] for o in OFFSETS])
 
@@ -173,13 +218,18 @@ def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str
     short_batches(docs.sparkSession)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, net, seen, held = token_memo(words), Network(counts), 0, [[], [], 0]
+        memo, net, seen, held = token_memo(words, len(counts)), Network(counts), 0, [[], [], 0]
         squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in net.p.items()}
 
         def step(tokens: np.ndarray, around: np.ndarray) -> None:
-            for k, g in net.gradients(tokens, around).items():
+            dense, embedded = net.sparse_gradients(tokens, around)
+            for k, g in dense.items():
                 squares[k] += g * g
                 net.p[k] -= rate * g / np.sqrt(squares[k])
+            for o, (at, g) in enumerate(embedded):
+                own = squares["E"][o][at] + g * g
+                squares["E"][o][at] = own
+                net.p["E"][o][at] -= rate * g / np.sqrt(own)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -187,7 +237,7 @@ def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str
                 if not len(tokens):
                     continue
                 seen += len(tokens)
-                held[0].append(tokens), held[1].append(neighbours(tokens))
+                held[0].append(tokens), held[1].append(neighbours(tokens, len(counts)))
                 held[2] += len(tokens)
                 if held[2] >= STEP:
                     t, a = np.concatenate(held[0]), np.concatenate(held[1], axis=1)
@@ -227,31 +277,48 @@ def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str
     return Network(counts).load(np.concatenate([np.frombuffer(r["mean"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
 
 
-def score(docs: DataFrame, words: list[bytes], counts: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words: list[bytes], counts: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text",
+          corpus: DataFrame | None = None) -> DataFrame:
     """id, n_tokens, log_likelihood (the sum over all tokens of the whole text) and mean_log_likelihood of each row of docs.
 
+    `corpus` is the table of word_counts() that the vocabulary is from; if it isn't given, the words of docs are counted.
     A null or empty text has no tokens, a sum of 0 and a null mean; repeated rows are scored each; other columns are left out.
     """
     short_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "lm-scores")
+    if corpus is None:
+        corpus = scratch.keep(word_counts(docs, text_col), "words")
+    first, log_totals = len(counts) - OTHER, np.log(class_totals(corpus, words))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     flat = network.flat()
 
     def start():
-        memo, net = token_memo(words), Network(counts).load(flat)
+        memo, net, rows_before = token_memo(words, len(counts)), Network(counts).load(flat), itertools.count(TaskContext.get().partitionId() << 40)
 
         def work(batch: pa.RecordBatch) -> dict:
-            split = [tokens_of(t, memo) for t in texts_of(batch)]
+            split, rare = [], []
+            for t in texts_of(batch):
+                own = ascii_lower_words(t)
+                split.append(np.fromiter(map(memo.__getitem__, own), np.int32, len(own)))
+                rare.append([own[i] for i in np.flatnonzero(split[-1] >= first).tolist()])
             sizes = np.array([len(t) for t in split], np.int64)
             sums = np.zeros(len(split))
             if sizes.sum():
                 tokens = np.concatenate(split)
-                around = np.concatenate([neighbours(t) for t in split], axis=1)
+                around = np.concatenate([neighbours(t, len(counts)) for t in split], axis=1)
                 each = np.concatenate([net.log_probabilities(tokens[i : i + SCORE_STEP], around[:, i : i + SCORE_STEP]) for i in range(0, len(tokens), SCORE_STEP)])
+                shared = tokens >= first
+                each[shared] -= log_totals[tokens[shared] - first]
                 sums = np.bincount(np.repeat(np.arange(len(split)), sizes), each, len(split))
-            return {"id": batch.column(0), "n_tokens": sizes, "log_likelihood": sums, "mean": [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]}
+            return {"row": [next(rows_before) for _ in split], "id": batch.column(0), "n_tokens": sizes, "sum": sums, "rare": rare}
 
         return work
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = arrow_map(rows, f"id {kind}, n_tokens long, log_likelihood double, mean double", start)
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("mean", "mean_log_likelihood")
+    # what is known of a row but the counts of its words that share classes; these come by a join, words that occur once or never add nothing
+    scored = scratch.keep(arrow_map(rows, f"row long, id {kind}, n_tokens long, sum double, rare array<binary>", start), "scored")
+    seen = corpus.where("n > 1").select("word", F.log("n").alias("log_n"))
+    added = scored.select("row", F.explode("rare").alias("word")).join(seen, "word").groupBy("row").agg(F.sum("log_n").alias("added"))
+    total = F.col("sum") + F.coalesce("added", F.lit(0.0))
+    return scored.select("row", "id", "n_tokens", "sum").join(added, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))

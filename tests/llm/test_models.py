@@ -114,3 +114,23 @@ def test_language_model_probabilities_sum_to_one_and_gradients_are_right():
         down = -net.log_probabilities(tokens, around).mean()
         net.p[k][at] = old
         assert abs((up - down) / (2 * e) - g[at]) < 1e-4, k
+
+
+def test_language_model_vocabulary_grows_and_every_word_has_its_own_probability(spark):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(common) for _ in range(50)) for _ in range(1000)] + ["hapaxes once xyzed"] + ["seldom word xqzed"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    corpus = window_lm.word_counts(docs).cache()
+    vocab, counts = window_lm.vocabulary(corpus)
+    limit = window_lm.threshold(int(counts.sum()))
+    assert set(vocab) == {bytes(r.word) for r in corpus.collect() if r.n >= limit} and len(vocab) > 2000 and int(counts.sum()) == sum(len(t.split()) for t in texts)
+    net = window_lm.Network(counts)
+    assert net.side ** 2 == len(counts) >= len(vocab) + window_lm.OTHER and net.side > 32
+    # words of one class (the same last two bytes) between the same neighbours: five times, once, never
+    probe = spark.createDataFrame([(0, "c1 xqzed c2"), (1, "c1 xyzed c2"), (2, "c1 gibbered c2")], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in window_lm.score(probe, vocab, counts, net, corpus=corpus).collect()}
+    assert abs(got[0] - got[1] - np.log(5)) < 1e-6 and got[1] == got[2]
+    totals = window_lm.class_totals(corpus, vocab)
+    rest = [(bytes(r.word), r.n) for r in corpus.collect() if bytes(r.word) not in set(vocab)]
+    assert totals.sum() == sum(n + 1 for _, n in rest) + window_lm.OTHER
