@@ -3,6 +3,8 @@
 A byte-pair vocabulary writes language in few tokens and random strings in many. A
 run of key-like characters whose characters-per-token ratio is low, and that is neither
 a digest of a usual length nor an identifier, is reported as `random`, beside the spans of known forms.
+What isn't tested is cut out of a run: digests, UUIDs, known forms, hosts, e-mail addresses and the first step of an
+address's path, which names a page. What remains is tested as a whole, then by its parts between `/` and `=`, then between `-`.
 """
 
 from __future__ import annotations
@@ -31,8 +33,13 @@ _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _LONG = re.compile(r"[^ \t-\r]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^/?#@\s]*@)?(?P<rest>[^/?#\s]*(?:/[^/?#&=\s]*)?)")
+_EMAIL = re.compile(r"(?P<before>[A-Za-z0-9._%-]+:)?[A-Za-z0-9._%+-]+@(?P<host>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+#: Cuts between the parts of a run; padding stays with its part.
+_CUTS = (re.compile(r"/+|=+(?=[^=])"), re.compile(r"-+"))
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 _DIGESTS = (32, 40, 56, 64, 96, 128)
+_DIGEST = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
 
 
 class RandomTest:
@@ -46,16 +53,41 @@ class RandomTest:
     def ratio(self, run: str) -> float:
         return len(run) / len(self.encoding.encode_ordinary(run))
 
-    def looks_random(self, text: str, start: int, end: int) -> bool:
-        run = text[start:end]
-        classes = sum(any(low <= c <= high for c in run) for low, high in ("az", "AZ", "09"))
-        if len(run) < SHORTEST or classes < 2 or not any(c.isdigit() for c in run):
-            return False
-        if _UUID.fullmatch(run) or len(run) in _DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
-            return False  # identifiers and digests
-        if "@" in text[max(0, start - 1) : start] + text[end : end + 1] or "://" in text[max(0, start - 80) : start].rpartition(" ")[2]:
-            return False  # parts of addresses
-        return self.ratio(run) < RATIO
+    def looks_random(self, run: str) -> bool:
+        return len(run) >= SHORTEST and any(c.isalnum() for c in run) and self.ratio(run) < RATIO
+
+    def random_parts(self, text: str, start: int, end: int, cuts: tuple = _CUTS) -> list[tuple[int, int]]:
+        """The run itself if it looks random, else those of its parts that do."""
+        if end - start < SHORTEST:
+            return []
+        if self.looks_random(text[start:end]):
+            return [(start, end)]
+        return [x for s, e in _between(start, end, [m.span() for m in cuts[0].finditer(text, start, end)]) for x in self.random_parts(text, s, e, cuts[1:])] if cuts else []
+
+
+def _between(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What spans leave of start to end."""
+    out = []
+    for s, e in sorted(spans):
+        if e > start and s < end:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if s < e]
+
+
+def _known_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Hosts, e-mail addresses, UUIDs and digests in one run of characters without blanks. The password of `user:password@host` is none."""
+    out, part = [], text[a:b]
+    if "://" in part:
+        for m in _ADDRESS.finditer(text, a, b):
+            out += [(m.start(), m.start("user") if m["user"] else m.start("rest")), m.span("rest")]
+    elif "@" in part:
+        for m in _EMAIL.finditer(text, a, b):
+            out.append(m.span("host") if m["before"] and m["before"].lower() != "mailto:" else m.span())
+    if part.count("-") >= 4:
+        out += [m.span() for m in _UUID.finditer(text, a, b)]
+    out += [m.span() for m in _DIGEST.finditer(text, a, b) if len(m[0]) in _DIGESTS]
+    return out
 
 
 def spans_of(text: str, test: RandomTest | None) -> list[tuple[str, int, int]]:
@@ -74,9 +106,11 @@ def spans_of(text: str, test: RandomTest | None) -> list[tuple[str, int, int]]:
     if test:
         base = sorted((s, e) for _, s, e in found)
         for a, b in longs:
+            known = None
             for m in _RUN.finditer(text, a, b) if b - a >= SHORTEST else ():
-                if m.end() - m.start() >= SHORTEST and not any(s < m.end() and m.start() < e for s, e in base) and test.looks_random(text, *m.span()):
-                    found.append(("random", *m.span()))
+                if m.end() - m.start() >= SHORTEST:
+                    known = known if known is not None else base + _known_parts(text, a, b)
+                    found += [("random", *x) for s, e in _between(*m.span(), known) for x in test.random_parts(text, s, e)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

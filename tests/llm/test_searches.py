@@ -133,3 +133,15 @@ def test_documents_shorter_than_an_item_are_found(spark):
     assert {k: v[2] for k, v in got.items()} == want
     assert got[999, 99] == (0, 58, 54 / 56) and sum(len(docs[d][1].split()) < len(items[i][1].split()) for d, i in want if d < 200) > 30
     assert 999 not in {r.doc_id for r in D.clean(frame, bench).collect()}
+
+
+def test_random_parts_of_runs_and_addresses_are_found():
+    test = S.RandomTest(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    key, letters = "Xk29fLq81ZmPw03vTb7Q", "QzXkVwJpBnMtRlFhGdSyKc"
+    found = {}
+    for text in (f"webhooks/services/notifications/{key}", f"https://hooks.x.com/services/T00/B00/{key}", f"see https://api.x.com/v1?key={key}&b=c", f"https://bob:{key}@db.x.com/a", f"bob:{key}@db.x.com", f"id-{key}", letters, letters.lower()):
+        found[text] = [text[s:e] for k, s, e in S.spans_of(text, test) if k == "random"]
+        assert len(found[text]) == 1 and found[text][0].endswith((key, letters, letters.lower())), text
+    digest, uid = "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "550e8400-e29b-41d4-a716-446655440000"
+    for text in (f"sha1/{digest}", f"/obj/{uid}/x", f"{key}@x.com", f"mailto:{key}@x.com", f"https://{key}.x.com/", "-" * 60, "=" * 30, "internationalization-of-words"):
+        assert not [x for x in S.spans_of(text, test) if x[0] == "random"], text
