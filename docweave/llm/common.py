@@ -18,8 +18,8 @@ from docweave.session import ship
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: Entries a worker keeps in one memo table; words beyond it are worked out anew.
 MEMO_LIMIT = 400_000
-#: Rows of one Arrow batch; documents are long, so batches are short.
-BATCH_ROWS = 800
+#: Rows and bytes of one Arrow batch, at most (a single longer row is a batch of its own); documents are long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 800, 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,7 @@ def short_batches(spark: SparkSession) -> None:
     """Sends the package to the executors, and keeps Arrow batches small enough for long texts."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,10 +54,10 @@ class Scratch:
         df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a table that is no longer needed, to save disk."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the files of tables that are no longer needed, to save disk."""
         jvm = self.spark._jvm
-        for f in df.inputFiles()[:1]:
+        for f in [f for df in tables for f in df.inputFiles()[:1]]:
             path = jvm.org.apache.hadoop.fs.Path(f).getParent()
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

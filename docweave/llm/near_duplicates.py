@@ -4,40 +4,40 @@ A document's set holds the 64-bit hashes of its distinct word shingles.
 One permutation sends each shingle to a slot of a large circle; a second one, shifted
 by k places round the circle, gives it its k-th rank; coordinate k of a signature is
 the least k-th rank of the set. So the K ranks of a shingle are K neighbouring
-entries of one table. Signatures are banded; documents meeting in a band
+entries of one table. Signatures are banded; documents that meet in a band
 are candidates, which are confirmed on their full sets.
 
-Copies (equal sets) are one class from the start. Within a bucket nobody is compared with everybody: each class
-is compared with the bucket's pivot, in a few rounds with other pivots, and what still isn't
-joined to the pivot's component is then compared with the bucket's other components. Pairs within one
-component need no comparison: the result is what all links would give.
+Copies (equal sets) are one class from the start. Candidates are linked in two steps, and nobody emits pairs, only the edges of
+spanning trees. First, those of a band's bucket whose signatures agree in so many coordinates that they can be
+at the threshold make up families; this needs no sets. Then the sets are sent once, to their family, where links are
+confirmed. Buckets and families of any size are cut into blocks (see blocks.py).
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import linked
 from .common import Scratch, arrow_map, ascii_lower_words, hash_memo, hashes, held, list_array, mix, shingles, short_batches, texts_of
-from .links import components
 
 #: Coordinates of a signature, and slots of the circle.
 COORDINATES, SLOTS = 192, 1 << 21
-#: Chance, at most, that a pair exactly at the threshold shares no band.
+#: Chance, at most, that a pair exactly at the threshold shares no band; and that its signatures agree too seldom.
 MISS = 1e-6
-#: Rounds with other pivots before the rest is compared; shingles of a block in which it is compared.
-ROUNDS, BLOCK = 2, 1_000_000
+#: Members of a bucket, and shingles of a family, that are looked at in one piece.
+BUCKET_BLOCK, FAMILY_BLOCK = 4096, 1_000_000
 
 
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with all its columns: of the rows that near_duplicates() keeps the one with the smallest hash
-    of all columns, where rows repeat an id and a text. Rows without words all stay."""
+    of all columns, where rows repeat an id and a text. Rows without words (null, empty, blank) all stay; an empty table stays empty."""
     near = near_duplicates(docs, width, percent, id_col, text_col).where("n_shingles > 0")
     marks = near.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
     marks = Scratch(docs.sparkSession, "near-marks").keep(marks.where("not __kept or __n > 1"), "marks")
@@ -46,12 +46,12 @@ def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     def same(other: DataFrame) -> Column:
         return docs[id_col].eqNullSafe(other["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == other["__hash"])
 
-    out = docs.join(marks, same(marks), "left_anti")
+    out = docs.join(marks.hint("shuffle_hash"), same(marks), "left_anti")
     if repeated.isEmpty():
         return out
     order = F.xxhash64(*[F.col(f.name) for f in docs.schema if f.dataType.typeName() != "map"])
     keys = F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash")
-    one = docs.join(repeated, same(repeated), "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    one = docs.join(repeated.hint("shuffle_hash"), same(repeated), "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
     return out.unionByName(one.select("__row.*"))
 
 
@@ -60,6 +60,17 @@ def band_rows(similarity: float, coordinates: int = COORDINATES) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - similarity**r) ** (coordinates // r) <= MISS)
 
 
+def least_agreement(similarity: float, coordinates: int = COORDINATES) -> int:
+    """The most coordinates that a pair at `similarity` agrees in but for a chance of MISS at most."""
+    chance, n = 0.0, 0
+    while n <= coordinates:
+        chance += comb(coordinates, n) * similarity**n * (1 - similarity) ** (coordinates - n)
+        if chance > MISS:
+            break
+        n += 1
+    return n
+
+
 @lru_cache(1)
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     """The slot permutation, and all windows of the rank permutation round the circle."""
@@ -97,6 +108,7 @@ def set_key(found: np.ndarray) -> bytes:
 
 
 def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """For each row the size and digest of its set, its bands, and the low byte of each coordinate (`marks`)."""
     r = band_rows(similarity)
 
     def start():
@@ -105,16 +117,16 @@ def _signatures(rows: DataFrame, width: int, similarity: float) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(t, width, memo) for t in texts_of(batch)]
             signatures = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, COORDINATES), np.uint32)
-            keys = band_keys(signatures, r)
+            keys, marks = band_keys(signatures, r), signatures.astype(np.uint8)
             return {
                 "id": batch.column(0), "h": batch.column(2), "n": [len(s) for s in sets], "node": [set_key(s) for s in sets],
-                "bands": list_array(list(keys), pa.int64()),
+                "bands": list_array(list(keys), pa.int64()), "marks": [m.tobytes() for m in marks],
             }
 
         return work
 
     kind = rows.schema["id"].dataType.simpleString()
-    return arrow_map(rows, f"id {kind}, h long, n int, node binary, bands array<long>", start)
+    return arrow_map(rows, f"id {kind}, h long, n int, node binary, bands array<long>, marks binary", start)
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -130,57 +142,6 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return arrow_map(rows, "node binary, shingles array<long>", start)
 
 
-def _alike_enough(na: str, nb: str, percent: int) -> Column:
-    """Sizes at which two sets can reach the threshold at all."""
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-
-
-def _links_of_block(rows: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between the outside rows and all rows of one bucket's block that have another root.
-
-    A pair is looked at in the first band that its rows share, and nowhere else. Each outside row is held against all
-    rows at once: their shingles are numbered, and a table tells which numbers it has.
-    """
-    every, outside = rows[~rows["outside"]], rows[rows["outside"]]
-    if not len(every) or not len(outside):
-        return []
-    key, bands = rows["key"].iloc[0], np.stack(every["bands"].to_numpy())
-    sizes, roots, nodes = every["n"].to_numpy(), every["root"].to_numpy(), every["node"].to_numpy()
-    known, codes = np.unique(np.concatenate(every["shingles"].to_numpy()), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    out = []
-    for o in outside.itertuples():
-        same = bands == o.bands
-        mine = same.any(1) & (bands[np.arange(len(bands)), same.argmax(1)] == key) & (roots != o.root)
-        mine &= 100 * np.minimum(sizes, o.n) >= percent * np.maximum(sizes, o.n)
-        if mine.any():
-            at = np.minimum(np.searchsorted(known, o.shingles), len(known) - 1)
-            has = np.zeros(len(known), np.int32)
-            has[at[known[at] == o.shingles]] = 1
-            common = np.add.reduceat(has[codes], starts)
-            out += [(o.node, n) for n in nodes[mine & (100 * common >= percent * (sizes + o.n - common))]]
-    return out
-
-
-def _rest(placed: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the members outside the pivot's component and the members of other components, in every bucket that has
-    such members. Large buckets are cut into blocks, and a task gets two blocks of one bucket at a time."""
-    known = facts.select("node", "bands").join(sets, "node")
-    rows = placed.select("key", "node", "n", "root").join(open_.select("key", "proot", "blocks"), "key").join(known, "node")
-    block, each = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["key", "node", "n", "root", "bands", "shingles"]
-    every = rows.select(*columns, F.lit(False).alias("outside"), block.alias("j"), F.explode(each).alias("i"))
-    outside = rows.where("root <> proot").select(*columns, F.lit(True).alias("outside"), F.explode(each).alias("j"), block.alias("i"))
-    return every.unionByName(outside).groupBy("key", "i", "j").applyInPandas(lambda g: pd.DataFrame(_links_of_block(g, percent), columns=["a", "b"]), "a binary, b binary")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets reach the threshold."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for each row of docs.
 
@@ -188,46 +149,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     component_id is the smallest id of the group. A text without words (null, empty, blank) has no shingles and links with
     nothing. Rows are told apart by their texts even if they repeat an id; a null id never names a group,
     and a group without any other id has a null component_id. kept marks the first row of a group by id (null last), then
-    text_hash; rows that repeat its id and text are marked with it. Other columns are left out.
+    text_hash; rows that repeat its id and text are marked with it. Texts of any length are read whole; an empty table gives no rows;
+    other columns are left out, whatever their names.
     """
     short_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
-    text = F.col(text_col).cast("string")
+    text, least = F.col(text_col).cast("string"), least_agreement(percent / 100)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     signed = scratch.keep(_signatures(rows, width, percent / 100), "signatures")
-    full = signed.where("n > 0")
     # a class for each distinct set, combined in the tasks before it is shuffled
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")).alias("first")
-    classes = scratch.keep(full.groupBy("node").agg(first, F.min(F.struct("n", "bands")).alias("m")).select("node", "first", "m.*"), "classes")
+    classes = scratch.keep(signed.where("n > 0").groupBy("node").agg(first, F.min(F.struct("n", "bands", "marks")).alias("m")).select("node", "first", "m.*"), "classes")
+
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    facts = classes.select("node", "first", "n", "bands")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = scratch.keep(buckets.join(shared, "key"), "met")
-    nodes = met.select("node").distinct()
-    facts = scratch.keep(facts.join(nodes, "node"), "facts")
-    # the first row of each class, whose id may be null or repeated
-    chosen = facts.select(F.col("first.id").alias("of"), F.col("first.h").alias("fh"))
-    own = rows.join(chosen, rows["id"].eqNullSafe(chosen["of"]) & (rows["h"] == chosen["fh"]), "left_semi").select("id", "text")
+    facts = scratch.keep(classes.select("node", "n", "marks").join(met.select("node").distinct(), "node"), "facts")
+    members = met.select("key", "node", "members", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks")).join(facts, "node")
+    families = linked(members, scratch, percent, least)
+    scratch.drop(met, facts)
+
+    # the first row of each class, whose id may be null or repeated, gives the set
+    named = classes.join(families, "node")
+    chosen = named.select(F.col("first.id").alias("of"), F.col("first.h").alias("fh"))
+    own = rows.join(chosen.hint("shuffle_hash"), rows["id"].eqNullSafe(chosen["of"]) & (rows["h"] == chosen["fh"]), "left_semi").select("id", "text")
     sets = scratch.keep(_sets(own, width).dropDuplicates(["node"]), "sets")
-    members = scratch.keep(met.join(facts.select("node", "n"), "node"), "members")
-
-    links, roots = None, None
-    for turn in range(ROUNDS + 1):
-        placed = members.withColumn("root", F.col("node")) if roots is None else scratch.keep(
-            members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-        pivot = placed.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"),
-            F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-        # a bucket whose members all have one root is done
-        open_ = pivot.where("low <> high").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"), "blocks")
-        if turn < ROUNDS:
-            outside = placed.join(open_, "key").where((F.col("root") != F.col("proot")) & _alike_enough("n", "pn", percent))
-            pairs = outside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            found = scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), sets, percent), "links")
-        else:
-            found = scratch.keep(_rest(placed, open_, facts, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        roots = components(links, scratch)
+    sized = named.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    relatives = named.select(F.col("root").alias("key"), "node", "n", "marks").join(sized.withColumnRenamed("root", "key"), "key").join(sets, "node")
+    roots = linked(relatives, scratch, percent, least)
+    scratch.drop(sets, families)
 
     placed = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("lead"))
@@ -239,4 +189,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
         F.when(F.col("n") > 0, leads).otherwise(True).alias("kept"), F.col("h").alias("text_hash"),
     )
-

@@ -1,9 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from docweave.llm.near_duplicates import band_rows, near_duplicates, without_copies
+from docweave.llm import blocks
+from docweave.llm import near_duplicates as near_duplicates_module
+from docweave.llm.near_duplicates import band_rows, least_agreement, near_duplicates, without_copies
 
 
 def brute(rows, width, percent):
@@ -82,3 +86,56 @@ def test_near_copies_hang_together_through_rows_with_null_or_repeated_ids(spark)
     assert kept.columns == docs.columns
     left_over = sorted((str(r.doc_id), (r.text or "-").split()[0][0]) for r in kept.collect())
     assert left_over == sorted([("1", "x"), ("None", "v"), ("8", "p"), ("9", "-"), ("9", "-"), ("7", "t" if next(r for r in got if r.doc_id == 7 and r.kept).n_shingles == 59 else "w")])
+
+
+def test_groups_cut_into_small_blocks_have_the_same_links(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base, rows = [rng.choice(words) for _ in range(60)], []
+    for i in range(150):  # a large family, in which many pairs are just below the threshold
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_duplicates_module, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_duplicates_module, "FAMILY_BLOCK", 600)
+    monkeypatch.setattr(blocks, "PIVOTS", 2)
+    monkeypatch.setattr(blocks, "OUTSIDE", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, 3, 85).collect()}
+    want = brute(rows, 3, 85)
+    assert got == want
+    assert 1 < len({c for _, c in want.values()}) < 100
+
+
+def test_signatures_of_pairs_at_the_threshold_agree_often_enough():
+    for s in (0.8, 0.85):
+        least = least_agreement(s)
+        assert s - 0.16 < least / 192 < s - 0.1
+
+
+def test_searches_of_members_find_all_links():
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(2**63, 2**63 + 60), 30)) for _ in range(40)]
+    sets += [sorted({*s[:-3], *range(2**63 + 100, 2**63 + 103)}) for s in sets[:20]]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([bytes([i]) for i in range(60)]), pa.array([len(s) for s in sets], pa.int32()), pa.array([bytes(192)] * 60), pa.array([[x - 2**64 for x in s] for s in sets], pa.list_(pa.int64()))],
+        ["node", "n", "marks", "shingles"])
+    members = blocks.Members(rows, 60, 100)
+    linked = {(a, b) for a in range(60) for b in range(60) if a != b and 100 * len({*sets[a]} & {*sets[b]}) >= 60 * len({*sets[a]} | {*sets[b]})}
+    assert linked == {(a, int(b)) for a in range(60) for b in members.links(a, np.array([x for x in range(60) if x != a]))}
+    edges = [(int(a), int(b)) for a, near in members.trees(0, 60) for b in near]
+    assert set(edges) <= linked and len({b for _, b in edges}) == len(edges)
+    rooted = {i: i for i in range(60)}
+    for a, b in edges:
+        rooted = {k: rooted[a] if v == rooted[b] else v for k, v in rooted.items()}
+    assert all(rooted[a] == rooted[b] for a, b in linked)
+
+
+def test_batches_are_cut_between_groups():
+    keys = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(10))], ["k", "x"])
+    for size in (1, 2, 3, 10):
+        parts = list(blocks.whole_groups(iter([rows[i : i + size] for i in range(0, 10, size)]), ["k"]))
+        groups = [part.column(1)[s:e].to_pylist() for part, starts in parts for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+        assert groups == [[0, 1], [2], [3, 4, 5, 6], [7], [8, 9]]
