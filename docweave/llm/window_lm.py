@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood of texts under a bidirectional window network.
 
 Every token is hidden in turn and predicted from the two tokens on either
-side: a hidden layer over the four neighbours' embeddings, then a two-step softmax, first the group of the token, then the token
-in its group. The sum of the log-probabilities scores a document.
+side: a hidden layer over the four neighbours' embeddings, weighed by place, and from there a walk down a binary tree of all
+tokens (the Huffman tree of their counts). Each branching is a logistic unit, so that the probabilities of a vocabulary of any
+size sum to one at the cost of its logarithm. The sum of the log-probabilities scores a document.
 
-The vocabulary comes from word counts of the whole corpus and grows with it, and so do the groups: every word whose count
+The vocabulary comes from word counts of the whole corpus and grows with it: every word whose count
 reaches threshold() is a token. The other words share classes; the network predicts the class, and the counts of the
-corpus the word in its class, so that each word has a probability of its own. All documents train the network: each task
-starts from the same parameters, makes one pass over its documents with Adagrad, and
-the parameters are averaged, weighed by tokens, in two steps of streaming sums.
+corpus the word in its class, so that each word has a probability of its own. All documents train the network: they are
+dealt by a hash to shards, whose number follows from the corpus alone; each shard starts from the same parameters and makes one
+pass over its documents in order of the hash with Adagrad; the parameters are averaged, weighed by tokens, in order of the shards.
+So scores don't depend on the partitions of the table or the number of tasks.
 """
 
 from __future__ import annotations
@@ -26,19 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, Scratch, arrow_map, ascii_lower_words, short_batches, texts_of
+from .token_file import code_lengths
 
-#: A vocabulary has as many groups as a group has tokens, SIDE at least; at its end OTHER classes that the remaining words
-#: share by a hash of their endings. TOKENS is the least size.
-SIDE, OTHER = 32, 64
-TOKENS = SIDE * SIDE
+#: Classes that the words outside the vocabulary share by a hash of their endings.
+OTHER = 64
 #: The count from which a word is a token is the square root of the words of the corpus, divided by SPARE.
-SPARE = 20
-#: Neighbours, width of the hidden layer, tokens of a training step and of a scoring step.
-OFFSETS, HIDDEN, STEP, SCORE_STEP = (-2, -1, 1, 2), 16, 4096, 1 << 15
+SPARE = 40
+#: Neighbours, width of the hidden layer, tokens of a step; in training the first steps are short and double after every EARLY ones.
+OFFSETS, HIDDEN, STEP, FIRST_STEP, EARLY = (-2, -1, 1, 2), 16, 4096, 256, 8
+#: In training every HIDE-th token is hidden, from a place drawn by the document's hash; in scoring all are.
+HIDE = 3
+#: Log odds against a turn, at most; the longest way has less than 30 turns.
+MOST = np.float32(22)
+#: Words of a training shard, about, and for each token of the vocabulary: so the parameters of all shards stay smaller than the corpus.
+SHARD_WORDS, SHARD_WORDS_A_TOKEN = 4_000_000, 64
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
-#: Blocks in which parameters are averaged.
-BLOCKS = 16
+#: Bytes of parameters that are averaged in one row.
+BLOCK_BYTES = 4 << 20
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,14 +75,13 @@ def threshold(total: int) -> int:
 
 
 def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """All words that reach the threshold (most frequent first, ties by the word), and the corpus count of every token."""
+    """All words that reach the threshold (most frequent first, ties by the word), and the corpus count of every token: these words, then the classes."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = sorted((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= threshold(total)).collect())
-    words = [w for _, w in top]
-    n = np.zeros(max(SIDE, math.ceil(math.sqrt(len(words) + OTHER))) ** 2)
+    n = np.zeros(len(top) + OTHER)
     n[: len(top)] = [-c for c, _ in top]
-    n[len(n) - OTHER :] = max(0, total - n.sum()) / OTHER
-    return words, n
+    n[len(top) :] = max(0, total - n.sum()) / OTHER
+    return [w for _, w in top], n
 
 
 def class_of(word: bytes) -> int:
@@ -117,17 +123,50 @@ def tokens_of(text: str | None, memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
 
+class Tree:
+    """The Huffman tree of some counts: for each token the branchings on its way from the root and the turns it takes there (0 or 1)."""
+
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        lengths = code_lengths(counts + 1.0, max(24, n.bit_length() + 4)).astype(np.int64)
+        order = np.lexsort((np.arange(n), lengths))
+        sized = lengths[order]
+        most = int(sized[-1])
+        spans = np.int64(1) << (most - sized)
+        codes = np.cumsum(spans) - spans  # canonical codes, in order, widened to `most` bits
+        self.depth = lengths.astype(np.int32)
+        self.starts = np.cumsum(lengths) - lengths
+        self.path, self.turn = np.zeros(int(lengths.sum()), np.int32), np.zeros(int(lengths.sum()), np.int8)
+        nodes = 0
+        for d in range(most):
+            deep = np.flatnonzero(sized > d)
+            prefix = codes[deep] >> (most - d)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            at = self.starts[order[deep]] + d
+            self.path[at] = nodes + np.cumsum(new) - 1
+            self.turn[at] = (codes[deep] >> (most - d - 1)) & 1
+            nodes += int(new.sum())
+        self.nodes = nodes
+
+    def ways(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Branchings and turns of these tokens, one after the other, and how many each has."""
+        n = self.depth[tokens].astype(np.int64)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.starts[tokens], n)
+        return self.path[at], self.turn[at], n
+
+
 class Network:
     def __init__(self, counts: np.ndarray, seed: int = 3):
-        """Begins as the unigram distribution: the biases are the log counts."""
-        self.tokens, self.side = len(counts), math.isqrt(len(counts))
-        side = self.side
-        self.shapes = {"E": (len(OFFSETS), self.tokens + 1, HIDDEN), "e": (HIDDEN,), "G": (HIDDEN, side), "g": (side,), "W": (side, HIDDEN, side), "w": (side, side)}
-        rng, n = np.random.default_rng(seed), counts.reshape(side, side) + 1.0
-        scale = {"E": 0.3, "G": 0.1, "W": 0.1}
-        self.p = {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in self.shapes.items()}
-        self.p["g"][:] = np.log(n.sum(1) / n.sum())
-        self.p["w"][:] = np.log(n / n.sum(1, keepdims=True))
+        """Begins as the unigram distribution: the branchings know only how often either turn is taken."""
+        self.tokens, self.tree = len(counts), Tree(counts)
+        self.shapes = {"E": (self.tokens + 1, HIDDEN), "C": (len(OFFSETS), HIDDEN), "e": (HIDDEN,), "N": (self.tree.nodes, HIDDEN), "n": (self.tree.nodes,)}
+        rng = np.random.default_rng(seed)
+        self.p = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()}
+        self.p["E"][:] = rng.normal(0, 0.3, self.shapes["E"])
+        self.p["C"][:] = 1 + rng.normal(0, 0.3, self.shapes["C"])
+        weight, turn = np.repeat(counts + 1.0, self.tree.depth), self.tree.turn
+        ones, zeros = np.bincount(self.tree.path, weight * turn, self.tree.nodes), np.bincount(self.tree.path, weight * (1 - turn), self.tree.nodes)
+        self.p["n"][:] = np.log(ones / zeros)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.shapes])
@@ -140,68 +179,58 @@ class Network:
             at += n
         return self
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        z = self.p["e"] + self.p["E"][0][around[0]]
-        for o in range(1, len(OFFSETS)):
-            z += self.p["E"][o][around[o]]
-        return np.tanh(z)
-
-    def by_group(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of tokens by group, and where each group begins and ends in it."""
-        group = tokens // self.side
-        return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=self.side))])
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Activations, and the neighbours' embeddings."""
+        x = self.p["E"][around]
+        return np.tanh(np.einsum("otk,ok->tk", x, self.p["C"]) + self.p["e"]), x
 
     def log_probabilities(self, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
-        h = self.hidden(around)
-        z = h @ self.p["G"] + self.p["g"]
-        z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(tokens)), tokens // self.side] - np.log(np.exp(z).sum(1))
-        order, ends = self.by_group(tokens)
-        for g in range(self.side):
-            at = order[ends[g] : ends[g + 1]]
-            if len(at):
-                z = h[at] @ self.p["W"][g] + self.p["w"][g]
-                z -= z.max(1, keepdims=True)
-                out[at] += z[np.arange(len(at)), tokens[at] % self.side] - np.log(np.exp(z).sum(1))
-        return out
+        h, _ = self.hidden(around)
+        nodes, turns, n = self.tree.ways(tokens)
+        z = np.einsum("lk,lk->l", self.p["N"][nodes], np.repeat(h, n, axis=0)) + self.p["n"][nodes]
+        # log of the product of 1 + exp(-z) over the way; MOST keeps 24 factors and more within doubles
+        z = np.minimum(np.where(turns == 1, -z, z), MOST)
+        return -np.log(np.multiply.reduceat(1 + np.exp(z).astype(np.float64), np.cumsum(n) - n))
 
     def gradients(self, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability."""
-        out, embedded = self.sparse_gradients(tokens, around)
-        out["E"] = np.zeros(self.shapes["E"], np.float32)
-        for o, (at, g) in enumerate(embedded):
-            out["E"][o][at] = g
+        out = {}
+        for k, (at, g) in self.sparse_gradients(tokens, around).items():
+            out[k] = np.zeros(self.shapes[k], g.dtype)
+            out[k][at] = g / len(tokens)
         return out
 
-    def sparse_gradients(self, tokens: np.ndarray, around: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-        """The gradients but that of E, and for each offset the rows of E that have any and theirs."""
-        n, h = len(tokens), self.hidden(around)
-        out = {k: np.zeros(s, np.float32) for k, s in self.shapes.items() if k in "Ww"}
-        z = h @ self.p["G"] + self.p["g"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), tokens // self.side] -= 1
-        out["G"], out["g"], dh = h.T @ z / n, z.sum(0) / n, z @ self.p["G"].T
-        order, ends = self.by_group(tokens)
-        for g in range(self.side):
-            at = order[ends[g] : ends[g + 1]]
-            if len(at):
-                own = h[at]
-                z = own @ self.p["W"][g] + self.p["w"][g]
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                z[np.arange(len(at)), tokens[at] % self.side] -= 1
-                out["W"][g], out["w"][g] = own.T @ z / n, z.sum(0) / n
-                dh[at] += z @ self.p["W"][g].T
-        dz = dh * (1 - h * h) / n
-        out["e"] = dz.sum(0)
-        embedded = []
-        for o in range(len(OFFSETS)):
-            order = np.argsort(around[o], kind="stable")
-            own = around[o][order]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            embedded.append((own[first], np.add.reduceat(dz[order], first, axis=0)))
-        return out, embedded
+    def sparse_gradients(self, tokens: np.ndarray, around: np.ndarray) -> dict[str, tuple]:
+        """Of the sum of negative log-probabilities: for each parameter the rows that have any, and theirs."""
+        h, x = self.hidden(around)
+        nodes, turns, n = self.tree.ways(tokens)
+        own, reached = self.p["N"][nodes], np.repeat(h, n, axis=0)
+        d = 1 / (1 + np.exp(-(np.einsum("lk,lk->l", own, reached) + self.p["n"][nodes]))) - turns
+        own *= d[:, None]
+        dz = np.add.reduceat(own, np.cumsum(n) - n, axis=0) * (1 - h * h)
+        reached *= d[:, None]
+        at, which = _numbered(nodes, self.tree.nodes)
+        at_e, which_e = _numbered(around.ravel(), self.tokens + 1)
+        return {
+            "E": (at_e, _row_sums(which_e, (dz[None] * self.p["C"][:, None]).reshape(-1, HIDDEN), len(at_e))),
+            "C": (slice(None), np.einsum("otk,tk->ok", x, dz)), "e": (slice(None), dz.sum(0)),
+            "N": (at, _row_sums(which, reached, len(at))), "n": (at, np.bincount(which, d, len(at))),
+        }
+
+
+def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and for each value its place among them."""
+    number = np.zeros(size, np.int32)
+    number[values] = 1
+    distinct = np.flatnonzero(number)
+    number[distinct] = np.arange(len(distinct))
+    return distinct, number[values]
+
+
+def _row_sums(which: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each number."""
+    which = which.astype(np.int64)
+    return np.stack([np.bincount(which, x, size) for x in rows.T.astype(np.float64)], axis=1)
 
 
 def neighbours(tokens: np.ndarray, mark: int) -> np.ndarray:
@@ -212,69 +241,113 @@ def neighbours(tokens: np.ndarray, mark: int) -> np.ndarray:
     return np.stack([padded[reach + o : reach + o + len(tokens)] for o in OFFSETS])
 
 
-def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str = "text", rate: float = 0.05) -> Network:
-    """One pass over all documents, in every task from the same beginning; then the weighted mean of all tasks' parameters.
-    Without tokens the network stays at the unigram distribution."""
+class Trainer:
+    """One pass over token sequences in the order they come, in steps of hidden tokens."""
+
+    def __init__(self, counts: np.ndarray, rate: float):
+        self.net, self.rate, self.seen, self.steps, self.waiting, self.n = Network(counts), rate, 0, 0, [], 0
+        self.squares = {k: np.ones(s, np.float32) for k, s in self.net.shapes.items()}
+
+    def see(self, tokens: np.ndarray, drawn: int) -> None:
+        hidden = np.arange(drawn % HIDE, len(tokens), HIDE)
+        self.seen += len(tokens)
+        self.waiting.append((tokens[hidden], neighbours(tokens, self.net.tokens)[:, hidden]))
+        self.n += len(hidden)
+        if self.n >= self._size():
+            (t, a), at = self._all(), 0
+            while at + (size := self._size()) <= len(t):
+                self._step(t[at : at + size], a[:, at : at + size])
+                at += size
+            self.waiting, self.n = [(t[at:], a[:, at:])], len(t) - at
+
+    def _size(self) -> int:
+        return min(STEP, FIRST_STEP << min(30, self.steps // EARLY))
+
+    def _all(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([t for t, _ in self.waiting]), np.concatenate([a for _, a in self.waiting], axis=1)
+
+    def _step(self, tokens: np.ndarray, around: np.ndarray) -> None:
+        self.steps += 1
+        for k, (at, g) in self.net.sparse_gradients(tokens, around).items():
+            squares = self.squares[k][at] + g * g
+            self.squares[k][at] = squares
+            self.net.p[k][at] -= self.rate * g / np.sqrt(squares)
+
+    def end(self) -> np.ndarray:
+        if self.n:
+            self._step(*self._all())
+        return self.net.flat()
+
+
+def shards_of(total: float, tokens: int) -> int:
+    return max(1, round(total / max(SHARD_WORDS, SHARD_WORDS_A_TOKEN * tokens)))
+
+
+def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str = "text", rate: float = 0.05, id_col: str = "doc_id", shards: int | None = None) -> Network:
+    """One pass over all documents, in every shard from the same beginning; then the weighted mean of all shards' parameters.
+
+    Rows are dealt to shards by a hash of id and text, so that copies of a text are spread. A null or empty text adds nothing.
+    Without tokens the network stays at the unigram distribution.
+    """
     short_batches(docs.sparkSession)
+    shards, n_params = shards or shards_of(counts.sum(), len(counts)), int(sum(np.prod(s) for s in Network(counts).shapes.values()))
+    blocks = max(1, -(-4 * n_params // BLOCK_BYTES))
+    text = F.col(text_col).cast("string")
+    drawn = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
+    rows = docs.select(text.alias("text"), F.pmod(drawn, F.lit(shards)).cast("int").alias("shard"), drawn.alias("drawn")).where("text is not null")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, net, seen, held = token_memo(words, len(counts)), Network(counts), 0, [[], [], 0]
-        squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in net.p.items()}
-
-        def step(tokens: np.ndarray, around: np.ndarray) -> None:
-            dense, embedded = net.sparse_gradients(tokens, around)
-            for k, g in dense.items():
-                squares[k] += g * g
-                net.p[k] -= rate * g / np.sqrt(squares[k])
-            for o, (at, g) in enumerate(embedded):
-                own = squares["E"][o][at] + g * g
-                squares["E"][o][at] = own
-                net.p["E"][o][at] -= rate * g / np.sqrt(own)
+    def tokenise():
+        memo = token_memo(words, len(counts))
 
+        def work(batch: pa.RecordBatch) -> dict:
+            return {"shard": batch.column(1), "drawn": batch.column(2), "tokens": [tokens_of(t, memo).tobytes() for t in texts_of(batch)]}
+
+        return work
+
+    def one(shard: int, trainer: Trainer) -> pa.RecordBatch:
+        parts = np.array_split(trainer.end(), blocks)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(blocks), pa.int32()), pa.array([shard] * blocks, pa.int32()), pa.array([float(trainer.seen)] * blocks), pa.array([x.tobytes() for x in parts], pa.binary())], schema=kind)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, trainer = -1, None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = tokens_of(text, memo)
-                if not len(tokens):
-                    continue
-                seen += len(tokens)
-                held[0].append(tokens), held[1].append(neighbours(tokens, len(counts)))
-                held[2] += len(tokens)
-                if held[2] >= STEP:
-                    t, a = np.concatenate(held[0]), np.concatenate(held[1], axis=1)
-                    for i in range(0, len(t), STEP):
-                        step(t[i : i + STEP], a[:, i : i + STEP])
-                    held = [[], [], 0]
-        if held[2]:
-            step(np.concatenate(held[0]), np.concatenate(held[1], axis=1))
-        if seen:
-            parts = np.array_split(net.flat().astype(np.float32), BLOCKS)
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int32()), pa.array([float(seen)] * BLOCKS, pa.float64()), pa.array([x.tobytes() for x in parts], pa.binary())],
-                ["block", "task", "weight", "mean"],
-            )
+            for s, drawn, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != shard:
+                    if trainer and trainer.seen:
+                        yield one(shard, trainer)
+                    shard, trainer = s, Trainer(counts, rate)
+                if raw:
+                    trainer.see(np.frombuffer(raw, np.int32), drawn)
+        if trainer and trainer.seen:
+            yield one(shard, trainer)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Weighted means of the blocks that come in, one row at a time; a task holds BLOCKS sums at most."""
-        sums: dict[int, list] = {}
+        """Weighted means of the blocks that come in, one row at a time in order of block and shard; a task holds one sum."""
+        block, low, weight, total = -1, 0, 0.0, None
+        mean = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([low], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], schema=kind)
         for batch in batches:
-            for r in batch.to_pylist():
-                own = sums.setdefault(r["block"], [0.0, 0.0])
-                own[0] += r["weight"]
-                own[1] = own[1] + r["weight"] * np.frombuffer(r["mean"], np.float32).astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([(s / w).astype(np.float32).tobytes() for w, s in sums.values()], pa.binary())],
-                ["block", "task", "weight", "mean"],
-            )
-
-    schema = "block int, task int, weight double, mean binary"
-    models = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(local, schema)
-    some = models.repartition(BLOCKS * 4, "block", F.col("task") % 16).mapInArrow(summed, schema)
-    rows = some.repartition(BLOCKS, "block").mapInArrow(summed, schema).collect()
-    if not rows:
+            for b, s, w, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block:
+                    if block >= 0:
+                        yield mean()
+                    block, low, weight, total = b, s, 0.0, 0.0
+                weight, total = weight + w, total + w * np.frombuffer(x, np.float32).astype(np.float64)
+        if block >= 0:
+            yield mean()
+
+    kind = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("weight", pa.float64()), ("mean", pa.binary())])
+    schema = "block int, shard int, weight double, mean binary"
+    dealt = arrow_map(rows, "shard int, drawn long, tokens binary", tokenise).repartitionById(shards, "shard").sortWithinPartitions("shard", "drawn", "tokens")
+    models = dealt.mapInArrow(local, schema)
+    some = models.repartition(max(blocks, math.isqrt(blocks * shards)), "block", F.col("shard") % max(1, math.isqrt(shards))).sortWithinPartitions("block", F.col("shard") % max(1, math.isqrt(shards)), "shard")
+    means = Scratch(docs.sparkSession, "lm-means")
+    some = means.keep(some.mapInArrow(summed, schema), "some")
+    found = sorted(some.repartition(blocks, "block").sortWithinPartitions("block", "shard").mapInArrow(summed, schema).collect(), key=lambda r: r["block"])
+    means.drop(some)
+    if not found:
         return Network(counts)
-    return Network(counts).load(np.concatenate([np.frombuffer(r["mean"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
+    return Network(counts).load(np.concatenate([np.frombuffer(r["mean"], np.float32) for r in found]))
 
 
 def score(docs: DataFrame, words: list[bytes], counts: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text",
@@ -306,7 +379,7 @@ def score(docs: DataFrame, words: list[bytes], counts: np.ndarray, network: Netw
             if sizes.sum():
                 tokens = np.concatenate(split)
                 around = np.concatenate([neighbours(t, len(counts)) for t in split], axis=1)
-                each = np.concatenate([net.log_probabilities(tokens[i : i + SCORE_STEP], around[:, i : i + SCORE_STEP]) for i in range(0, len(tokens), SCORE_STEP)])
+                each = np.concatenate([net.log_probabilities(tokens[i : i + STEP], around[:, i : i + STEP]) for i in range(0, len(tokens), STEP)])
                 shared = tokens >= first
                 each[shared] -= log_totals[tokens[shared] - first]
                 sums = np.bincount(np.repeat(np.arange(len(split)), sizes), each, len(split))

@@ -95,16 +95,16 @@ def test_language_model_prefers_texts_like_the_corpus(spark):
     assert mean(got, range(400)) > mean(got, range(400, 420)) + 0.2
     assert (got[420].n_tokens, got[420].log_likelihood, got[420].mean_log_likelihood) == (0, 0.0, None) and got[422].n_tokens == 3
     empty = docs.limit(0)
-    assert window_lm.score(empty, *window_lm.vocabulary(window_lm.word_counts(empty)), window_lm.train(empty, [], np.zeros(window_lm.TOKENS))).count() == 0
+    assert window_lm.score(empty, *window_lm.vocabulary(window_lm.word_counts(empty)), window_lm.train(empty, [], np.zeros(window_lm.OTHER))).count() == 0
 
 
 def test_language_model_probabilities_sum_to_one_and_gradients_are_right():
-    rng = np.random.default_rng(5)
-    net = window_lm.Network(rng.integers(1, 50, window_lm.TOKENS).astype(float))
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    around = np.repeat(rng.integers(0, window_lm.TOKENS, (4, 1)), window_lm.TOKENS, axis=1)
-    assert abs(np.exp(net.log_probabilities(np.arange(window_lm.TOKENS), around)).sum() - 1) < 1e-6
-    tokens, around = rng.integers(0, window_lm.TOKENS, 50), rng.integers(0, window_lm.TOKENS + 1, (4, 50))
+    rng, size = np.random.default_rng(5), 700
+    net = window_lm.Network((1000 / (1 + np.arange(size))).round())
+    net.p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
+    around = np.repeat(rng.integers(0, size, (4, 1)), size, axis=1)
+    assert abs(np.exp(net.log_probabilities(np.arange(size), around)).sum() - 1) < 1e-6
+    tokens, around = rng.integers(0, size, 50), rng.integers(0, size + 1, (4, 50))
     for k, g in net.gradients(tokens, around).items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old, e = net.p[k][at], 1e-5
@@ -116,6 +116,61 @@ def test_language_model_probabilities_sum_to_one_and_gradients_are_right():
         assert abs((up - down) / (2 * e) - g[at]) < 1e-4, k
 
 
+def test_language_model_begins_with_the_corpus_shares():
+    counts = np.array([500.0, 300, 100, 50, 30, 11, 7, 1, 1, 0])
+    net = window_lm.Network(counts)
+    net.p["N"][:] = 0
+    got = np.exp(net.log_probabilities(np.arange(10), np.zeros((4, 10), int)))
+    assert np.allclose(got, (counts + 1) / (counts + 1).sum(), atol=1e-6)
+
+
+def one_by_one(text, words, net, corpus_counts):
+    """The sum of log-probabilities of a text, token by token and turn by turn."""
+    seen, totals = {w: i for i, w in enumerate(words)}, np.ones(window_lm.OTHER)
+    for w, n in corpus_counts.items():
+        if w not in seen:
+            totals[window_lm.class_of(w)] += n + 1
+    split = text.encode().lower().split()
+    first = net.tokens - window_lm.OTHER
+    ids = [seen.get(w, first + window_lm.class_of(w)) for w in split]
+    out = 0.0
+    for i, token in enumerate(ids):
+        z = net.p["e"].astype(float)
+        for place, o in enumerate(window_lm.OFFSETS):
+            z = z + net.p["C"][place] * net.p["E"][ids[i + o] if 0 <= i + o < len(ids) else net.tokens]
+        h = np.tanh(z)
+        for step in range(int(net.tree.depth[token])):
+            node, turn = net.tree.path[net.tree.starts[token] + step], net.tree.turn[net.tree.starts[token] + step]
+            p = 1 / (1 + np.exp(-(net.p["N"][node] @ h + net.p["n"][node])))
+            out += np.log(p if turn else 1 - p)
+        if token >= first:
+            out += np.log(max(1, corpus_counts.get(split[i], 0))) - np.log(totals[token - first])
+    return out
+
+
+def test_language_model_scores_are_those_of_each_token_and_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.9 else f"r{rng.randrange(3000)}" for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    texts += [texts[0], None, "", " \n ", "One \t c1  c2\nX\x0b\u00a0y"]
+    rows = [(i if i % 50 else None, t, "x") for i, t in enumerate(texts)]
+    monkeypatch.setattr(window_lm, "SHARD_WORDS", 4000)
+    monkeypatch.setattr(window_lm, "SHARD_WORDS_A_TOKEN", 1)
+    found = []
+    for parts in (2, 16):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(parts)
+        corpus = window_lm.word_counts(docs)
+        vocab, counts = window_lm.vocabulary(corpus)
+        net = window_lm.train(docs, vocab, counts)
+        found.append({(r.doc_id, r.n_tokens, r.log_likelihood) for r in window_lm.score(docs, vocab, counts, net).collect()})
+    assert window_lm.shards_of(counts.sum(), len(counts)) > 3
+    assert sorted(found[0], key=str) == sorted(found[1], key=str)
+    known = {bytes(r.word): r.n for r in corpus.collect()}
+    want = {(i, one_by_one(t, vocab, net, known)) for i, t, _ in rows if i is not None and t}
+    got = {i: x for i, _, x in found[0]}
+    assert all(abs(got[i] - x) < 1e-3 for i, x in want) and got[303] == 0
+
+
 def test_language_model_vocabulary_grows_and_every_word_has_its_own_probability(spark):
     rng = random.Random(7)
     common = [f"c{i}" for i in range(3000)]
@@ -126,7 +181,7 @@ def test_language_model_vocabulary_grows_and_every_word_has_its_own_probability(
     limit = window_lm.threshold(int(counts.sum()))
     assert set(vocab) == {bytes(r.word) for r in corpus.collect() if r.n >= limit} and len(vocab) > 2000 and int(counts.sum()) == sum(len(t.split()) for t in texts)
     net = window_lm.Network(counts)
-    assert net.side ** 2 == len(counts) >= len(vocab) + window_lm.OTHER and net.side > 32
+    assert net.tokens == len(counts) == len(vocab) + window_lm.OTHER
     # words of one class (the same last two bytes) between the same neighbours: five times, once, never
     probe = spark.createDataFrame([(0, "c1 xqzed c2"), (1, "c1 xyzed c2"), (2, "c1 gibbered c2")], "doc_id long, text string")
     got = {r.doc_id: r.log_likelihood for r in window_lm.score(probe, vocab, counts, net, corpus=corpus).collect()}
