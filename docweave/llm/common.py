@@ -79,12 +79,12 @@ class Memo(dict):
 _held: dict = {}
 
 
-def held(make: Callable, *key):
-    """make(*key), kept by the worker process for its next tasks; only the last one asked for is kept, to save memory."""
-    at = (make.__module__, make.__qualname__, *key)
+def held(make: Callable, *args, key=None):
+    """make(*args), kept by the worker process for its next tasks under `key` (by default args); only the last one asked for is kept, to save memory."""
+    at = (make.__module__, make.__qualname__, args if key is None else key)
     if at not in _held:
         _held.clear()
-        _held[at] = make(*key)
+        _held[at] = make(*args)
     return _held[at]
 
 

@@ -1,9 +1,10 @@
 """Benchmark passages inside documents.
 
 Windows as long as an item slide over a document; a shorter document is one window. A window and an item are
-compared by 64-bit SimHash fingerprints of their word shingles: fingerprints are cut into RADIUS + 1
-blocks, and two within RADIUS bits must agree in a whole block, so an index on each block finds
-every fingerprint within the radius. What it finds is confirmed by exact weighted similarity, the sum of
+compared by SimHash fingerprints of their word shingles, cut into BLOCKS blocks: an index finds all that agree in a whole
+block. That is every fingerprint that differs in fewer bits than there are blocks, wherever the bits are; and since at the
+threshold each bit differs with a chance of 0.15 only, a pair there agrees in some block but for a chance below 0.0001, while
+unlike fingerprints do in one of 64 cases. What the index finds is confirmed by exact weighted similarity, the sum of
 the smaller over the sum of the larger shingle counts.
 
 A window can reach the threshold only if that share of its shingles occurs in
@@ -14,6 +15,7 @@ fingerprint: all items that share shingles with it are compared.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, hashes, held, shingles, short_batches, texts_of
+from .common import Memo, arrow_map, hashes, held, mix, shingles, short_batches, texts_of
 
-#: Bits by which fingerprints may differ. At the threshold of 0.8 about 10 of 64 bits differ, with a deviation of 3.
-RADIUS = 22
+#: Blocks of a fingerprint, and bits of a block.
+BLOCKS, BLOCK_BITS = 64, 12
+BITS = BLOCKS * BLOCK_BITS
+#: Bits by which two fingerprints differ, at most, before they are compared exactly. At the threshold of 0.8 it is 116 with a deviation of 10.
+RADIUS = 176
 #: Words of benchmark items that are sent to the executors at once; a larger benchmark is compared in blocks.
 BLOCK_WORDS = 1_000_000
 #: Windows that are worked on at once.
@@ -44,46 +49,48 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+_SPREAD = np.random.default_rng(77).integers(1, 2**63, BITS // 64, dtype=np.uint64)
+
+
 def fingerprints(bits: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """SimHash of the k shingles from each start: a bit is set if more of them have it than not, repeats counted."""
-    sums = np.zeros((len(bits) + 1, 64), np.int32)
+    sums = np.zeros((len(bits) + 1, BITS), np.int32)
     np.cumsum(bits, axis=0, out=sums[1:])
     most = (sums[starts + k] - sums[starts]) * 2 > k
-    return np.packbits(most, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(most, axis=1, bitorder="little").view(np.uint64)
 
 
 def bit_rows(found: np.ndarray) -> np.ndarray:
-    return np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 blocks that make up 64 bits."""
-    cuts = np.linspace(0, 64, radius + 2).round().astype(int)
-    return [(int(a), (1 << int(b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    """The BITS bits of each shingle."""
+    return np.unpackbits(mix(found[:, None] ^ _SPREAD).view(np.uint8), axis=1, bitorder="little")
 
 
 class HammingIndex:
-    """All pairs of a query and an entry that differ in at most `radius` bits."""
+    """Pairs of a query and an entry that agree in a whole block and differ in at most `radius` bits."""
 
     def __init__(self, entries: np.ndarray, radius: int):
-        self.entries, self.radius, self.parts = entries, radius, []
-        for shift, mask in blocks(radius):
-            values = (entries >> np.uint64(shift)) & np.uint64(mask)
-            order = np.argsort(values, kind="stable")
-            self.parts.append((shift, mask, values[order], order))
+        self.entries, self.radius = entries, radius
+        keys = self.keys(entries).ravel()
+        self.order = np.argsort(keys, kind="stable")
+        self.known = keys[self.order]
+
+    @staticmethod
+    def keys(prints: np.ndarray) -> np.ndarray:
+        """For each fingerprint the number and value of all its blocks, as one number each."""
+        bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").reshape(len(prints), BLOCKS, BLOCK_BITS)
+        return bits @ (1 << np.arange(BLOCK_BITS)) + (np.arange(BLOCKS) << BLOCK_BITS)
+
+    def agreeing(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.keys(queries).ravel()
+        low, high = np.searchsorted(self.known, own, "left"), np.searchsorted(self.known, own, "right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        both = np.unique(np.repeat(np.arange(len(own)) // BLOCKS, n) * len(self.entries) + self.order[at] // BLOCKS)
+        return both // len(self.entries), both % len(self.entries)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for shift, mask, values, order in self.parts:
-            own = (queries >> np.uint64(shift)) & np.uint64(mask)
-            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            n = high - low
-            q = np.repeat(np.arange(len(queries)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            found.append(q * len(self.entries) + order[at])
-        both = np.unique(np.concatenate(found))
-        q, e = both // len(self.entries), both % len(self.entries)
-        near = np.bitwise_count(queries[q] ^ self.entries[e]) <= self.radius
+        q, e = self.agreeing(queries)
+        near = np.bitwise_count(queries[q] ^ self.entries[e]).sum(1) <= self.radius
         return q[near], e[near]
 
 
@@ -118,28 +125,28 @@ def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(at, len(ordered) - 1)] == values
 
 
-def prepare(items: list[tuple[object, list[int]]], width: int, radius: int) -> Items:
-    classes = size_classes(items, width, radius)
+def prepare(items: list[tuple[object, np.ndarray]], width: int) -> Items:
+    classes = size_classes(items, width)
     known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c.known for c in classes)]))
     seen = np.zeros(1 << 22, bool)
     seen[known & np.uint64(len(seen) - 1)] = True
     return Items(classes, seen, known)
 
 
-def size_classes(items: list[tuple[object, list[int]]], width: int, radius: int) -> list[SizeClass]:
+def size_classes(items: list[tuple[object, np.ndarray]], width: int) -> list[SizeClass]:
     """items: id and word hashes. Items without words match nothing."""
     by: dict[int, list] = {}
     for key, found in items:
-        if found:
-            by.setdefault(len(found), []).append((key, shingles(np.array(found, np.uint64), width)))
+        if len(found):
+            by.setdefault(len(found), []).append((key, shingles(found, width)))
     out = []
     for n, group in sorted(by.items()):
         k = len(group[0][1])
-        prints = np.array([fingerprints(bit_rows(s), np.zeros(1, int), k)[0] for _, s in group], np.uint64)
+        prints = np.stack([fingerprints(bit_rows(s), np.zeros(1, int), k)[0] for _, s in group])
         sets = [np.unique(s, return_counts=True) for _, s in group]
         flat, owner = np.concatenate([s for s, _ in sets]), np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
         order = np.argsort(flat, kind="stable")
-        out.append(SizeClass(n, [key for key, _ in group], sets, np.unique(flat), HammingIndex(prints, radius), (flat[order], owner[order])))
+        out.append(SizeClass(n, [key for key, _ in group], sets, np.unique(flat), HammingIndex(prints, RADIUS), (flat[order], owner[order])))
     return out
 
 
@@ -200,7 +207,7 @@ def matches(found: np.ndarray, items: Items, width: int, similarity: float) -> I
 
 def fingerprints_near(own: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """Fingerprints at sorted starts; shingles far from any of them aren't unpacked."""
-    out = np.zeros(len(starts), np.uint64)
+    out = np.zeros((len(starts), BITS // 64), np.uint64)
     breaks = np.flatnonzero(np.diff(starts) > 4 * k) + 1
     for group in np.split(np.arange(len(starts)), breaks):
         a, b = starts[group[0]], starts[group[-1]] + k
@@ -216,7 +223,11 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[l
     memo = word_memo()
     for p in range(parts):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).collect()
-        yield [(r["id"], hashes(words_of(r["text"]), memo).tolist()) for r in rows]
+        yield [(r["id"], hashes(words_of(r["text"]), memo)) for r in rows]
+
+
+def _ready(block, width: int) -> tuple[Memo, Items]:
+    return word_memo(), prepare(block.value, width)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
@@ -224,17 +235,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     """One row for each document and item it holds: id, item id, start_word, n_words, similarity of the best window.
 
     A null or empty text holds nothing, one shorter than an item is compared as a whole; null, empty or blank items match nothing; items with equal texts are
-    each reported; repeated rows of docs give repeated rows; other columns are left out. Items shorter than a
-    shingle count as one shingle. Both ids may be null and are carried along.
+    each reported; repeated rows of docs give repeated rows; other columns are left out, whatever their names. Items shorter than a
+    shingle count as one shingle. Both ids may be null and are carried along. Of equally similar windows the earliest counts. Texts of any
+    length are searched whole; without rows in either table there are none in the result.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()
-    out = None
-    for items in _item_blocks(benchmark, item_id_col, item_text_col):
+    out, sc = None, docs.sparkSession.sparkContext
+    for block in map(sc.broadcast, _item_blocks(benchmark, item_id_col, item_text_col)):
 
-        def start(items=items):
-            memo, ready = held(word_memo), prepare(items, width, RADIUS)
+        def start(block=block, name=uuid.uuid4().hex):
+            memo, ready = held(_ready, block, width, key=name)
 
             def work(batch: pa.RecordBatch) -> dict | None:
                 out = {k: [] for k in ("id", "item", "start_word", "n_words", "similarity")}
@@ -252,13 +264,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item; nothing is joined or shuffled."""
+    """The rows of docs, with all their columns, that hold no item, as contaminated() finds them; nothing is joined or shuffled.
+
+    Null, empty and blank texts stay, and so do all rows if no item has words; repeated rows are judged each.
+    """
     short_batches(docs.sparkSession)
-    kept, at = docs.schema, docs.columns.index(text_col)
-    for items in _item_blocks(benchmark, item_id_col, item_text_col):
+    kept, at, sc = docs.schema, docs.columns.index(text_col), docs.sparkSession.sparkContext
+    for block in map(sc.broadcast, _item_blocks(benchmark, item_id_col, item_text_col)):
 
-        def run(batches, items=items):
-            memo, ready = held(word_memo), prepare(items, width, RADIUS)
+        def run(batches, block=block, name=uuid.uuid4().hex):
+            memo, ready = held(_ready, block, width, key=name)
             for batch in batches:
                 free = [next(matches(hashes(words_of(t), memo), ready, width, similarity), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(free, pa.bool_()))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import public_tokenizers
@@ -9,15 +10,35 @@ from docweave.llm import decontamination as D
 from docweave.llm import secrets as S
 
 
-def test_hamming_index_finds_all_within_the_radius():
+def flipped(rng, prints, n):
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    for row, k in zip(bits, n, strict=True):
+        row[rng.choice(D.BITS, k, replace=False)] ^= 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def test_hamming_index_finds_all_that_differ_in_fewer_bits_than_there_are_blocks_and_prunes_the_rest():
     rng = np.random.default_rng(4)
-    entries = rng.integers(0, 2**63, 60, dtype=np.uint64)
-    queries = np.array([e ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(0, 30), replace=False)) for e in entries], np.uint64)
-    for radius in (0, 3, D.RADIUS):
-        q, e = D.HammingIndex(entries, radius).search(queries)
-        want = {(i, j) for i in range(60) for j in range(60) if int(queries[i] ^ entries[j]).bit_count() <= radius}
-        assert set(zip(q.tolist(), e.tolist(), strict=True)) == want
-    assert sum(m.bit_length() for _, m in D.blocks(D.RADIUS)) == 64 and len(D.blocks(D.RADIUS)) == D.RADIUS + 1
+    entries = rng.integers(0, 2**63, (500, D.BITS // 64), dtype=np.uint64)
+    index = D.HammingIndex(entries, D.RADIUS)
+    for n in (0, 1, 20, D.BLOCKS - 1):
+        q, e = index.search(flipped(rng, entries, [n] * 500))
+        assert {(i, i) for i in range(500)} <= set(zip(q.tolist(), e.tolist(), strict=True))
+    q, e = index.agreeing(rng.integers(0, 2**63, (400, D.BITS // 64), dtype=np.uint64))
+    assert len(q) < 0.05 * 400 * 500
+    q, e = index.search(flipped(rng, entries, [116] * 500))  # as much as pairs at the threshold differ by
+    assert (q == e).sum() >= 499
+
+
+def test_windows_at_the_threshold_are_found_by_their_fingerprints():
+    rng, found = np.random.default_rng(9), 0
+    for _ in range(400):
+        item = rng.integers(0, 2**63, 56, dtype=np.uint64)
+        window = item.copy()
+        window[rng.choice(56, 6, replace=False)] = rng.integers(0, 2**63, 6, dtype=np.uint64)  # 50 of 62 are common: 0.806
+        a, b = (D.fingerprints(D.bit_rows(x), np.zeros(1, int), 56) for x in (item, window))
+        found += len(D.HammingIndex(a, D.RADIUS).search(b)[0])
+    assert found >= 398
 
 
 def brute(docs, items, width=5, limit=0.8):
@@ -135,6 +156,16 @@ def test_documents_shorter_than_an_item_are_found(spark):
     assert 999 not in {r.doc_id for r in D.clean(frame, bench).collect()}
 
 
+def test_recall_of_random_runs_by_length_and_few_false_alarms_in_prose(spark):
+    test, rng = S.RandomTest(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), random.Random(12)
+    for n in (16, 18, 20, 24, 32, 48):
+        for letters, least in ((string.ascii_letters + string.digits, 0.98), (string.ascii_letters, 0.96), (string.ascii_lowercase, 0.75)):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+            assert sum(test.looks_random(r) for r in runs) >= least * 300, (n, letters)
+    prose = {w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in re.findall(r"[A-Za-z]{16,}", r.text or "")}
+    assert len(prose) > 50 and sum(map(test.looks_random, prose)) <= max(1, 0.01 * len(prose))
+
+
 def test_random_parts_of_runs_and_addresses_are_found():
     test = S.RandomTest(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     key, letters = "Xk29fLq81ZmPw03vTb7Q", "QzXkVwJpBnMtRlFhGdSyKc"
