@@ -79,12 +79,12 @@ def plan(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS)
     edge = placed.join(before, placed["source"].eqNullSafe(before["b_source"]) & (placed["slice"] == before["b_slice"]))
     within = Window.partitionBy("source", "slice").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
     ordered = edge.where(F.col("before") <= F.col("budget")).select("source", "size", "draw", "budget", (F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("before"))
-    last = ordered.where(F.col("before") + F.col("size") / 2 <= F.col("budget")).groupBy("source").agg(F.max("draw").alias("last"))
+    last = ordered.where((F.col("budget") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("budget"))).groupBy("source").agg(F.max("draw").alias("last"))
     last = last.withColumnRenamed("source", "l_source")
     return scratch.keep(sources.join(last, sources["source"].eqNullSafe(last["l_source"]), "left").drop("l_source").coalesce(1), "plan")
 
 
-def draws(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *keep: str) -> DataFrame:
+def draws(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *keep: Column) -> DataFrame:
     text = F.col(text_col).cast("string")
     size, weight = n_words(text), quality_weight(text)
     ready = docs.select(*keep, F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), size.alias("__size"), weight.alias("__weight"), F.xxhash64(text).alias("__hash"))
@@ -103,7 +103,7 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """id, size (words), source_size, target and taken (words, repeats counted) of each row of docs.
 
     A null text has size 0; null sources are one source, the last. Equal rows (one id, one text) draw one key and are taken together, which
-    can pass the target by their size. Reruns agree. An empty table gives no rows.
+    can pass the target by their size; ids may be null. Other columns are left out, whatever their names. Reruns agree. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     drawn = scratch.keep(draws(docs, id_col, text_col, source_col, seed), "draws")
@@ -113,10 +113,13 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of docs with all their columns, each as often as takes() takes it. Texts stay where they are: only the plan, a row for each source, is joined."""
+    """The rows of docs with all their columns, each as often as takes() takes it. Texts stay where they are: only the plan, a row for each source, is joined.
+
+    Rows without words come with the draws around them, at most MOST_EPOCHS times; nulls, ties, repeated rows and an empty table are as in takes().
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     drawn = scratch.keep(draws(docs, id_col, text_col, source_col, seed), "draws")
     made = _of_source(plan(drawn.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__draw").alias("draw")), scratch, weights))
-    again = draws(docs, id_col, text_col, source_col, seed, *docs.columns)
+    again = draws(docs, id_col, text_col, source_col, seed, F.struct("*").alias("__row"))
     out = again.join(made, again["__source"].eqNullSafe(made["__own"]))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select(*docs.columns)
+    return out.select("__row", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("__row.*")

@@ -4,12 +4,12 @@ Each rule votes for keeping (1), against (-1) or abstains (0). Expectation-
 maximisation estimates how accurate each rule is on good and on bad documents, and how many documents are good,
 from the agreement of the rules alone; a document is kept if its posterior probability of
 being good is at least one half. The votes of all documents are first
-counted by pattern, at most 3 ** rules of them, so that a round of estimation is one small aggregation.
+counted by pattern, at most 3 ** rules of them, so that a round of estimation is one small aggregation, whose plan and
+code are the same in all rounds. Rounds go on until the estimates stand.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, Scratch
 
-#: Rounds of estimation; how votes fall on good and on bad documents to begin with, and how many documents that counts as.
-ROUNDS, STRENGTH = 12, 20.0
-PRIOR_GOOD, PRIOR_BAD = {1: 0.9, 0: 0.095, -1: 0.005}, {1: 0.4, 0: 0.2, -1: 0.4}
-#: A rule votes against a good document this often at most, and against a bad one this often at least. Defects are often seen
-#: by one rule alone; without these bounds, rules that never agree would outvote each other.
-MOST_WRONG, LEAST_RIGHT = 0.005, 0.1
+#: Rounds of estimation, at most, and the change of a posterior weight below which they end.
+ROUNDS, STILL = 60, 1e-3
+#: How votes fall on good and on bad documents, and how many are good, before any are seen. The corpus has the better of it:
+#: this counts as much as PRIOR_SHARE of the documents, whatever their number.
+PRIOR_GOOD, PRIOR_BAD, PRIOR_CLEAN, PRIOR_SHARE = {1: 0.9, 0: 0.095, -1: 0.005}, {1: 0.4, 0: 0.2, -1: 0.4}, 0.8, 0.05
+
+
+_BLANKS = "\\x20\\x09-\\x0D"
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts that the rules look at, for each row of docs. A null text counts as empty; other columns are left out.
 
-    Windows of three words are told apart by a 64-bit hash.
+    Windows of three words are told apart by a 64-bit hash. A bare word has no letter; a table line has two `|` and more.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
@@ -57,6 +59,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
+        F.regexp_count("text", F.lit(f"(?<![^{_BLANKS}])[^\\p{{L}}{_BLANKS}]+(?![^{_BLANKS}])")).cast("long").alias("n_bare_words"),
+        F.size(F.filter("lines", lambda s: s.like("%|%|%"))).cast("long").alias("n_table_lines"),
         letters.cast("long").alias("n_letters"),
         capitals.cast("long").alias("n_capitals"),
     )
@@ -68,55 +72,62 @@ def _vote(value: Column, good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the columns of measures()."""
+    """Votes from the columns of measures(). A text without words has nothing to measure but its length; all limits hold at any length."""
     share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     mean, symbols, copies, repeats = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
-    letters, capitals, variety = share("n_letters", "word_chars"), share("n_capitals", "n_letters"), share("n_distinct_words", "n_words")
+    letters, capitals, bare, tables = share("n_letters", "word_chars"), share("n_capitals", "n_letters"), share("n_bare_words", "n_words"), share("n_table_lines", "n_lines")
     n = F.col("n_words")
+    variety = F.when(n > 1, F.log("n_distinct_words") / F.log(n))  # hardly changes with the length of a text
     return {
-        "length": _vote(n, (n >= 50) & (n <= 100_000), n < 50),
+        "length": _vote(n, n >= 50, n < 50),
         "word_length": _vote(mean, mean.between(3, 10), (mean < 2.5) | (mean > 12)),
         "symbols": _vote(symbols, symbols < 0.05, symbols > 0.1),
         "lines": _vote(copies, copies < 0.1, (copies > 0.3) & (F.col("n_dup_lines") > 2)),
         "repeats": _vote(repeats, repeats < 0.1, repeats > 0.3),
         "letters": _vote(letters, letters > 0.8, letters < 0.65),
         "capitals": _vote(capitals, capitals < 0.15, capitals > 0.4),
-        "variety": _vote(variety, variety > 0.3, (variety < 0.15) & (n < 5000)),
+        "variety": _vote(variety, variety > 0.8, variety < 0.6),
+        "bare_words": _vote(bare, bare < 0.1, bare > 0.2),
+        "tables": _vote(tables, tables < 0.1, tables > 0.3),
     }
 
 
 #: rule -> vote -> (share of good documents with this vote, share of bad ones)
 Rates = dict[str, dict[int, tuple[float, float]]]
+_VOTES = (-1, 0, 1)
+
+
+def _log_ratios(rates: Rates) -> list[float]:
+    return [log(r[v][0] / r[v][1]) for r in rates.values() for v in _VOTES]
 
 
 def posterior(rates: Rates, good: float) -> Column:
     """Probability that a document with these votes is good."""
-    weights = [F.when(F.col(k) > 0, log(r[1][0] / r[1][1])).when(F.col(k) < 0, log(r[-1][0] / r[-1][1])).otherwise(log(r[0][0] / r[0][1])) for k, r in rates.items()]
-    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, weights, F.lit(log(good / (1 - good))))))
+    # one array literal: its values aren't part of the generated code, which all rounds share
+    weights = F.lit([log(good / (1 - good)), *_log_ratios(rates)])
+    terms = [F.get(weights, F.col(k).cast("int") + (3 * i + 2)) for i, k in enumerate(rates)]
+    return 1 / (1 + F.exp(-sum(terms, F.get(weights, F.lit(0)))))
 
 
 def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[Rates, float]:
     """How often each rule casts each vote on good and on bad documents, and the share of good ones, from pattern counts (columns:
     names and n). A rule can be reliable in one way only: its votes against may weigh more than its votes for."""
-    rates, good = {k: {v: (PRIOR_GOOD[v], PRIOR_BAD[v]) for v in (1, 0, -1)} for k in names}, 0.8
-    n = F.col("n")
+    rates, good = {k: {v: (PRIOR_GOOD[v], PRIOR_BAD[v]) for v in _VOTES} for k in names}, PRIOR_CLEAN
+    codes = F.explode(F.array(F.lit(-1), *[F.col(k).cast("int") + (3 * i + 1) for i, k in enumerate(names)]))
     for _ in range(rounds):
-        q = posterior(rates, good)
-        each = {(k, v): F.col(k) == v for k in names for v in (1, 0, -1)}
-        sums = patterns.agg(
-            F.sum(n * q).alias("good"), F.sum(n).alias("all"),
-            *[F.coalesce(F.sum(F.when(c, n * q)), F.lit(0.0)).alias(f"good_{k}_{v}") for (k, v), c in each.items()],
-            *[F.coalesce(F.sum(F.when(c, n * (1 - q))), F.lit(0.0)).alias(f"bad_{k}_{v}") for (k, v), c in each.items()]).first()
-        if not sums["all"]:
+        judged = patterns.select("n", posterior(rates, good).alias("q"), codes.alias("code"))
+        sums = {r["code"]: (r["good"], r["bad"]) for r in judged.groupBy("code").agg(F.sum(F.col("n") * F.col("q")).alias("good"), F.sum(F.col("n") * (1 - F.col("q"))).alias("bad")).collect()}
+        if not sums:
+            break
+        n_good, n_bad = sums[-1]
+        own = PRIOR_SHARE * (n_good + n_bad)
+        before = _log_ratios(rates)
+        share = lambda x, all_, prior: (x + own * prior) / (all_ + own)  # noqa: B023, E731
+        seen = lambda i, v: sums.get(3 * i + 1 + v, (0.0, 0.0))  # noqa: B023, E731
+        rates = {k: {v: (share(seen(i, v)[0], n_good, PRIOR_GOOD[v]), share(seen(i, v)[1], n_bad, PRIOR_BAD[v])) for v in _VOTES} for i, k in enumerate(names)}
+        good = (n_good + own * PRIOR_CLEAN) / (n_good + n_bad + own)
+        if max(abs(a - b) for a, b in zip(before, _log_ratios(rates), strict=True)) < STILL:
             break
-        bad = sums["all"] - sums["good"]
-        rates = {
-            k: {v: ((sums[f"good_{k}_{v}"] + STRENGTH * PRIOR_GOOD[v]) / (sums["good"] + STRENGTH), (sums[f"bad_{k}_{v}"] + STRENGTH * PRIOR_BAD[v]) / (bad + STRENGTH)) for v in (1, 0, -1)}
-            for k in names
-        }
-        for r in rates.values():
-            r[-1] = (min(r[-1][0], MOST_WRONG), max(r[-1][1], LEAST_RIGHT))
-        good = min(0.95, max(0.2, sums["good"] / sums["all"]))
     return rates, good
 
 
@@ -124,7 +135,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The columns of measures(), a vote_* column for each rule, base_failed, quality (posterior probability) and kept.
 
     A row with fewer than 50 words, or more than half of them in repeated windows of three words, fails the base and isn't kept.
-    Repeated rows are judged each; an empty table gives no rows.
+    A null text counts as empty; texts of any length are measured whole; repeated rows are judged each, and equally; ids may be null;
+    an empty table gives no rows; other columns are left out, whatever their names.
     """
     scratch, votes = Scratch(docs.sparkSession, "rules"), rules()
     names = [f"vote_{k}" for k in votes]
