@@ -23,7 +23,7 @@ from .links import components
 #: Members of a group of several blocks that all its blocks see, on average.
 PIVOTS = 16
 #: Members outside the largest component that are held against a block at once.
-OUTSIDE = 4096
+OUTSIDE = 512
 
 
 class Members:

@@ -31,8 +31,8 @@ from .common import Scratch, arrow_map, ascii_lower_words, hash_memo, hashes, he
 COORDINATES, SLOTS = 192, 1 << 21
 #: Chance, at most, that a pair exactly at the threshold shares no band; and that its signatures agree too seldom.
 MISS = 1e-6
-#: Members of a bucket, and shingles of a family, that are looked at in one piece.
-BUCKET_BLOCK, FAMILY_BLOCK = 4096, 1_000_000
+#: Members of a bucket or family, and shingles of a family, that are looked at in one piece.
+BLOCK, FAMILY_BLOCK = 512, 1_000_000
 
 
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = scratch.keep(buckets.join(shared, "key"), "met")
     facts = scratch.keep(classes.select("node", "n", "marks").join(met.select("node").distinct(), "node"), "facts")
-    members = met.select("key", "node", "members", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks")).join(facts, "node")
+    members = met.select("key", "node", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).join(facts, "node")
     families = linked(members, scratch, percent, least)
     scratch.drop(met, facts)
 
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     chosen = named.select(F.col("first.id").alias("of"), F.col("first.h").alias("fh"))
     own = rows.join(chosen.hint("shuffle_hash"), rows["id"].eqNullSafe(chosen["of"]) & (rows["h"] == chosen["fh"]), "left_semi").select("id", "text")
     sets = scratch.keep(_sets(own, width).dropDuplicates(["node"]), "sets")
-    sized = named.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    sized = named.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / FAMILY_BLOCK)).cast("int").alias("blocks"))
     relatives = named.select(F.col("root").alias("key"), "node", "n", "marks").join(sized.withColumnRenamed("root", "key"), "key").join(sets, "node")
     roots = linked(relatives, scratch, percent, least)
     scratch.drop(sets, families)

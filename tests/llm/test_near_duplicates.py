@@ -97,7 +97,7 @@ def test_groups_cut_into_small_blocks_have_the_same_links(spark, monkeypatch):
         for _ in range(rng.choice((1, 2, 3))):
             w[rng.randrange(len(w))] = rng.choice(words)
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(near_duplicates_module, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_duplicates_module, "BLOCK", 8)
     monkeypatch.setattr(near_duplicates_module, "FAMILY_BLOCK", 600)
     monkeypatch.setattr(blocks, "PIVOTS", 2)
     monkeypatch.setattr(blocks, "OUTSIDE", 5)
