@@ -5,6 +5,10 @@ hold toxic ones at an unknown place. A linear numpy classifier minimises
     prior * R(positives, +1) + max(0, R(unlabelled, -1) - prior * R(positives, -1)),
 the risk corrected for the class prior; where the bracket falls below zero the gradient is
 turned round, so that it can't be driven negative by over-fitting.
+
+A pilot is fitted on bounded samples of labelled rows: positives, and rows with any label, which isn't looked at. Then all
+unlabelled rows of the corpus have their say: the risk's gradient and a bound of its curvature are summed in the tasks over every
+row, and each weight takes one step by them.
 """
 
 from __future__ import annotations
@@ -15,14 +19,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, held, short_batches, texts_of
-from .training import SCALE, bounded
+from .common import Memo, Scratch, arrow_map, held, short_batches, texts_of
+from .training import bounded
 
-#: Hashed features; rows of each kind that a classifier is fitted on, at most.
-BUCKETS, MAX_POSITIVE, MAX_UNLABELLED = 1 << 18, 4000, 8000
+#: Hashed features; labelled rows that the pilot is fitted on, at most: positives, and rows of any label.
+BUCKETS, MAX_POSITIVE, MAX_MIXED = 1 << 18, 4000, 8000
+#: Tasks that sum up the gradients of all others.
+SUMS = 64
 
 #: Log odds that the bias is raised by after fitting, at most.
 MOST_LIFT = 1.0
@@ -149,12 +156,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str = "toxic", prior: float | None = None, id_col: str = "doc_id",
-          text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fits on about max_positive confirmed toxic and max_unlabelled other rows of docs at most, chosen by a hash of the id.
+          text_col: str = "text", max_positive: int = MAX_POSITIVE, max_mixed: int = MAX_MIXED) -> Model:
+    """Fits a pilot on about max_positive confirmed toxic and max_mixed labelled rows of docs at most, chosen by a hash of the id, and
+    improves it by all rows.
 
     in_training: a condition on the id. Labels other than 1 are used for the class prior alone (the share
-    of 1 among them, unless prior is given); a row without a label counts as unlabelled. The driver receives the sampled rows'
-    features, never more.
+    of 1 among them, unless prior is given): to both fits every row but the positives is unlabelled. The driver receives the sampled
+    rows' features and SUMS sums, never more. Rows without an id are unlabelled; a null text has no words. Without positives
+    or without rows every text scores low.
     """
     short_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).where(in_training).groupBy(id_col).agg(F.max(label).alias("y"))
@@ -162,32 +171,102 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
     total, ones = sum(r["count"] for r in n), sum(r["count"] for r in n if r["y"] == 1)
     if not ones:
         return fit([], [], 0.5)
-    chosen = bounded(known.where("y = 1"), F.col(id_col), max_positive).select(F.col(id_col).alias("id"), F.lit(1).alias("y"))
-    rows = docs.where(in_training).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    share = min(SCALE, int(SCALE * max_unlabelled / max(1, rows.count())))
-    free = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SCALE)) < share
-    mixed = rows.join(F.broadcast(chosen), "id", "left").where(free | F.col("y").isNotNull()).select("text", F.coalesce("y", F.lit(0)).alias("y"), free.alias("free"))
+    prior = prior or min(0.5, max(0.001, ones / total))
+    key = F.col(id_col)
+    chosen = bounded(known.where("y = 1"), key, max_positive).select(key.alias("id"), F.lit(1).alias("y"), F.lit(0).alias("mixed"))
+    chosen = chosen.union(bounded(known, key, max_mixed, 1).select(key, F.lit(0), F.lit(1))).groupBy("id").agg(F.max("y").alias("y"), F.max("mixed").alias("mixed"))
+    rows = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = rows.join(F.broadcast(chosen), "id").select("text", "y", "mixed")
 
     def start():
         memo = held(feature_memo)
 
         def work(batch: pa.RecordBatch) -> dict:
-            return {"x": [features(t, memo).tobytes() for t in texts_of(batch)], "y": batch.column(1), "free": batch.column(2)}
+            return {"x": [features(t, memo).tobytes() for t in texts_of(batch)], "y": batch.column(1), "mixed": batch.column(2)}
 
         return work
 
-    got = arrow_map(mixed, "x binary, y int, free boolean", start).toPandas()
+    got = arrow_map(sample, "x binary, y int, mixed int", start).toPandas()
     x = [np.frombuffer(v, np.int32) for v in got["x"]]
-    positive = [v for v, y in zip(x, got["y"], strict=True) if y == 1]
-    unlabelled = [v for v, f in zip(x, got["free"], strict=True) if f]
     order = lambda rows: sorted(rows, key=lambda v: (len(v), v.tobytes()))  # noqa: E731  whatever order the tasks ended in
-    return fit(order(positive), order(unlabelled), prior or min(0.5, max(0.001, ones / total)))
+    positive, mixed = (order([v for v, y in zip(x, got[k], strict=True) if y]) for k in ("y", "mixed"))
+    del got, x
+    pilot = fit(positive, mixed, prior)
+    return improved(pilot, positive, docs.where(F.coalesce(in_training, F.lit(True))), prior, text_col)
+
+
+def risk_sums(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all rows of docs, for the bias and then each feature with a weight: the sum of scores s, and the sum of s * (1 - s) times the number of the row's
+    active features. The third array holds the number of rows and the sum of the loss of taking them for negative."""
+    support = np.flatnonzero(model.weights).astype(np.int32)
+    weights, bias = model.weights[support], model.bias
+
+    def local(batches):
+        memo, number = held(feature_memo), np.full(BUCKETS, -1, np.int32)
+        number[support] = np.arange(1, len(support) + 1)
+        own = np.concatenate([[bias], weights])
+        s1, s2, facts = np.zeros(len(own)), np.zeros(len(own)), np.zeros(2)
+        for batch in batches:
+            found = [number[features(t, memo)] for t in texts_of(batch)]
+            found = [np.concatenate([[0], f[f >= 0]]) for f in found]  # the bias is always active
+            n = np.array([len(f) for f in found])
+            flat, row = np.concatenate(found), np.repeat(np.arange(len(found)), n)
+            z = np.clip(np.bincount(row, own[flat], len(found)), -30, 30)
+            s = 1 / (1 + np.exp(-z))
+            s1 += np.bincount(flat, s[row], len(own))
+            s2 += np.bincount(flat, (s * (1 - s) * n)[row], len(own))
+            facts += len(found), np.logaddexp(0, z).sum()
+        yield _packed(TaskContext.get().partitionId(), np.concatenate([s1, s2, facts]))
+
+    def summed(batches):
+        total, part = None, 0
+        for batch in batches:
+            for part, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(x, np.float64)
+                total = x if total is None else total + x
+        if total is not None:
+            yield _packed(part, total)
+
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(local, "part int, sums binary")
+    scratch = Scratch(docs.sparkSession, "risk")
+    sums = scratch.keep(sums, "sums").repartition(SUMS, F.col("part") % SUMS).sortWithinPartitions("part").mapInArrow(summed, "part int, sums binary")
+    rows = sorted(sums.collect(), key=lambda r: r["part"])
+    size = 1 + len(support)
+    total = np.sum([np.frombuffer(r["sums"], np.float64) for r in rows], axis=0) if rows else np.zeros(2 * size + 2)
+    return total[:size], total[size : 2 * size], total[2 * size :]
+
+
+def _packed(part: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["part", "sums"])
+
+
+def improved(model: Model, positive: list[np.ndarray], docs: DataFrame, prior: float, text_col: str = "text") -> Model:
+    """One step on the risk with all rows of docs as the unlabelled ones.
+
+    A row's curvature s * (1 - s), spread over its active features, is a bound: divided by it, all weights can move at once without
+    passing the minimum. Where the bracket of the risk is below zero there, the model stays as it is.
+    """
+    support = np.flatnonzero(model.weights)
+    if not len(positive) or not len(support):
+        return model
+    s1, s2, (n, loss) = risk_sums(docs, model, text_col)
+    rows = _Rows(positive)
+    z = np.clip(model.bias + np.bincount(np.repeat(np.arange(len(rows.sizes)), rows.sizes), model.weights[rows.flat], len(rows.sizes)), -30, 30)
+    if not n or loss / n < prior * np.logaddexp(0, z).mean():
+        return model
+    # the gradient is the mean of s over the rows less the prior's share of the positives, for each active feature
+    often = np.concatenate([[1.0], np.bincount(rows.flat, minlength=BUCKETS)[support] / len(positive)])
+    step = (s1 / n - prior * often) / (s2 / n + 1e-6)
+    weights = model.weights.copy()
+    weights[support] -= np.clip(step[1:], -1, 1)
+    return Model(weights, model.bias - float(np.clip(step[0], -1, 1)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1, higher: likelier toxic) of each row of docs, from its whole text alone.
 
-    A null or empty text gets the score of a text without words; repeated rows are scored each; other columns are left out.
+    A null or empty text gets the score of a text without words; texts of any length are read whole; repeated rows are scored each, and equally;
+    ids may be null; an empty table gives no rows; other columns are left out, whatever their names.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -204,7 +283,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below `limit`; nothing is joined or shuffled."""
+    """The rows of docs, with all their columns, whose text scores below `limit`; nothing is joined or shuffled.
+
+    Null and empty texts are judged as texts without words, repeated rows each; an empty table stays empty.
+    """
     short_batches(docs.sparkSession)
     kept = docs.schema
     at = docs.columns.index(text_col)

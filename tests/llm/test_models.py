@@ -36,6 +36,31 @@ def test_toxic_words_are_learned_from_positives_and_unlabelled_texts(spark):
     assert toxicity.train(docs, labels.limit(0), F.lit(True)).score(np.zeros(0, np.int32)) < 0.5
 
 
+def test_risk_sums_and_the_step_equal_plain_loops(spark):
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(0, 30)) for _ in range(200)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    memo = toxicity.feature_memo()
+    known = sorted({int(f) for t in texts[:40] for f in toxicity.features(t, memo)})[:50]
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    weights[known] = np.random.default_rng(1).normal(0, 1, len(known)) + 1
+    model = toxicity.Model(weights, -1.5)
+    s1, s2, loss = np.zeros(1 + len(known)), np.zeros(1 + len(known)), 0.0
+    for t in texts:
+        own = [0, *[1 + known.index(f) for f in toxicity.features(t, memo).tolist() if f in known]]
+        s = model.score(toxicity.features(t, memo))
+        loss -= np.log(1 - s)
+        for f in own:
+            s1[f] += s
+            s2[f] += s * (1 - s) * len(own)
+    got = toxicity.risk_sums(docs, model)
+    assert np.allclose(got[0], s1) and np.allclose(got[1], s2) and got[2][0] == len(texts) and abs(got[2][1] - loss) < 1e-3
+    positive = [toxicity.features(t, memo) for t in texts[:20]]
+    better = toxicity.improved(model, positive, docs, 0.3)
+    risk = lambda m: np.mean([-np.log(1 - m.score(toxicity.features(t, memo))) for t in texts]) - 0.3 * np.mean([m.bias + m.weights[x].sum() for x in positive])
+    assert risk(better) < risk(model)
+
+
 def test_risk_is_not_driven_below_zero():
     rng = np.random.default_rng(0)
     positive = [np.array([1, *rng.integers(10, 60, 5)], np.int32) for _ in range(300)]
