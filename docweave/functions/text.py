@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from docweave.config import DEFAULTS, PRONOUNS
 #: Where a sentence ends (fixed pattern): after an ideographic mark or line end, or after . ? ! and white space, unless an
 #: abbreviation, a capital or a digit stands before it.
 SENTENCE_END = r"(?<![A-Z][a-z])(?<![A-Z])(?<!e\.g)(?<!i\.e)(?<!vs)(?<!\d)([。！？；…\n]|\.\s|\?\s|!\s)"
-_MARK = "\u0001"
+#: Marks the ends while a text is split; where a text holds it, it is written as ESCAPE and another mark meanwhile.
+_MARK, _ESCAPE, _ESCAPED = "\u0001", "\u0002", ("\u0003", "\u0004")
 
 
 def strip(text: Column) -> Column:
@@ -20,7 +23,10 @@ def strip(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of sentences, delimiters and spaces kept: joined they are the text. Empty for an empty text, null for null."""
-    return F.filter(F.split(F.regexp_replace(text, f"(?U){SENTENCE_END}", f"$1{_MARK}"), _MARK), lambda s: s != "")
+    split = lambda t: F.filter(F.split(F.regexp_replace(t, f"(?U){SENTENCE_END}", f"$1{_MARK}"), _MARK), lambda s: s != "")
+    safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + _ESCAPED[0])), F.lit(_MARK), F.lit(_ESCAPE + _ESCAPED[1]))
+    back = lambda s: F.replace(F.replace(s, F.lit(_ESCAPE + _ESCAPED[1]), F.lit(_MARK)), F.lit(_ESCAPE + _ESCAPED[0]), F.lit(_ESCAPE))
+    return F.when(text.rlike(f"[{_MARK}{_ESCAPE}]"), F.transform(split(safe), back)).otherwise(split(text))
 
 
 def clean_sentences(parts: Column) -> Column:
@@ -28,37 +34,52 @@ def clean_sentences(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chunks(parts: Column, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> Column:
     """Chunks of whole sentences. A sentence of `size` characters or more stands alone; a chunk that would pass `size` is
-    closed, and the next begins with its last sentences of at most `overlap` characters together."""
-    empty = F.array().cast("array<string>")
-    state = F.struct(empty.alias("open"), F.lit(0).alias("n"), empty.alias("done"))
-    joined = lambda a: F.array_join(a, "")
+    closed, and the next begins with its last sentences of at most `overlap` characters together.
+
+    The fold over the sentences carries places and lengths only: `a` is where the open chunk begins, `i` the sentence at hand (from 1), `n` the open
+    chunk's length, `cuts` where closed chunks begin and how many sentences they have.
+    """
+
+    def fold(lengths: Column) -> Column:
+        def kept(a: Column, i: Column) -> Column:
+            """Sentences before i, back to a at most, that fit the overlap, and their length."""
+            start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("more"))
 
-    def tail(parts: Column) -> Column:
-        start = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("more"))
+            def take(s: Column, n: Column) -> Column:
+                fits = s["more"] & (s["n"] + n <= overlap)
+                return F.struct((s["k"] + fits.cast("int")).alias("k"), F.when(fits, s["n"] + n).otherwise(s["n"]).alias("n"), fits.alias("more"))
 
-        def take(s: Column, p: Column) -> Column:
-            fits = s["more"] & (s["n"] + F.length(p) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(p), s["kept"])).otherwise(s["kept"]).alias("kept"), F.when(fits, s["n"] + F.length(p)).otherwise(s["n"]).alias("n"), fits.alias("more"))
+            return F.aggregate(F.reverse(F.slice(lengths, F.greatest(a, i - (overlap + 1)), i - F.greatest(a, i - (overlap + 1)))), start, take)
 
-        return F.aggregate(F.reverse(parts), start, take)
+        def step(s: Column, n: Column) -> Column:
+            i, alone, full = s["i"], n >= size, s["n"] + n > size
+            own = F.array(F.struct(s["a"].alias("a"), (i - s["a"]).alias("k")))
+            closed = F.when((alone | full) & (i > s["a"]), F.concat(s["cuts"], own)).otherwise(s["cuts"])
+            cuts = F.when(alone, F.concat(closed, F.array(F.struct(i.alias("a"), F.lit(1).alias("k"))))).otherwise(closed)
+            back = F.when(full & ~alone, kept(s["a"], i))
+            return F.transform(
+                F.array(back),
+                lambda k: F.struct(
+                    (i + 1).alias("i"), F.when(alone, i + 1).when(full, i - k["k"]).otherwise(s["a"]).alias("a"),
+                    F.when(alone, F.lit(0)).when(full, k["n"] + n).otherwise(s["n"] + n).alias("n"), cuts.alias("cuts")),
+            )[0]
 
-    def step(s: Column, p: Column) -> Column:
-        n = F.length(p)
-        flushed = F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(joined(s["open"])))).otherwise(s["done"])
-        kept = tail(s["open"])
-        return (
-            F.when(n >= size, F.struct(empty.alias("open"), F.lit(0).alias("n"), F.concat(flushed, F.array(p)).alias("done")))
-            .when(s["n"] + n > size, F.struct(F.concat(kept["kept"], F.array(p)).alias("open"), (kept["n"] + n).alias("n"), flushed.alias("done")))
-            .otherwise(F.struct(F.concat(s["open"], F.array(p)).alias("open"), (s["n"] + n).alias("n"), s["done"].alias("done")))
-        )
+        first = F.struct(F.lit(1).alias("i"), F.lit(1).alias("a"), F.lit(0).alias("n"), F.array().cast("array<struct<a:int,k:int>>").alias("cuts"))
+        last = lambda s: F.when(s["i"] > s["a"], F.concat(s["cuts"], F.array(F.struct(s["a"].alias("a"), (s["i"] - s["a"]).alias("k"))))).otherwise(s["cuts"])
+        return F.aggregate(lengths, first, step, last)
 
-    def finish(s: Column) -> Column:
-        every = F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(joined(s["open"])))).otherwise(s["done"])
-        return F.filter(F.transform(every, strip), lambda c: c != "")
+    def cut(p: Column) -> Column:
+        found = _bound(F.transform(p, lambda s: F.length(s)), fold)
+        return F.filter(F.transform(found, lambda c: strip(F.array_join(F.slice(p, c["a"], c["k"]), ""))), lambda c: c != "")
 
-    return F.aggregate(parts, state, step, finish)
+    return _bound(parts, cut)
 
 
 def windows(parts: Column, size: int = DEFAULTS.window_sentences, overlap: int = DEFAULTS.window_overlap) -> Column:
@@ -87,7 +108,8 @@ def low_quality(text: Column) -> Column:
 
 
 def has_pronoun(sentence: Column, lexicon: tuple[str, ...] = PRONOUNS) -> Column:
-    return sentence.rlike("|".join(lexicon))
+    """Whether a sentence holds a word of the lexicon, each taken literally."""
+    return sentence.rlike("|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in lexicon))
 
 
 def code_mentions(sentence: Column) -> Column:
