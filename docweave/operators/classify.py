@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,24 @@ def prototypes(members: DataFrame, kg: str = "kg_id", vector: str = "vector") ->
     return V.mean_vectors(members, [kg], vector, "prototype").drop("n").join(counts, kg, "right")
 
 
+def membership_keys(members: DataFrame, kg: str = "kg_id", doc: str = "doc_id") -> DataFrame:
+    """kg and members_key: equal for equal sets of member names. Combined in the tasks, so a collection may have any number of members."""
+    names = members.select(kg, F.col(doc).cast("string").alias("d")).distinct()
+    parts = [F.hex(F.bit_xor(F.xxhash64("d", F.lit(i)))) for i in range(2)]
+    return names.groupBy(kg).agg(F.concat_ws(":", F.count("*").cast("string"), *parts).alias("members_key"))
+
+
+def cached_prototypes(members: DataFrame, cache: DataFrame, kg: str = "kg_id", doc: str = "doc_id", vector: str = "vector") -> DataFrame:
+    """kg, members_key, prototype, member_count and cached: taken from the cache (of the same columns but the last) where the members' names are
+    the same and it holds a prototype, else worked out anew. The result without `cached` is the next cache."""
+    keys = membership_keys(members, kg, doc)
+    good = cache.where(F.col("prototype").isNotNull()).select(kg, "members_key", "prototype", "member_count")
+    kept = keys.join(good, [kg, "members_key"])
+    stale = members.join(kept.select(kg), kg, "left_anti")
+    fresh = prototypes(stale, kg, vector).join(keys, kg).select(kg, "members_key", "prototype", "member_count")
+    return kept.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
+
+
 def scores(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: str = "kg_id") -> DataFrame:
     """Cosine of every document (doc, vector) with every prototype. Norms are worked out once for each side; prototypes
     are one row for each collection and are broadcast up to BROADCAST_ROWS of them."""
@@ -49,14 +68,18 @@ def best(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", min_score: float = -1.0) -> DataFrame:
-    """Exact top k by cosine of a stated, bounded set of queries (broadcast) against all items; ties by item.
+    """Exact top k by cosine of a stated set of queries against all items; ties by item. Up to BROADCAST_ROWS queries
+    are broadcast; more are compared in blocks of that many, each block broadcast in its turn.
 
     Every task keeps k rows for each query before the shuffle (a partial top-k by max_by on structs would keep one; a window over
     query and a salt keeps k), so a query's candidates never meet in one task.
     """
-    q = F.broadcast(queries.select(query, F.col("vector").alias("qv"), V.norm(F.col("vector")).alias("qn")))
+    q = queries.select(query, F.col("vector").alias("qv"), V.norm(F.col("vector")).alias("qn"))
     i = items.select(item, "vector", V.norm(F.col("vector")).alias("n"))
-    scored = i.crossJoin(q).select(query, item, V.cosine(F.col("vector"), F.col("qv"), F.col("n"), F.col("qn")).alias("score")).where(F.col("score") >= min_score)
+    score = V.cosine(F.col("vector"), F.col("qv"), F.col("n"), F.col("qn")).alias("score")
+    blocks = -(-q.count() // BROADCAST_ROWS)
+    parts = [q] if blocks < 2 else [q.where(F.pmod(F.xxhash64(query), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
+    scored = reduce(DataFrame.union, [i.crossJoin(F.broadcast(p)).select(query, item, score) for p in parts]).where(F.col("score") >= min_score)
     order = [F.desc("score"), F.col(item)]
     salted = scored.withColumn("salt", F.pmod(F.xxhash64(item), F.lit(32)))
     first = salted.withColumn("r", F.row_number().over(Window.partitionBy(query, "salt").orderBy(*order))).where(F.col("r") <= k)

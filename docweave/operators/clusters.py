@@ -4,43 +4,33 @@ With one neighbour as core size, mutual reachability is the plain distance, and
 hierarchy is that of single linkage: the minimum spanning tree, condensed at a least cluster size, cut by
 excess of mass. From `reduce_from` points on, vectors are first reduced by principal components
 (in place of a manifold method that isn't at hand, so labels there are our own).
+
+Means and covariances are summed in the tasks. The spanning tree grows in rounds, each of which finds every component's
+nearest neighbour outside it, block against block of a pool, and joins the components: so pools of any size are shared out. Only
+the tree, one edge a point, comes together for the labels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.config import DEFAULTS
+from docweave.lineage import cut
+from docweave.operators.components import components
 
-#: Points of a pool that one task clusters; a larger pool is first dealt out by its nearest of some pivots.
-MAX_POOL = 4000
-
+#: Points of a pool that are held against as many others in one task.
+BLOCK = 1000
 
-def spanning_tree(x: np.ndarray) -> np.ndarray:
-    """(a, b, distance) rows of the minimum spanning tree, by Prim's method, a row of distances at a time."""
-    n = len(x)
-    best, link, left, at = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0
-    out = []
-    for _ in range(n - 1):
-        left[at] = False
-        d = np.sqrt(((x - x[at]) ** 2).sum(1))
-        closer = left & (d < best)
-        best[closer], link[closer] = d[closer], at
-        at = int(np.where(left, best, np.inf).argmin())
-        out.append((link[at], at, best[at]))
-    return np.array(out).reshape(-1, 3)
 
-
-def density_labels(x: np.ndarray, least: int = DEFAULTS.cluster_min_size) -> np.ndarray:
-    """A label for each point, -1 for noise."""
-    n = len(x)
+def tree_labels(n: int, tree: np.ndarray, least: int = DEFAULTS.cluster_min_size) -> np.ndarray:
+    """A label for each of n points, -1 for noise, from the (a, b, distance) rows of their minimum spanning tree, in order of distance."""
     if n < least:
         return np.full(n, -1)
-    tree = spanning_tree(x)
-    tree = tree[np.argsort(tree[:, 2], kind="stable")]
     # single linkage: node n + k joins two nodes at a distance
     parent, size, top = list(range(n)), [1] * n + [0] * (n - 1), list(range(n))
     children, height = {}, {}
@@ -113,31 +103,108 @@ def density_labels(x: np.ndarray, least: int = DEFAULTS.cluster_min_size) -> np.
     return labels
 
 
-def reduced(x: np.ndarray, to: int) -> np.ndarray:
-    """Principal components, signs fixed by the largest entry."""
-    centred = x - x.mean(0)
-    _, _, v = np.linalg.svd(centred, full_matrices=False)
-    v = v[:to] * np.sign(v[:to][np.arange(len(v[:to])), np.abs(v[:to]).argmax(1)])[:, None]
-    return centred @ v.T
+def principal_axes(rows: DataFrame, pool: str, vector: str = "vector") -> DataFrame:
+    """pool, mean and axes (the leading eigenvectors of its covariance, signs fixed by the largest entry) of each pool with `reduce_from` vectors and more.
+
+    Tasks add up counts, sums and products first, one row for each pool they meet.
+    """
+    kind = rows.schema[pool].dataType.simpleString()
+    schema = f"{pool} {kind}, n long, s array<double>, ss array<double>"
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for key, g in f.groupby(pool, dropna=False, sort=False):
+                x = np.stack([np.asarray(v, float) for v in g[vector]])
+                out.append((key, len(x), x.sum(0), (x.T @ x).ravel()))
+            yield pd.DataFrame(out, columns=[pool, "n", "s", "ss"])
+
+    def axes(g: pd.DataFrame) -> pd.DataFrame:
+        n = int(g["n"].sum())
+        mean = np.sum(np.stack(g["s"]), 0) / n
+        square = np.sum(np.stack(g["ss"]), 0).reshape(len(mean), -1) / n - np.outer(mean, mean)
+        values, v = np.linalg.eigh(square)
+        v = v[:, np.argsort(-values, kind="stable")[: min(DEFAULTS.reduce_to, n - 2)]].T
+        v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
+        return pd.DataFrame({pool: g[pool].iloc[:1], "mean": [mean], "axes": [v.tolist()]})[: int(n >= DEFAULTS.reduce_from)]
+
+    sums = rows.where(F.col(vector).isNotNull()).select(pool, vector).mapInPandas(partial, schema)
+    return sums.groupBy(pool).applyInPandas(axes, f"{pool} {kind}, mean array<double>, axes array<array<double>>")
+
+
+def nearest_outside(mine: pd.DataFrame, others: pd.DataFrame) -> list[tuple]:
+    """For each component of mine its nearest pair with a point of another component: component, distance, and the pair, the smaller item first."""
+    x, y = np.stack(mine["x"].to_numpy()), np.stack(others["x"].to_numpy())
+    code = {c: i for i, c in enumerate(pd.unique(pd.concat([mine["c"], others["c"]])))}
+    cx, cy = mine["c"].map(code).to_numpy(), others["c"].map(code).to_numpy()
+    d = np.sqrt(np.maximum(0, ((x[:, None] - y[None]) ** 2).sum(2) if x.shape[1] <= 8 else (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+    d[cx[:, None] == cy[None]] = np.inf
+    best: dict = {}
+    for i in np.flatnonzero(np.isfinite(d.min(1))):
+        low = d[i].min()
+        a, c = mine["item"].iloc[i], mine["c"].iloc[i]
+        for j in np.flatnonzero(d[i] == low):
+            b = others["item"].iloc[j]
+            found = (float(low), min(a, b), max(a, b))
+            if c not in best or found < best[c]:
+                best[c] = found
+    return [(c, *v) for c, v in best.items()]
+
+
+def spanning_trees(points: DataFrame, pool: str) -> DataFrame:
+    """pool, d, a and b of the edges of each pool's minimum spanning tree. points: pool, item, x, blocks. Ties go to the smaller items,
+    so the edges that the components choose make no circle."""
+    kind = {c: points.schema[c].dataType.simpleString() for c in (pool, "item")}
+    points = cut(points.select(pool, "item", "x", "blocks", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("block")), "points")
+    own = cut(points.select(pool, "item", F.col("item").alias("c")), "own")
+    schema = f"{pool} {kind[pool]}, c {kind['item']}, d double, a {kind['item']}, b {kind['item']}"
+    edges = None
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        mine, others = g[g["mine"]], g[~g["mine"]]
+        found = nearest_outside(mine, others) if len(mine) and len(others) else []
+        return pd.DataFrame([(g[pool].iloc[0], *f) for f in found], columns=[pool, "c", "d", "a", "b"])
+
+    upto = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    while True:
+        placed = points.join(own, [pool, "item"])
+        open_ = own.groupBy(pool).agg(F.countDistinct("c").alias("k")).where("k > 1").select(pool)
+        placed = placed.join(open_, pool)
+        columns = [pool, "item", "c", "x"]
+        both = placed.select(*columns, F.lit(True).alias("mine"), F.col("block").alias("i"), upto.alias("j")).unionByName(placed.select(*columns, F.lit(False).alias("mine"), upto.alias("i"), F.col("block").alias("j")))
+        near = both.groupBy(pool, "i", "j").applyInPandas(search, schema)
+        chosen = cut(near.groupBy(pool, "c").agg(F.min(F.struct("d", "a", "b")).alias("m")).select(pool, "c", "m.*"), "chosen")
+        if chosen.isEmpty():
+            return points.select(pool, F.lit(0.0).alias("d"), F.col("item").alias("a"), F.col("item").alias("b")).limit(0) if edges is None else edges
+        new = chosen.select(pool, "d", "a", "b").distinct()
+        edges = new if edges is None else edges.union(new)
+        # components joined by the chosen edges
+        at = lambda side: own.select(pool, F.col("item").alias(side), F.struct(pool, "c").alias(f"c_{side}"))  # noqa: B023, E731
+        joined = new.join(at("a"), [pool, "a"]).join(at("b"), [pool, "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        roots = components(joined).select(F.col(f"node.{pool}").alias(pool), F.col("node.c").alias("c"), F.col("root.c").alias("to"))
+        own = cut(own.join(roots, [pool, "c"], "left").select(pool, "item", F.coalesce("to", "c").alias("c")), "own")
 
 
 def cluster_pool(rows: DataFrame, pool: str, item: str, vector: str = "vector", least: int = DEFAULTS.cluster_min_size) -> DataFrame:
-    """pool, item and label for each row; rows without a vector are noise. A pool is one group, so it must hold MAX_POOL rows at most,
-    which is checked: split larger pools beforehand, e.g. by their nearest prototype."""
-    if rows.groupBy(pool).count().where(F.col("count") > MAX_POOL).limit(1).count():
-        raise ValueError(f"a pool has more than {MAX_POOL} rows")
+    """pool, item and label for each row, items being distinct within a pool; rows without a vector, and pools of fewer than `least` vectors, are noise."""
     kind = {c: rows.schema[c].dataType.simpleString() for c in (pool, item)}
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(item)
-        has = g[g[vector].notna()]
-        x = np.stack([np.asarray(v, float) for v in has[vector]]) if len(has) else np.zeros((0, 1))
-        if len(x) >= DEFAULTS.reduce_from:
-            x = reduced(x, min(DEFAULTS.reduce_to, len(x) - 2))
-        found = dict(zip(has[item], density_labels(x, least), strict=True))
-        return pd.DataFrame({pool: g[pool], item: g[item], "label": [int(found.get(i, -1)) for i in g[item]]})
-
-    return rows.select(pool, item, vector).groupBy(pool).applyInPandas(fold, f"{pool} {kind[pool]}, {item} {kind[item]}, label int")
+    has = rows.where(F.col(vector).isNotNull()).select(pool, F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    axes = cut(principal_axes(has, pool, "v"), "axes")
+    sizes = has.groupBy(pool).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    centred = F.zip_with("v", "mean", lambda a, m: a - m)
+    x = F.when(F.col("mean").isNull(), F.col("v")).otherwise(F.transform("axes", lambda w: F.aggregate(F.zip_with(w, centred, lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)))
+    points = cut(has.join(axes, pool, "left").join(sizes, pool).select(pool, "item", x.alias("x"), "blocks"), "points")
+    trees = spanning_trees(points, pool)
+
+    def fold(key, items: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        names = items["item"].sort_values().reset_index(drop=True)
+        number = pd.Series(range(len(names)), index=names)
+        edges = edges.sort_values(["d", "a", "b"])
+        tree = np.column_stack([number[edges["a"]], number[edges["b"]], edges["d"]]) if len(edges) else np.zeros((0, 3))
+        return pd.DataFrame({pool: [key[0]] * len(names), item: names, "label": tree_labels(len(names), tree, least)})
+
+    labels = points.select(pool, "item").groupBy(pool).cogroup(trees.groupBy(pool)).applyInPandas(fold, f"{pool} {kind[pool]}, {item} {kind[item]}, label int")
+    return labels.unionByName(rows.where(F.col(vector).isNull()).select(pool, item, F.lit(-1).alias("label")))
 
 
 def dominant_label(labels: DataFrame, pool: str) -> DataFrame:

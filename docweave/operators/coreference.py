@@ -20,23 +20,24 @@ def context(sentences: DataFrame, doc: str = "doc_id", at: str = "sentence_idx",
 
 def resolve(sentences: DataFrame, rewrite: Callable[[str, list[str], list[str]], str | None], doc: str = "doc_id", at: str = "sentence_idx", text: str = "sentence") -> DataFrame:
     """Sentences with a pronoun rewritten by rewrite(sentence, previous resolved, following), in order, each seeing what came of those
-    before it; the rest stay. A rewrite that fails or gives nothing keeps the sentence. One document is one ordered fold."""
+    before it; the rest stay. A rewrite that fails or gives nothing keeps the sentence; `error` tells how it failed. One document is one ordered fold."""
     before, after = DEFAULTS.context_before, DEFAULTS.context_after
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(at)
-        source, done, flags = g[text].tolist(), [], []
+        source, done, flags, errors = g[text].tolist(), [], [], []
         for i, s in enumerate(source):
             has = any(p in (s or "") for p in PRONOUNS)
-            new = None
+            new = error = None
             if has:
                 try:
                     new = rewrite(s, done[-before:], source[i + 1 : i + 1 + after])
-                except Exception:
-                    new = None
+                except Exception as e:  # whatever a model's client raises; it is reported
+                    error = f"{type(e).__name__}: {e}"
             done.append(new or s)
             flags.append(has)
-        return pd.DataFrame({doc: g[doc], at: g[at], text: done, "has_pronoun": flags})
+            errors.append(error)
+        return pd.DataFrame({doc: g[doc], at: g[at], text: done, "has_pronoun": flags, "error": errors})
 
     kind = {c: sentences.schema[c].dataType.simpleString() for c in (doc, at)}
-    return sentences.select(doc, at, text).groupBy(doc).applyInPandas(fold, f"{doc} {kind[doc]}, {at} {kind[at]}, {text} string, has_pronoun boolean")
+    return sentences.select(doc, at, text).groupBy(doc).applyInPandas(fold, f"{doc} {kind[doc]}, {at} {kind[at]}, {text} string, has_pronoun boolean, error string")

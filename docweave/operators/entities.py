@@ -1,14 +1,15 @@
-"""Entity names: alias registries within documents, and resolution across them."""
+"""Entity names within documents: alias registries, mentions, edit ratios. Across documents: resolution.py."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.config import DEFAULTS, ENTITY_LABELS
+from docweave.config import ENTITY_LABELS
 from docweave.functions.text import code_mentions
 
 
@@ -29,11 +30,26 @@ class Registry:
                     return name
         return None
 
-    def resolve(self, at: int, form: str, kind: str) -> str:
+    def rows(self) -> list[tuple]:
+        """What the registry knows, in order: position, name, type, counts of forms, first sentence, sentences."""
+        return [(i, name, kind, dict(forms), at[0] if at else 0, list(at)) for i, (name, (kind, forms, at)) in enumerate(self.names.items())]
+
+    @classmethod
+    def restored(cls, rows: list[tuple]) -> Registry:
+        out = cls()
+        for _, name, kind, forms, _, at in sorted(rows, key=lambda r: r[0]):
+            out.names[name] = [kind, dict(forms), list(at)]
+        return out
+
+    def resolve(self, at: int, form: str, kind: str, ask: Callable[[str, list[str]], str | None] | None = None) -> str:
+        """The name that stands for a form from now on. `ask` is put a form that no rule matches, and all names; an answer that is no name means a new entity."""
         form = form.strip()
         if not form:
             raise ValueError("a mention is blank")
         name = self.match(form)
+        if name is None and ask is not None and self.names:
+            answer = ask(form, list(self.names))
+            name = answer if answer in self.names else None
         if name is None:
             self.names[form] = [kind, {form: 1}, [at]]
             return form
@@ -47,25 +63,55 @@ class Registry:
         return name
 
 
-def apply_registry(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Each sentence (doc, sentence_idx, sentence, forms: array<string>) with its forms replaced by the names known at that point.
+_KNOWN = "position int, name string, entity_type string, forms map<string,int>, first_seen int, occurrences array<int>"
 
-    Sentences of one document are one ordered fold; documents are independent.
-    """
+
+def registries(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The registry of each document after all its sentences (as in apply_registry()), a row for each name: doc, position, name, entity_type, counts
+    of its forms, the sentence it was first seen in, and all its sentences. To be stored, and to go on from."""
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        names, out = Registry(), []
+        names = Registry()
         for r in g.sort_values("sentence_idx").itertuples():
-            sentence = r.sentence
             for form in r.forms if r.forms is not None else ():
-                name = names.resolve(r.sentence_idx, form, "概念")
-                if name != form:
-                    sentence = sentence.replace(form, name)
-            out.append((getattr(r, doc), r.sentence_idx, sentence, len(names.names)))
-        return pd.DataFrame(out, columns=[doc, "sentence_idx", "sentence", "n_names"])
+                names.resolve(r.sentence_idx, form, "概念")
+        return pd.DataFrame([(getattr(r, doc), *row) for row in names.rows()], columns=[doc, "position", "name", "entity_type", "forms", "first_seen", "occurrences"])
+
+    return mentions.select(doc, "sentence_idx", "forms").groupBy(doc).applyInPandas(fold, f"{doc} {mentions.schema[doc].dataType.simpleString()}, {_KNOWN}")
 
+
+def resume_registry(mentions: DataFrame, known: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """apply_registry() for sentences that follow those from which `known` (see registries()) was made."""
     kind = mentions.schema[doc].dataType.simpleString()
-    return mentions.select(doc, "sentence_idx", "sentence", "forms").groupBy(doc).applyInPandas(fold, f"{doc} {kind}, sentence_idx int, sentence string, n_names int")
+
+    def fold(key, g: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r.position, r.name, r.entity_type, dict(r.forms), r.first_seen, [int(x) for x in r.occurrences]) for r in before.itertuples(index=False)]
+        return _applied(g, doc, Registry.restored(rows))
+
+    rows = mentions.select(doc, "sentence_idx", "sentence", "forms")
+    return rows.groupBy(doc).cogroup(known.groupBy(doc)).applyInPandas(fold, f"{doc} {kind}, sentence_idx int, sentence string, n_names int")
+
+
+def _applied(g: pd.DataFrame, doc: str, names: Registry, ask: Callable | None = None) -> pd.DataFrame:
+    out = []
+    for r in g.sort_values("sentence_idx").itertuples():
+        sentence = r.sentence
+        for form in r.forms if r.forms is not None else ():
+            name = names.resolve(r.sentence_idx, form, "概念", ask)
+            if name != form:
+                sentence = sentence.replace(form, name)
+        out.append((getattr(r, doc), r.sentence_idx, sentence, len(names.names)))
+    return pd.DataFrame(out, columns=[doc, "sentence_idx", "sentence", "n_names"])
+
+
+def apply_registry(mentions: DataFrame, doc: str = "doc_id", ask: Callable[[str, list[str]], str | None] | None = None) -> DataFrame:
+    """Each sentence (doc, sentence_idx, sentence, forms: array<string>) with its forms replaced by the names known at that point.
+
+    Sentences of one document are one ordered fold; documents are independent. ask: see Registry.resolve().
+    """
+    kind = mentions.schema[doc].dataType.simpleString()
+    rows = mentions.select(doc, "sentence_idx", "sentence", "forms")
+    return rows.groupBy(doc).applyInPandas(lambda g: _applied(g, doc, Registry(), ask), f"{doc} {kind}, sentence_idx int, sentence string, n_names int")
 
 
 def edit_ratio(a: str, b: str) -> float:
@@ -83,28 +129,6 @@ def edit_ratios(pairs: DataFrame, a: str, b: str, name: str = "ratio") -> DataFr
     return pairs.withColumn(name, ratio(a, b))
 
 
-def resolve_names(mentions: DataFrame, order: str = "ord", threshold: float = DEFAULTS.edit_ratio) -> DataFrame:
-    """entity (the first earlier name of the same kg_id and entity_type that is equal or has an edit ratio of at least
-    threshold, else the name itself) for each distinct name, in order of first appearance.
-
-    Names of one (kg_id, entity_type) block are one ordered fold over distinct names; blocks are independent.
-    """
-    names = mentions.groupBy("kg_id", "entity_type", "name").agg(F.min(order).alias("first"))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        known: list[str] = []
-        out = []
-        for r in g.sort_values(["first", "name"]).itertuples():
-            hit = r.name if r.name in known else next((k for k in known if edit_ratio(r.name, k) >= threshold), None)
-            if hit is None:
-                known.append(hit := r.name)
-            out.append((r.kg_id, r.entity_type, r.name, hit))
-        return pd.DataFrame(out, columns=["kg_id", "entity_type", "name", "entity"])
-
-    kind = {c: names.schema[c].dataType.simpleString() for c in names.columns}
-    return names.groupBy("kg_id", "entity_type").applyInPandas(fold, f"kg_id {kind['kg_id']}, entity_type {kind['entity_type']}, name string, entity string")
-
-
 def entity_type(label: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in ENTITY_LABELS.items() for x in kv])[label], F.lit("概念"))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.config import IMAGE_BASE_SCORES
@@ -15,6 +16,8 @@ CAPTION = r"(?:圖|附圖|Figure|Fig\.?)\s*[\.:：]?\s*(\d+(?:[-.]\d+)?)"
 REFERENCE = r"(?:如|見|參[見閱]|詳)?(?:上|下)?(?:圖|附圖|Figure|Fig\.?)\s*(\d+(?:[-.]\d+)?)\s*(?:所示|所述|說明|shows|illustrates)?"
 BYPASS = r"(如下圖|如上圖|下圖所示|上圖所示|圖\s*\d+\s*(?:所示|說明)|Figure\s*\d+\s*(?:shows|illustrates|below|above))"
 AUTO_PREFIX = "自補圖"
+#: The least width and height of an image that counts, in pixels as displayed, and the score from which a model looks at it (fixed values).
+SMALLEST, UPGRADE = 40.0, 60.0
 
 
 def coverage(images: DataFrame, boxes: DataFrame, page: str = "page_id", image: str = "image_id") -> DataFrame:
@@ -47,6 +50,67 @@ def forced(nearby: Column, full: Column, figure_id: Column, id_type: Column) ->
     return hit(nearby) | own | ((id_type == "auto") & hit(full))
 
 
+def mean_confidence(words: DataFrame, image: str = "image_id") -> DataFrame:
+    """image, ocr_text (its words in order) and ocr_confidence (mean of those of 0 and more; 0 without any) from (image, ord, word, confidence). Blank words are left out."""
+    seen = words.where(F.trim("word") != "")
+    mean = F.avg(F.when(F.col("confidence") >= 0, F.col("confidence")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.trim("word").alias("word")))), lambda x: x["word"]), " ")
+    return seen.groupBy(image).agg(text.alias("ocr_text"), F.coalesce(mean, F.lit(0.0)).alias("ocr_confidence"))
+
+
+def graphic_score(pixels: Column) -> Column:
+    """0 to 100: how much of an image is edges and straight lines, from its edge strengths (array of rows of numbers).
+
+    60 parts the share of edge pixels (above 40), 40 parts the share of rows and of columns with more than 30 % of them.
+    """
+    strong = lambda values: F.aggregate(F.transform(values, lambda v: (v > 40).cast("double")), F.lit(0.0), lambda a, x: a + x)
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+    lines = lambda shares: mean(F.transform(shares, lambda s: (s > 0.3).cast("double")))
+    rows = F.transform(pixels, lambda r: strong(r) / F.size(r))
+    columns = F.transform(F.sequence(F.lit(0), F.size(pixels[0]) - 1), lambda i: strong(F.transform(pixels, lambda r: r[i])) / F.size(pixels))
+    score = 100 * (0.6 * mean(rows) + 0.4 * (lines(rows) + lines(columns)) / 2)
+    return F.when((F.size(pixels) > 0) & (F.size(pixels[0]) > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+
+
+def text_block(figure_id: Column, caption: Column, ocr_text: Column, understanding: Column, score: Column, threshold: float = UPGRADE) -> Column:
+    """What stands for an image in the text: its number, its caption, and what a model or the OCR says of it."""
+    none = F.lit("（圖片無可辨識文字內容）")
+    note = F.when(score >= threshold, "，資訊可能不足").otherwise("")
+    said = F.coalesce(F.nullif(understanding, F.lit("")), F.lit(""))
+    body = F.when(said != "", F.concat(F.lit("圖像語義描述（來源: 本地圖理解模型）: "), said)).when(ocr_text != "", F.concat(F.lit("圖片 OCR 文字（來源: OCR"), note, F.lit("）: "), ocr_text)).otherwise(none)
+    return F.concat_ws("\n", F.concat(F.lit("[圖片:"), figure_id, F.lit("]")), F.when(caption != "", F.concat(F.lit("標題: "), caption)), body)
+
+
+def process(images: DataFrame, doc: str = "doc_id", model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The images of each document that are shown at SMALLEST pixels and more each way, numbered in reading order (by page, from the top), with score, upgraded
+    and block.
+
+    images: doc, page, image_id, y1, width, height (as displayed, in pixels), doc_type, caption, full_text, ocr_text, ocr_confidence, graphic, force. model gets
+    the rows that are upgraded (by their score, or forced) and adds a column `understanding`.
+    """
+    shown = images.where((F.col("width") >= SMALLEST) & (F.col("height") >= SMALLEST))
+    place = F.row_number().over(Window.partitionBy(doc).orderBy("page", F.desc("y1"), "image_id"))
+    ordered = shown.withColumn("ord", place)
+    numbered = number_figures(ordered, doc, "ord")
+    rows = ordered.join(numbered, [doc, "ord"])
+    rows = rows.withColumn("score", image_score(F.col("doc_type"), ocr_score(F.col("ocr_text"), F.col("ocr_confidence")), F.col("graphic")))
+    call = F.coalesce("force", F.lit(False)) | forced(F.col("caption"), F.col("full_text"), F.col("figure_id"), F.col("id_type"))
+    rows = rows.withColumn("upgraded", call | (F.col("score") >= UPGRADE))
+    if model is None:
+        rows = rows.withColumn("understanding", F.lit(None).cast("string"))
+    else:
+        rows = model(rows.where("upgraded")).select(*rows.columns, "understanding").unionByName(rows.where("not upgraded").withColumn("understanding", F.lit(None).cast("string")))
+    titled = F.when(F.coalesce("caption", F.lit("")).rlike(f"(?i){CAPTION}"), F.regexp_replace("caption", r"(?U)^\s+|\s+$", "")).otherwise("")
+    block = text_block(F.col("figure_id"), titled, F.coalesce("ocr_text", F.lit("")), F.col("understanding"), F.col("score"))
+    return rows.select(doc, "page", "image_id", "ord", "figure_id", "id_type", "match_source", "score", "upgraded", block.alias("block"))
+
+
+def page_blocks(processed: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, page and text: the blocks of a page's images, from the top, under a heading."""
+    blocks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "block"))), lambda b: b["block"]), "\n\n")
+    return processed.groupBy(doc, "page").agg(blocks.alias("b")).select(doc, "page", F.concat(F.lit("--- [第 "), F.col("page").cast("string"), F.lit(" 頁圖片解析] ---\n"), "b").alias("text"))
+
+
 def emu_to_px(emu: Column) -> Column:
     return emu / 9525.0
 
@@ -67,14 +131,19 @@ def reading_order(shapes: Column, tolerance: int = 228600) -> Column:
     """Array of struct(top, left, ...) in reading order: sorted by top, cut into rows that begin where a shape is further than
     the tolerance below its row's first, then by left within a row."""
     kind = F.array_sort(shapes, lambda a, b: F.when(a["top"] < b["top"], -1).when(a["top"] > b["top"], 1).otherwise(0))
-    first = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("long").alias("anchor"))
+    first = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("long").alias("anchor"), F.array().cast("array<int>").alias("rows"))
+
+    def step(s: Column, top: Column) -> Column:
+        new = s["anchor"].isNull() | (top - s["anchor"] > tolerance)
+        row = s["row"] + new.cast("int")
+        return F.struct(row.alias("row"), F.when(new, top).otherwise(s["anchor"]).alias("anchor"), F.concat(s["rows"], F.array(row)).alias("rows"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = s["anchor"].isNull() | (x["top"].cast("long") - s["anchor"] > tolerance)
-        return F.struct((s["row"] + new.cast("int")).alias("row"), F.when(new, x["top"].cast("long")).otherwise(s["anchor"]).alias("anchor"))
+    def placed(k: Column) -> Column:
+        rows = F.aggregate(F.transform(k, lambda x: x["top"].cast("long")), first, step, lambda s: s["rows"])
+        return F.transform(F.array_sort(F.zip_with(F.zip_with(k, F.sequence(F.lit(1), F.size(k)), lambda x, i: F.struct(x.alias("shape"), i.alias("i"))), rows,
+                           lambda x, r: F.struct(r.alias("row"), x["shape"]["left"].alias("left"), x["i"].alias("i"), x["shape"].alias("shape")))), lambda r: r["shape"])
 
-    rows = F.transform(kind, lambda x, i: F.struct(F.aggregate(F.slice(kind, F.lit(1), i + 1), first, step)["row"].alias("row"), x["left"].alias("left"), i.alias("i"), x.alias("shape")))
-    return F.transform(F.array_sort(rows), lambda r: r["shape"])
+    return F.when(F.size(shapes) > 0, F.transform(F.array(kind), placed)[0]).otherwise(shapes)
 
 
 def number_figures(images: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:

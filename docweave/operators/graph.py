@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.config import DEFAULT_ENTITY_TYPE, DEFAULTS, FALLBACK_RELATION, RELATIONS
+from docweave.lineage import cut
 
 TRIPLE = "subject STRING, subject_type STRING, rel_type STRING, verb STRING, object STRING, object_type STRING, confidence INT"
 
@@ -56,13 +57,28 @@ CITATION = ("source_doc_id", "source_svo_chunk_index", "source_sentence_start",
 
 def merge_facts(triples: DataFrame, dedupe: bool = False) -> DataFrame:
     """One fact for each (kg_id, subject, rel_type, object): citations in order of document and chunk, all of them
-    unless dedupe, and the largest confidence. Names stand for entities."""
+    unless dedupe, and the largest confidence. Names stand for entities. A fact's citations become one array: for facts with
+    very many, fact_edges() and citation_rows() hold the same in rows."""
     key = ["kg_id", "subject", "rel_type", "object"]
     rows = triples.dropDuplicates([*key, *CITATION]) if dedupe else triples
     cite = F.struct(*CITATION)
     return rows.groupBy(*key).agg(F.sort_array(F.collect_list(cite)).alias("citations"), F.max("confidence").alias("confidence"))
 
 
+def citation_rows(triples: DataFrame, dedupe: bool = False) -> DataFrame:
+    """The citations of all facts, a row each: the form for facts with any number of them."""
+    columns = ["kg_id", "subject", "rel_type", "object", *CITATION]
+    return triples.select(*columns).distinct() if dedupe else triples.select(*columns)
+
+
+def fact_edges(triples: DataFrame) -> DataFrame:
+    """One edge for each (kg_id, subject, rel_type, object): how many citations it has, its largest confidence and its last citation.
+    All of these are combined in the tasks before the shuffle, so that a fact may have any number of citations."""
+    last = F.max(F.struct(*CITATION)).alias("last")
+    edges = triples.groupBy("kg_id", "subject", "rel_type", "object").agg(F.count("*").alias("n_citations"), F.max("confidence").alias("confidence"), last)
+    return edges.select("kg_id", "subject", "rel_type", "object", "n_citations", "confidence", *[F.col(f"last.{c}").alias(f"last_{c}") for c in CITATION])
+
+
 def latest_citation(facts: DataFrame) -> DataFrame:
     last = F.element_at("citations", -1)
     return facts.select("*", *[last[c].alias(f"last_{c}") for c in CITATION])
@@ -93,6 +109,7 @@ def neighbourhood(facts: DataFrame, seeds: DataFrame, hops: int = 2, subject: st
     """The facts on any undirected path of at most `hops` edges from the seeds (a column `name`; blank ones are dropped), each once.
 
     hops - 1 rounds widen the set of reached entities by a semi-join of the edges with the last frontier; the facts touching it are the result.
+    Edges and frontiers are written tables, so that a round reads what the last one made.
     """
     if not 1 <= hops <= DEFAULTS.max_hops:
         raise ValueError(f"hops must be 1 to {DEFAULTS.max_hops}")
@@ -100,8 +117,13 @@ def neighbourhood(facts: DataFrame, seeds: DataFrame, hops: int = 2, subject: st
     edges = facts.select(F.col(subject).cast("string").alias("a"), F.col(object_).cast("string").alias("b")).distinct()
     both = edges.union(edges.select("b", "a"))
     reached = frontier
-    for _ in range(hops - 1):
+    if hops > 2:
+        both, reached = cut(both, "edges"), cut(frontier, "reached")
+        frontier = reached
+    for round_ in range(hops - 1):
         frontier = both.join(frontier, both["a"] == frontier["v"], "left_semi").select(F.col("b").alias("v")).distinct().join(reached, "v", "left_anti")
+        if round_ < hops - 2:
+            frontier = cut(frontier, "frontier")
         reached = reached.union(frontier)
     touched = lambda c: facts.join(reached, facts[c].cast("string") == reached["v"], "left_semi")
     return touched(subject).union(touched(object_)).distinct()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.lineage import cut
+from docweave.sources import tables
+
 KEY = ["kg_id", "source", "chunk_index"]
 
 
@@ -62,6 +65,26 @@ def set_progress(records: DataFrame, progress: DataFrame) -> DataFrame:
     return out.select("source", "total_sentences", checked.alias("normalization_progress"), done.alias("normalization_status"))
 
 
+def set_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Keeps (source, vector) in the records; a source without a record is passed over."""
+    return records.join(vectors.select("source", F.col("vector").alias("__v")), "source", "left").select(*[F.coalesce("__v", c).alias(c) if c == "document_vector" else F.col(c) for c in records.columns])
+
+
+def set_window_total(records: DataFrame, totals: DataFrame) -> DataFrame:
+    """Sets svo_total_chunks from (source, total); a source without a record is passed over, a negative total is an error when the result is read."""
+    checked = F.when(F.col("__t") < 0, F.raise_error(F.lit("a total is negative")).cast("int")).otherwise(F.coalesce(F.col("__t").cast("int"), "svo_total_chunks"))
+    out = records.join(totals.select("source", F.col("total").alias("__t")), "source", "left")
+    return out.select(*[checked.alias(c) if c == "svo_total_chunks" else F.col(c) for c in records.columns])
+
+
+def ensure_ready(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """The stored queue after a restart: if it can be read, what was being worked on is pending again; else the queue is rebuilt from the records. Stored and returned."""
+    ready = reset_stuck(tables.read(spark, path, "tasks")) if tables.readable(spark, path, "tasks") else rebuild(records)
+    ready = cut(ready, "tasks")
+    tables.write(ready, path, "tasks", None)
+    return tables.read(spark, path, "tasks")
+
+
 def append_assignment(records: DataFrame, assigned: DataFrame) -> DataFrame:
     """Appends (kg_id, kg_name, method, assigned_at) to each source's history, resets its extraction, and makes a record where there is none."""
     new = assigned.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("assigned_at", "kg_id", "kg_name", "method"))).alias("e"))
@@ -87,7 +110,17 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return newest.select(*keys, "r.*")
 
 
+def check_and_register(meta: DataFrame, provider: str, model: str, dim: int) -> DataFrame:
+    """The table of the embedding space (provider, model, dim) after a start with these settings: an empty one gets its row, an equal one
+    stays; rows of another space are an error when the table is read, as their vectors can't be compared with new ones."""
+    own = meta.sparkSession.createDataFrame([(provider, model, dim)], "provider string, model string, dim int")
+    same = F.col("provider").eqNullSafe(F.lit(provider)) & F.col("model").eqNullSafe(F.lit(model)) & F.col("dim").eqNullSafe(F.lit(dim))
+    message = F.format_string(f"vectors are from %s/%s (%s), not from {provider}/{model} ({dim})", "provider", "model", F.col("dim").cast("string"))
+    checked = meta.select(F.when(same, F.col("provider")).otherwise(F.raise_error(message).cast("string")).alias("provider"), "model", F.col("dim").cast("int").alias("dim"))
+    return checked.unionByName(own).distinct()
+
+
 def embedding_guard(meta: DataFrame, provider: str, model: str, dim: int) -> Column:
-    """registered (no row yet), ok, or mismatch; a condition to raise on is left to the caller."""
+    """registered (no row yet), ok, or mismatch, as a state; check_and_register() makes the row and raises."""
     same = (F.col("provider") == provider) & (F.col("model") == model) & (F.col("dim") == dim)
     return F.when(F.count("*") == 0, "registered").when(F.min(same.cast("int")) == 1, "ok").otherwise("mismatch")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from docweave.config import RELATIONS
 from docweave.functions import text as T
 from docweave.functions import vectors as V
-from docweave.operators import classify, clusters, coreference, entities, figures, graph, staging, tasks
+from docweave.operators import classify, clusters, coreference, entities, figures, graph, resolution, staging, tasks
 from docweave.session import ship
-from docweave.sources import web
+from docweave.sources import tables, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -358,7 +358,7 @@ def fact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TRIPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY kg_id, subject, rel_type, object ORDER BY source_doc_id DESC, source_svo_chunk_index DESC, verb DESC, confidence DESC) AS r FROM t)
 SELECT kg_id, subject, rel_type, object, source_doc_id AS last_source_doc_id, verb AS last_verb, confidence AS last_confidence FROM r WHERE r = 1""")
 def fact_latest_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.latest_citation(graph.merge_facts(_triples(spark, sf_dir))).select("kg_id", "subject", "rel_type", "object", "last_source_doc_id", "last_verb", "last_confidence")
+    return graph.fact_edges(_triples(spark, sf_dir)).select("kg_id", "subject", "rel_type", "object", "last_source_doc_id", "last_verb", "last_confidence")
 
 
 _MENTIONS = "m AS (SELECT CAST(l_suppkey % 4 AS INT) AS kg_id, l_partkey % 100 AS entity_id, repeat('x', CAST(l_quantity AS INT) % 4 + 1) || CAST(l_quantity AS INT) % 9 AS surface_form, l_orderkey AS doc_id FROM lineitem)"
@@ -453,13 +453,70 @@ def alias_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def entity_resolution_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return entities.resolve_names(p.select(F.col("p_brand").alias("kg_id"), F.col("p_size").alias("entity_type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")))
+    return resolution.resolve_names(p.select(F.col("p_brand").alias("kg_id"), F.col("p_size").alias("entity_type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")))
+
+
+@query("""WITH RECURSIVE v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+f AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS entity, CAST([] AS STRUCT(id BIGINT, e DOUBLE[])[]) AS known FROM v
+  UNION ALL
+  SELECT label, r, vec_id, coalesce(best.id, vec_id), CASE WHEN best IS NULL THEN list_append(known, {'id': vec_id, 'e': e}) ELSE known END
+  FROM (SELECT f.label, v.r, v.vec_id, v.e, f.known, list_filter(list_sort([{'c': -list_cosine_similarity(k.e, v.e), 'id': k.id} FOR k IN f.known]), lambda x: -x.c >= 0.88)[1] AS best FROM f JOIN v ON v.label = f.label AND v.r = f.r + 1))
+SELECT label AS kg_id, CAST(vec_id AS VARCHAR) AS name, CAST(entity AS VARCHAR) AS entity FROM f WHERE r > 0""")
+def entity_resolve_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names resolved by their vectors alone, in order."""
+    v = _vectors(spark, sf_dir).select(F.col("label").alias("kg_id"), F.lit("x").alias("entity_type"), F.col("vec_id").cast("string").alias("name"), F.col("vec_id").alias("ord"), "vector")
+    return resolution.resolve_names(v, edit=1.5, vector="vector").select("kg_id", "name", "entity")
+
+
+_SAID = """s AS (SELECT CAST(l_suppkey % 4 AS INT) AS kg_id, 'E' || l_partkey AS entity, CASE WHEN l_linenumber % 7 = 0 THEN 'E' || l_partkey ELSE 'E' || l_partkey || repeat('x', CAST(l_quantity AS INT) % 3) || CAST(l_quantity AS INT) % 2 END AS surface_form,
+'T' || l_partkey % 3 AS entity_type, CASE WHEN l_quantity < 3 THEN NULL ELSE l_orderkey % 5000 END AS doc_id, l_linenumber AS chunk_index FROM lineitem)"""
+_MERGED = f"""WITH {_SAID}, g AS (SELECT DISTINCT kg_id, entity, surface_form, doc_id, chunk_index FROM s WHERE doc_id IS NOT NULL),
+v AS (SELECT kg_id, entity, surface_form, count(DISTINCT doc_id) AS votes FROM g GROUP BY kg_id, entity, surface_form),
+a AS (SELECT kg_id, entity, surface_form, max(votes) AS votes FROM (SELECT * FROM v UNION ALL SELECT DISTINCT kg_id, entity, entity, 0 FROM s) GROUP BY kg_id, entity, surface_form),
+n AS (SELECT *, row_number() OVER (PARTITION BY kg_id, entity ORDER BY votes DESC, length(surface_form) DESC, surface_form = entity DESC, surface_form) AS r FROM a),
+e AS (SELECT n.kg_id, n.entity, n.surface_form AS name, n.votes, (SELECT min(entity_type) FROM s WHERE s.kg_id = n.kg_id AND s.entity = n.entity) AS entity_type FROM n WHERE r = 1)"""
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("docweave_lineitem")
+    return spark.sql(f"WITH {_SAID.replace('FROM lineitem', 'FROM docweave_lineitem')} SELECT * FROM s")
+
+
+@query(_MERGED + " SELECT e.kg_id, e.entity, entity_type, name, e.votes, coalesce(string_agg(v.surface_form, ',' ORDER BY v.surface_form), '') AS aliases FROM e LEFT JOIN v ON v.kg_id = e.kg_id AND v.entity = e.entity GROUP BY ALL")
+def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the name most documents use, and their aliases."""
+    return resolution.merge_entities(_said(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query(_MERGED + " SELECT g.kg_id, g.doc_id, g.chunk_index, g.surface_form, e.name FROM g JOIN e ON g.kg_id = e.kg_id AND g.entity = e.entity")
+def chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges from chunks to entities, with the entities' names."""
+    said = _said(spark, sf_dir)
+    return resolution.chunk_entities(resolution.mention_edges(said), resolution.merge_entities(said)).select("kg_id", "doc_id", "chunk_index", "surface_form", "name")
+
+
+@query(f"""WITH {_TRIPLES}, n AS (SELECT kg_id, name, CASE WHEN CAST(substr(name, 2) AS INT) % 2 = 1 AND CAST(substr(name, 2) AS INT) > 0 THEN substr(name, 1, 1) || CAST(substr(name, 2) AS INT) - 1 ELSE name END AS entity FROM (SELECT kg_id, subject AS name FROM t UNION SELECT kg_id, object FROM t)),
+r AS (SELECT t.kg_id, a.entity || '!' AS subject, rel_type, b.entity || '!' AS object, source_doc_id, source_svo_chunk_index, verb, t.confidence FROM t JOIN n a ON a.kg_id = t.kg_id AND a.name = subject JOIN n b ON b.kg_id = t.kg_id AND b.name = object)
+SELECT kg_id, subject, rel_type, object, count(*) AS n_citations, max(confidence) AS confidence, max(source_doc_id) AS last_source_doc_id FROM r GROUP BY kg_id, subject, rel_type, object""")
+def fact_merge_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts between entities: every odd name stands for the even one before it."""
+    t = _triples(spark, sf_dir).select("*", F.lit("x").alias("subject_type"), F.lit("x").alias("object_type"))
+    names = t.select("kg_id", F.explode(F.array("subject", "object")).alias("name")).distinct()
+    n = F.substring("name", 2, 20).cast("int")
+    resolved = names.select("kg_id", F.lit("x").alias("entity_type"), "name", F.when(n % 2 == 1, F.concat(F.left("name", F.lit(1)), (n - 1).cast("string"))).otherwise(F.col("name")).alias("entity"))
+    known = resolved.select("kg_id", "entity").distinct().select("kg_id", "entity", F.concat("entity", F.lit("!")).alias("name"))
+    return resolution.merge_facts_resolved(t, known, resolved).select("kg_id", "subject", "rel_type", "object", "n_citations", "confidence", "last_source_doc_id")
+
+
+@query(f"WITH {_TRIPLES} SELECT kg_id, subject, rel_type, object, count(*) AS n_citations, max(confidence) AS confidence, max(source_doc_id) AS last_source_doc_id FROM t GROUP BY kg_id, subject, rel_type, object")
+def fact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.fact_edges(_triples(spark, sf_dir)).select("kg_id", "subject", "rel_type", "object", "n_citations", "confidence", "last_source_doc_id")
 
 
 @query()
 def coreference_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("CASE WHEN l_linenumber % 2 = 0 THEN '它在 ' ELSE '零件 ' END || l_partkey").alias("sentence"))
-    return coreference.resolve(sentences, lambda s, before, after: s.replace("它", before[-1].split(" ")[-1]) if before else None, "l_orderkey", "l_linenumber")
+    return coreference.resolve(sentences, lambda s, before, after: s.replace("它", before[-1].split(" ")[-1]) if before else None, "l_orderkey", "l_linenumber").drop("error")
 
 
 # --- tasks and records ----------------------------------------------------------------------------------------------------
@@ -539,9 +596,49 @@ def unclustered_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(v.where("vec_id % 5 = 0 AND label < 5").select("label"), "label", "left_anti").select("vec_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT CAST(c_custkey AS VARCHAR) || ':' || CAST(p AS VARCHAR) AS folder FROM customer, (VALUES (1), (3), (5)) AS x(p) WHERE CAST(c_custkey AS VARCHAR) || ':' || CAST(p AS VARCHAR) NOT IN (SELECT o_custkey || ':' || left(o_orderpriority, 1) FROM orders)")
 def missing_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    """Requested folders that aren't there: customers without an order of a priority."""
+    asked = table(spark, sf_dir, "customer").select(F.explode(F.array(*map(F.lit, (1, 3, 5)))).alias("p"), "c_custkey").select(F.concat_ws(":", "c_custkey", "p").alias("folder"))
+    return asked.subtract(table(spark, sf_dir, "orders").select(F.concat_ws(":", "o_custkey", F.left("o_orderpriority", F.lit(1))).alias("folder")))
+
+
+@query("""SELECT label AS kg_id, CASE WHEN label % 3 = 0 THEN false ELSE true END AS cached, CAST(count(*) AS BIGINT) AS member_count, round(avg(embedding[1]), 5) AS x0 FROM embeddings GROUP BY label""")
+def prototype_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prototypes from a cache in which every third collection had one member less."""
+    docs = _vectors(spark, sf_dir).select(F.col("label").alias("kg_id"), F.col("vec_id").alias("doc_id"), "vector")
+    lowest = docs.groupBy("kg_id").agg(F.min("doc_id").alias("low"))
+    before = docs.join(lowest, "kg_id").where((F.col("kg_id") % 3 != 0) | (F.col("doc_id") != F.col("low")))
+    cache = classify.membership_keys(before).join(classify.prototypes(before), "kg_id")
+    out = classify.cached_prototypes(docs, cache)
+    return out.select("kg_id", "cached", "member_count", F.round(F.col("prototype")[0], 5).alias("x0"))
+
+
+@query("""SELECT c_custkey AS custkey, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'moved' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT c_custkey + 10000000, 'new', 'none' FROM customer WHERE c_custkey % 100 = 0""")
+def collection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table after deletions, updates and insertions."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    kept = tables.delete(c, c.where("custkey % 7 = 0"), ["custkey"])
+    changed = tables.update(kept, c.where("custkey % 5 = 0").select("custkey", F.lit("moved").alias("segment")), ["custkey"])
+    return tables.insert(changed, c.where("custkey % 100 = 0").select(F.col("custkey") + 10000000, F.lit("new"), F.lit("none")).toDF("custkey", "name", "segment"), ["custkey"])
+
+
+@query("""WITH w AS (SELECT l_orderkey AS image_id, l_linenumber AS ord, CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE 'w' || l_linenumber END AS word, CASE WHEN l_returnflag = 'A' THEN -1.0 ELSE l_quantity END AS confidence FROM lineitem)
+SELECT image_id, string_agg(word, ' ' ORDER BY ord, word) AS ocr_text, round(coalesce(avg(confidence) FILTER (confidence >= 0), 0), 6) AS ocr_confidence FROM w WHERE trim(word) <> '' GROUP BY image_id""")
+def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("ord"), F.expr("CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE 'w' || l_linenumber END").alias("word"), F.expr("CASE WHEN l_returnflag = 'A' THEN -1.0D ELSE l_quantity END").alias("confidence"))
+    return figures.mean_confidence(words).withColumn("ocr_confidence", F.round("ocr_confidence", 6))
+
+
+@query("""SELECT q.vec_id AS query_id, arg_max(i.vec_id, struct_pack(s := round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9), o := -i.vec_id)) AS item_id FROM embeddings q JOIN embeddings i ON q.label = i.label AND q.vec_id <> i.vec_id
+WHERE q.vec_id % 100 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) > 0 GROUP BY q.vec_id""")
+def best_cosine_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of the stated queries the nearest vector of its collection with a cosine above 0."""
+    v = _vectors(spark, sf_dir)
+    q = v.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("vector").alias("qv"))
+    scored = v.select("label", F.col("vec_id").alias("item_id"), "vector").join(q, "label").where("item_id <> query_id").select("query_id", "item_id", F.round(V.cosine(F.col("qv"), F.col("vector")), 9).alias("score"))
+    return resolution.best_candidates(scored, ["query_id"], "item_id", "item_id").select("query_id", "item_id")
 
 
 @query("SELECT label, CASE WHEN min(len(embedding)) = 64 AND max(len(embedding)) = 64 AND label % 2 = 0 THEN 'ok' ELSE 'mismatch' END AS state FROM embeddings GROUP BY label")
