@@ -23,23 +23,35 @@ def tokenizer(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-def test_counts_of_every_prefix_equal_the_librarys(docs):
-    t = tokenizer("word_bpe_49k.json")
-    for r in token_counts.prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), budget=7).collect():
-        text = TEXTS[r.doc_id] or ""
-        assert r.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
-        assert r.n_bytes == len(text.encode())
-        for end, n in list(zip(r.prefix_ends, r.prefix_tokens, strict=True))[::7]:
-            assert n == len(t.encode(text[:end], add_special_tokens=False).ids)
-        assert r.budget_chars == max([e for e, n in zip(r.prefix_ends, r.prefix_tokens, strict=True) if n <= 7], default=0)
+LONG = ["x1,y.é;" * 4000, "日本語テスト" * 900, "ab" * 12000, "word " * 30000 + "end"]
+
 
+def ends_of(t, text):
+    return list(np.maximum.accumulate([e for _, e in t.encode(text, add_special_tokens=False).offsets] or [0]))[: len(t.encode(text, add_special_tokens=False).ids)]
 
-def test_questions_are_answered_from_the_arrays(docs):
+
+def test_counts_of_every_prefix_equal_the_librarys(spark, docs):
+    t = tokenizer("word_bpe_49k.json")
+    more = spark.createDataFrame([(100 + i, x, "clash", 5) for i, x in enumerate(LONG)] + [(None, "null id", "c", 1)], docs.schema)
+    found = token_counts.prefix_counts(docs.union(more), public_tokenizers.path("word_bpe_49k.json"), budget=7).collect()
+    assert len(found) == len(TEXTS) + len(LONG) + 1
+    for r in found:
+        text = "null id" if r.doc_id is None else (LONG[r.doc_id - 100] if r.doc_id >= 100 else TEXTS[r.doc_id]) or ""
+        want = ends_of(t, text)
+        assert (r.n_tokens, r.n_bytes, r.prefix_ends) == (len(want), len(text.encode()), want)
+        # where a text can be cut between words, the count is that of the prefix by itself
+        ends = [e for e in dict.fromkeys(want) if e == len(text) or text[e] in " \n\t\r"]
+        for end in ends[:: max(1, len(ends) // 40)]:
+            assert sum(e <= end for e in want) == len(t.encode(text[:end], add_special_tokens=False).ids)
+        assert r.budget_chars == max([e for e in want if sum(x <= e for x in want[:20]) <= 7 and e <= (want[7] if len(want) > 7 else e)], default=0)
+
+
+def test_questions_are_answered_from_the_array(docs):
     out = token_counts.prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), budget=7)
     rows = out.select("*", token_counts.chars_within(7).alias("c"), token_counts.tokens_before(4).alias("t")).collect()
     for r in rows:
-        assert r.c == r.budget_chars
-        assert r.t == max([n for e, n in zip(r.prefix_ends, r.prefix_tokens, strict=True) if e <= 4], default=0)
+        assert r.c == r.budget_chars and r.t == sum(e <= 4 for e in r.prefix_ends)
+    assert any(r.c for r in rows) and token_counts.prefix_counts(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
 @pytest.mark.parametrize("partitions", [1, 5])
