@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .links import components
+from docweave.operators.components import components
 
 #: Members of a group of several blocks that all its blocks see, on average.
 PIVOTS = 16
@@ -166,7 +166,7 @@ def linked(rows: DataFrame, scratch: Scratch, percent: int, least: int) -> DataF
             yield from every.trees(starts[g], starts[g + 1])
 
     links = scratch.keep(_edges(rows.select(*columns, F.explode(where).alias("block")), ["key", "block"], inside).distinct(), "links")
-    roots = components(links, scratch)
+    roots = components(links)
     cut = rows.where("blocks > 1").select(*columns, "blocks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = cut.groupBy("key", "root").agg(F.count("*").alias("c"))
     open_ = scratch.keep(by_root.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most"), "open")
@@ -188,4 +188,4 @@ def linked(rows: DataFrame, scratch: Scratch, percent: int, least: int) -> DataF
             yield from ((a + s, b + s) for a, b in own.joins(np.flatnonzero(column("outside")[s:e].to_numpy(zero_copy_only=False)), roots))
 
     more = scratch.keep(_edges(every.unionByName(outside), ["key", "block", "part"], across).distinct(), "more")
-    return components(links.union(more), scratch)
+    return components(links.union(more))

@@ -12,12 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.lineage import shared_dir
 from docweave.session import ship
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
-#: Entries a worker keeps in one memo table; words beyond it are worked out anew.
-MEMO_LIMIT = 400_000
+#: Entries a worker keeps in one memo table, and the length of the longest; words beyond either are worked out anew.
+MEMO_LIMIT, MEMO_LONGEST = 400_000, 64
 #: Rows and bytes of one Arrow batch, at most (a single longer row is a batch of its own); documents are long, so batches are short.
 BATCH_ROWS, BATCH_BYTES = 800, 32 << 20
 
@@ -33,15 +34,6 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/docweave-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; executors may be lost, the files stay."""
 
@@ -71,7 +63,7 @@ class Memo(dict):
 
     def __missing__(self, word):
         value = self.work(word)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(word) <= MEMO_LONGEST:
             self[word] = value
         return value
 
@@ -151,12 +143,12 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
 
 
 def list_array(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    """A list column out of one numpy array for each row."""
+    """A list column out of one numpy array for each row. A batch has BATCH_BYTES of text at most, or is one row, so its values fit 32-bit offsets."""
     offsets = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
     flat = np.concatenate(rows) if rows else np.zeros(0)
     if offsets[-1] >= 2**31:
-        raise ValueError("one batch holds too many values")
+        raise ValueError("one row holds too many values")
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, kind))
 
 

@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, higher: likelier good) and attention (a weight for each passage) of each row of docs.
 
-    The whole text is read. A null or empty text is one empty passage; repeated rows are scored each; other columns are left out.
+    Texts of any length are read whole. A null or empty text is one empty passage; repeated rows are scored each, and equally; ids may be null;
+    an empty table gives no rows; other columns are left out, whatever their names.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -182,7 +183,8 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 return {"id": batch.column(0), "score": [], "attention": []}
             starts = np.cumsum([0] + [len(b) for b in bags[:-1]])
             f = network.forward(np.concatenate(bags).astype(np.float64), starts)
-            return {"id": batch.column(0), "score": f["score"], "attention": list_array(np.split(f["alpha"].astype(np.float32), starts[1:]), pa.float32())}
+            # products of other sizes end in other last digits: equal texts get equal scores whatever batch they are in
+            return {"id": batch.column(0), "score": f["score"].round(9), "attention": list_array(np.split(f["alpha"].astype(np.float32), starts[1:]), pa.float32())}
 
         return work
 

@@ -339,7 +339,10 @@ def write_blocks(coded: DataFrame, code: Code, path: str, shards: int) -> None:
 
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes docs and writes `path`/code (code lengths) and `path`/blocks. Rows are tokenized once, into a scratch table
-    in the shared folder, from which counts and blocks are made. shards: by default three for each shuffle partition."""
+    in the shared folder, from which counts and blocks are made. shards: by default three for each shuffle partition.
+
+    A null or empty text has the end id alone; texts of any length are written whole; null ids come first, rows that repeat an id in an order that their
+    tokens give; an empty table gives a file without blocks; other columns are left out, whatever their names."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ids")
     coded = scratch.keep(encode_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids", compression="zstd")

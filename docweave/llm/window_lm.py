@@ -359,7 +359,8 @@ def score(docs: DataFrame, words: list[bytes], counts: np.ndarray, network: Netw
     """id, n_tokens, log_likelihood (the sum over all tokens of the whole text) and mean_log_likelihood of each row of docs.
 
     `corpus` is the table of word_counts() that the vocabulary is from; if it isn't given, the words of docs are counted.
-    A null or empty text has no tokens, a sum of 0 and a null mean; repeated rows are scored each; other columns are left out.
+    A null or empty text has no tokens, a sum of 0 and a null mean; texts of any length are scored whole; repeated rows are scored each, and equally;
+    ids may be null; an empty table gives no rows; other columns are left out, whatever their names.
     """
     short_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lm-scores")
