@@ -8,6 +8,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,17 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """ascii_lower_words() of all texts, one after the other, as a binary column, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = split.flatten()
+    full = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0)])  # blanks at the ends leave empty words
+    at = split.offsets.to_numpy() - split.offsets[0].as_py() if len(texts) else np.zeros(1, int)
+    if full[-1] < len(flat):
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat.cast(pa.binary()), np.diff(full[at])
+
+
 def hash_memo() -> Memo:
     return Memo(xxhash.xxh64_intdigest)
 

@@ -19,15 +19,17 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, arrow_map, ascii_lower_words, short_batches, texts_of
+from .common import Scratch, arrow_map, short_batches, words_of_batch
 from .token_file import code_lengths
 
 #: Classes that the words outside the vocabulary share by a hash of their endings.
@@ -59,8 +61,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(ascii_lower_words(t))
+            found = words_of_batch(batch.column(0))[0].value_counts()
+            for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                counts[w] += n
             if len(counts) > COUNTED:
                 yield out()
                 counts.clear()
@@ -108,19 +111,31 @@ def class_totals(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def token_memo(words: list[bytes], size: int) -> Memo:
-    known = {w: i for i, w in enumerate(words)}
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """class_of() by the last two bytes of a word, the first of them in the upper half; words of one byte come after."""
+    pairs = [class_of(bytes(divmod(i, 256))) for i in range(1 << 16)]
+    return np.array(pairs + [class_of(bytes([i])) for i in range(256)], np.int32)
 
-    def token(word: bytes) -> int:
-        i = known.get(word)
-        return size - OTHER + class_of(word) if i is None else i
 
-    return Memo(token)
+class Tokens:
+    """Token numbers of words: their place in the vocabulary, or that of their class after it."""
 
+    def __init__(self, words: list[bytes]):
+        self.known, self.first = pa.array(words, pa.binary()), len(words)
 
-def tokens_of(text: str | None, memo: Memo) -> np.ndarray:
-    words = ascii_lower_words(text)
-    return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+    def of(self, words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0, np.int32)
+        found = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        rare = np.flatnonzero(found < 0)
+        if len(rare):
+            ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+            data = np.frombuffer(words.buffers()[2], np.uint8).astype(np.int64)
+            last, size = ends[1:][rare] - 1, np.diff(ends)[rare]
+            key = np.where(size > 1, data[last - (size > 1)] * 256 + data[last], (1 << 16) + data[last])
+            found[rare] = self.first + _classes()[key]
+        return found
 
 
 class Tree:
@@ -301,10 +316,12 @@ def train(docs: DataFrame, words: list[bytes], counts: np.ndarray, text_col: str
     rows = docs.select(text.alias("text"), F.pmod(drawn, F.lit(shards)).cast("int").alias("shard"), drawn.alias("drawn")).where("text is not null")
 
     def tokenise():
-        memo = token_memo(words, len(counts))
+        numbers = Tokens(words)
 
         def work(batch: pa.RecordBatch) -> dict:
-            return {"shard": batch.column(1), "drawn": batch.column(2), "tokens": [tokens_of(t, memo).tobytes() for t in texts_of(batch)]}
+            every, sizes = words_of_batch(batch.column(0))
+            tokens, ends = numbers.of(every), np.cumsum(sizes)
+            return {"shard": batch.column(1), "drawn": batch.column(2), "tokens": [tokens[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]}
 
         return work
 
@@ -371,24 +388,20 @@ def score(docs: DataFrame, words: list[bytes], counts: np.ndarray, network: Netw
     flat = network.flat()
 
     def start():
-        memo, net, rows_before = token_memo(words, len(counts)), Network(counts).load(flat), itertools.count(TaskContext.get().partitionId() << 40)
+        numbers, net, rows_before = Tokens(words), Network(counts).load(flat), itertools.count(TaskContext.get().partitionId() << 40)
 
         def work(batch: pa.RecordBatch) -> dict:
-            split, rare = [], []
-            for t in texts_of(batch):
-                own = ascii_lower_words(t)
-                split.append(np.fromiter(map(memo.__getitem__, own), np.int32, len(own)))
-                rare.append([own[i] for i in np.flatnonzero(split[-1] >= first).tolist()])
-            sizes = np.array([len(t) for t in split], np.int64)
-            sums = np.zeros(len(split))
-            if sizes.sum():
-                tokens = np.concatenate(split)
-                around = np.concatenate([neighbours(t, len(counts)) for t in split], axis=1)
+            every, sizes = words_of_batch(batch.column(1))
+            tokens, ends = numbers.of(every), np.cumsum(sizes)
+            sums, shared = np.zeros(len(sizes)), tokens >= first
+            if len(tokens):
+                around = np.concatenate([neighbours(tokens[a:b], len(counts)) for a, b in zip(ends - sizes, ends, strict=True)], axis=1)
                 each = np.concatenate([net.log_probabilities(tokens[i : i + STEP], around[:, i : i + STEP]) for i in range(0, len(tokens), STEP)])
-                shared = tokens >= first
                 each[shared] -= log_totals[tokens[shared] - first]
-                sums = np.bincount(np.repeat(np.arange(len(split)), sizes), each, len(split))
-            return {"row": [next(rows_before) for _ in split], "id": batch.column(0), "n_tokens": sizes, "sum": sums, "rare": rare}
+                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
+            cuts = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], ends])]
+            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), every.filter(pa.array(shared)))
+            return {"row": [next(rows_before) for _ in sizes], "id": batch.column(0), "n_tokens": sizes, "sum": sums, "rare": rare}
 
         return work
 

@@ -149,6 +149,21 @@ def test_language_model_begins_with_the_corpus_shares():
     assert np.allclose(got, (counts + 1) / (counts + 1).sum(), atol=1e-6)
 
 
+def test_words_and_tokens_of_batches_equal_those_of_single_words():
+    import pyarrow as pa
+
+    from docweave.llm.common import ascii_lower_words, words_of_batch
+
+    texts = [None, "", " ", "a", " A  b\tC\n", "x\x0by\x0cz\rÄÖ \u00a0 É", "ß\x1cq \x85", "end ", "日本 語"] * 3
+    for column in (pa.array(texts), pa.array(["skip me", *texts])[1:], pa.array([], pa.string())):
+        words, sizes = words_of_batch(column)
+        want = [ascii_lower_words(t) for t in column.to_pylist()]
+        assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(w) for w in want]
+        vocab = [b"a", b"b", "日本".encode()]
+        tokens = window_lm.Tokens(vocab).of(words)
+        assert tokens.tolist() == [vocab.index(w) if w in vocab else 3 + window_lm.class_of(w) for ws in want for w in ws]
+
+
 def one_by_one(text, words, net, corpus_counts):
     """The sum of log-probabilities of a text, token by token and turn by turn."""
     seen, totals = {w: i for i, w in enumerate(words)}, np.ones(window_lm.OTHER)
