@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import ENTITY_LABELS
 from docweave.functions.text import code_mentions
+from docweave.operators.folds import fold_rows
 
 
 class Registry:
@@ -86,22 +87,20 @@ def resume_registry(mentions: DataFrame, known: DataFrame, doc: str = "doc_id")
 
     def fold(key, g: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = [(r.position, r.name, r.entity_type, dict(r.forms), r.first_seen, [int(x) for x in r.occurrences]) for r in before.itertuples(index=False)]
-        return _applied(g, doc, Registry.restored(rows))
+        names = Registry.restored(rows)
+        return pd.DataFrame([_applied(names, r, doc) for r in g.sort_values("sentence_idx").itertuples()], columns=[doc, "sentence_idx", "sentence", "n_names"])
 
     rows = mentions.select(doc, "sentence_idx", "sentence", "forms")
     return rows.groupBy(doc).cogroup(known.groupBy(doc)).applyInPandas(fold, f"{doc} {kind}, sentence_idx int, sentence string, n_names int")
 
 
-def _applied(g: pd.DataFrame, doc: str, names: Registry, ask: Callable | None = None) -> pd.DataFrame:
-    out = []
-    for r in g.sort_values("sentence_idx").itertuples():
-        sentence = r.sentence
-        for form in r.forms if r.forms is not None else ():
-            name = names.resolve(r.sentence_idx, form, "概念", ask)
-            if name != form:
-                sentence = sentence.replace(form, name)
-        out.append((getattr(r, doc), r.sentence_idx, sentence, len(names.names)))
-    return pd.DataFrame(out, columns=[doc, "sentence_idx", "sentence", "n_names"])
+def _applied(names: Registry, r, doc: str, ask: Callable | None = None) -> tuple:
+    sentence = r.sentence
+    for form in r.forms if r.forms is not None else ():
+        name = names.resolve(r.sentence_idx, form, "概念", ask)
+        if name != form:
+            sentence = sentence.replace(form, name)
+    return getattr(r, doc), r.sentence_idx, sentence, len(names.names)
 
 
 def apply_registry(mentions: DataFrame, doc: str = "doc_id", ask: Callable[[str, list[str]], str | None] | None = None) -> DataFrame:
@@ -111,7 +110,7 @@ def apply_registry(mentions: DataFrame, doc: str = "doc_id", ask: Callable[[str,
     """
     kind = mentions.schema[doc].dataType.simpleString()
     rows = mentions.select(doc, "sentence_idx", "sentence", "forms")
-    return rows.groupBy(doc).applyInPandas(lambda g: _applied(g, doc, Registry(), ask), f"{doc} {kind}, sentence_idx int, sentence string, n_names int")
+    return fold_rows(rows, doc, "sentence_idx", Registry, lambda names, r: _applied(names, r, doc, ask), f"{doc} {kind}, sentence_idx int, sentence string, n_names int")
 
 
 def edit_ratio(a: str, b: str) -> float:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.config import IMAGE_BASE_SCORES
+from docweave.operators.folds import fold_rows
 
 #: Figure numbers in captions, references in running text, and phrases that always call for a closer look (fixed patterns).
 CAPTION = r"(?:圖|附圖|Figure|Fig\.?)\s*[\.:：]?\s*(\d+(?:[-.]\d+)?)"
@@ -148,20 +148,19 @@ def reading_order(shapes: Column, tolerance: int = 228600) -> Column:
 
 def number_figures(images: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:
     """figure_id, id_type and match_source of the images of each document, in order: from the caption, the running text,
-    the printed text, or else a number of our own. No id is given twice in a document. Documents are independent; one document's images are one group."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        used, auto, out = set(), 0, []
-        caption, reference = re.compile(CAPTION, re.I), re.compile(REFERENCE, re.I)
-        for r in g.sort_values(order).itertuples():
-            tries = [("caption", caption.search(r.caption or "")), *(("inline_reference", m) for m in reference.finditer(r.full_text or "")), ("printed_number", caption.search(r.ocr_text or ""))]
-            hit = next(((s, f"圖{m[1]}") for s, m in tries if m and f"圖{m[1]}" not in used), None)
-            if hit is None:
-                auto += 1
-                hit = ("none", f"{AUTO_PREFIX}-{auto}")
-            used.add(hit[1])
-            out.append((getattr(r, doc), getattr(r, order), hit[1], "auto" if hit[0] == "none" else "original", hit[0]))
-        return pd.DataFrame(out, columns=[doc, order, "figure_id", "id_type", "match_source"])
+    the printed text, or else a number of our own. No id is given twice in a document. Documents are independent; a document's images are one ordered fold."""
+
+    caption, reference = re.compile(CAPTION, re.I), re.compile(REFERENCE, re.I)
+
+    def step(state: dict, r) -> tuple:
+        tries = [("caption", caption.search(r.caption or "")), *(("inline_reference", m) for m in reference.finditer(r.full_text or "")), ("printed_number", caption.search(r.ocr_text or ""))]
+        hit = next(((s, f"圖{m[1]}") for s, m in tries if m and f"圖{m[1]}" not in state["used"]), None)
+        if hit is None:
+            state["auto"] += 1
+            hit = ("none", f"{AUTO_PREFIX}-{state['auto']}")
+        state["used"].add(hit[1])
+        return getattr(r, doc), getattr(r, order), hit[1], "auto" if hit[0] == "none" else "original", hit[0]
 
     kind = {c: images.schema[c].dataType.simpleString() for c in (doc, order)}
-    return images.select(doc, order, "caption", "full_text", "ocr_text").groupBy(doc).applyInPandas(fold, f"{doc} {kind[doc]}, {order} {kind[order]}, figure_id string, id_type string, match_source string")
+    schema = f"{doc} {kind[doc]}, {order} {kind[order]}, figure_id string, id_type string, match_source string"
+    return fold_rows(images.select(doc, order, "caption", "full_text", "ocr_text"), doc, order, lambda: {"used": set(), "auto": 0}, step, schema)

@@ -701,14 +701,24 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(figures.emu_to_px(F.col("p_retailprice") * 1000), 6).alias("px"), F.round(figures.points_to_px(F.col("p_size")), 6).alias("point_px"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, CASE WHEN l_linenumber % 3 = 0 THEN '圖' || l_linenumber END AS c, '圖2' AS t, CASE WHEN l_linenumber = 4 THEN '圖9' END AS o FROM lineitem),
+f AS (SELECT DISTINCT doc_id, CAST(NULL AS INTEGER) AS ord, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS used, 0 AS auto, CAST(NULL AS VARCHAR) AS figure_id, CAST(NULL AS VARCHAR) AS id_type, CAST(NULL AS VARCHAR) AS match_source FROM x
+  UNION ALL
+  SELECT doc_id, ord, r, list_append(used, coalesce(hit, '自補圖-' || (auto + 1))), CASE WHEN hit IS NULL THEN auto + 1 ELSE auto END, coalesce(hit, '自補圖-' || (auto + 1)), CASE WHEN hit IS NULL THEN 'auto' ELSE 'original' END,
+    CASE WHEN hit IS NULL THEN 'none' WHEN hit = c THEN 'caption' WHEN hit = t THEN 'inline_reference' ELSE 'printed_number' END
+  FROM (SELECT x.*, f.used, f.auto, CASE WHEN c IS NOT NULL AND NOT list_contains(used, c) THEN c WHEN NOT list_contains(used, t) THEN t WHEN o IS NOT NULL AND NOT list_contains(used, o) THEN o END AS hit FROM f JOIN x ON x.doc_id = f.doc_id AND x.r = f.r + 1))
+SELECT doc_id, ord, figure_id, id_type, match_source FROM f WHERE r > 0""")
 def figure_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS doc_id", "l_linenumber AS ord", "CASE WHEN l_linenumber % 3 = 0 THEN '圖' || l_linenumber || ' 架構' END AS caption", "'如圖2所示' AS full_text", "CASE WHEN l_linenumber = 4 THEN 'Fig. 9' END AS ocr_text")
     return figures.number_figures(rows)
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey, CAST(l_quantity * 20000 AS BIGINT) AS top, l_partkey AS "left", l_linenumber AS name FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY top, "left", name) AS r FROM x),
+f AS (SELECT l_orderkey, r, top, "left", name, 0 AS line, top AS anchor FROM o WHERE r = 1
+  UNION ALL SELECT o.l_orderkey, o.r, o.top, o."left", o.name, CASE WHEN o.top - anchor > 228600 THEN line + 1 ELSE line END, CASE WHEN o.top - anchor > 228600 THEN o.top ELSE anchor END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.r = f.r + 1)
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY line, "left", r) - 1 AS INT) AS place, name, top, "left" FROM f""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_quantity") * 20000).cast("long").alias("top"), F.col("l_partkey").alias("left"), F.col("l_linenumber").alias("name"))).alias("s"))
+    shapes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct((F.col("l_quantity") * 20000).cast("long").alias("top"), F.col("l_partkey").alias("left"), F.col("l_linenumber").alias("name")))).alias("s"))
     return shapes.select("l_orderkey", F.posexplode(figures.reading_order(F.col("s"))).alias("place", "shape")).select("l_orderkey", "place", "shape.name", "shape.top", "shape.left")
