@@ -23,6 +23,12 @@ def update_status(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     return tasks.join(new, KEY, "left").select(*KEY, F.coalesce("new_status", "status").alias("status"))
 
 
+def stamp(rows: DataFrame, at: Column | None = None, column: str = "updated_at") -> DataFrame:
+    """rows with the time of a change as ISO text in UTC to the second; by default the time at which the query starts, the same for all rows."""
+    at = F.current_timestamp() if at is None else at
+    return rows.withColumn(column, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+
+
 def next_pending(tasks: DataFrame, kg_id=None) -> DataFrame:
     """The pending task with the lowest chunk index, ties by collection and source; one row at most."""
     rows = tasks.where("status = 'pending'")

@@ -647,6 +647,13 @@ def embedding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.groupBy("label").agg(tasks.embedding_guard(meta, "local", "hash", 64).alias("state"))
 
 
+@query("SELECT event_id, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stamped_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user with its time as text."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("at", F.struct("ts", "event_id"))
+    return tasks.stamp(tasks.latest_by_key(e, ["user_id"], "at"), F.col("ts")).select("event_id", "user_id", "updated_at")
+
+
 @query("SELECT o_custkey AS custkey, max(o_orderkey) AS o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1 GROUP BY o_custkey")
 def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_orderkey").alias("version"))

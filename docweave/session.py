@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,7 +25,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="docweave-")) / "docweave.zip"
+    folder = tempfile.mkdtemp(prefix="docweave-")  # executors fetch the file from here as long as the application runs
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / "docweave.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
