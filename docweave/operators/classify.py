@@ -97,11 +97,23 @@ def mean_pairwise_cosine(rows: DataFrame, cluster: str, vector: str = "vector")
     return counts.join(sums, cluster).select(cluster, "n", F.when(F.col("n") < 2, 1.0).otherwise((F.col("square") - F.col("self")) / 2 / pairs).alias("intra_similarity"))
 
 
+def assign_round(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: str = "kg_id", threshold: float = DEFAULTS.auto_score, min_score: float = DEFAULTS.min_score) -> tuple[DataFrame, DataFrame]:
+    """auto_assign() in its parallel form: all docs are compared with the prototypes as they are, and those that reach the threshold move them
+    together. Gives (doc, kg, score) of the assigned docs, and (kg, prototype, member_count) as they are after them."""
+    ranked = best(candidates(scores(docs, protos, doc, kg), doc, kg, min_score))
+    assigned = ranked.where(F.col("score") >= threshold).select(doc, kg, "score")
+    new = V.mean_vectors(assigned.join(docs.select(doc, "vector"), doc), [kg], "vector", "__mean").withColumnRenamed("n", "__n")
+    both = protos.select(kg, "prototype", "member_count").join(new, kg, "left")
+    moved = F.zip_with("prototype", "__mean", lambda p, m: (p * F.col("member_count") + m * F.col("__n")) / (F.col("member_count") + F.col("__n")))
+    kept = F.when(F.col("__n").isNull(), F.col("prototype")).when(F.col("member_count") == 0, F.col("__mean")).otherwise(moved)
+    return assigned, both.select(kg, kept.alias("prototype"), (F.col("member_count") + F.coalesce("__n", F.lit(0))).alias("member_count"))
+
+
 def auto_assign(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: str = "kg_id", threshold: float = DEFAULTS.auto_score, min_score: float = DEFAULTS.min_score) -> DataFrame:
     """doc, kg, score and assigned, where each assignment moves its prototype before the next document (in order of doc) is compared.
 
     The order makes this one sequence: rows stream through one task in sorted order, with the prototypes, a row for each
-    collection, as its only state. For large pools use candidates() with fixed prototypes, which is parallel.
+    collection, as its only state. For large pools use assign_round(), which is parallel.
     """
     found = protos.select(kg, "prototype", "member_count").orderBy(kg).collect()
     names = [r[kg] for r in found]

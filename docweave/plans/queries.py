@@ -326,6 +326,15 @@ def classify_auto_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.auto_assign(_vectors(spark, sf_dir).where("vec_id % 5 = 0"), classify.prototypes(_members(spark, sf_dir)), "vec_id")
 
 
+@query(_SCORES + """, b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, kg_id) AS r FROM s WHERE score >= 0.05), a AS (SELECT vec_id, kg_id FROM b WHERE r = 1 AND round(score, 4) >= 0.3),
+n AS (SELECT a.kg_id, count(*) AS n, avg(v.x[1]) AS m FROM a JOIN v USING (vec_id) GROUP BY a.kg_id)
+SELECT kg_id, member_count + coalesce(n, 0) AS member_count, round(CASE WHEN n IS NULL THEN pv[1] ELSE (pv[1] * member_count + m * n) / (member_count + n) END, 6) AS x0 FROM p JOIN m AS c USING (kg_id) LEFT JOIN n USING (kg_id)""")
+def classify_assign_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prototypes after all staged documents were assigned at once."""
+    _, protos = classify.assign_round(_vectors(spark, sf_dir).where("vec_id % 5 = 0"), classify.prototypes(_members(spark, sf_dir)), "vec_id")
+    return protos.select("kg_id", "member_count", F.round(F.col("prototype")[0], 6).alias("x0"))
+
+
 @query()
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_pool(_vectors(spark, sf_dir).select(F.col("label").alias("pool"), "vec_id", "vector"), "pool", "vec_id")

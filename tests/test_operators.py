@@ -100,6 +100,10 @@ def test_ranking_and_assignment(spark):
     assert [(r.kg_id, r.low_confidence) for r in ranked.where("doc_id = 'd1'").orderBy("rank").collect()] == [("KG-2", True), ("KG-1", False)]
     got = [(r.doc_id, r.kg_id, r.assigned) for r in classify.auto_assign(docs, protos).orderBy("doc_id").collect()]
     assert got == [("d1", "KG-2", True), ("d2", "KG-2", True), ("d3", None, False), ("d4", None, False)]
+    assigned, moved = classify.assign_round(docs, protos)
+    assert {(r.doc_id, r.kg_id) for r in assigned.collect()} == {("d1", "KG-2"), ("d2", "KG-2")}
+    after = {r.kg_id: (r.prototype, r.member_count) for r in moved.collect()}
+    assert np.allclose(after["KG-2"][0], [1.0, 0.1 / 3]) and after["KG-2"][1] == 3 and after["KG-1"] == ([0.6, 0.8], 5) and after["KG-3"] == (None, 0)
 
 
 def spanning_tree(x):
