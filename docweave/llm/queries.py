@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_duplicates, passage_quality, quality_rules, secrets, token_counts, token_file, toxicity, window_lm
+from . import decontamination, fill_in_middle, filter_audit, mixing, near_duplicates, packing, passage_quality, quality_rules, secrets, token_counts, token_file, toxicity, window_lm
 from .common import Scratch, crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,26 @@ g AS (SELECT *, least(cap, weight * (SELECT level FROM v WHERE ratio >= level OR
 b AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
 f AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN before + size / 2::DOUBLE <= budget THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f""",
+    "op12_filter_audit": r"""WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT t.part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 5 * length(x),
+  regexp_matches(x, '[#$%&*|]'), t.doc_id > min(t.doc_id) OVER (PARTITION BY x)] AS fails FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM d GROUP BY part, fails),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT v.c || w.c || x.c || y.c || z.c AS filter_order FROM c v, c w, c x, c y, c z WHERE len(list_distinct([v.c, w.c, x.c, y.c, z.c])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+e AS (SELECT part, filter_order, step, n, good, bad, fails[ascii(substr(filter_order, step, 1)) - 64] AS f, len(list_filter(range(1, step), lambda i: fails[ascii(substr(filter_order, i, 1)) - 64])) AS earlier, len(list_filter(fails, lambda q: q)) AS k FROM g, s),
+r AS (SELECT part, filter_order, step, sum(CASE WHEN earlier = 0 AND NOT f THEN n ELSE 0 END) AS kept, sum(CASE WHEN earlier = 0 AND f THEN n ELSE 0 END) AS removed, sum(CASE WHEN earlier > 0 AND f THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN f AND k = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN earlier = 0 AND f THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN earlier = 0 AND f THEN bad ELSE 0 END) AS toxic_lost FROM e GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM r""",
+    "op13_fill_in_middle": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(s, 8 * i + 1, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, x, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
 }
 
 
@@ -122,3 +142,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return _predicted(passage_quality.score(docs, passage_quality.train(docs, read(spark, sf_dir, "labels"), in_training("doc_id", 3, 1))), 3, 1)
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placements(packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.restored(fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))

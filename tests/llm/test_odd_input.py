@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docweave.llm import decontamination, mixing, near_duplicates, passage_quality, quality_rules, secrets, token_counts, token_file, toxicity, window_lm
+from docweave.llm import decontamination, fill_in_middle, filter_audit, mixing, near_duplicates, packing, passage_quality, quality_rules, secrets, token_counts, token_file, toxicity, window_lm
 from docweave.llm.common import read
 from docweave.llm.queries import QUERIES
 
@@ -48,6 +48,7 @@ def lists():
         "op6": lambda d: secrets.find_secrets(d, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "op7": quality_rules.judge,
         "op8": lambda d: toxicity.score(d, toxicity.train(d, labels(d, "toxic"), F.lit(True))), "op9": mixing.takes,
         "op10": lambda d: passage_quality.score(d, passage_quality.train(d, labels(d, "quality"), F.lit(True))).drop("attention"),
+        "op13": lambda d: fill_in_middle.restored(fill_in_middle.fill_in_middle(d)),
     }
 
 
@@ -74,6 +75,19 @@ def test_searches_and_stages_keep_columns(spark, odd):
     assert mixed.columns == odd.columns and mixed.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 9
 
 
+def test_packing_and_audit_of_odd_rows(spark, odd):
+    packed = packing.placements(packing.pack_documents(odd, public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    assert len([r for r in packed if r.piece == 0]) == odd.count() and len([r for r in packed if r.doc_id is None]) == 2
+    assert packing.placements(packing.pack_documents(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json"))).collect() == []
+    labels = spark.createDataFrame([(0, 1, None), (0, 0, 1), (None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    got = filter_audit.audit_documents(odd, labels, source_col="lang").collect()
+    assert len(got) == 600 and filter_audit.audit_documents(odd.limit(0), labels).collect() == []
+    first = next(r for r in got if r.filter_order == "EABCD" and r.step == 1)
+    rows = [(r.doc_id, r.text or "") for r in odd.collect()]
+    want = sum(any(t == u and j is not None and (i is None or j < i) for j, u in rows) for i, t in rows)
+    assert first.removed == want and first.removed + first.kept == len(rows)
+
+
 def test_pipeline_of_odd_and_of_no_documents(spark, odd, tmp_path):
     for name, n in (("odd", 1000), ("none", 0)):
         where = tmp_path / name
@@ -85,4 +99,4 @@ def test_pipeline_of_odd_and_of_no_documents(spark, odd, tmp_path):
         docs = read(spark, str(where), "documents")
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, str(where)).columns == docs.columns
-    assert sorted(QUERIES) == sorted(f"op{i}_{k}" for i, k in enumerate("decontamination token_counts near_duplicates lm_scores token_file secrets quality_rules toxicity mixing passage_quality".split(), 1))
+    assert sorted(QUERIES) == sorted(f"op{i}_{k}" for i, k in enumerate("decontamination token_counts near_duplicates lm_scores token_file secrets quality_rules toxicity mixing passage_quality packing filter_audit fill_in_middle".split(), 1))
