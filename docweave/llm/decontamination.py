@@ -1,10 +1,11 @@
 """Benchmark passages inside documents.
 
 Windows as long as an item slide over a document; a shorter document is one window. A window and an item are
-compared by SimHash fingerprints of their word shingles, cut into BLOCKS blocks: an index finds all that agree in a whole
-block. That is every fingerprint that differs in fewer bits than there are blocks, wherever the bits are; and since at the
-threshold each bit differs with a chance of 0.15 only, a pair there agrees in some block but for a chance below 0.0001, while
-unlike fingerprints do in one of 64 cases. What the index finds is confirmed by exact weighted similarity, the sum of
+compared by SimHash fingerprints of their word shingles, in which the j-th occurrence of a shingle is an element of its own, so that
+weighted similarity is the similarity of sets and a passage that repeats itself is like any other. At the threshold a bit differs with
+a chance of 0.15, whatever the text: 39 of 256 with a deviation of 6, and more than RADIUS with a chance below 0.00001. An index over
+BLOCKS blocks guarantees all fingerprints within RADIUS: one of their blocks differs in RADIUS / BLOCKS bits at most,
+as one of six pairs of unlike fingerprints does. What the index finds is confirmed by exact weighted similarity, the sum of
 the smaller over the sum of the larger shingle counts.
 
 A window can reach the threshold only if that share of its shingles occurs in
@@ -18,6 +19,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 from .common import Memo, arrow_map, hashes, held, mix, shingles, short_batches, texts_of
 
 #: Blocks of a fingerprint, and bits of a block.
-BLOCKS, BLOCK_BITS = 64, 12
+BLOCKS, BLOCK_BITS = 16, 16
 BITS = BLOCKS * BLOCK_BITS
-#: Bits by which two fingerprints differ, at most, before they are compared exactly. At the threshold of 0.8 it is 116 with a deviation of 10.
-RADIUS = 176
+#: Bits by which two fingerprints differ, at most, before they are compared exactly, and so by which their nearest blocks differ.
+RADIUS = 63
+BLOCK_RADIUS = RADIUS // BLOCKS
+#: Entries up to which blocks are compared one by one; beyond, they are looked up. Both find the same.
+FEW = 256
 #: Words of benchmark items that are sent to the executors at once; a larger benchmark is compared in blocks.
 BLOCK_WORDS = 1_000_000
 #: Windows that are worked on at once.
@@ -50,48 +55,93 @@ def words_of(text: str | None) -> list[str]:
 
 
 _SPREAD = np.random.default_rng(77).integers(1, 2**63, BITS // 64, dtype=np.uint64)
+_NUMBER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprints(bits: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """SimHash of the k shingles from each start: a bit is set if more of them have it than not, repeats counted."""
-    sums = np.zeros((len(bits) + 1, BITS), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    most = (sums[starts + k] - sums[starts]) * 2 > k
-    return np.packbits(most, axis=1, bitorder="little").view(np.uint64)
+def numbered(own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of k shingles: the element that each shingle adds as the last of a window, and the one it takes away as the first.
+
+    The j-th occurrence of a shingle in a window is the element (shingle, j). A shingle that comes in adds the number it brings its
+    kind to, and one that leaves takes the highest number away.
+    """
+    n = len(own)
+    _, kind = np.unique(own, return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    keys = kind[order] * (n + 1) + order
+    at = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = at
+    back = rank + 1 - np.searchsorted(keys, kind * (n + 1) + np.maximum(at - k + 1, 0))
+    ahead = np.searchsorted(keys, kind * (n + 1) + np.minimum(at + k, n)) - rank
+    element = lambda j: np.where(j == 1, own, mix(own + j.astype(np.uint64) * _NUMBER))
+    return element(back), element(ahead)
+
+
+def fingerprints(own: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """SimHash of the k shingles from each start: a bit is set if more of their elements have it than not."""
+    come, go = numbered(own, k)
+    sums = np.zeros((len(own) + 1, BITS), np.int32)
+    np.cumsum(bit_rows(come), axis=0, out=sums[1:])
+    if np.array_equal(come, go):
+        counts = sums[starts + k] - sums[starts]
+    else:
+        gone = np.zeros_like(sums)
+        np.cumsum(bit_rows(go), axis=0, out=gone[1:])
+        counts = sums[starts + k] - gone[starts]
+    return np.packbits(counts * 2 > k, axis=1, bitorder="little").view(np.uint64)
 
 
 def bit_rows(found: np.ndarray) -> np.ndarray:
-    """The BITS bits of each shingle."""
+    """The BITS bits of each element."""
     return np.unpackbits(mix(found[:, None] ^ _SPREAD).view(np.uint8), axis=1, bitorder="little")
 
 
+def variants(bits: int) -> np.ndarray:
+    """All values of a block with at most so many bits set."""
+    return np.array([sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(BLOCK_BITS), n)], np.int64)
+
+
 class HammingIndex:
-    """Pairs of a query and an entry that agree in a whole block and differ in at most `radius` bits."""
+    """Pairs of a query and an entry that differ in at most RADIUS bits: all of them, since one of their blocks differs in at most BLOCK_RADIUS.
 
-    def __init__(self, entries: np.ndarray, radius: int):
-        self.entries, self.radius = entries, radius
-        keys = self.keys(entries).ravel()
-        self.order = np.argsort(keys, kind="stable")
-        self.known = keys[self.order]
+    Entries are kept under all values that differ from a block of theirs in one bit or none; queries ask for those that differ from
+    theirs in the other bits, so that together every value within BLOCK_RADIUS is met."""
+
+    def __init__(self, entries: np.ndarray, few: int = FEW):
+        self.entries, self.blocks, self.direct = entries, entries.view(np.uint16).reshape(len(entries), BLOCKS), len(entries) <= few
+        if not self.direct:
+            keys = (self._keys(self.blocks)[:, :, None] ^ variants(1)).reshape(len(entries), -1)
+            order = np.argsort(keys.ravel(), kind="stable")
+            self.known, self.owner = keys.ravel()[order], (order // keys.shape[1]).astype(np.int32)
 
     @staticmethod
-    def keys(prints: np.ndarray) -> np.ndarray:
-        """For each fingerprint the number and value of all its blocks, as one number each."""
-        bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").reshape(len(prints), BLOCKS, BLOCK_BITS)
-        return bits @ (1 << np.arange(BLOCK_BITS)) + (np.arange(BLOCKS) << BLOCK_BITS)
-
-    def agreeing(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.keys(queries).ravel()
-        low, high = np.searchsorted(self.known, own, "left"), np.searchsorted(self.known, own, "right")
-        n = high - low
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        both = np.unique(np.repeat(np.arange(len(own)) // BLOCKS, n) * len(self.entries) + self.order[at] // BLOCKS)
-        return both // len(self.entries), both % len(self.entries)
+    def _keys(blocks: np.ndarray) -> np.ndarray:
+        return blocks.astype(np.int64) + (np.arange(BLOCKS) << BLOCK_BITS)
+
+    def near(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs with a block within BLOCK_RADIUS, in parts; those of several blocks can come again."""
+        blocks = queries.view(np.uint16).reshape(len(queries), BLOCKS)
+        if self.direct:
+            for i in range(0, len(queries), CHUNK):
+                apart = np.bitwise_count(blocks[i : i + CHUNK, None, :] ^ self.blocks[None])
+                q, e = np.nonzero((apart <= BLOCK_RADIUS).any(2))
+                yield q + i, e
+            return
+        keys = self._keys(blocks)
+        for v in variants(BLOCK_RADIUS - 1):
+            own = (keys ^ v).ravel()
+            low, high = np.searchsorted(self.known, own, "left"), np.searchsorted(self.known, own, "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            yield np.repeat(np.arange(len(own)) // BLOCKS, n), self.owner[at].astype(np.int64)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q, e = self.agreeing(queries)
-        near = np.bitwise_count(queries[q] ^ self.entries[e]).sum(1) <= self.radius
-        return q[near], e[near]
+        found = [np.zeros(0, np.int64)]
+        for q, e in self.near(queries):
+            close = np.bitwise_count(queries[q] ^ self.entries[e]).sum(1) <= RADIUS
+            found.append(np.unique(q[close] * len(self.entries) + e[close]))
+        both = np.unique(np.concatenate(found))
+        return both // len(self.entries), both % len(self.entries)
 
 
 @dataclass
@@ -142,11 +192,11 @@ def size_classes(items: list[tuple[object, np.ndarray]], width: int) -> list[Siz
     out = []
     for n, group in sorted(by.items()):
         k = len(group[0][1])
-        prints = np.stack([fingerprints(bit_rows(s), np.zeros(1, int), k)[0] for _, s in group])
+        prints = np.stack([fingerprints(s, np.zeros(1, int), k)[0] for _, s in group])
         sets = [np.unique(s, return_counts=True) for _, s in group]
         flat, owner = np.concatenate([s for s, _ in sets]), np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
         order = np.argsort(flat, kind="stable")
-        out.append(SizeClass(n, [key for key, _ in group], sets, np.unique(flat), HammingIndex(prints, RADIUS), (flat[order], owner[order])))
+        out.append(SizeClass(n, [key for key, _ in group], sets, np.unique(flat), HammingIndex(prints), (flat[order], owner[order])))
     return out
 
 
@@ -211,14 +261,14 @@ def fingerprints_near(own: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray
     breaks = np.flatnonzero(np.diff(starts) > 4 * k) + 1
     for group in np.split(np.arange(len(starts)), breaks):
         a, b = starts[group[0]], starts[group[-1]] + k
-        out[group] = fingerprints(bit_rows(own[a:b]), starts[group] - a, k)
+        out[group] = fingerprints(own[a:b], starts[group] - a, k)
     return out
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The benchmark in parts of about BLOCK_WORDS words, each small enough to be sent to every executor."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    total = items.agg(F.sum(F.size(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")))).first()[0] or 0
     parts = max(1, -(-total // BLOCK_WORDS))
     memo = word_memo()
     for p in range(parts):
