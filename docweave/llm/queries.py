@@ -114,7 +114,7 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return secrets.find_secrets(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secrets.find_secrets(read(spark, sf_dir, "documents"), (vocabulary("byte_bpe_50k.tiktoken"), vocabulary("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 @query

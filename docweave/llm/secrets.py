@@ -1,10 +1,12 @@
 """Secrets in texts: known forms by pattern, unknown ones by how badly they tokenize.
 
 A byte-pair vocabulary writes language in few tokens and random strings in many. A
-run of key-like characters whose characters-per-token ratio is low, and that is neither
-a digest of a usual length nor an identifier, is reported as `random`, beside the spans of known forms.
-What isn't tested is cut out of a run: digests, UUIDs, known forms, hosts, e-mail addresses and the first step of an
-address's path, which names a page. What remains is tested as a whole, then by its parts between `/` and `=`, then between `-`.
+run of key-like characters whose characters-per-token ratio is low under all vocabularies, and that is neither
+a digest of a usual length nor an identifier, is reported as `random`, beside the spans of known forms. A second vocabulary, of other
+languages, keeps long words of these apart; a run that touches a letter outside ASCII is a piece of a word and isn't tested.
+What isn't tested either is cut out of a run: digests (hexadecimal runs of their lengths, in one case of letters), UUIDs, known forms, hosts and e-mail
+addresses. What remains is tested as a whole, then by its parts between `/` and `=`, then between `-`. Runs of
+digits alone are numbers, not keys, and few have a ratio as low; runs below SHORTEST characters, or SHORTEST_WORD letters of one case, can't be told from words.
 """
 
 from __future__ import annotations
@@ -21,19 +23,21 @@ from .common import arrow_map, held, short_batches, texts_of
 
 #: Order of kinds that begin at one place.
 KINDS = ("assign", "access", "hex", "random")
-#: Shortest run that is tested, and the ratio below which a run of that length and more looks random. Of random letters and digits this
-#: finds 99 % and more at every length; of the runs of that length in prose of four languages 0.2 % at most fall below it.
-RATIOS = {16: 1.81, 20: 1.9}
+#: Shortest run that is tested, and the ratio below which a run of that length and more looks random (the largest ratio of all vocabularies counts).
+RATIOS = {16: 1.81, 20: 2.01}
 SHORTEST = min(RATIOS)
+#: Shortest run of letters in one case, but for a capital: below, too many words of inflected languages tokenize as badly.
+SHORTEST_WORD = 20
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _LONG = re.compile(r"[^ \t-\r]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^/?#@\s]*@)?(?P<rest>[^/?#\s]*(?:/[^/?#&=\s]*)?)")
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^/?#@\s]*@)?(?P<rest>[^/?#\s]*)")
 _EMAIL = re.compile(r"(?P<before>[A-Za-z0-9._%-]+:)?[A-Za-z0-9._%+-]+@(?P<host>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 #: Cuts between the parts of a run; padding stays with its part.
 _CUTS = (re.compile(r"/+|=+(?=[^=])"), re.compile(r"-+"))
@@ -43,18 +47,23 @@ _DIGEST = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![
 
 
 class RandomTest:
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_paths: tuple[str, ...], pattern: str):
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def ratio(self, run: str) -> float:
-        return len(run) / len(self.encoding.encode_ordinary(run))
+        self.encodings = []
+        for i, path in enumerate(ranks_paths):
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.encodings.append(tiktoken.Encoding(f"secrets-{i}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
 
     def looks_random(self, run: str) -> bool:
-        return len(run) >= SHORTEST and any(c.isalnum() for c in run) and self.ratio(run) < max((n, x) for n, x in RATIOS.items() if n <= len(run))[1]
+        plain = run.isalpha() and (run.islower() or run.isupper() or run.istitle())
+        if len(run) < (SHORTEST_WORD if plain else SHORTEST) or not any(c.isalnum() for c in run):
+            return False
+        if plain:
+            run = run.lower()  # words in capitals tokenize worse, random letters don't
+        limit = max((n, x) for n, x in RATIOS.items() if n <= len(run))[1]
+        return all(len(run) < limit * len(e.encode_ordinary(run)) for e in self.encodings)
 
     def random_parts(self, text: str, start: int, end: int, cuts: tuple = _CUTS) -> list[tuple[int, int]]:
         """The run itself if it looks random, else those of its parts that do."""
@@ -75,6 +84,11 @@ def _between(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[i
     return [(s, e) for s, e in [*out, (start, end)] if s < e]
 
 
+def _in_word(text: str, start: int, end: int) -> bool:
+    """Whether a letter outside ASCII stands right before or after."""
+    return any(not c.isascii() and _LETTER.match(c) for c in text[max(0, start - 1) : start] + text[end : end + 1])
+
+
 def _known_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Hosts, e-mail addresses, UUIDs and digests in one run of characters without blanks. The password of `user:password@host` is none."""
     out, part = [], text[a:b]
@@ -108,7 +122,7 @@ def spans_of(text: str, test: RandomTest | None) -> list[tuple[str, int, int]]:
         for a, b in longs:
             known = None
             for m in _RUN.finditer(text, a, b) if b - a >= SHORTEST else ():
-                if m.end() - m.start() >= SHORTEST:
+                if m.end() - m.start() >= SHORTEST and not _in_word(text, m.start(), m.end()):
                     known = known if known is not None else base + _known_parts(text, a, b)
                     found += [("random", *x) for s, e in _between(*m.span(), known) for x in test.random_parts(text, s, e)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -118,7 +132,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def find_secrets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, ranks_paths: str | tuple[str, ...], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans and n_random for each row of docs.
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind; base_sha256 is the digest of those without
@@ -129,7 +143,7 @@ def find_secrets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
-        test = held(RandomTest, ranks_path, pattern)
+        test = held(RandomTest, (ranks_paths,) if isinstance(ranks_paths, str) else tuple(ranks_paths), pattern)
 
         def work(batch: pa.RecordBatch) -> dict:
             all_spans = [spans_of(t or "", test) for t in texts_of(batch)]

@@ -5,6 +5,7 @@ import string
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from docweave.llm import decontamination as D
 from docweave.llm import secrets as S
@@ -17,17 +18,28 @@ def flipped(rng, prints, n):
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
-def test_hamming_index_finds_all_that_differ_in_fewer_bits_than_there_are_blocks_and_prunes_the_rest():
+@pytest.mark.parametrize("few", [0, 1000])
+def test_hamming_index_finds_all_within_the_radius_and_prunes_the_rest(few):
     rng = np.random.default_rng(4)
-    entries = rng.integers(0, 2**63, (500, D.BITS // 64), dtype=np.uint64)
-    index = D.HammingIndex(entries, D.RADIUS)
-    for n in (0, 1, 20, D.BLOCKS - 1):
-        q, e = index.search(flipped(rng, entries, [n] * 500))
-        assert {(i, i) for i in range(500)} <= set(zip(q.tolist(), e.tolist(), strict=True))
-    q, e = index.agreeing(rng.integers(0, 2**63, (400, D.BITS // 64), dtype=np.uint64))
-    assert len(q) < 0.05 * 400 * 500
-    q, e = index.search(flipped(rng, entries, [116] * 500))  # as much as pairs at the threshold differ by
-    assert (q == e).sum() >= 499
+    entries = rng.integers(0, 2**63, (400, D.BITS // 64), dtype=np.uint64)
+    index = D.HammingIndex(entries, few)
+    for n in (0, 1, 20, D.RADIUS - 1, D.RADIUS):
+        q, e = index.search(flipped(rng, entries, [n] * 400))
+        assert {(i, i) for i in range(400)} <= set(zip(q.tolist(), e.tolist(), strict=True))
+    # as many bits as the guarantee allows, dealt evenly over the blocks: the hardest case
+    even = np.unpackbits(entries.view(np.uint8), axis=1, bitorder="little").reshape(400, D.BLOCKS, D.BLOCK_BITS)
+    for row in even:
+        for b, block in enumerate(row):
+            block[rng.choice(D.BLOCK_BITS, D.BLOCK_RADIUS + (b > 0), replace=False)] ^= 1
+    q, e = index.search(np.packbits(even.reshape(400, -1), axis=1, bitorder="little").view(np.uint64))
+    assert (q == e).sum() == 400
+    met = set().union(*(set(zip(q.tolist(), e.tolist(), strict=True)) for q, e in index.near(rng.integers(0, 2**63, (100, D.BITS // 64), dtype=np.uint64))))
+    assert len(met) < 0.25 * 100 * 400
+    assert len(index.search(flipped(rng, entries, [D.RADIUS + 1] * 400))[0]) == 0
+
+
+def counts(x):
+    return np.unique(x, return_counts=True)
 
 
 def test_windows_at_the_threshold_are_found_by_their_fingerprints():
@@ -36,9 +48,45 @@ def test_windows_at_the_threshold_are_found_by_their_fingerprints():
         item = rng.integers(0, 2**63, 56, dtype=np.uint64)
         window = item.copy()
         window[rng.choice(56, 6, replace=False)] = rng.integers(0, 2**63, 6, dtype=np.uint64)  # 50 of 62 are common: 0.806
-        a, b = (D.fingerprints(D.bit_rows(x), np.zeros(1, int), 56) for x in (item, window))
-        found += len(D.HammingIndex(a, D.RADIUS).search(b)[0])
-    assert found >= 398
+        a, b = (D.fingerprints(x, np.zeros(1, int), 56) for x in (item, window))
+        found += len(D.HammingIndex(a).search(b)[0])
+    assert found == 400
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 8])
+def test_passages_that_repeat_themselves_are_found_too(period):
+    rng, pairs = np.random.default_rng(period), 0
+    for trial in range(400):
+        n = int(rng.integers(14, 120))
+        words = np.resize(rng.integers(0, 2**63, period, dtype=np.uint64), n)
+        edited = np.roll(words, int(rng.integers(0, period + 1)))
+        for _ in range(trial % 3):
+            edited[rng.integers(0, n)] = rng.integers(0, 2**63, dtype=np.uint64)
+        a, b = D.shingles(words, 5), D.shingles(edited, 5)
+        if D.weighted_similarity(counts(a), counts(b)) >= 0.8:
+            pairs += 1
+            prints = [D.fingerprints(x, np.zeros(1, int), len(x)) for x in (a, b)]
+            assert len(D.HammingIndex(prints[0]).search(prints[1])[0]) == 1
+    assert pairs > 50
+
+
+def test_elements_of_a_sliding_window_are_its_numbered_shingles():
+    rng = np.random.default_rng(3)
+    own, k = rng.integers(1, 6, 80).astype(np.uint64), 12
+    prints = D.fingerprints(own, np.arange(69), k)
+    for t in range(69):
+        assert (prints[t] == D.fingerprints(own[t : t + k], np.zeros(1, int), k)[0]).all()
+        come, _ = D.numbered(own[t : t + k], k)
+        assert len(set(come.tolist())) == k  # no two alike
+        shuffled, _ = D.numbered(rng.permutation(own[t : t + k]), k)
+        assert sorted(shuffled.tolist()) == sorted(come.tolist())
+
+
+def test_the_bound_of_a_broadcast_counts_words_of_any_script(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 5)
+    items = spark.createDataFrame([(i, "Москва слеза ми не верит") for i in range(8)], "item_id long, text string")
+    blocks = list(D._item_blocks(items, "item_id", "text"))
+    assert len(blocks) == 8 and sum(map(len, blocks)) == 8
 
 
 def brute(docs, items, width=5, limit=0.8):
@@ -121,7 +169,7 @@ def test_base_spans_equal_plain_searches(spark):
         assert [x for x in r.spans.split(",") if x and not x.startswith("random")] == want
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
     assert found[12].spans == "random:0:28"
-    assert not any(found[i].n_random for i in (10, 13, 17, 18))
+    assert found[17].n_random == 1 and not any(found[i].n_random for i in (10, 13, 18))
 
 
 def test_documents_shorter_than_an_item_are_found(spark):
@@ -156,18 +204,54 @@ def test_documents_shorter_than_an_item_are_found(spark):
     assert 999 not in {r.doc_id for r in D.clean(frame, bench).collect()}
 
 
-def test_recall_of_random_runs_by_length_and_few_false_alarms_in_prose(spark):
-    test, rng = S.RandomTest(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), random.Random(12)
+def random_test():
+    return S.RandomTest(tuple(public_tokenizers.path(f"byte_bpe_{x}50k.tiktoken") for x in ("", "multi_")), public_tokenizers.PATTERN)
+
+
+def test_recall_of_random_runs_by_length_and_no_false_alarms_in_prose(spark):
+    test, rng = random_test(), random.Random(12)
     for n in (16, 18, 20, 24, 32, 48):
-        for letters, least in ((string.ascii_letters + string.digits, 0.98), (string.ascii_letters, 0.96), (string.ascii_lowercase, 0.75)):
-            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
-            assert sum(test.looks_random(r) for r in runs) >= least * 300, (n, letters)
-    prose = {w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in re.findall(r"[A-Za-z]{16,}", r.text or "")}
-    assert len(prose) > 50 and sum(map(test.looks_random, prose)) <= max(1, 0.01 * len(prose))
+        for letters, least in ((string.ascii_letters + string.digits, 0.98), (string.ascii_letters + string.digits + "+/", 0.98), (string.ascii_letters, 0.96), (string.ascii_lowercase, 0.9 if n >= 20 else 0), (string.ascii_uppercase, 0.9 if n >= 20 else 0)):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(400)]
+            assert sum(test.looks_random(r) for r in runs) >= least * 400, (n, letters)
+    found = [(r.doc_id, s) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect() for s in S.spans_of(r.text or "", test) if s[0] == "random"]
+    assert found == []  # that corpus holds digests and numbers, but no keys of unknown form
+
+
+def planted(rng):
+    """Prose with keys of several alphabets at known places, and things that only look like keys."""
+    prose = "Die Einrichtung der Übergangsbestimmungen für Straßenverkehrsordnungswidrigkeiten wurde internationalization-wise veröffentlicht".split()
+    alphabets = {"alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters, "lower": string.ascii_lowercase}
+    forms = ("{}", "key: {}", "https://h.example.org/{}", "https://h.example.org/v1/{}?x=1", "x/y/{}", "'{}'", "id-{}", "user:{}@db.example.org")
+    text, keys = "", []
+    for i in range(240):
+        text += " ".join(rng.choices(prose, k=5)) + " "
+        kind = rng.choice(list(alphabets))
+        form = rng.choice(forms[:2] if kind == "base64" else forms)
+        key = "".join(rng.choice(alphabets[kind]) for _ in range(rng.randint(20, 44))).strip("+/")
+        at = len(text) + form.index("{")
+        text += form.format(key) + " "
+        keys.append((kind, at, at + len(key)))
+        text += rng.choice(["4716 9982 1234567890123456789", "550e8400-e29b-41d4-a716-446655440000", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "a@mail.example.org", "-" * 40]) + " "
+    return text, keys
+
+
+def test_planted_keys_are_found_where_they_are():
+    test = random_test()
+    for seed in range(3):
+        text, keys = planted(random.Random(seed))
+        spans = [(s, e) for k, s, e in S.spans_of(text, test) if k == "random"]
+        for kind in ("alnum", "base64", "letters", "lower"):
+            own = [(a, b) for k, a, b in keys if k == kind]
+            # a span may take in what is joined to the key (`id-`), and a key with a slash may be found by its parts
+            hit = [any(s < b and e > a and e - s >= 16 for s, e in spans) for a, b in own]
+            assert sum(hit) >= 0.9 * len(own), (kind, sum(hit), len(own))
+            assert kind == "base64" or sum(any(s <= a and e >= b for s, e in spans) for a, b in own) >= 0.9 * len(own)
+        assert all(any(s < b and e > a for _, a, b in keys) for s, e in spans)  # nothing else is reported
 
 
 def test_random_parts_of_runs_and_addresses_are_found():
-    test = S.RandomTest(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    test = random_test()
     key, letters = "Xk29fLq81ZmPw03vTb7Q", "QzXkVwJpBnMtRlFhGdSyKc"
     found = {}
     for text in (f"webhooks/services/notifications/{key}", f"https://hooks.x.com/services/T00/B00/{key}", f"see https://api.x.com/v1?key={key}&b=c", f"https://bob:{key}@db.x.com/a", f"bob:{key}@db.x.com", f"id-{key}", letters, letters.lower()):
