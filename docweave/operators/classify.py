@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import DEFAULTS
 from docweave.functions import vectors as V
+from docweave.lineage import cut
 
 #: Prototypes (collections) that are broadcast; more are joined without a hint.
 BROADCAST_ROWS = 20_000
@@ -86,6 +87,13 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k).drop("r", "salt")
 
 
+def route(found: DataFrame, membership: DataFrame, top: int = DEFAULTS.route_kgs, min_score: float = DEFAULTS.min_score, digits: int = 4, query: str = "query_id", item: str = "item_id", kg: str = "kg_id") -> DataFrame:
+    """query, kg, score and rank of the `top` collections to ask for each query: by the mean score (rounded to `digits`, min_score or more) of their members among its
+    nearest items, ties by collection. found: query, item, score, the nearest DEFAULTS.coarse_top_k for example; membership: item, kg. An item may be in several collections or none."""
+    means = found.join(membership.select(item, kg), item).groupBy(query, kg).agg(F.round(F.avg("score"), digits).alias("score")).where(F.col("score") >= min_score)
+    return means.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), kg))).where(F.col("rank") <= top)
+
+
 def mean_pairwise_cosine(rows: DataFrame, cluster: str, vector: str = "vector") -> DataFrame:
     """cluster, n and the mean cosine of its pairs, without making the pairs: for unit vectors
     the sum over pairs is (|sum|^2 - sum of |v|^2) / 2. A vector of norm below 1e-9 counts as zero; one member gives 1."""
@@ -109,38 +117,122 @@ def assign_round(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: st
     return assigned, both.select(kg, kept.alias("prototype"), (F.col("member_count") + F.coalesce("__n", F.lit(0))).alias("member_count"))
 
 
-def auto_assign(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: str = "kg_id", threshold: float = DEFAULTS.auto_score, min_score: float = DEFAULTS.min_score) -> DataFrame:
-    """doc, kg, score and assigned, where each assignment moves its prototype before the next document (in order of doc) is compared.
+def auto_assign(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: str = "kg_id", threshold: float = DEFAULTS.auto_score, min_score: float = DEFAULTS.min_score,
+                slices: int | None = None) -> DataFrame:
+    """doc, kg, score and assigned, where each assignment moves its prototype before the next document (in order of doc, unique) is compared.
 
-    The order makes this one sequence: rows stream through one task in sorted order, with the prototypes, a row for each
-    collection, as its only state. For large pools use assign_round(), which is parallel.
+    The sequence is cut into slices, which run at the same time. Each starts from the prototypes as the slices before it are expected to leave them: at first as they
+    are, then by what these assigned in the last round. A slice whose predecessors assigned the same in two rounds has started from the true prototypes and is settled;
+    rounds go on from the first that hasn't. The first open slice always settles, so the result is that of the one sequence; as
+    a few documents move a prototype little, most rounds settle all but the border cases of the round before. A task streams its slice and holds the prototypes only.
+    By default there are as many slices as shuffle partitions.
     """
-    found = protos.select(kg, "prototype", "member_count").orderBy(kg).collect()
-    names = [r[kg] for r in found]
-    kind, kg_kind = docs.schema[doc].dataType.simpleString(), protos.schema[kg].dataType.simpleString()
-    start = [(np.array(r["prototype"], float) if r["prototype"] is not None else None, r["member_count"]) for r in found]
+    spark = docs.sparkSession
+    names = [r[kg] for r in protos.select(kg).orderBy(kg).collect()]  # a row for each collection
+    place = spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"__k {protos.schema[kg].dataType.simpleString()}, __i int")
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col(doc).alias("__doc"), "vector")
+    lows = own.select("__doc").repartitionByRange(slices, "__doc").groupBy(F.spark_partition_id().alias("p")).agg(F.min("__doc").alias("low")).orderBy("low").collect()
+    after = sum((F.when(F.col("__doc") >= F.lit(r["low"]), 1).otherwise(0) for r in lows[1:]), F.lit(0))
+    rows = cut(own.select(after.cast("int").alias("__slice"), F.lit(1).alias("__kind"), F.lit(None).cast("int").alias("__i"), F.lit(0).cast("long").alias("__n"), "__doc", "vector"), "pool")
+    # the state of a prototype is the sum of its members, so that slices add up
+    total = F.transform("prototype", lambda x: x * F.greatest(F.col("member_count"), F.lit(1)))
+    start = cut(protos.join(place, F.col(kg) == F.col("__k")).select("__i", total.alias("vector"), F.col("member_count").cast("long").alias("__n")), "state")
+    settled, digests, results, moved = 0, {}, [], []
+    while settled < len(lows):
+        states = _states(start, reduce(DataFrame.unionByName, moved) if moved else None, settled, len(lows))
+        open_ = rows.where(F.col("__slice") >= settled)
+        both = states.select("__slice", F.lit(0).alias("__kind"), "__i", "__n", F.lit(None).cast(rows.schema["__doc"].dataType).alias("__doc"), "vector").unionByName(open_)
+        dealt = both.repartition(slices, "__slice").sortWithinPartitions("__slice", "__kind", "__doc")
+        found = cut(_fold(dealt, len(names), threshold, min_score), "assigned")
+        ones = found.where("added IS NULL")
+        now = {r["__slice"]: r["d"] for r in ones.groupBy("__slice").agg(F.bit_xor(F.xxhash64("__doc", F.when(F.col("assigned"), F.col("__i")))).alias("d")).collect()}
+        first, settled = settled, settled + 1
+        while settled < len(lows) and digests.get(settled - 1) == now[settled - 1]:  # the slice has started from what those before it do
+            settled += 1
+        digests = now
+        results.append(ones.where(F.col("__slice").between(first, settled - 1)))
+        sums = found.where("added > 0").select("__slice", "__i", "vector", F.col("added").alias("__n"))
+        moved = [m.where(F.col("__slice") < first) for m in moved] + [sums]
+    if not results:
+        return docs.limit(0).join(protos, F.lit(False)).select(doc, kg, F.lit(0.0).alias("score"), F.lit(False).alias("assigned"))
+    every = reduce(DataFrame.unionByName, results)
+    return every.join(F.broadcast(place.select("__i", F.col("__k").alias(kg))), "__i", "left").select(F.col("__doc").alias(doc), kg, "score", "assigned")
+
+
+def _states(start: DataFrame, moved: DataFrame | None, first: int, slices: int) -> DataFrame:
+    """__slice, __i, vector and __n: the sums of all prototypes at the start of the slices from `first` on, given the sums that slices have added to them
+    (a row for each slice and prototype at most)."""
+    every = start.withColumn("__slice", F.lit(-1))
+    if moved is not None:
+        every = every.unionByName(moved.select("__slice", *start.columns))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        # one prototype: its own sum, then what each slice has added
+        frame = frame.sort_values("__slice")
+        vectors = [v for v in frame["vector"] if v is not None]
+        known = frame["vector"].notna().to_numpy()
+        steps = np.zeros((len(frame), len(vectors[0]) if vectors else 0))
+        if vectors:
+            steps[known] = np.stack(vectors)
+        if len(frame) and frame["__n"].iloc[0] == 0 and known[0] and len(frame) > 1:
+            steps[0] = 0  # a prototype without members is replaced by its first
+        sums, counts, at = np.cumsum(steps, axis=0), np.cumsum(frame["__n"].to_numpy()), frame["__slice"].to_numpy()
+        place = np.searchsorted(at, np.arange(first, slices), "left") - 1
+        empty = not vectors
+        none = (counts[place] == 0) if len(frame) else None
+        initial = frame["vector"].iloc[0]
+        out = [None if empty else (initial if z else v.tolist()) for v, z in zip(sums[place], none, strict=True)]
+        return pd.DataFrame({"__slice": np.arange(first, slices), "__i": key[0], "vector": out, "__n": counts[place]})
+
+    return every.groupBy("__i").applyInPandas(run, "__slice int, __i int, vector array<double>, __n long")
+
+
+def _fold(dealt: DataFrame, n: int, threshold: float, min_score: float) -> DataFrame:
+    """__slice, __doc, __i, score and assigned of the documents of each slice, and after them, with the number `added`, the sum of the vectors that each prototype has
+    gained. In a slice its prototypes come first, then its documents in order."""
+    kind = dealt.schema["__doc"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = list(start)
+        now, matrix, added = None, None, {}
         for frame in frames:
             out = []
-            for key, v in zip(frame[doc], frame["vector"], strict=True):
-                best = None
-                if v is not None:
+            for own, row_kind, i, members, key, v in frame[["__slice", "__kind", "__i", "__n", "__doc", "vector"]].itertuples(index=False):
+                if own != now:
+                    out += closed(now, added)
+                    now, sums, counts, matrix, added = own, [None] * n, [0] * n, None, {}
+                if row_kind == 0:
+                    sums[int(i)], counts[int(i)] = None if v is None else np.asarray(v, float), int(members)
+                    continue
+                if matrix is None:
+                    width = max((len(s) for s in sums if s is not None), default=0)
+                    matrix = np.array([s if s is not None else np.zeros(width) for s in sums]).reshape(n, width)
+                    norms, there = np.linalg.norm(matrix, axis=1) / np.maximum(counts, 1), np.array([s is not None for s in sums], bool)
+                best, score = -1, None
+                if v is not None and n and matrix.shape[1]:
                     x = np.asarray(v, float)
-                    n = np.linalg.norm(x)
-                    for i, (p, _) in enumerate(state):
-                        if p is None:
-                            continue
-                        m = np.linalg.norm(p)
-                        c = 0.0 if n < 1e-9 or m < 1e-9 else float(np.clip(x @ p / (n * m), -1, 1))
-                        if c >= min_score and (best is None or round(c, 4) > best[1]):
-                            best = (i, round(c, 4))
-                taken = best is not None and best[1] >= threshold
+                    size = np.linalg.norm(x)
+                    good = there & (norms >= 1e-9) & (size >= 1e-9)
+                    cos = np.where(good, np.clip(matrix @ x / np.where(good, norms * np.maximum(counts, 1) * size, 1), -1, 1), 0.0)
+                    fit = np.where(there & (cos >= min_score), np.round(cos, 4), -2.0)
+                    best = int(fit.argmax())  # of equals the first
+                    score = float(fit[best])
+                    best, score = (best, score) if score > -2 else (-1, None)
+                taken = score is not None and score >= threshold
                 if taken:
-                    p, count = state[best[0]]
-                    state[best[0]] = ((p * count + x) / (count + 1) if count else x, count + 1)
-                out.append((key, names[best[0]] if best else None, best[1] if best else None, taken))
-            yield pd.DataFrame(out, columns=[doc, kg, "score", "assigned"])
-
-    return docs.select(doc, "vector").coalesce(1).sortWithinPartitions(doc).mapInPandas(run, f"{doc} {kind}, {kg} {kg_kind}, score double, assigned boolean")
+                    so_far, k = added.get(best, (0.0, 0))
+                    added[best] = so_far + x, k + 1
+                    matrix[best] = matrix[best] + x if counts[best] else x
+                    counts[best] += 1
+                    norms[best] = np.linalg.norm(matrix[best]) / counts[best]
+                out.append((own, key, best if best >= 0 else None, score, taken, None, None))
+            yield table(out)
+        yield table(closed(now, added))
+
+    def closed(own, added: dict) -> list[tuple]:
+        return [(own, None, i, None, None, x.tolist(), k) for i, (x, k) in added.items()]
+
+    def table(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["__slice", "__doc", "__i", "score", "assigned", "vector", "added"]).astype({"__i": "Int64", "score": "Float64", "added": "Int64"})
+
+    return dealt.mapInPandas(run, f"__slice int, __doc {kind}, __i int, score double, assigned boolean, vector array<double>, added long")

@@ -312,8 +312,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 def route_kgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections of the 100 nearest items, by mean score: a definition of our own."""
     labels = _vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), F.col("label").alias("kg_id"))
-    means = _knn(spark, sf_dir, 100, -1.0).join(labels, "item_id").groupBy("query_id", "kg_id").agg(F.round(F.avg("score"), 5).alias("score")).where("score >= 0.05")
-    return means.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kg_id"))).where("rank <= 5")
+    return classify.route(_knn(spark, sf_dir, classify.DEFAULTS.coarse_top_k, -1.0), labels, digits=5)
 
 
 @query(f"WITH {_VEC} SELECT a.label, count(DISTINCT a.vec_id) + 1 AS n, round(avg(list_cosine_similarity(a.x, b.x)), 6) AS intra_similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
@@ -321,7 +320,12 @@ def mean_pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.mean_pairwise_cosine(_vectors(spark, sf_dir), "label").withColumn("intra_similarity", F.round("intra_similarity", 6))
 
 
-@query()
+#: One step for each document, in order: the prototypes are a list that each step hands on.
+@query(f"""WITH RECURSIVE {_PROTO}, docs AS (SELECT vec_id, x, row_number() OVER (ORDER BY vec_id) AS r FROM v WHERE vec_id % 5 = 0),
+f AS (SELECT CAST(0 AS BIGINT) AS r, list(struct_pack(k := kg_id, v := pv, n := member_count) ORDER BY kg_id) AS st, CAST(NULL AS BIGINT) AS vec_id, CAST(0 AS BIGINT) AS ix, CAST(0 AS DOUBLE) AS mx FROM p JOIN m USING (kg_id)
+UNION ALL SELECT r, list_transform(st, lambda q, i: CASE WHEN i = ix AND mx >= 0.3 THEN struct_pack(k := q.k, v := list_transform(q.v, lambda e, j: (e * q.n + x[j]) / (q.n + 1)), n := q.n + 1) ELSE q END), vec_id, ix, mx
+FROM (SELECT *, list_position(sc, mx) AS ix FROM (SELECT *, list_max(sc) AS mx FROM (SELECT docs.r, docs.vec_id, docs.x, f.st, list_transform(f.st, lambda q: CASE WHEN list_cosine_similarity(q.v, docs.x) >= 0.05 THEN round(list_cosine_similarity(q.v, docs.x), 4) ELSE -2 END) AS sc FROM f JOIN docs ON docs.r = f.r + 1))))
+SELECT vec_id, CASE WHEN mx > -2 THEN st[ix].k END AS kg_id, CASE WHEN mx > -2 THEN mx END AS score, mx >= 0.3 AS assigned FROM f WHERE r > 0""")
 def classify_auto_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.auto_assign(_vectors(spark, sf_dir).where("vec_id % 5 = 0"), classify.prototypes(_members(spark, sf_dir)), "vec_id")
 
