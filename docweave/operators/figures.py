@@ -16,19 +16,56 @@ CAPTION = r"(?:圖|附圖|Figure|Fig\.?)\s*[\.:：]?\s*(\d+(?:[-.]\d+)?)"
 REFERENCE = r"(?:如|見|參[見閱]|詳)?(?:上|下)?(?:圖|附圖|Figure|Fig\.?)\s*(\d+(?:[-.]\d+)?)\s*(?:所示|所述|說明|shows|illustrates)?"
 BYPASS = r"(如下圖|如上圖|下圖所示|上圖所示|圖\s*\d+\s*(?:所示|說明)|Figure\s*\d+\s*(?:shows|illustrates|below|above))"
 AUTO_PREFIX = "自補圖"
+#: What stands for images in a text (fixed texts).
+NO_TEXT, SEEN, READ, POOR, PAGE_HEAD = "（圖片無可辨識文字內容）", "圖像語義描述（來源: 本地圖理解模型）: ", "圖片 OCR 文字（來源: OCR", "，資訊可能不足", "--- [第 "
+IMAGE_HEAD, TITLE, PAGE_TAIL = "[圖片:", "標題: ", " 頁圖片解析] ---\n"
 #: The least width and height of an image that counts, in pixels as displayed, and the score from which a model looks at it (fixed values).
 SMALLEST, UPGRADE = 40.0, 60.0
 
 
 def coverage(images: DataFrame, boxes: DataFrame, page: str = "page_id", image: str = "image_id") -> DataFrame:
-    """image, coverage (sum of overlaps with text boxes of its page over its area, 1 at most) and covered (0.7 or more; an image without area is covered)."""
-    i = images.select(page, image, *[F.col(c).alias(f"i{c}") for c in ("x0", "y0", "x1", "y1")])
+    """image, coverage (sum of overlaps with text boxes of its page over its area, 1 at most) and covered (0.7 or more; an image without area is covered).
+    Boxes meet in the cells of a grid (see box_pairs()); null coordinates overlap nothing."""
+    area = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
     overlap = F.greatest(F.lit(0.0), F.least("ix1", "x1") - F.greatest("ix0", "x0")) * F.greatest(F.lit(0.0), F.least("iy1", "y1") - F.greatest("iy0", "y0"))
-    area = F.greatest(F.lit(0.0), F.col("ix1") - F.col("ix0")) * F.greatest(F.lit(0.0), F.col("iy1") - F.col("iy0"))
-    shared = F.when(F.col("x0").isNull(), 0.0).otherwise(overlap)  # least and greatest pass over nulls
-    sums = i.join(boxes, page, "left").groupBy(image).agg(F.sum(shared).alias("s"), F.max(area).alias("area"))
+    sums = box_pairs(images, boxes, page, image).select(image, overlap.alias("s")).unionByName(images.select(image, F.lit(0.0).alias("s"))).groupBy(image).agg(F.sum("s").alias("s"))
+    areas = images.groupBy(image).agg(F.max(area).alias("area"))
     share = F.when(F.col("area") > 0, F.least(F.lit(1.0), F.col("s") / F.col("area"))).otherwise(1.0)
-    return sums.select(image, share.alias("coverage"), (share >= 0.7).alias("covered"))
+    return sums.join(areas, image).select(image, share.alias("coverage"), (share >= 0.7).alias("covered"))
+
+
+#: Boxes of a page for each cell of its grid, about, and cells along each side at most.
+CELL_BOXES, MOST_CELLS = 32, 256
+
+
+def box_pairs(images: DataFrame, texts: DataFrame, page: str = "page_id", image: str = "image_id", reach: float = 0.0) -> DataFrame:
+    """image, its coordinates as ix0 to iy1, and the columns of a text of the same page, for every pair whose boxes meet or are at most `reach` apart from top to bottom.
+    Pairs that are further apart can be among them, but none is there twice.
+
+    A page is cut into a grid of cells, as many as its boxes call for (one on a page of few), and pairs meet in the cells that both touch. They count in the cell where the later of
+    their left edges and the later of their lower edges are. A crowded page so is many groups, and far boxes never meet.
+    """
+    i = images.select(page, image, *[F.col(c).alias(f"i{c}") for c in ("x0", "y0", "x1", "y1")]).where("ix0 + iy0 + ix1 + iy1 IS NOT NULL")
+    t = texts.where("x0 + y0 + x1 + y1 IS NOT NULL")
+    low, high = lambda a, b: F.min(F.least(a, b)), lambda a, b: F.max(F.greatest(a, b))
+    side = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.floor(F.sqrt(F.count("*") / CELL_BOXES)))).cast("int")
+    grid = t.groupBy(page).agg(low("x0", "x1").alias("gx0"), high("x0", "x1").alias("gx1"), low("y0", "y1").alias("gy0"), high("y0", "y1").alias("gy1"), side.alias("side"))
+
+    def cell(x: Column, axis: str) -> Column:
+        a, b = F.col(f"g{axis}0"), F.col(f"g{axis}1")
+        at = F.when(b > a, F.floor((x - a) / (b - a) * F.col("side"))).otherwise(F.lit(0))
+        return F.greatest(F.lit(0), F.least(F.col("side") - 1, at)).cast("int")
+
+    def touched(axis: str, a: Column, b: Column) -> Column:
+        return F.explode(F.sequence(cell(F.least(a, b), axis), cell(F.greatest(a, b), axis)))
+
+    c = F.col
+    left = i.join(grid, page).select(i["*"], cell(c("ix0"), "x").alias("ifx"), cell(F.least("iy0", "iy1") - reach, "y").alias("ify"), touched("x", c("ix0"), c("ix1")).alias("cx"), "gy0", "gy1", "side")
+    left = left.select("*", touched("y", F.least("iy0", "iy1") - reach, F.greatest("iy0", "iy1") + reach).alias("cy")).drop("gy0", "gy1", "side")
+    right = t.join(grid, page).select(t["*"], cell(c("x0"), "x").alias("tfx"), cell(F.least("y0", "y1"), "y").alias("tfy"), touched("x", c("x0"), c("x1")).alias("cx"), "gy0", "gy1", "side")
+    right = right.select("*", touched("y", F.least("y0", "y1"), F.greatest("y0", "y1")).alias("cy")).drop("gy0", "gy1", "side")
+    met = left.join(right, [page, "cx", "cy"]).where((c("cx") == F.greatest("ifx", "tfx")) & (c("cy") == F.greatest("ify", "tfy")))
+    return met.drop("cx", "cy", "ifx", "ify", "tfx", "tfy")
 
 
 def ocr_score(text: Column, confidence: Column) -> Column:
@@ -74,11 +111,11 @@ def graphic_score(pixels: Column) -> Column:
 
 def text_block(figure_id: Column, caption: Column, ocr_text: Column, understanding: Column, score: Column, threshold: float = UPGRADE) -> Column:
     """What stands for an image in the text: its number, its caption, and what a model or the OCR says of it."""
-    none = F.lit("（圖片無可辨識文字內容）")
-    note = F.when(score >= threshold, "，資訊可能不足").otherwise("")
+    none = F.lit(NO_TEXT)
+    note = F.when(score >= threshold, POOR).otherwise("")
     said = F.coalesce(F.nullif(understanding, F.lit("")), F.lit(""))
-    body = F.when(said != "", F.concat(F.lit("圖像語義描述（來源: 本地圖理解模型）: "), said)).when(ocr_text != "", F.concat(F.lit("圖片 OCR 文字（來源: OCR"), note, F.lit("）: "), ocr_text)).otherwise(none)
-    return F.concat_ws("\n", F.concat(F.lit("[圖片:"), figure_id, F.lit("]")), F.when(caption != "", F.concat(F.lit("標題: "), caption)), body)
+    body = F.when(said != "", F.concat(F.lit(SEEN), said)).when(ocr_text != "", F.concat(F.lit(READ), note, F.lit("）: "), ocr_text)).otherwise(none)
+    return F.concat_ws("\n", F.concat(F.lit(IMAGE_HEAD), figure_id, F.lit("]")), F.when(caption != "", F.concat(F.lit(TITLE), caption)), body)
 
 
 def process(images: DataFrame, doc: str = "doc_id", model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -108,7 +145,7 @@ def process(images: DataFrame, doc: str = "doc_id", model: Callable[[DataFrame],
 def page_blocks(processed: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc, page and text: the blocks of a page's images, from the top, under a heading."""
     blocks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "block"))), lambda b: b["block"]), "\n\n")
-    return processed.groupBy(doc, "page").agg(blocks.alias("b")).select(doc, "page", F.concat(F.lit("--- [第 "), F.col("page").cast("string"), F.lit(" 頁圖片解析] ---\n"), "b").alias("text"))
+    return processed.groupBy(doc, "page").agg(blocks.alias("b")).select(doc, "page", F.concat(F.lit(PAGE_HEAD), F.col("page").cast("string"), F.lit(PAGE_TAIL), "b").alias("text"))
 
 
 def emu_to_px(emu: Column) -> Column:
@@ -120,10 +157,10 @@ def points_to_px(points: Column) -> Column:
 
 
 def nearest_captions(images: DataFrame, texts: DataFrame, page: str = "page_id", image: str = "image_id", max_gap: float = 40.0) -> DataFrame:
-    """For each image the text above or below it, overlapping it across, with the smallest gap under max_gap; the first of equals (by ord)."""
-    i = images.select(page, image, *[F.col(c).alias(f"i{c}") for c in ("x0", "y0", "x1", "y1")])
+    """For each image the text above or below it, overlapping it across, with the smallest gap under max_gap; the first of equals (by ord).
+    Only boxes in the band of max_gap around an image meet it (see box_pairs())."""
     gap = F.when(F.col("y1") <= F.col("iy0"), F.col("iy0") - F.col("y1")).when(F.col("y0") >= F.col("iy1"), F.col("y0") - F.col("iy1"))
-    near = i.join(texts, page).where((F.col("x1") >= F.col("ix0")) & (F.col("x0") <= F.col("ix1"))).withColumn("gap", gap).where(F.col("gap") < max_gap)
+    near = box_pairs(images, texts, page, image, max_gap).where((F.col("x1") >= F.col("ix0")) & (F.col("x0") <= F.col("ix1"))).withColumn("gap", gap).where(F.col("gap") < max_gap)
     return near.groupBy(image).agg(F.min(F.struct("gap", "ord", "text")).alias("m")).select(image, F.col("m.text").alias("caption"), F.col("m.gap").alias("gap"))
 
 

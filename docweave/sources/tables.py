@@ -19,10 +19,24 @@ SCHEMAS = {
 }
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table that is kept in versions, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.globStatus(hadoop.Path(f"{path}/version=*"))]
+    return sorted(int(n.split("=")[1]) for n in names if fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def _latest(spark: SparkSession, path: str) -> str:
+    known = _versions(spark, path)
+    return f"{path}/version={known[-1]:08d}" if known else path
+
+
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored table with its schema; an empty one where nothing is stored."""
     try:
-        found = spark.read.schema(SCHEMAS[name]).parquet(path)
+        found = spark.read.schema(SCHEMAS[name]).parquet(_latest(spark, path))
         found.inputFiles()
         return found
     except AnalysisException as e:
@@ -32,16 +46,26 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, name: str, by: str | None = "kg_id") -> None:
-    """Stores rows in the table's schema. The partitions of `by` that rows have are overwritten and all others stay; without `by` the whole table is overwritten."""
-    kinds = {f.name: f.dataType for f in rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema}
-    out = rows.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]).write.mode("overwrite")
-    (out.option("partitionOverwriteMode", "dynamic").partitionBy(by) if by else out).parquet(path)
+    """Stores rows in the table's schema. The partitions of `by` that rows have are overwritten and all others stay. Without `by` the whole table is replaced: a new version is
+    written beside the last, which readers see until the new one is complete; the last stays for readers that have begun, older ones go."""
+    spark = rows.sparkSession
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], SCHEMAS[name]).schema}
+    out = rows.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+    if by:
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        return
+    known = _versions(spark, path)
+    out.write.mode("overwrite").parquet(f"{path}/version={(known[-1] if known else 0) + 1:08d}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in known[:-1]:
+        fs.delete(hadoop.Path(f"{path}/version={old:08d}"), True)
 
 
 def readable(spark: SparkSession, path: str, name: str) -> bool:
     """Whether a stored table is there and all its columns can be read."""
     try:
-        found = spark.read.parquet(path)
+        found = spark.read.parquet(_latest(spark, path))
         wanted = {c.split()[0] for c in SCHEMAS[name].split(", ")}
         if not wanted <= set(found.columns):
             return False
@@ -52,9 +76,10 @@ def readable(spark: SparkSession, path: str, name: str) -> bool:
 
 
 def insert(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the new ones; a key that is there is an error when the result is read."""
-    taken = new.join(rows.select(*keys).distinct().withColumn("__there", F.lit(True)), keys, "left")
-    free = F.when(F.col("__there").isNull(), F.col(keys[0])).otherwise(F.raise_error(F.concat(F.lit("already there: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast(new.schema[keys[0]].dataType))
+    """rows with the new ones; a key that is there, or twice among the new, is an error when the result is read."""
+    times = new.groupBy(*keys).agg(F.count("*").alias("__n")).join(rows.select(*keys).distinct().withColumn("__there", F.lit(True)), keys, "left")
+    taken = new.join(times, keys, "left")  # null keys aren't compared
+    free = F.when(F.col("__there").isNull() & (F.coalesce("__n", F.lit(1)) == 1), F.col(keys[0])).otherwise(F.raise_error(F.concat(F.lit("already there: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast(new.schema[keys[0]].dataType))
     return rows.unionByName(taken.withColumn(keys[0], free).select(*new.columns))
 
 
