@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import pages, search  # noqa: F401
+from . import pages, queues, search  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES  # noqa: F401
