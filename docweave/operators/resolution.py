@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from docweave import providers
 from docweave.config import DEFAULTS
-from docweave.functions import vectors as V
 from docweave.lineage import cut
 from docweave.operators import graph
 from docweave.operators.entities import edit_ratios
+from docweave.operators.similarity import pairs_within
 
 BLOCK = ["kg_id", "entity_type"]
 ASK = "「{}」和「{}」指的是不是同一個對象？請回答「是」或「否」。"
@@ -54,12 +54,8 @@ def edit_pairs(names: DataFrame, threshold: float) -> DataFrame:
 
 
 def cosine_pairs(names: DataFrame, least: float) -> DataFrame:
-    """kg_id, entity_type, name, other, other_ord, cosine: earlier names of the block whose vectors have a cosine of at least `least` (above 0)."""
-    v = names.where(F.col("vector").isNotNull()).select(*BLOCK, "name", "ord", "vector", V.norm(F.col("vector")).alias("norm"))
-    b = v.select(*BLOCK, F.col("name").alias("other"), F.col("ord").alias("other_ord"), F.col("vector").alias("w"), F.col("norm").alias("other_norm"))
-    earlier = (F.col("other_ord") < F.col("ord")) | ((F.col("other_ord") == F.col("ord")) & (F.col("other") < F.col("name")))
-    scored = v.join(b, BLOCK).where(earlier).select(*BLOCK, "name", "other", "other_ord", V.cosine(F.col("vector"), F.col("w"), F.col("norm"), F.col("other_norm")).alias("cosine"))
-    return scored.where((F.col("cosine") >= least) & (F.col("cosine") > 0))
+    """kg_id, entity_type, name, other, other_ord, cosine: earlier names of the block whose vectors have a cosine of at least `least` (above 0). See similarity.pairs_within()."""
+    return pairs_within(names, BLOCK, least)
 
 
 def best_candidates(scored: DataFrame, keys: list[str], item: str, order: str, score: str = "score") -> DataFrame:
