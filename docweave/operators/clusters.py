@@ -6,8 +6,8 @@ excess of mass. From `reduce_from` points on, vectors are first reduced by princ
 (in place of a manifold method that isn't at hand, so labels there are our own).
 
 Means and covariances are summed in the tasks. The spanning tree grows in rounds, each of which finds every component's
-nearest neighbour outside it, block against block of a pool, and joins the components: so pools of any size are shared out. Only
-the tree, one edge a point, comes together for the labels.
+nearest neighbour outside it and joins the components. Points are in blocks of space; bounds on how near two blocks can be
+leave most of them uncompared. Only the tree, one edge a point, comes together for the labels.
 """
 
 from __future__ import annotations
@@ -151,29 +151,96 @@ def nearest_outside(mine: pd.DataFrame, others: pd.DataFrame) -> list[tuple]:
     return [(c, *v) for c, v in best.items()]
 
 
+def space_blocks(points: DataFrame, pool: str) -> DataFrame:
+    """points (pool, item, x) with `block`: parts of space of about BLOCK points of a pool each.
+
+    Pools are halved at the median of their widest dimension, and the halves again, level by level and all at once, until none is too large. Points that
+    are all alike can't be halved; they are dealt out by a hash.
+    """
+    out = cut(points.select(pool, "item", "x", F.lit(0).cast("long").alias("node")), "points")
+    while True:
+        crowded = out.groupBy(pool, "node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        large = cut(crowded, "large")
+        if large.isEmpty():
+            break
+        each = out.join(large, [pool, "node"]).select(pool, "node", F.posexplode("x").alias("d", "v"))
+        spread = each.groupBy(pool, "node", "d").agg((F.max("v") - F.min("v")).alias("w"), F.percentile_approx("v", 0.5).alias("at"), F.max("v").alias("top"))
+        widest = spread.groupBy(pool, "node").agg(F.max(F.struct("w", (-F.col("d")).alias("d"), "at", "top")).alias("m")).where("m.w > 0")
+        # the median can be the largest value: then what is below it is one half
+        halves = cut(widest.select(pool, "node", (-F.col("m.d")).alias("d"), F.col("m.at").alias("at"), (F.col("m.at") < F.col("m.top")).alias("upto")), "halves")
+        if halves.isEmpty():
+            break
+        at = F.get("x", F.col("d"))
+        first = F.when(F.col("upto"), at <= F.col("at")).otherwise(at < F.col("at"))
+        out = cut(out.join(halves, [pool, "node"], "left").select(pool, "item", "x", F.when(F.col("d").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(first, 1).otherwise(2)).alias("node")), "points")
+    sizes = out.groupBy(pool, "node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("item"), "parts")).otherwise(F.lit(0))
+    return out.join(sizes, [pool, "node"]).select(pool, "item", "x", F.concat_ws(":", "node", part.cast("int")).alias("block"))
+
+
+def block_distances(points: DataFrame, pool: str) -> DataFrame:
+    """pool, i, j, least and most: the bounds on the distance of points of two blocks of a pool, from the boxes around them. A row for each two blocks, which
+    are fewer than points by BLOCK."""
+    ends = points.select(pool, "block", F.posexplode("x").alias("d", "v")).groupBy(pool, "block", "d").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    boxes = cut(ends.groupBy(pool, "block").agg(F.sort_array(F.collect_list(F.struct("d", "low", "high"))).alias("box")), "boxes")
+    other = boxes.select(F.col(pool).alias("__pool"), F.col("block").alias("j"), F.col("box").alias("other"))
+    both = boxes.join(other, boxes[pool].eqNullSafe(other["__pool"])).select(pool, F.col("block").alias("i"), "j", "box", "other")
+    far = lambda f: F.sqrt(F.aggregate(F.zip_with("box", "other", f), F.lit(0.0), lambda s, x: s + x * x))
+    least = far(lambda p, q: F.greatest(F.lit(0.0), p["low"] - q["high"], q["low"] - p["high"]))
+    most = far(lambda p, q: F.greatest(F.abs(p["high"] - q["low"]), F.abs(q["high"] - p["low"])))
+    return cut(both.where("i <> j").select(pool, "i", "j", least.alias("least"), most.alias("most")), "distances")
+
+
+def block_pairs(placed: DataFrame, inside: DataFrame, distances: DataFrame, pool: str) -> DataFrame:
+    """pool, i and j of the blocks that must be compared, i looking for neighbours in j: those where a component with points in i can have a nearer neighbour in j than it has in its own blocks.
+
+    placed: pool, item, c, block; inside: pool, c and d, the nearest neighbour outside a component within its blocks. A component that fills its blocks has none there;
+    its bound is the most that a point of another component can be away.
+    """
+    parts = placed.groupBy(pool, "block", "c").agg(F.lit(1).alias("one")).drop("one")
+    filled = cut(parts.groupBy(pool, "block").agg(F.count("*").alias("k"), F.min("c").alias("c")), "filled")
+    mine = filled.select(pool, F.col("block").alias("i"), F.col("k").alias("ki"), F.col("c").alias("ci"))
+    theirs = filled.select(pool, F.col("block").alias("j"), F.col("k").alias("kj"), F.col("c").alias("cj"))
+    foreign = cut(distances.join(mine, [pool, "i"]).join(theirs, [pool, "j"]).where("ki > 1 OR kj > 1 OR ci <> cj"), "foreign")
+    reach = parts.join(inside.select(pool, "c", "d"), [pool, "c"], "left")
+    beyond = reach.where("d IS NULL").join(foreign.groupBy(pool, F.col("i").alias("block")).agg(F.min("most").alias("most")), [pool, "block"], "left")
+    bound = beyond.groupBy(pool, "c").agg(F.min("most").alias("b"))
+    need = reach.join(bound, [pool, "c"], "left").groupBy(pool, F.col("block").alias("i")).agg(F.max(F.coalesce("d", "b", F.lit(float("inf")))).alias("need"))
+    return foreign.join(need, [pool, "i"]).where(F.col("least") <= F.col("need") * (1 + 1e-9) + 1e-12).select(pool, "i", "j")
+
+
 def spanning_trees(points: DataFrame, pool: str) -> DataFrame:
-    """pool, d, a and b of the edges of each pool's minimum spanning tree. points: pool, item, x, blocks. Ties go to the smaller items,
-    so the edges that the components choose make no circle."""
+    """pool, d, a and b of the edges of each pool's minimum spanning tree. points: pool, item, x. Ties go to the smaller items,
+    so the edges that the components choose make no circle.
+
+    In a round every component finds its nearest neighbour, first within the blocks of space its points are in, then in those blocks that can hold a nearer one;
+    blocks too far for all of a block's components are never compared with it.
+    """
     kind = {c: points.schema[c].dataType.simpleString() for c in (pool, "item")}
-    points = cut(points.select(pool, "item", "x", "blocks", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("block")), "points")
+    points = cut(space_blocks(points, pool), "points")
+    distances = block_distances(points, pool)
     own = cut(points.select(pool, "item", F.col("item").alias("c")), "own")
     schema = f"{pool} {kind[pool]}, c {kind['item']}, d double, a {kind['item']}, b {kind['item']}"
-    edges = None
+    columns, edges = [pool, "item", "c", "x"], None
+
+    def within(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(g[pool].iloc[0], *f) for f in nearest_outside(g, g)], columns=[pool, "c", "d", "a", "b"])
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         mine, others = g[g["mine"]], g[~g["mine"]]
         found = nearest_outside(mine, others) if len(mine) and len(others) else []
         return pd.DataFrame([(g[pool].iloc[0], *f) for f in found], columns=[pool, "c", "d", "a", "b"])
 
-    upto = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    best = F.min(F.struct("d", "a", "b")).alias("m")
     while True:
-        placed = points.join(own, [pool, "item"])
-        open_ = own.groupBy(pool).agg(F.countDistinct("c").alias("k")).where("k > 1").select(pool)
-        placed = placed.join(open_, pool)
-        columns = [pool, "item", "c", "x"]
-        both = placed.select(*columns, F.lit(True).alias("mine"), F.col("block").alias("i"), upto.alias("j")).unionByName(placed.select(*columns, F.lit(False).alias("mine"), upto.alias("i"), F.col("block").alias("j")))
-        near = both.groupBy(pool, "i", "j").applyInPandas(search, schema)
-        chosen = cut(near.groupBy(pool, "c").agg(F.min(F.struct("d", "a", "b")).alias("m")).select(pool, "c", "m.*"), "chosen")
+        open_ = own.groupBy(pool).agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select(pool)
+        placed = cut(points.join(own, [pool, "item"]).join(open_, pool), "placed")
+        inside = cut(placed.select(*columns, "block").groupBy(pool, "block").applyInPandas(within, schema).groupBy(pool, "c").agg(best).select(pool, "c", "m.*"), "inside")
+        pairs = cut(block_pairs(placed, inside, distances, pool), "pairs")
+        here = pairs.join(placed.withColumnRenamed("block", "i"), [pool, "i"]).select(*columns, F.lit(True).alias("mine"), "i", "j")
+        there = pairs.join(placed.withColumnRenamed("block", "j"), [pool, "j"]).select(*columns, F.lit(False).alias("mine"), "i", "j")
+        near = here.unionByName(there).groupBy(pool, "i", "j").applyInPandas(search, schema)
+        chosen = cut(inside.select(pool, "c", "d", "a", "b").unionByName(near).groupBy(pool, "c").agg(best).select(pool, "c", "m.*"), "chosen")
         if chosen.isEmpty():
             return points.select(pool, F.lit(0.0).alias("d"), F.col("item").alias("a"), F.col("item").alias("b")).limit(0) if edges is None else edges
         new = chosen.select(pool, "d", "a", "b").distinct()
@@ -190,10 +257,9 @@ def cluster_pool(rows: DataFrame, pool: str, item: str, vector: str = "vector",
     kind = {c: rows.schema[c].dataType.simpleString() for c in (pool, item)}
     has = rows.where(F.col(vector).isNotNull()).select(pool, F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
     axes = cut(principal_axes(has, pool, "v"), "axes")
-    sizes = has.groupBy(pool).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     centred = F.zip_with("v", "mean", lambda a, m: a - m)
     x = F.when(F.col("mean").isNull(), F.col("v")).otherwise(F.transform("axes", lambda w: F.aggregate(F.zip_with(w, centred, lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)))
-    points = cut(has.join(axes, pool, "left").join(sizes, pool).select(pool, "item", x.alias("x"), "blocks"), "points")
+    points = cut(has.join(axes, pool, "left").select(pool, "item", x.alias("x")), "points")
     trees = spanning_trees(points, pool)
 
     def fold(key, items: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
