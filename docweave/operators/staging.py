@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docweave.config import DEFAULTS, PRONOUNS, RELATIONS
 from docweave.functions import text as T
+from docweave.lineage import cut
+from docweave.sources import tables
 
 
 def problem(source: Column, text: Column) -> Column:
@@ -31,6 +33,11 @@ def chunk_rows(staged: DataFrame) -> DataFrame:
         F.concat(head, F.lit("\n\n"), "chunk", F.lit("\n")).alias("file"))
 
 
+def write_chunks(staged: DataFrame, path: str) -> None:
+    """Stores chunk_rows() by folder. All chunks of the folders written are replaced, so none of an earlier, longer version stays; other folders stay as they are."""
+    tables.write(chunk_rows(staged), path, "chunks", "folder")
+
+
 def sentences_or_rebuild(sources: DataFrame, index: DataFrame, originals: DataFrame, key: str = "source") -> DataFrame:
     """Sentences of each source from the index, else from its original text; origin tells which. A source with neither has null sentences."""
     own = index.select(key, F.col("sentences").alias("stored"))
@@ -40,6 +47,40 @@ def sentences_or_rebuild(sources: DataFrame, index: DataFrame, originals: DataFr
     return out.select(key, F.coalesce("stored", T.sentences(F.col("raw"))).alias("sentences"), origin.alias("origin"))
 
 
+def required_sentences(spark: SparkSession, sources: DataFrame, index: str, originals: str, fetched: DataFrame | None = None) -> DataFrame:
+    """kg_id, source and sentences of each of sources (kg_id, source): from the stored index, else from the stored text, else from `fetched` (kg_id, source, text, error), what a source of pages gave for
+    addresses. What isn't in the index yet is stored there, what was fetched with its text as well, so that the next call finds it. A document that nothing gives
+    is an error when the result is read.
+
+    index and originals: folders of the tables `sentences` and `originals`, whose collections are rewritten with what is new.
+    """
+    key = ["kg_id", "source"]
+    stored, texts = tables.read(spark, index, "sentences"), tables.read(spark, originals, "originals")
+    wanted = sources.select(*key).distinct()
+    missing = cut(wanted.join(stored, key, "left_anti"), "missing")
+    found = missing.join(texts.select(*key, "text"), key, "left")
+    if fetched is not None:
+        pages = fetched.where("text IS NOT NULL").groupBy(*key).agg(F.max("text").alias("page"))
+        found = cut(found.join(pages, key, "left"), "found")
+        fresh = cut(found.where("text IS NULL AND page IS NOT NULL").select(*key, F.col("page").alias("text")), "fetched")
+        _add(texts, fresh, originals, "originals")
+        found = found.select(*key, F.coalesce("text", "page").alias("text"))
+    rebuilt = cut(found.where("text IS NOT NULL").select(*key, T.sentences(F.col("text")).alias("sentences")).withColumn("total", F.size("sentences")), "rebuilt")
+    kept = cut(wanted.join(stored.select(*key, "sentences"), key, "left"), "kept")
+    _add(stored, rebuilt, index, "sentences")
+    out = kept.join(rebuilt.select(*key, F.col("sentences").alias("__new")), key, "left").select(*key, F.coalesce("sentences", "__new").alias("sentences"))
+    lost = F.raise_error(F.concat(F.lit("neither sentences nor text: "), F.col("source"))).cast("array<string>")
+    return out.select(*key, F.when(F.col("sentences").isNull(), lost).otherwise(F.col("sentences")).alias("sentences"))
+
+
+def _add(stored: DataFrame, new: DataFrame, path: str, name: str) -> None:
+    """Rewrites the collections that get new rows, with their old rows and the new."""
+    own = stored.join(new.select("kg_id").distinct(), "kg_id", "left_semi").join(new, ["kg_id", "source"], "left_anti")
+    both = cut(own.select(*stored.columns).unionByName(new.select(*stored.columns)), name)
+    if not both.isEmpty():
+        tables.write(both, path, name)
+
+
 def extraction_windows(sentences: DataFrame, key: str = "source", normalized: str = "normalized") -> DataFrame:
     """Windows of original and normalized sentences side by side, a row for each; arrays of different lengths are an error."""
     same = F.size("sentences") == F.size(normalized)

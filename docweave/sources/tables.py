@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: Schemas of the stored tables.
 SCHEMAS = {
+    "chunks": "folder string, source string, chunk_index int, total_chunks int, chunk string, filename string, file string",
     "originals": "kg_id string, source string, text string",
     "sentences": "kg_id string, source string, sentences array<string>, total int",
     "windows": "kg_id string, source string, chunk_index int, total int, sentence_start int, sentence_end int, original array<string>, normalized array<string>",
