@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.config import DEFAULTS
@@ -273,7 +273,8 @@ def cluster_pool(rows: DataFrame, pool: str, item: str, vector: str = "vector",
     return labels.unionByName(rows.where(F.col(vector).isNull()).select(pool, item, F.lit(-1).alias("label")))
 
 
-def dominant_label(labels: DataFrame, pool: str) -> DataFrame:
-    """The largest cluster of each pool, the lowest label of equals; pools of noise alone have none."""
-    counts = labels.where("label >= 0").groupBy(pool, "label").agg(F.count("*").alias("n"))
-    return counts.groupBy(pool).agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m")).select(pool, (-F.col("m.l")).alias("label"), F.col("m.n").alias("n"))
+def dominant_label(labels: DataFrame, pool: str, item: str = "item") -> DataFrame:
+    """The largest cluster of each pool, of equals that of the first item; pools of noise alone have none."""
+    counts = labels.where("label >= 0").groupBy(pool, "label").agg(F.count("*").alias("n"), F.min(item).alias("first"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(pool).orderBy(F.desc("n"), "first")))
+    return ranked.where("r = 1").select(pool, "label", "n")

@@ -14,10 +14,13 @@ from docweave.operators import classify, clusters
 MOST_NAMES, MOST_CONCEPTS, CONCEPTS = 10, 20, 15
 
 
-def top_concepts(bodies: DataFrame, keys: list[str], body: str = "body", n: int = CONCEPTS) -> DataFrame:
-    """keys and concepts: the n most frequent tokens, ties in code-point order. Counts are combined in the tasks."""
-    counts = bodies.select(*keys, F.explode(T.concept_tokens(F.col(body))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("c"))
-    first = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "token"))).where(F.col("r") <= n)
+def top_concepts(bodies: DataFrame, keys: list[str], body: str = "body", n: int = CONCEPTS, order: str | None = None) -> DataFrame:
+    """keys and concepts: the n most frequent tokens. Of equally frequent ones the first to occur comes first, bodies being in order of the column `order`; without it ties go
+    by code point. Counts are combined in the tasks."""
+    place = F.struct(F.col(order).alias("o"), F.col("pos")) if order else F.lit(0)
+    tokens = bodies.select(*dict.fromkeys([*keys, *([order] if order else [])]), F.posexplode(T.concept_tokens(F.col(body))).alias("pos", "token"))
+    counts = tokens.groupBy(*keys, "token").agg(F.count("*").alias("c"), F.min(place).alias("place"))
+    first = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "place", "token"))).where(F.col("r") <= n)
     return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]).alias("concepts"))
 
 
@@ -38,7 +41,7 @@ def naming_basis(labels: DataFrame, rows: DataFrame, pool: str, item: str, vecto
     """pool, label and item of the members a cluster is named by: those of its largest cluster when it is clustered again, all of them if there is none."""
     inner = labels.where("label >= 0").join(rows.select(item, vector), item).select(F.struct(pool, "label").alias("__cluster"), item, vector)
     again = clusters.cluster_pool(inner.withColumn("__key", F.to_json("__cluster")), "__key", item, vector, least)
-    main = clusters.dominant_label(again, "__key").select(F.col("__key").alias("__k"), F.col("label").alias("__main"))
+    main = clusters.dominant_label(again, "__key", item).select(F.col("__key").alias("__k"), F.col("label").alias("__main"))
     of = inner.select(F.to_json("__cluster").alias("__key"), "__cluster", item)
     both = of.join(again.select("__key", F.col(item).alias("__item"), F.col("label").alias("__l")), (F.col("__item") == of[item]) & (again["__key"] == of["__key"])).drop(again["__key"])
     kept = both.join(main, F.col("__key") == F.col("__k"), "left").where(F.col("__main").isNull() | (F.col("__main") == F.col("__l")))
@@ -55,7 +58,7 @@ def analyze(rows: DataFrame, bodies: DataFrame, pool: str = "pool", item: str =
     inside = labels.where("label >= 0")
     alike = classify.mean_pairwise_cosine(inside.join(rows.select(item, vector), item).withColumn("__cluster", F.struct(*keys)), "__cluster", vector)
     alike = alike.select(f"__cluster.{pool}", "__cluster.label", F.round("intra_similarity", 4).alias("intra_similarity"))
-    concepts = top_concepts(basis.join(bodies, item), keys)
+    concepts = top_concepts(basis.join(bodies, item), keys, order=item)
     out = listed(inside, "members").join(listed(basis, "basis"), keys).join(alike, keys).join(concepts, keys, "left")
     out = out.withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
     if model is None:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import graphs, pages, queues, search  # noqa: F401
+from . import graphs, pages, queues, records, search  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES  # noqa: F401
