@@ -456,10 +456,23 @@ def edit_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.edit_ratios(pairs, "p_name", "before")
 
 
-@query()
+#: A step for each mention, after one for its sentence: the registry is a list of names with their forms, in order of entry.
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]{2,}\b') AS forms FROM conversations),
+m AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS form, text FROM c UNION ALL SELECT conv_id, turn, generate_subscripts(forms, 1), unnest(forms), text FROM c),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS r, k = max(k) OVER (PARTITION BY conv_id, turn) AS closing FROM m),
+f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS turn, false AS closing, '' AS sentence, CAST([] AS STRUCT(name VARCHAR, forms STRUCT(f VARCHAR, c BIGINT)[])[]) AS st FROM s
+UNION ALL SELECT conv_id, r, turn, closing, CASE WHEN form IS NULL THEN text WHEN ix IS NULL OR renamed THEN sentence ELSE replace(sentence, form, st[ix].name) END,
+  CASE WHEN form IS NULL THEN st WHEN ix IS NULL THEN list_append(st, struct_pack(name := form, forms := [struct_pack(f := form, c := CAST(1 AS BIGINT))]))
+    WHEN renamed THEN list_append(list_concat(st[:ix - 1], st[ix + 1:]), struct_pack(name := form, forms := counted)) ELSE list_concat(list_append(st[:ix - 1], struct_pack(name := st[ix].name, forms := counted)), st[ix + 1:]) END
+FROM (SELECT *, form <> st[ix].name AND (length(form) > length(st[ix].name) OR length(form) = length(st[ix].name) AND list_filter(counted, lambda x: x.f = form)[1].c > list_filter(counted, lambda x: x.f = st[ix].name)[1].c) AS renamed
+FROM (SELECT *, CASE WHEN len(list_filter(st[ix].forms, lambda x: x.f = form)) = 0 THEN list_append(st[ix].forms, struct_pack(f := form, c := CAST(1 AS BIGINT)))
+    ELSE list_transform(st[ix].forms, lambda x: struct_pack(f := x.f, c := x.c + CASE WHEN x.f = form THEN 1 ELSE 0 END)) END AS counted
+FROM (SELECT s.conv_id, s.r, s.turn, s.closing, s.form, s.text, f.sentence, f.st, list_filter(range(1, len(f.st) + 1), lambda i: len(list_filter(f.st[i].forms, lambda x: contains(x.f, s.form) OR contains(s.form, x.f))) > 0)[1] AS ix
+  FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1))))
+SELECT conv_id, CAST(turn AS INT) AS sentence_idx, sentence, CAST(len(st) AS INT) AS n_names FROM f WHERE closing""")
 def alias_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    forms = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\b[A-Z][a-z]{2,}\b)"), 1)
+    forms = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"((?<!\w)[A-Z][a-z]{2,}(?!\w))"), 1)
     return entities.apply_registry(c.select("conv_id", F.col("turn").cast("int").alias("sentence_idx"), F.coalesce("text", F.lit("")).alias("sentence"), forms.alias("forms")), "conv_id")
 
 
@@ -526,10 +539,16 @@ def fact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fact_edges(_triples(spark, sf_dir)).select("kg_id", "subject", "rel_type", "object", "n_citations", "confidence", "last_source_doc_id")
 
 
-@query()
+#: Sentence after sentence: the pronoun stands for the last word of the sentence before, as that was resolved.
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS pos, CASE WHEN l_linenumber % 2 = 0 THEN '它在 ' || l_partkey || ' 它' WHEN l_linenumber % 3 = 0 THEN '在它' ELSE '零件 ' || l_partkey END AS sentence FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS r FROM s),
+f AS (SELECT *, sentence AS done FROM n WHERE r = 1 UNION ALL SELECT n.*, replace(n.sentence, '它', string_split(f.done, ' ')[-1]) FROM f JOIN n ON n.l_orderkey = f.l_orderkey AND n.r = f.r + 1)
+SELECT l_orderkey, pos, done AS sentence, contains(sentence, '它') AS has_pronoun FROM f""")
 def coreference_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("CASE WHEN l_linenumber % 2 = 0 THEN '它在 ' ELSE '零件 ' END || l_partkey").alias("sentence"))
-    return coreference.resolve(sentences, lambda s, before, after: s.replace("它", before[-1].split(" ")[-1]) if before else None, "l_orderkey", "l_linenumber").drop("error")
+    """Each pronoun is replaced by the last word of the sentence before it, after that was resolved itself."""
+    said = F.expr("CASE WHEN l_linenumber % 2 = 0 THEN '它在 ' || l_partkey || ' 它' WHEN l_linenumber % 3 = 0 THEN '在它' ELSE '零件 ' || l_partkey END")
+    sentences = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), said.alias("sentence"))
+    return coreference.resolve(sentences, lambda s, before, after: s.replace("它", before[-1].split(" ")[-1]) if before else None, "l_orderkey", "pos").drop("error")
 
 
 # --- tasks and records ----------------------------------------------------------------------------------------------------
