@@ -2,8 +2,8 @@
 
 With one neighbour as core size, mutual reachability is the plain distance, and the
 hierarchy is that of single linkage: the minimum spanning tree, condensed at a least cluster size, cut by
-excess of mass. From `reduce_from` points on, vectors are first reduced by principal components
-(in place of a manifold method that isn't at hand, so labels there are our own).
+excess of mass. From `reduce_from` points on, vectors are first reduced, by principal components or by a layout
+of their neighbour graph (manifold.py); labels there are our own, as random draws differ between tools.
 
 Means and covariances are summed in the tasks. The spanning tree grows in rounds, each of which finds every component's
 nearest neighbour outside it and joins the components. Points are in blocks of space; bounds on how near two blocks can be
@@ -252,14 +252,21 @@ def spanning_trees(points: DataFrame, pool: str) -> DataFrame:
         own = cut(own.join(roots, [pool, "c"], "left").select(pool, "item", F.coalesce("to", "c").alias("c")), "own")
 
 
-def cluster_pool(rows: DataFrame, pool: str, item: str, vector: str = "vector", least: int = DEFAULTS.cluster_min_size) -> DataFrame:
-    """pool, item and label for each row, items being distinct within a pool; rows without a vector, and pools of fewer than `least` vectors, are noise."""
+def cluster_pool(rows: DataFrame, pool: str, item: str, vector: str = "vector", least: int = DEFAULTS.cluster_min_size, reduce: str = "axes") -> DataFrame:
+    """pool, item and label for each row, items being distinct within a pool; rows without a vector, and pools of fewer than `least` vectors, are noise.
+    Pools of `reduce_from` vectors and more are reduced to their principal axes, or with reduce="manifold" by a layout that begins there (see manifold.layout())."""
+    if reduce not in ("axes", "manifold"):
+        raise ValueError("reduce must be axes or manifold")
     kind = {c: rows.schema[c].dataType.simpleString() for c in (pool, item)}
     has = rows.where(F.col(vector).isNotNull()).select(pool, F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
     axes = cut(principal_axes(has, pool, "v"), "axes")
     centred = F.zip_with("v", "mean", lambda a, m: a - m)
     x = F.when(F.col("mean").isNull(), F.col("v")).otherwise(F.transform("axes", lambda w: F.aggregate(F.zip_with(w, centred, lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)))
-    points = cut(has.join(axes, pool, "left").select(pool, "item", x.alias("x")), "points")
+    points = cut(has.join(axes, pool, "left").select(pool, "item", "v", F.col("mean").isNotNull().alias("large"), x.alias("x")), "points")
+    if reduce == "manifold":
+        from docweave.operators import manifold
+
+        points = cut(manifold.layout(points.where("large").drop("large"), pool).unionByName(points.where("NOT large").select(pool, "item", "x")), "points")
     trees = spanning_trees(points, pool)
 
     def fold(key, items: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
