@@ -95,6 +95,23 @@ def test_packing_and_audit_of_odd_rows(spark, odd):
     assert first.removed == want and first.removed + first.kept == len(rows)
 
 
+def test_stages_break_ties_alike_whatever_the_partitions(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    rows = [(i % 25, texts[i % 12], "en", ["a", "b"][i % 2], 1) for i in range(90)] + [(i, texts[12 + i % 18], "en", "c", 1) for i in range(40)] + [(None, texts[0], "en", None, 1)] * 4 + [(7, None, "en", "a", 1), (7, "", "en", "a", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    where = str(tmp_path / "ties")
+    spark.createDataFrame([(i, i % 3 == 0) for i in range(25)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) AS toxic").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, texts[3]), (2, texts[3]), (3, texts[20])], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        runs = [sorted(map(tuple, stage(spark, docs.repartition(n), where).collect()), key=repr) for n in (1, 6)]
+        assert runs[0] == runs[1] and runs[0], name
+    left = near_duplicates.without_copies(docs).where("text = '%s'" % texts[0]).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(0, texts[0])]  # of equal texts the least id stays, once
+    assert {r.text for r in decontamination.clean(docs, read(spark, where, "benchmark")).collect()} == {r[1] for r in rows} - {texts[3], texts[20]}
+
+
 def test_pipeline_of_odd_and_of_no_documents(spark, odd, tmp_path):
     for name, n in (("odd", 1000), ("none", 0)):
         where = tmp_path / name
