@@ -123,7 +123,7 @@ def concept_tokens(body: Column) -> Column:
 
 
 def safe_stem(source: Column, longest: int = 80) -> Column:
-    """A name for files from a path (its last part without the extension) or URL."""
+    """A name for files from a path (its last part without the extension) or URL. Characters that give way, the length and the default are fixed values."""
     url = source.startswith("http://") | source.startswith("https://")
     last = F.regexp_extract(source, r"([^/\\]*)[/\\]*$", 1)
     bare = F.when(last.rlike(r"^\.*[^.].*\.[^.]*$"), F.regexp_replace(last, r"(.)\.[^.]*$", "$1")).otherwise(last)
@@ -179,7 +179,7 @@ def url_kind(url: Column) -> Column:
 
 
 def naming_reply(raw: Column) -> tuple[Column, Column]:
-    """Name and description out of a model's reply; the name falls back to a default."""
+    """Name and description out of a model's reply; the name falls back to a default. The markers of the lines and the default are fixed texts."""
     last = lambda p: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(raw, F.lit(p), 1)), -1)
     name = strip(last(r"(?m)^\s*(?:名稱|名称)：(.*)$"))
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("新知識庫")), strip(last(r"(?m)^\s*描述：(.*)$"))

@@ -14,8 +14,8 @@ from docweave.config import DEFAULTS
 from docweave.functions import vectors as V
 from docweave.lineage import cut
 
-#: Prototypes (collections) that are broadcast; more are joined without a hint.
-BROADCAST_ROWS = 20_000
+#: Prototypes (collections) and queries that are broadcast, and the numbers that their vectors hold together, at most; more are joined without a hint, or in blocks.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 20_000, 16_000_000
 
 
 def document_vectors(chunks: DataFrame, key: str = "doc_id", vector: str = "vector") -> DataFrame:
@@ -52,7 +52,8 @@ def scores(docs: DataFrame, protos: DataFrame, doc: str = "doc_id", kg: str = "k
     are one row for each collection and are broadcast up to BROADCAST_ROWS of them."""
     left = docs.where(F.col("vector").isNotNull()).select(doc, "vector", V.norm(F.col("vector")).alias("dn"))
     right = protos.where(F.col("prototype").isNotNull()).select(kg, "prototype", "member_count", V.norm(F.col("prototype")).alias("pn"))
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows, numbers = right.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.size("prototype")), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS:
         right = F.broadcast(right)
     return left.crossJoin(right).select(doc, kg, "member_count", V.cosine(F.col("vector"), F.col("prototype"), F.col("dn"), F.col("pn")).alias("score"))
 
@@ -70,7 +71,7 @@ def best(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", min_score: float = -1.0) -> DataFrame:
     """Exact top k by cosine of a stated set of queries against all items; ties by item. Up to BROADCAST_ROWS queries
-    are broadcast; more are compared in blocks of that many, each block broadcast in its turn.
+    (and BROADCAST_NUMBERS in their vectors) are broadcast; more are compared in blocks of that many, each block broadcast in its turn.
 
     Every task keeps k rows for each query before the shuffle (a partial top-k by max_by on structs would keep one; a window over
     query and a salt keeps k), so a query's candidates never meet in one task.
@@ -78,7 +79,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id
     q = queries.select(query, F.col("vector").alias("qv"), V.norm(F.col("vector")).alias("qn"))
     i = items.select(item, "vector", V.norm(F.col("vector")).alias("n"))
     score = V.cosine(F.col("vector"), F.col("qv"), F.col("n"), F.col("qn")).alias("score")
-    blocks = -(-q.count() // BROADCAST_ROWS)
+    rows, numbers = q.agg(F.count("*"), F.coalesce(F.sum(F.size("qv")), F.lit(0))).first()
+    blocks = max(-(-rows // BROADCAST_ROWS), -(-numbers // BROADCAST_NUMBERS))
     parts = [q] if blocks < 2 else [q.where(F.pmod(F.xxhash64(query), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
     scored = reduce(DataFrame.union, [i.crossJoin(F.broadcast(p)).select(query, item, score) for p in parts]).where(F.col("score") >= min_score)
     order = [F.desc("score"), F.col(item)]

@@ -122,7 +122,7 @@ def process(images: DataFrame, doc: str = "doc_id", model: Callable[[DataFrame],
     """The images of each document that are shown at SMALLEST pixels and more each way, numbered in reading order (by page, from the top), with score, upgraded
     and block.
 
-    images: doc, page, image_id, y1, width, height (as displayed, in pixels), doc_type, caption, full_text, ocr_text, ocr_confidence, graphic, force. model gets
+    images: doc, page, image_id, y1 (page and y1 never null: they are the order), width, height (as displayed, in pixels), doc_type, caption, full_text, ocr_text, ocr_confidence, graphic, force. model gets
     the rows that are upgraded (by their score, or forced) and adds a column `understanding`.
     """
     shown = images.where((F.col("width") >= SMALLEST) & (F.col("height") >= SMALLEST))

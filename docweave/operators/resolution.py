@@ -3,11 +3,15 @@
 Names are taken in order of their first appearance; each resolves to an entity that is known by then, or becomes one:
 the first known name with an edit ratio of at least `edit`, else the known name with the largest cosine if that reaches `same`, else the
 one a model confirms if the cosine reaches `ask`. The order makes names depend on earlier ones only; so all names whose earlier
-relatives are decided are decided at once, in as many rounds as the longest such chain.
+relatives are decided are decided at once, in as many rounds as the longest such chain. Without a model, names of components of few pairs are
+settled first, each component by one fold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +19,13 @@ from docweave import providers
 from docweave.config import DEFAULTS
 from docweave.lineage import cut
 from docweave.operators import graph
+from docweave.operators.components import components
 from docweave.operators.entities import edit_ratios
 from docweave.operators.similarity import pairs_within
 
 BLOCK = ["kg_id", "entity_type"]
+#: Pairs of a component that is settled by one fold.
+SMALL = 20_000
 ASK = "「{}」和「{}」指的是不是同一個對象？請回答「是」或「否」。"
 
 
@@ -74,15 +81,19 @@ def resolve_names(mentions: DataFrame, order: str = "ord", edit: float = DEFAULT
     named = mentions.where(F.trim("name") != "")
     first = F.min(F.struct(F.col(order).alias("o"), F.col(vector).alias("v") if vector else F.lit(None).cast("array<double>").alias("v"))).alias("f")
     names = cut(named.groupBy(*BLOCK, "name").agg(first).select(*BLOCK, "name", F.col("f.o").alias("ord"), F.col("f.v").alias("vector")), "names")
-    schema = [*BLOCK, "name", "other", "other_ord"]
+    schema = [*BLOCK, "name", "ord", "other", "other_ord"]
     close = edit_pairs(names, edit) if edit <= 1 else names.select(*BLOCK, "name", F.col("name").alias("other"), F.col("ord").alias("other_ord")).limit(0)
-    by_edit = close.select(*schema, F.lit(2).alias("kind"), F.lit(0.0).alias("cosine"))
+    ords = names.select(*BLOCK, "name", "ord")
+    by_edit = close.join(ords, [*BLOCK, "name"]).select(*schema, F.lit(2).alias("kind"), F.lit(0.0).alias("cosine"))
     pairs = by_edit
     if vector:
         # kinds: 2 by edit ratio, 1 by a cosine that decides, 0 by one that needs an answer
-        pairs = by_edit.union(cosine_pairs(names, ask if model else same).select(*schema, (F.col("cosine") >= same).cast("int").alias("kind"), "cosine"))
+        pairs = by_edit.union(cosine_pairs(names, ask if model else same).join(ords, [*BLOCK, "name"]).select(*schema, (F.col("cosine") >= same).cast("int").alias("kind"), "cosine"))
     pairs = cut(pairs, "pairs")
-    own, other = [*BLOCK, "name"], [*BLOCK, F.col("other").alias("name")]
+    own = [*BLOCK, "name"]
+    settled = None
+    if model is None and not pairs.isEmpty():
+        settled, pairs = _settle_small(pairs)
     known = cut(names.select(*own).join(pairs.select(*own).distinct(), own, "left_anti"), "known")
     open_, asked = pairs, None
     while not open_.isEmpty():
@@ -111,11 +122,59 @@ def resolve_names(mentions: DataFrame, order: str = "ord", edit: float = DEFAULT
     chosen = hits.where("kind = 2").groupBy(*own).agg(F.min(F.struct("other_ord", F.col("other").alias("entity"))).alias("m")).select(*own, "m.entity")
     near = hits.where("kind = 1").join(chosen, own, "left_anti").groupBy(*own).agg(pick).select(*own, "m.entity")
     chosen = chosen.union(near)
+    if settled is not None:
+        chosen = chosen.union(settled)
     if asked is not None:
         chosen = chosen.union(asked.select(*own, F.col("other").alias("entity")).join(chosen, own, "left_anti"))
     return names.select(*own).join(chosen, own, "left").select(*own, F.coalesce("entity", "name").alias("entity"))
 
 
+def _settle_small(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """kg_id, entity_type, name and entity of the names that merge within components of at most SMALL pairs, and the pairs of larger components.
+
+    Nothing outside a component bears on its names, so that each of the small ones is one ordered fold, streamed with those that share its partition: a chain of names
+    of any length up to there takes no rounds.
+    """
+    spec = {c: pairs.schema[c].dataType.simpleString() for c in [*BLOCK, "name", "other_ord"]}
+    node = lambda c: F.struct(*BLOCK, F.col(c).alias("name"))
+    roots = components(pairs.select(node("name").alias("a"), node("other").alias("b"))).select("node", "root")
+    placed = cut(pairs.withColumn("node", node("name")).join(roots, "node").drop("node"), "placed")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
+    sized = placed.join(sizes, "root")
+    rows = sized.where(F.col("n") <= SMALL).select(F.xxhash64("root").alias("h"), *BLOCK, "name", "ord", "other", "other_ord", "kind", "cosine")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, merged, at, found = None, set(), None, []
+
+        def decided() -> list[tuple]:
+            """The entity of the name whose pairs are in `found`, if any of its partners is one."""
+            open_ = [f for f in found if (at[0], at[1], f[0]) not in merged]
+            close = [(o, x) for x, o, kind, _ in open_ if kind == 2]
+            near = [(c, -o, x) for x, o, kind, c in open_ if kind == 1]
+            if not close and not near:
+                return []
+            merged.add(at)
+            return [(*at, min(close)[1] if close else max(near)[2])]
+
+        for f in frames:
+            out = []
+            for h, kg, kind_, name, _, other, other_ord, kind, cosine in f.itertuples(index=False):
+                if at is not None and (kg, kind_, name) != at:
+                    out += decided()
+                    found = []
+                if h != now:
+                    now, merged = h, set()
+                at = (kg, kind_, name)
+                found.append((other, other_ord, kind, cosine))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate([*BLOCK, "name", "entity"])})
+        if at is not None:
+            yield pd.DataFrame({c: pd.Series([r[i] for r in decided()], dtype=object) for i, c in enumerate([*BLOCK, "name", "entity"])})
+
+    ordered = rows.repartition("h").sortWithinPartitions("h", "ord", "name", *BLOCK, "other_ord", "other")
+    done = ordered.mapInPandas(run, f"kg_id {spec['kg_id']}, entity_type {spec['entity_type']}, name {spec['name']}, entity {spec['name']}")
+    return cut(done, "settled"), cut(sized.where(F.col("n") > SMALL).select(*pairs.columns), "pairs")
+
+
 def mention_edges(mentions: DataFrame) -> DataFrame:
     """The edges from chunks to entities, each once: kg_id, doc_id, chunk_index, entity, surface_form. A mention without a document or chunk makes none."""
     return mentions.where(F.col("doc_id").isNotNull() & F.col("chunk_index").isNotNull()).select("kg_id", "doc_id", "chunk_index", "entity", "surface_form").distinct()

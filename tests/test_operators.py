@@ -219,7 +219,7 @@ def test_images_are_numbered_after_small_ones_are_dropped(spark):
     assert abs(one(spark, figures.graphic_score(pixels)) - 100 * (0.6 * 5 / 16 + 0.4 * (1 / 4 + 1 / 4) / 2)) < 1e-9
 
 
-def test_names_resolve_by_ratio_vector_and_answer(spark):
+def test_names_resolve_by_ratio_vector_and_answer(spark, monkeypatch):
     def fold(names, vectors, ask=None, edit=0.7):
         known, out = [], {}
         for n in names:
@@ -245,6 +245,8 @@ def test_names_resolve_by_ratio_vector_and_answer(spark):
     plain = fold(names, None)
     assert get(resolution.resolve_names(mentions)) == plain and 5 < sum(k != v for k, v in plain.items()) < len(names) - 20
     assert get(resolution.resolve_names(mentions, vector="v")) == fold(names, vectors)
+    monkeypatch.setattr(resolution, "SMALL", 3)  # larger components go by rounds
+    assert get(resolution.resolve_names(mentions)) == plain and get(resolution.resolve_names(mentions, vector="v")) == fold(names, vectors)
     model = Yes("ka")
     assert get(resolution.resolve_names(mentions, vector="v", model=model)) == fold(names, vectors, model) != fold(names, vectors)
 
