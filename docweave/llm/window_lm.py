@@ -6,7 +6,7 @@ tokens (the Huffman tree of their counts). Each branching is a logistic unit, so
 size sum to one at the cost of its logarithm. The sum of the log-probabilities scores a document.
 
 The vocabulary comes from word counts of the whole corpus and grows with it: every word whose count
-reaches threshold() is a token. The other words share classes; the network predicts the class, and the counts of the
+reaches threshold() is a token. The other words share classes by their endings; the network predicts the class, and the counts of the
 corpus the word in its class, so that each word has a probability of its own. All documents train the network: they are
 dealt by a hash to shards, whose number follows from the corpus alone; each shard starts from the same parameters and makes one
 pass over its documents in order of the hash with Adagrad; the parameters are averaged, weighed by tokens, in order of the shards.
@@ -19,21 +19,19 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, short_batches, words_of_batch
+from .common import Scratch, arrow_map, mix, short_batches, words_of_batch
 from .token_file import code_lengths
 
-#: Classes that the words outside the vocabulary share by a hash of their endings.
-OTHER = 64
+#: Classes that the words outside the vocabulary share by a hash of their last three bytes.
+OTHER = 4096
 #: The count from which a word is a token is the square root of the words of the corpus, divided by SPARE.
 SPARE = 40
 #: Neighbours, width of the hidden layer, tokens of a step; in training the first steps are short and double after every EARLY ones.
@@ -81,28 +79,40 @@ def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     """All words that reach the threshold (most frequent first, ties by the word), and the corpus count of every token: these words, then the classes."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = sorted((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= threshold(total)).collect())
-    n = np.zeros(len(top) + OTHER)
-    n[: len(top)] = [-c for c, _ in top]
-    n[len(top) :] = max(0, total - n.sum()) / OTHER
-    return [w for _, w in top], n
+    n = np.concatenate([[-c for c, _ in top], np.zeros(OTHER)])
+    words = [w for _, w in top]
+    n[len(top) :] = class_totals(counts, words, 0) - 1
+    return words, n
 
 
 def class_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:]) % OTHER
+    return int(classes_of(pa.array([word], pa.binary()))[0])
 
 
-def class_totals(counts: DataFrame, words: list[bytes]) -> np.ndarray:
-    """For each class the words that share it: their occurrences and their number, and one for the unseen ones.
+def classes_of(words: pa.Array) -> np.ndarray:
+    """The class of each word (of one byte and more)."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    first, last, size = ends[:-1], ends[1:] - 1, np.diff(ends)
+    key = np.zeros(len(size), np.uint64)
+    for i in range(3):
+        key |= np.where(size > i, data[np.maximum(last - i, first)], 0).astype(np.uint64) << np.uint64(8 * i)
+    return (mix(key) % np.uint64(OTHER)).astype(np.int32)
+
+
+def class_totals(counts: DataFrame, words: list[bytes], unseen: int = 1) -> np.ndarray:
+    """For each class the words that share it: their occurrences and (with `unseen`) their number, and one for the unseen ones.
 
     A word that occurs n times has n parts of that total; each distinct word leaves one part, and the last one is added, to unseen words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = set(words), np.zeros(OTHER)
+        known, sums = pa.array(words, pa.binary()), np.zeros(OTHER)
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in known:
-                    sums[class_of(w)] += n + 1
+            rare = pc.is_null(pc.index_in(batch.column(0), value_set=known))
+            found, n = batch.column(0).filter(rare), batch.column(1).filter(rare).to_numpy(zero_copy_only=False)
+            if len(found):
+                sums += np.bincount(classes_of(found), n + float(unseen), OTHER)
         yield pa.RecordBatch.from_arrays([pa.array(range(OTHER), pa.int32()), pa.array(sums, pa.float64())], ["class", "total"])
 
     out = np.ones(OTHER)
@@ -111,13 +121,6 @@ def class_totals(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     return out
 
 
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """class_of() by the last two bytes of a word, the first of them in the upper half; words of one byte come after."""
-    pairs = [class_of(bytes(divmod(i, 256))) for i in range(1 << 16)]
-    return np.array(pairs + [class_of(bytes([i])) for i in range(256)], np.int32)
-
-
 class Tokens:
     """Token numbers of words: their place in the vocabulary, or that of their class after it."""
 
@@ -130,11 +133,7 @@ class Tokens:
         found = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
         rare = np.flatnonzero(found < 0)
         if len(rare):
-            ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-            data = np.frombuffer(words.buffers()[2], np.uint8).astype(np.int64)
-            last, size = ends[1:][rare] - 1, np.diff(ends)[rare]
-            key = np.where(size > 1, data[last - (size > 1)] * 256 + data[last], (1 << 16) + data[last])
-            found[rare] = self.first + _classes()[key]
+            found[rare] = self.first + classes_of(words.take(pa.array(rare)))
         return found
 
 

@@ -222,8 +222,8 @@ def test_language_model_vocabulary_grows_and_every_word_has_its_own_probability(
     assert set(vocab) == {bytes(r.word) for r in corpus.collect() if r.n >= limit} and len(vocab) > 2000 and int(counts.sum()) == sum(len(t.split()) for t in texts)
     net = window_lm.Network(counts)
     assert net.tokens == len(counts) == len(vocab) + window_lm.OTHER
-    # words of one class (the same last two bytes) between the same neighbours: five times, once, never
-    probe = spark.createDataFrame([(0, "c1 xqzed c2"), (1, "c1 xyzed c2"), (2, "c1 gibbered c2")], "doc_id long, text string")
+    # words of one class (the same last three bytes) between the same neighbours: five times, once, never
+    probe = spark.createDataFrame([(0, "c1 xqzed c2"), (1, "c1 xyzed c2"), (2, "c1 xkzed c2")], "doc_id long, text string")
     got = {r.doc_id: r.log_likelihood for r in window_lm.score(probe, vocab, counts, net, corpus=corpus).collect()}
     assert abs(got[0] - got[1] - np.log(5)) < 1e-6 and got[1] == got[2]
     totals = window_lm.class_totals(corpus, vocab)
