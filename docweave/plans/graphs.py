@@ -28,13 +28,13 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_FACTS}, b AS (SELECT subject AS a, object AS z FROM f UNION SELECT object, subject FROM f),
-w AS (SELECT 'C' || c_custkey AS v, 0 AS d FROM customer WHERE c_custkey % 500 = 7 UNION SELECT z, d + 1 FROM w JOIN b ON a = v WHERE d < 2),
+w AS (SELECT 'C' || c_custkey AS v, 0 AS d FROM customer WHERE c_acctbal > 9850 UNION SELECT z, d + 1 FROM w JOIN b ON a = v WHERE d < 2),
 n AS (SELECT * FROM f WHERE subject IN (SELECT v FROM w) OR object IN (SELECT v FROM w))
 SELECT subject, rel_type, object, CASE WHEN subject IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0) THEN 'order' ELSE '概念' END AS subject_type,
   CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '概念' END AS object_type, coalesce(confidence, 1) AS confidence, coalesce(last.v, rel_type) AS verb, last.d AS source_doc_id, last.i AS source_svo_chunk_index, last.s AS source_sentence_start
 FROM n LEFT JOIN part ON object = 'P' || p_partkey""")
 def traversal_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, seeds = _facts(spark, sf_dir), table(spark, sf_dir, "customer").where("c_custkey % 500 = 7").select(F.concat(F.lit("C"), "c_custkey").alias("name"))
+    facts, seeds = _facts(spark, sf_dir), table(spark, sf_dir, "customer").where("c_acctbal > 9850").select(F.concat(F.lit("C"), "c_custkey").alias("name"))
     parts = table(spark, sf_dir, "part").select(F.lit("k").alias("kg_id"), F.concat(F.lit("P"), "p_partkey").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("entity_type"))
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.lit("k").alias("kg_id"), F.concat(F.lit("O"), "o_orderkey").alias("name"), F.lit("order").alias("entity_type"))
     found = graph.neighbourhood(facts, seeds, 3)
