@@ -449,7 +449,15 @@ def triples_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.parse_triples(replies).select("p_partkey", "subject", "rel_type", "verb", "object", "confidence")
 
 
-@query()
+#: Matched characters of the pairs p(id, a, b): the longest common part, the first of equals in a and then in b, then the same left and right of it.
+_RATIOS = """g AS (SELECT id, a, b, 0 AS m FROM p UNION ALL SELECT id, unnest([substr(a, 1, x.i - 1), substr(a, x.i + x.n)]), unnest([substr(b, 1, x.j - 1), substr(b, x.j + x.n)]), unnest([x.n, 0])
+  FROM (SELECT id, a, b, {'n': t.n, 'i': -t.i, 'j': -t.j} AS x FROM (SELECT id, a, b, list_sort(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(b) + 1), lambda j: {
+    'n': len(list_filter(range(1, least(len(a) - i, len(b) - j) + 2), lambda k: substr(a, i, k) = substr(b, j, k))), 'i': -i, 'j': -j}))))[-1] AS t FROM g WHERE a <> '' AND b <> '') WHERE t.n > 0)),
+q AS (SELECT p.id, CASE WHEN len(any_value(p.a)) + len(any_value(p.b)) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(g.m) / (len(any_value(p.a)) + len(any_value(p.b))) END AS ratio FROM p JOIN g USING (id) GROUP BY p.id)"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_name AS a, b FROM (SELECT *, lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part) WHERE b IS NOT NULL), {_RATIOS}
+SELECT id AS p_partkey, a AS p_name, b AS before, ratio FROM p JOIN q USING (id)""")
 def edit_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     pairs = p.select("p_partkey", "p_name", F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("before")).where("before IS NOT NULL")
@@ -476,7 +484,16 @@ def alias_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.apply_registry(c.select("conv_id", F.col("turn").cast("int").alias("sentence_idx"), F.coalesce("text", F.lit("")).alias("sentence"), forms.alias("forms")), "conv_id")
 
 
-@query()
+#: Name after name of a collection and type: the first known name it is near, else it becomes one.
+@query(f"""WITH RECURSIVE n AS (SELECT p_brand AS kg_id, p_size AS entity_type, p_name AS name, min(p_partkey) AS ord FROM part WHERE trim(p_name) <> '' GROUP BY p_brand, p_size, p_name),
+o AS (SELECT *, row_number() OVER (PARTITION BY kg_id, entity_type ORDER BY ord, name) AS r FROM n),
+p AS (SELECT row_number() OVER () AS id, x.name AS a, y.name AS b FROM (SELECT DISTINCT x.name, y.name AS other FROM o x JOIN o y USING (kg_id, entity_type) WHERE y.r < x.r) z JOIN (SELECT DISTINCT name FROM n) x ON x.name = z.name JOIN (SELECT DISTINCT name FROM n) y ON y.name = z.other), {_RATIOS},
+c AS (SELECT p.a AS name, list(p.b) AS near FROM p JOIN q USING (id) WHERE ratio >= 0.7 GROUP BY p.a),
+l AS (SELECT o.*, coalesce(c.near, []) AS near FROM o LEFT JOIN c USING (name)),
+f AS (SELECT DISTINCT kg_id, entity_type, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS known, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS entity FROM o
+UNION ALL SELECT kg_id, entity_type, r, CASE WHEN hit IS NULL THEN list_append(known, name) ELSE known END, name, coalesce(hit, name)
+FROM (SELECT l.kg_id, l.entity_type, l.r, l.name, f.known, list_filter(f.known, lambda k: list_contains(l.near, k))[1] AS hit FROM f JOIN l ON l.kg_id = f.kg_id AND l.entity_type = f.entity_type AND l.r = f.r + 1))
+SELECT kg_id, entity_type, name, entity FROM f WHERE r > 0""")
 def entity_resolution_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return resolution.resolve_names(p.select(F.col("p_brand").alias("kg_id"), F.col("p_size").alias("entity_type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")))
