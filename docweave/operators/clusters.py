@@ -132,12 +132,18 @@ def principal_axes(rows: DataFrame, pool: str, vector: str = "vector") -> DataFr
     return sums.groupBy(pool).applyInPandas(axes, f"{pool} {kind}, mean array<double>, axes array<array<double>>")
 
 
+def distances_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all of y. They are the same to the last bit whichever side a row is on, since components must agree on which edge is shorter."""
+    rows = max(1, 4_000_000 // max(1, y.size))
+    return np.concatenate([np.sqrt(((x[i : i + rows, None] - y[None]) ** 2).sum(2)) for i in range(0, len(x), rows)])
+
+
 def nearest_outside(mine: pd.DataFrame, others: pd.DataFrame) -> list[tuple]:
     """For each component of mine its nearest pair with a point of another component: component, distance, and the pair, the smaller item first."""
     x, y = np.stack(mine["x"].to_numpy()), np.stack(others["x"].to_numpy())
     code = {c: i for i, c in enumerate(pd.unique(pd.concat([mine["c"], others["c"]])))}
     cx, cy = mine["c"].map(code).to_numpy(), others["c"].map(code).to_numpy()
-    d = np.sqrt(np.maximum(0, ((x[:, None] - y[None]) ** 2).sum(2) if x.shape[1] <= 8 else (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+    d = distances_of(x, y)
     d[cx[:, None] == cy[None]] = np.inf
     best: dict = {}
     for i in np.flatnonzero(np.isfinite(d.min(1))):

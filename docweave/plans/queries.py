@@ -344,6 +344,20 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_pool(_vectors(spark, sf_dir).select(F.col("label").alias("pool"), "vec_id", "vector"), "pool", "vec_id")
 
 
+#: The tree grows from its first point; `best` holds the distance of each other point to it, -1 for those in it.
+@query(f"""WITH RECURSIVE {_VEC}, xs AS (SELECT label, list(x ORDER BY vec_id) AS xs FROM v GROUP BY label), m AS (SELECT label, list_transform(xs, lambda a: list_transform(xs, lambda b: list_distance(a, b))) AS d FROM xs),
+f AS (SELECT label, CAST(0 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS longest, list_transform(d[1], lambda e, i: CASE WHEN i = 1 THEN -1 ELSE e END) AS best FROM m
+UNION ALL SELECT label, step + 1, total + low, greatest(longest, low), list_transform(best, lambda e, i: CASE WHEN e < 0 OR i = pick THEN -1 ELSE least(e, d[pick][i]) END)
+  FROM (SELECT *, list_position(best, low) AS pick FROM (SELECT f.*, m.d, list_min(list_filter(best, lambda e: e >= 0)) AS low FROM f JOIN m ON m.label = f.label) WHERE low IS NOT NULL))
+SELECT label, max(step) AS edges, round(max(total), 5) AS total, round(max(longest), 5) AS longest FROM f GROUP BY label""")
+def spanning_tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, whole length and longest edge of the tree that the labels of each collection's clusters come from."""
+    points = _vectors(spark, sf_dir).select("label", F.col("vec_id").alias("item"), F.col("vector").alias("x"))
+    edges = clusters.spanning_trees(points, "label")
+    sums = edges.groupBy("label").agg(F.count("*").alias("edges"), F.round(F.sum("d"), 5).alias("total"), F.round(F.max("d"), 5).alias("longest"))
+    return points.select("label").distinct().join(sums, "label", "left").select("label", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("longest", F.lit(0.0)).alias("longest"))
+
+
 # --- graph ----------------------------------------------------------------------------------------------------------------
 
 _TRIPLES = """t AS (SELECT CAST(l_suppkey % 4 AS INT) AS kg_id, 'P' || l_partkey % 50 AS subject, CASE l_returnflag WHEN 'A' THEN 'CAUSES' WHEN 'N' THEN 'USES' ELSE 'GIVES' END AS rel_type, 'S' || l_suppkey % 30 AS object,

@@ -18,6 +18,20 @@ def frame(spark, x, pool="p"):
     return spark.createDataFrame([(pool, i, v.tolist()) for i, v in enumerate(x)], "pool string, item int, x array<double>")
 
 
+def test_distances_are_the_same_from_both_sides():
+    rng = np.random.default_rng(5)
+    for d in (2, 9, 64):
+        x, y = rng.normal(size=(301, d)), rng.normal(size=(57, d))
+        assert (clusters.distances_of(x, y) == clusters.distances_of(y, x).T).all()
+        assert np.allclose(clusters.distances_of(x, y), np.linalg.norm(x[:, None] - y[None], axis=2))
+
+
+def test_trees_of_many_dimensions_have_no_edge_twice(spark):
+    x = np.random.default_rng(6).normal(size=(150, 64))
+    edges = clusters.spanning_trees(frame(spark, x), "pool").collect()
+    assert len(edges) == len({(e.a, e.b) for e in edges}) == 149 and np.allclose(np.sort([e.d for e in edges]), tree_weights(x))
+
+
 def test_blocks_are_parts_of_space_whatever_the_points(spark, monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK", 40)
     rng = np.random.default_rng(1)
