@@ -2,7 +2,7 @@
 
 Rows belong to the nearest of a few pivots. For a pair within the angle, the second row is no further than the angle from the cell of the first; how far it is from a cell
 that isn't its own follows exactly from the two pivots: the cell lies behind the plane between them. So a row travels to its own cell and to those that near, and most cells never
-meet. Within a cell rows meet in blocks, so that a crowded cell is many groups.
+meet. Where vectors have no groups and rows would travel to many cells, there is one cell. Within a cell rows meet in blocks, so that a crowded cell is many groups.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from docweave.lineage import cut
 from docweave.session import ship
 
 #: Pivots at most (they are sent to every task), rows for each pivot, about, and rows of a block.
-MOST_PIVOTS, PIVOT_ROWS, BLOCK = 256, 400, 2_000
+MOST_PIVOTS, PIVOT_ROWS, BLOCK = 256, 400, 4_000
+#: Cells that a row may travel to on average, the rows on which that is measured, and rows whose cosines, or whose copies, a task holds at once.
+MOST_COPIES, TRIED, TILE, SENT = 8, 500, 500, 5_000
 
 
 def pivots_of(rows: DataFrame, number: int) -> np.ndarray:
@@ -49,8 +51,10 @@ def cells(rows: DataFrame, pivots: np.ndarray, angle: float, keys: list[str], co
             if len(f):
                 x = np.stack(f["vector"].to_numpy())
                 own, near = near_cells(x / np.linalg.norm(x, axis=1, keepdims=True), pivots, angle)
-                row, cell = np.nonzero(near)
-                yield pd.DataFrame({c: f[c].to_numpy()[row] for c in f.columns} | {"cell": cell.astype(np.int32), "own": cell == own[row]})
+                every = np.nonzero(near)
+                for at in range(0, len(every[0]), SENT):
+                    row, cell = (e[at : at + SENT] for e in every)
+                    yield pd.DataFrame({c: f[c].to_numpy()[row] for c in f.columns} | {"cell": cell.astype(np.int32), "own": cell == own[row]})
 
     return rows.mapInPandas(run, f"{columns}, cell int, own boolean")
 
@@ -69,9 +73,13 @@ def pairs_within(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
     out = ", ".join(f"`{k}` {kind[k]}" for k in keys) + f", name {kind['name']}, other {kind['name']}, other_ord {kind['ord']}, cosine double"
     if not total:
         return rows.sparkSession.createDataFrame([], out)
-    pivots = pivots_of(full, max(1, min(MOST_PIVOTS, total // PIVOT_ROWS)))
+    angle, number = math.acos(max(-1.0, min(1.0, least))), max(1, min(MOST_PIVOTS, total // PIVOT_ROWS))
+    tried = pivots_of(full, number + TRIED)
+    pivots = tried[:number]
+    if near_cells(tried, pivots, angle)[1].sum(1).mean() > MOST_COPIES:
+        pivots = tried[:1]
     columns = ", ".join(f"`{c}` {k}" for c, k in kind.items())
-    placed = cut(cells(full, pivots, math.acos(max(-1.0, min(1.0, least))), keys, columns), "cells")
+    placed = cut(cells(full, pivots, angle, keys, columns), "cells")
     sizes = placed.groupBy(*keys, "cell").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("mine"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all")).where("mine > 0")
     sized = placed.join(sizes, [*keys, "cell"])
     mine = sized.where("own").select(*keys, "cell", F.pmod(F.xxhash64("name"), "mine").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), "name", "ord", "vector")
@@ -83,10 +91,17 @@ def pairs_within(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
         found: dict = {c: [] for c in [*keys, "name", "other", "other_ord", "cosine"]}
         if len(a) and len(b):
             x, y = np.stack(a["vector"].to_numpy()), np.stack(b["o_vector"].to_numpy())
-            cos = np.clip((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T, -1, 1)
+            x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
             ao, bo, an, bn = a["ord"].to_numpy(), b["o_ord"].to_numpy(), a["name"].to_numpy(), b["o_name"].to_numpy()
-            p, q = np.nonzero((cos >= least - 1e-12) & (cos > 0) & ((bo[None] < ao[:, None]) | ((bo[None] == ao[:, None]) & (bn[None] < an[:, None]))))
-            found = {k: [key[i]] * len(p) for i, k in enumerate(keys)} | {"name": an[p], "other": bn[q], "other_ord": bo[q], "cosine": cos[p, q]}
+            parts = []
+            for at in range(0, len(x), TILE):
+                cos = np.clip(x[at : at + TILE] @ y.T, -1, 1)
+                p, q = np.nonzero((cos >= least - 1e-12) & (cos > 0))
+                c, p = cos[p, q], p + at
+                before = (bo[q] < ao[p]) | ((bo[q] == ao[p]) & (bn[q] < an[p]))
+                parts.append((p[before], q[before], c[before]))
+            p, q, c = (np.concatenate(v) for v in zip(*parts, strict=True))
+            found = {k: [key[i]] * len(p) for i, k in enumerate(keys)} | {"name": an[p], "other": bn[q], "other_ord": bo[q], "cosine": c}
         text = [*keys, "name", "other"]  # as objects: an empty column of strings has no chunk to send
         return pd.DataFrame({c: pd.Series(v, dtype=object) if c in text else v for c, v in found.items()})
 
