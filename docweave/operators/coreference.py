@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +21,46 @@ def context(sentences: DataFrame, doc: str = "doc_id", at: str = "sentence_idx",
 
 def resolve(sentences: DataFrame, rewrite: Callable[[str, list[str], list[str]], str | None], doc: str = "doc_id", at: str = "sentence_idx", text: str = "sentence") -> DataFrame:
     """Sentences with a pronoun rewritten by rewrite(sentence, previous resolved, following), in order, each seeing what came of those
-    before it; the rest stay. A rewrite that fails or gives nothing keeps the sentence; `error` tells how it failed. One document is one ordered fold."""
+    before it; the rest stay. A rewrite that fails or gives nothing keeps the sentence; `error` tells how it failed. One document is one ordered fold;
+    documents stream through their task one after the other, which holds the sentences around the one at hand only."""
     before, after = DEFAULTS.context_before, DEFAULTS.context_after
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(at)
-        source, done, flags, errors = g[text].tolist(), [], [], []
-        for i, s in enumerate(source):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, done = object(), deque(), deque(maxlen=before)
+
+        def settle() -> tuple:
+            """The first sentence that waits; those after it are what follows."""
+            place, s = waiting.popleft()
             has = any(p in (s or "") for p in PRONOUNS)
             new = error = None
             if has:
                 try:
-                    new = rewrite(s, done[-before:], source[i + 1 : i + 1 + after])
+                    new = rewrite(s, list(done), [x for _, x in waiting])
                 except Exception as e:  # whatever a model's client raises; it is reported
                     error = f"{type(e).__name__}: {e}"
             done.append(new or s)
-            flags.append(has)
-            errors.append(error)
-        return pd.DataFrame({doc: g[doc], at: g[at], text: done, "has_pronoun": flags, "error": errors})
+            return now, place, new or s, has, error
+
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [doc, at, text, "has_pronoun", "error"])
+
+        types = None
+        for batch in batches:
+            out, types = [], types or [*[batch.schema.field(c).type for c in (doc, at)], pa.string(), pa.bool_(), pa.string()]
+            for own, place, s in zip(*[batch.column(c).to_pylist() for c in (doc, at, text)], strict=True):
+                if own != now:
+                    while waiting:
+                        out.append(settle())
+                    now = own
+                    done.clear()
+                waiting.append((place, s))
+                if len(waiting) > after:
+                    out.append(settle())
+            yield sent(out)
+        if waiting:
+            yield sent([settle() for _ in range(len(waiting))])
 
     kind = {c: sentences.schema[c].dataType.simpleString() for c in (doc, at)}
-    return sentences.select(doc, at, text).groupBy(doc).applyInPandas(fold, f"{doc} {kind[doc]}, {at} {kind[at]}, {text} string, has_pronoun boolean, error string")
+    ordered = sentences.select(doc, at, text).repartition(doc).sortWithinPartitions(doc, F.asc_nulls_last(at), text)
+    return ordered.mapInArrow(run, f"{doc} {kind[doc]}, {at} {kind[at]}, {text} string, has_pronoun boolean, error string")
