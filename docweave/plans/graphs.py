@@ -44,9 +44,9 @@ def traversal_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MENTIONS} SELECT kg_id, entity_id, surface_form, count(DISTINCT doc_id) AS votes FROM m GROUP BY kg_id, entity_id, surface_form")
 def alias_votes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of three batches, each a table of sketches; many documents are in two of them."""
+    """Votes of three batches, each a table of the documents that use a form; many documents are in two of them."""
     m = table(spark, sf_dir, "lineitem").selectExpr("CAST(l_suppkey % 4 AS INT) AS kg_id", "l_partkey % 100 AS entity_id", "repeat('x', CAST(l_quantity AS INT) % 4 + 1) || CAST(l_quantity AS INT) % 9 AS surface_form", "l_orderkey AS doc_id", "l_linenumber AS n")
-    out = graph.vote_sketches(m.where("n % 3 = 0"))
+    out = graph.vote_documents(m.where("n % 3 = 0"))
     for k in (1, 2):
-        out = graph.united_sketches(out, graph.vote_sketches(m.where(f"n % 3 = {k}")))
-    return graph.sketched_votes(out)
+        out = graph.united_documents(out, graph.vote_documents(m.where(f"n % 3 = {k}")))
+    return graph.alias_votes(out)
