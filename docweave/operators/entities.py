@@ -15,31 +15,46 @@ from docweave.operators.folds import fold_rows
 
 
 class Registry:
-    """Names of one document's entities: canonical name -> [type, counts of its forms, sentences], in order of entry."""
+    """Entities of one document, in order of entry: [name, type, counts of its forms, sentences]. A rename puts an entity at the end; one that takes a name
+    which another has already leaves that one as it is, and the first in order stands for the name."""
 
     def __init__(self):
-        self.names: dict[str, list] = {}
+        self.entries: list[list] = []
+        self._initials: dict[str, str] = {}
 
-    def match(self, form: str) -> str | None:
-        """The first entry with an equal form, one that contains the other, or the initials of a form's words."""
-        for name, (_, forms, _) in self.names.items():
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def names(self) -> list[str]:
+        return [e[0] for e in self.entries]
+
+    def _match(self, form: str) -> int | None:
+        """The place of the first entry with an equal form, one that contains the other, or the initials of a form's words."""
+        upper, initials = form.upper(), self._initials
+        for i, (_, _, forms, _) in enumerate(self.entries):
             if form in forms:
-                return name
-            for known in (name, *forms):
-                initials = "".join(w[0] for w in known.split())
-                if form in known or known in form or initials and initials.upper() == form.upper():
-                    return name
+                return i
+            for known in forms:
+                if form in known or known in form or initials[known] == upper:
+                    return i
         return None
 
+    def _count(self, entry: list, form: str) -> None:
+        entry[2][form] = entry[2].get(form, 0) + 1
+        self._initials.setdefault(form, "".join(w[0] for w in form.split()).upper())
+
     def rows(self) -> list[tuple]:
         """What the registry knows, in order: position, name, type, counts of forms, first sentence, sentences."""
-        return [(i, name, kind, dict(forms), at[0] if at else 0, list(at)) for i, (name, (kind, forms, at)) in enumerate(self.names.items())]
+        return [(i, name, kind, dict(forms), at[0] if at else 0, list(at)) for i, (name, kind, forms, at) in enumerate(self.entries)]
 
     @classmethod
     def restored(cls, rows: list[tuple]) -> Registry:
         out = cls()
         for _, name, kind, forms, _, at in sorted(rows, key=lambda r: r[0]):
-            out.names[name] = [kind, dict(forms), list(at)]
+            out.entries.append([name, kind, {}, list(at)])
+            for form, n in ({name: 0} | dict(forms)).items():
+                out._count(out.entries[-1], form)
+                out.entries[-1][2][form] = n
         return out
 
     def resolve(self, at: int, form: str, kind: str, ask: Callable[[str, list[str]], str | None] | None = None) -> str:
@@ -47,19 +62,19 @@ class Registry:
         form = form.strip()
         if not form:
             raise ValueError("a mention is blank")
-        name = self.match(form)
-        if name is None and ask is not None and self.names:
-            answer = ask(form, list(self.names))
-            name = answer if answer in self.names else None
-        if name is None:
-            self.names[form] = [kind, {form: 1}, [at]]
-            return form
-        entry = self.names[name]
-        entry[1][form] = entry[1].get(form, 0) + 1
-        entry[2].append(at)
-        if (len(form), entry[1][form]) > (len(name), entry[1].get(name, 0)) and form != name:  # longer, or as long and more frequent
-            del self.names[name]
-            self.names[form] = entry  # at the end
+        i = self._match(form)
+        if i is None and ask is not None and self.entries:
+            answer = ask(form, self.names())
+            i = self.names().index(answer) if answer in self.names() else None
+        if i is None:
+            self.entries.append([form, kind, {}, []])
+        entry = self.entries[-1 if i is None else i]
+        self._count(entry, form)
+        entry[3].append(at)
+        name, _, forms, _ = entry
+        if (len(form), forms[form]) > (len(name), forms.get(name, 0)) and form != name:  # longer, or as long and more frequent
+            del self.entries[i]
+            self.entries.append([form, *entry[1:]])  # at the end
             return form
         return name
 
@@ -100,7 +115,7 @@ def _applied(names: Registry, r, doc: str, ask: Callable | None = None) -> tuple
         name = names.resolve(r.sentence_idx, form, "概念", ask)
         if name != form:
             sentence = sentence.replace(form, name)
-    return getattr(r, doc), r.sentence_idx, sentence, len(names.names)
+    return getattr(r, doc), r.sentence_idx, sentence, len(names)
 
 
 def apply_registry(mentions: DataFrame, doc: str = "doc_id", ask: Callable[[str, list[str]], str | None] | None = None) -> DataFrame:
