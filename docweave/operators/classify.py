@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from docweave.config import DEFAULTS
 from docweave.functions import vectors as V
 from docweave.lineage import cut
+from docweave.session import ship
 
-#: Prototypes (collections) and queries that are broadcast, and the numbers that their vectors hold together, at most; more are joined without a hint, or in blocks.
+#: Prototypes (collections) that are broadcast, and the numbers that their vectors hold together, at most; more are joined without a hint.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 20_000, 16_000_000
+#: Queries and items of an exact search that are compared in one group at most, and the numbers that either side's vectors hold together.
+QUERY_BLOCK, ITEM_BLOCK, BLOCK_NUMBERS = 2_048, 16_384, 4_000_000
+#: Queries whose scores are held at once, and pairs whose cosines are worked out at once.
+TILE, PAIRS = 256, 100_000
 
 
 def document_vectors(chunks: DataFrame, key: str = "doc_id", vector: str = "vector") -> DataFrame:
@@ -69,24 +74,72 @@ def best(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     return ranked.where("rank = 1").drop("rank")
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", min_score: float = -1.0) -> DataFrame:
-    """Exact top k by cosine of a stated set of queries against all items; ties by item. Up to BROADCAST_ROWS queries
-    (and BROADCAST_NUMBERS in their vectors) are broadcast; more are compared in blocks of that many, each block broadcast in its turn.
-
-    Every task keeps k rows for each query before the shuffle (a partial top-k by max_by on structs would keep one; a window over
-    query and a salt keeps k), so a query's candidates never meet in one task.
+def _padded(vectors: pd.Series, length: int) -> np.ndarray:
+    """The vectors as rows, shorter ones filled up with zeros."""
+    out = np.zeros((len(vectors), length))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
+def _top(x: np.ndarray, y: np.ndarray, k: int, min_score: float, digits: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of x, rows of y and cosines of the k best rows of y for each row of x, ties by row of y. Products of matrices choose who takes part; the cosines are
+    then worked out pair by pair, so that equal vectors have equal ones."""
+    nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+    ux, uy = (np.where(n[:, None] < 1e-9, 0.0, v / np.maximum(n, 1e-9)[:, None]) for v, n in ((x, nx), (y, ny)))
+    slack = 1e-9 + (0.0 if digits is None else 10.0**-digits)
+    for at in range(0, len(x), TILE):
+        c = ux[at : at + TILE] @ uy.T
+        least = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(c), -2.0)
+        p, r = np.nonzero(c >= np.maximum(least, min_score)[:, None] - slack)
+        score = np.empty(len(p))
+        for b in range(0, len(p), PAIRS):
+            i, j = p[b : b + PAIRS] + at, r[b : b + PAIRS]
+            size = nx[i] * ny[j]
+            none = (nx[i] < 1e-9) | (ny[j] < 1e-9)
+            score[b : b + PAIRS] = np.where(none, 0.0, np.clip((x[i] * y[j]).sum(1) / np.where(none, 1.0, size), -1, 1))
+        if digits is not None:
+            score = np.sign(score) * np.floor(np.abs(score) * 10.0**digits + 0.5) / 10.0**digits
+        fit = score >= min_score
+        p, r, score = p[fit], r[fit], score[fit]
+        order = np.lexsort((r, -score, p))
+        p, r, score = p[order], r[order], score[order]
+        kept = np.arange(len(p)) - np.searchsorted(p, p) < k
+        yield p[kept] + at, r[kept], score[kept]
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", min_score: float = -1.0, digits: int | None = None) -> DataFrame:
+    """Exact top k by cosine of a stated set of queries against all items: query, item, score and rank; ties by item. With `digits` the scores are
+    rounded before they are compared with min_score and with each other. Vectors that are null or hold a null have no neighbours.
+
+    Both sides meet in blocks, each pair of blocks in one group, which keeps k items for each of its queries; a query's candidates are as many as there are
+    blocks of items times k. A group is bounded by QUERY_BLOCK and ITEM_BLOCK rows, or by BLOCK_NUMBERS in their vectors.
     """
-    q = queries.select(query, F.col("vector").alias("qv"), V.norm(F.col("vector")).alias("qn"))
-    i = items.select(item, "vector", V.norm(F.col("vector")).alias("n"))
-    score = V.cosine(F.col("vector"), F.col("qv"), F.col("n"), F.col("qn")).alias("score")
-    rows, numbers = q.agg(F.count("*"), F.coalesce(F.sum(F.size("qv")), F.lit(0))).first()
-    blocks = max(-(-rows // BROADCAST_ROWS), -(-numbers // BROADCAST_NUMBERS))
-    parts = [q] if blocks < 2 else [q.where(F.pmod(F.xxhash64(query), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
-    scored = reduce(DataFrame.union, [i.crossJoin(F.broadcast(p)).select(query, item, score) for p in parts]).where(F.col("score") >= min_score)
-    order = [F.desc("score"), F.col(item)]
-    salted = scored.withColumn("salt", F.pmod(F.xxhash64(item), F.lit(32)))
-    first = salted.withColumn("r", F.row_number().over(Window.partitionBy(query, "salt").orderBy(*order))).where(F.col("r") <= k)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k).drop("r", "salt")
+    ship(queries.sparkSession)
+    whole = lambda rows, key, name: rows.where(V.norm(F.col("vector")).isNotNull()).select(F.col(key), V.as_double(F.col("vector")).alias(name))
+    q, i = whole(queries, query, "qv"), whole(items, item, "vector")
+    rows, length = q.agg(F.count("*"), F.max(F.size("qv"))).first()
+    most = max(1, BLOCK_NUMBERS // max(1, length or 1))
+    blocks, parts = max(1, -(-rows // min(QUERY_BLOCK, most))), max(1, -(-items.count() // min(ITEM_BLOCK, most)))
+    dealt = lambda n, key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(2000, 3 * blocks * parts)  # a number of its own, as groups are few bytes and much work
+    left = q.select(dealt(blocks, query).alias("qb"), each(parts).alias("ib"), F.col(query).alias("q"), "qv").repartition(tasks, "qb", "ib")
+    right = i.select(each(blocks).alias("qb"), dealt(parts, item).alias("ib"), F.col(item).alias("i"), "vector").repartition(tasks, "qb", "ib")
+
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": a["q"][:0], "i": b["i"][:0], "score": np.zeros(0)})
+        b = b.sort_values("i", na_position="first")
+        length = max(a["qv"].map(len).max(), b["vector"].map(len).max())
+        found = list(_top(_padded(a["qv"], length), _padded(b["vector"], length), k, min_score, digits))
+        p, r, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"q": a["q"].iloc[p].reset_index(drop=True), "i": b["i"].iloc[r].reset_index(drop=True), "score": score})
+
+    kind = {"q": q.schema[query].dataType.simpleString(), "i": i.schema[item].dataType.simpleString()}
+    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(compare, f"q {kind['q']}, i {kind['i']}, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query), F.col("i").alias(item), "score", "rank")
 
 
 def route(found: DataFrame, membership: DataFrame, top: int = DEFAULTS.route_kgs, min_score: float = DEFAULTS.min_score, digits: int = 4, query: str = "query_id", item: str = "item_id", kg: str = "kg_id") -> DataFrame:
