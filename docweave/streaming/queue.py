@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,7 @@ LEGAL = {None: {"pending"}, "pending": {"processing"}, "processing": {"pending_u
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _STEPS = "kg_id {0}, source {1}, chunk_index int, seq long, at_us long, status string, asked string, taken boolean"
+Step = Row(*KEY, "seq", "at_us", "status", "asked", "taken")
 State = tuple[str | None, int]
 
 
@@ -117,22 +118,20 @@ class TaskMachine(StatefulProcessor):
         if new[0] == "processing":
             self.handle.registerTimer(due(new))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         """The events of one task in one batch; they come in any order."""
         old = state = self._load()
-        out = []
-        for seq, at, asked in pd.concat(rows).sort_values(["at_us", "seq"])[["seq", "at_us", "status"]].itertuples(index=False):
+        for at, seq, asked in sorted(((r.at_us, r.seq, r.status) for r in rows), key=lambda e: e[:2]):
             state, steps = steps_of(state, seq, at, asked, self.timeout)
-            out += steps
+            yield from (Step(*key, *s) for s in steps)
         self._store(old, state)
-        yield _columns(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         old = self._load()
         new, out = stuck(old, self.timeout, expiredTimerInfo.getExpiryTimeInMs() * 1000)
         if new != old:
             self.state.update(new)
-        yield _columns(key, out)
+        yield from (Step(*key, *s) for s in out)
 
     def close(self) -> None:
         pass
@@ -143,7 +142,7 @@ def machine(events: DataFrame, timeout: str = "1 hour", watermark: str = "10 min
     watermark are dropped by it; those of one task that come in another batch than their order asks for are reported as not taken."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = _prepared(events).withWatermark("ts", watermark)
-    out = rows.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=TaskMachine(int(pd.Timedelta(timeout).value // 1000)), outputStructType=_schema(rows), outputMode="Append", timeMode="EventTime")
+    out = rows.groupBy(*KEY).transformWithState(statefulProcessor=TaskMachine(int(pd.Timedelta(timeout).value // 1000)), outputStructType=_schema(rows), outputMode="Append", timeMode="EventTime")
     return _timed(out)
 
 
