@@ -33,9 +33,11 @@ def page_order(boxes: DataFrame, doc: str = "doc_id", page: str = "page", order:
     span = (F.col("kind") == "span").cast("int")
     above = F.sum(span).over(by.orderBy(F.desc("y1")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     number = F.sum(span).over(by.orderBy(F.desc("y1"), order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    slot = F.when(F.col("kind") == "span", number - 1).otherwise(above)
+    slot = F.when(F.col("kind") == "span", F.col("__number") - 1).otherwise(F.col("__above"))
     side = F.when(F.col("kind") == "left", 0).when(F.col("kind") == "right", 1).otherwise(2)
-    keyed = boxes.withColumn("kind", kind).withColumn("__slot", slot).withColumn("__side", side)
+    # the order of the first window serves the second
+    counted = boxes.withColumn("kind", kind).withColumn("__number", number).withColumn("__above", above)
+    keyed = counted.withColumn("__slot", slot).drop("__number", "__above").withColumn("__side", side)
     return keyed.withColumn("place", F.row_number().over(by.orderBy("__slot", "__side", F.desc("y1"), order))).drop("__slot", "__side")
 
 
