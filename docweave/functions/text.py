@@ -82,13 +82,23 @@ def chunks(parts: Column, size: int = DEFAULTS.chunk_size, overlap: int = DEFAUL
     return _bound(parts, cut)
 
 
+def _total(n: Column, size: int, overlap: int) -> Column:
+    """The number of windows over n sentences, at least one."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("size must be positive and overlap smaller than size")
+    return F.greatest(F.ceil((n - size) / (size - overlap)), F.lit(0)).cast("int") + 1
+
+
+def window_count(parts: Column, size: int = DEFAULTS.window_sentences, overlap: int = DEFAULTS.window_overlap) -> Column:
+    """How many windows() there are, without making them; 0 for null."""
+    return _bound(F.size(parts), lambda n: F.when(n > 0, _total(n, size, overlap)).otherwise(0))
+
+
 def windows(parts: Column, size: int = DEFAULTS.window_sentences, overlap: int = DEFAULTS.window_overlap) -> Column:
     """Overlapping windows of sentences: array of struct(chunk_index, total, sentence_start, sentence_end, sentences), from 1, ends included.
     The last window is the first that reaches the last sentence; no sentences, no windows."""
-    if size <= 0 or not 0 <= overlap < size:
-        raise ValueError("size must be positive and overlap smaller than size")
     step, n = size - overlap, F.size(parts)
-    total = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int") + 1
+    total = _total(n, size, overlap)
     at = F.sequence(F.lit(0), total - 1)
     made = F.transform(
         at,

@@ -35,14 +35,17 @@ class ExtractionTrigger:
         return max((int(f.getPath().getName()) for f in found or ()), default=-1)
 
     def apply(self, assigned: DataFrame, batch: int) -> None:
-        """One batch of assignments (kg_id, source, sentences): for foreachBatch. Documents without sentences get no tasks and a total of 0."""
+        """One batch of assignments (kg_id, source, sentences): for foreachBatch. Documents without sentences get no tasks and a total of 0.
+        Between the two tables the batch is kept as numbers of windows, not as their sentences."""
         if batch <= self.last():
             return
-        rows = assigned.select(F.col("kg_id").cast("string").alias("kg_id"), F.col("source").cast("string").alias("source"), T.windows(F.coalesce("sentences", F.array().cast("array<string>"))).alias("w"))
+        total = T.window_count(F.col("sentences"))
+        rows = assigned.select(F.col("kg_id").cast("string").alias("kg_id"), F.col("source").cast("string").alias("source"), total.alias("svo_total_chunks"))
         rows = rows.persist()
         try:
-            self._write(rows.select("kg_id", "source", F.size("w").alias("svo_total_chunks"), F.lit("pending").alias("extraction_status")), "records", batch)
-            self._write(rows.select("kg_id", "source", F.explode("w.chunk_index").alias("chunk_index"), F.lit("pending").alias("status")), "tasks", batch)
+            self._write(rows.withColumn("extraction_status", F.lit("pending")), "records", batch)
+            numbers = F.explode(F.sequence(F.lit(1), "svo_total_chunks")).alias("chunk_index")
+            self._write(rows.where("svo_total_chunks > 0").select("kg_id", "source", numbers, F.lit("pending").alias("status")), "tasks", batch)
             self._commit(batch)
         finally:
             rows.unpersist()
