@@ -27,8 +27,10 @@ from docweave.session import ship
 SAMPLE, ROUNDS = 20_000, 12
 #: Cells at most: their centroids are sent to every task.
 MOST_CELLS = 4096
-#: Rows of items and of queries that are compared in one group, about.
-ITEM_BLOCK, QUERY_BLOCK = 16_384, 2_048
+#: Rows of items and of queries that are compared in one group, about, and queries whose scores are held at once.
+ITEM_BLOCK, QUERY_BLOCK, TILE = 16_384, 2_048, 256
+#: Rows of a cell in one file, about.
+FILE_ROWS = 65_536
 #: How many rows for each wanted one are re-ranked.
 OVERFETCH = 4
 #: Rows of the sample that are searched for their TRIED_FOR nearest in it, and the share of these that the probed cells must hold.
@@ -128,6 +130,7 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._read: dict[int, DataFrame] = {}  # finished segments don't change, so their files are listed once
         cells = spark.read.parquet(f"{self.path}/cells").orderBy("cell").toPandas()
         scale = spark.read.parquet(f"{self.path}/scale").first()
         self.model = Model(np.stack(cells["centroid"].to_numpy()) if len(cells) else np.zeros((0, len(scale["steps"]))), np.array(scale["steps"]), scale["probes"])
@@ -160,7 +163,9 @@ class VectorIndex:
         """cell, id and `columns` of the rows that count, of these cells or all. Only their files are read, and only these columns."""
         parts: list[DataFrame] = []
         for s in self._segments():
-            part = self.spark.read.schema(self.schema).parquet(f"{self.path}/items/segment={s:06d}")
+            if s not in self._read:
+                self._read[s] = self.spark.read.schema(self.schema).parquet(f"{self.path}/items/segment={s:06d}")
+            part = self._read[s]
             part = part if cells is None else part.where(F.col("cell").isin(cells))
             parts.append(part.select("cell", "id", *columns, "gone", F.lit(s).alias("segment")))
         if len(parts) == 1:
@@ -192,7 +197,7 @@ class VectorIndex:
         return VectorIndex(self.spark, path)
 
     def _probes(self, queries: DataFrame, probes: int) -> DataFrame:
-        """query, vector and cell: the `probes` cells with the nearest centroids."""
+        """query, qv (its vector) and cells: the `probes` cells with the nearest centroids."""
         model, kind = self.model, queries.schema["id"].dataType.simpleString()
         n = min(probes, len(model.centroids))
 
@@ -201,15 +206,15 @@ class VectorIndex:
                 if len(f) and n:
                     scores = unit_rows(np.stack(f["vector"].to_numpy())) @ model.centroids.T
                     near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                    yield pd.DataFrame({"query": np.repeat(f["id"].to_numpy(), n), "qv": np.repeat(f["vector"].to_numpy(), n), "cell": near.ravel()})
+                    yield pd.DataFrame({"query": f["id"], "qv": f["vector"], "cells": list(near.astype(np.int32))})
 
-        return queries.mapInPandas(run, f"query {kind}, qv array<double>, cell int")
+        return queries.mapInPandas(run, f"query {kind}, qv array<double>, cells array<int>")
 
     def search(self, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", probes: int | None = None, min_score: float = -1.0) -> DataFrame:
         """query_id, item_id, score (exact cosine) and rank of the k best items that `probes` cells (by default those that enough_probes() found) hold for each query, ties by item.
 
-        Codes give the OVERFETCH * k best; their vectors are read and compared exactly. Items of a cell and the queries that probe it meet in blocks, so neither a
-        crowded cell nor a popular one is a single group.
+        Codes give the OVERFETCH * k best; their vectors are read and compared exactly. Items and queries meet in blocks of many small cells or of a part of a
+        crowded one, so neither a crowded cell nor a popular one is a single group.
         """
         probed = cut(self._probes(_directed(queries, key, vector), probes or self.model.probes), "probes")
         best = cut(_top(self._compared(probed, k * OVERFETCH, "code"), k * OVERFETCH), "best")
@@ -242,42 +247,83 @@ class VectorIndex:
                     reach = np.cos(np.maximum(0, np.arccos(np.clip(scores, -1, 1)) - angles)) + 1e-9
                     need = (reach >= np.maximum(f["floor"].to_numpy(float), min_score)[:, None]) & (angles >= 0)
                     np.put_along_axis(need, done, False, axis=1)
-                    q, cell = np.nonzero(need)
-                    yield pd.DataFrame({"query": f["id"].to_numpy()[q], "qv": f["vector"].to_numpy()[q], "cell": cell})
+                    some = need.any(1)
+                    if not some.any():
+                        continue
+                    yield pd.DataFrame({"query": f["id"][some], "qv": f["vector"][some], "cells": [np.flatnonzero(r).astype(np.int32) for r in need[some]]})
 
         open_ = ready.join(floors.withColumnRenamed("query", "id"), "id", "left").select("id", "vector", F.when(F.col("n") < k, -1.0).otherwise(F.coalesce("floor", F.lit(-1.0))).alias("floor"))
-        more = cut(open_.mapInPandas(run, f"query {kind}, qv array<double>, cell int"), "probes")
+        more = cut(open_.mapInPandas(run, f"query {kind}, qv array<double>, cells array<int>"), "probes")
         every = first.unionByName(_top(self._compared(more, k, "vector"), k))
         return _named(_top(every.where(F.col("score") >= min_score), k))
 
+    def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each cell its first block of about ITEM_BLOCK rows and how many it fills: cells are gathered in blocks in their order, a cell of more rows has blocks of its own. -1 and 0 for empty cells."""
+        counts = self.items().groupBy("cell").count().toPandas()  # a row for each cell
+        first, parts = np.full(len(self.model.centroids), -1), np.zeros(len(self.model.centroids), int)
+        block, room = -1, 0
+        for cell, n in sorted(zip(counts["cell"], counts["count"], strict=True)):
+            parts[cell] = -(-n // ITEM_BLOCK)
+            if n > room:
+                first[cell], room = block + 1, max(0, ITEM_BLOCK - n)
+                block += parts[cell]
+            else:
+                first[cell], room = block, room - n
+        return first, parts
+
     def _compared(self, probed: DataFrame, k: int, by: str) -> DataFrame:
-        """query, cell, item and score: the k best of each block of items for each query that probes its cell, by `code` or by `vector`."""
-        model = self.model
-        kind, item_kind = probed.schema["query"].dataType.simpleString(), self.items().schema["id"].dataType.simpleString()
-        asked = probed.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qn"))
-        wanted = [r["cell"] for r in asked.select("cell").collect()]  # a number for each cell
-        items = self.items(wanted, by)
-        held = items.groupBy("cell").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("n"))
-        blocks = F.broadcast(cut(asked.join(held, "cell"), "blocks"))  # MOST_CELLS rows at most
-        left = items.join(blocks, "cell").select("cell", "id", by, F.pmod(F.xxhash64("id"), "n").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("part"))
-        right = probed.join(blocks, "cell").select("cell", "query", "qv", F.pmod(F.xxhash64("query"), "qn").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+        """query, cell, item and score: the k best of each block of items for each query that probes cells in it, by `code` or by `vector`. probed: query, qv, cells."""
+        model, (first, parts) = self.model, self._blocks()
+        kind, item_kind = probed.schema["query"].dataType.simpleString(), self.schema.split(",")[0].split(" ", 1)[1]
+        tile, query_block = TILE, QUERY_BLOCK
+
+        def deal(frames):
+            for f in frames:
+                out = []
+                for q, v, cells in zip(f["query"], f["qv"], f["cells"], strict=True):
+                    cells = np.sort(cells[parts[cells] > 0])
+                    at, begins = np.unique(first[cells], return_index=True)
+                    for block, group in zip(at, np.split(cells, begins[1:]), strict=False):
+                        out += [(q, v, int(block) + i, group) for i in range(parts[group[0]])]
+                if out:
+                    yield pd.DataFrame(out, columns=["query", "qv", "block", "cells"])
+
+        asked = cut(probed.mapInPandas(deal, f"query {kind}, qv array<double>, block int, cells array<int>"), "asked")
+        blocks = cut(asked.groupBy("block").agg(F.ceil(F.count("*") / query_block).cast("int").alias("qn")), "blocks")
+        groups = blocks.agg(F.coalesce(F.sum("qn"), F.lit(0))).first()[0]
+        tasks = max(1, min(2000, 3 * groups))  # a number of its own, as groups are few bytes and much work
+        held = [(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(parts)]
+        places = F.broadcast(self.spark.createDataFrame(held, "cell int, first int, n int"))  # MOST_CELLS rows at most
+        placed = self.items(None, by).join(places, "cell").select("cell", "id", by, (F.col("first") + F.pmod(F.xxhash64("id"), "n")).cast("int").alias("block"))
+        left = placed.join(F.broadcast(blocks), "block").select("cell", "id", by, "block", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("part")).repartition(tasks, "block", "part")
+        right = asked.join(F.broadcast(blocks), "block").select("block", "query", "qv", "cells", F.pmod(F.xxhash64("query"), "qn").cast("int").alias("part")).repartition(tasks, "block", "part")
 
         def run(key: tuple, own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-            cell = key[0]
             if not len(own) or not len(asking):
-                return pd.DataFrame({"query": [], "cell": [], "item": [], "score": []})
+                return pd.DataFrame({"query": asking["query"][:0], "cell": own["cell"][:0], "item": own["id"][:0], "score": np.zeros(0)})
             own = own.sort_values("id", kind="stable")
-            ids = own["id"].to_numpy()
+            ids, cells, queries = own["id"].to_numpy(), own["cell"].to_numpy(), asking["query"].to_numpy()
             if by == "code":
-                found = model.decode(cell, np.stack([np.frombuffer(c, np.int8) for c in own["code"]]))
+                found = model.centroids[cells] + np.stack([np.frombuffer(c, np.int8) for c in own["code"]]) * model.steps
             else:
                 found = unit_rows(np.stack(own["vector"].to_numpy()))
-            scores = np.round(np.clip(unit_rows(np.stack(asking["qv"].to_numpy())) @ found.T, -1, 1), 12)  # equal vectors tie wherever they stand
-            n = min(k, len(ids))
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # of equals the least id
-            return pd.DataFrame({"query": np.repeat(asking["query"].to_numpy(), n), "cell": cell, "item": ids[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
-
-        both = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block"))
+            units = unit_rows(np.stack(asking["qv"].to_numpy()))
+            known, place = np.unique(cells, return_inverse=True)
+            probes = np.stack([np.isin(known, c) for c in asking["cells"]])
+            out = []
+            for at in range(0, len(units), tile):
+                scores = np.round(np.clip(units[at : at + tile] @ found.T, -1, 1), 12)  # equal vectors tie wherever they stand
+                scores[~probes[at : at + tile][:, place] | np.isnan(scores)] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -2.0)
+                q, i = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
+                order = np.lexsort((i, -scores[q, i], q))  # of equals the least id
+                q, i = q[order], i[order]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, i = q[kept], i[kept]
+                out.append(pd.DataFrame({"query": queries[q + at], "cell": cells[i], "item": ids[i], "score": scores[q, i]}))
+            return pd.concat(out, ignore_index=True)
+
+        both = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
         return both.applyInPandas(run, f"query {kind}, cell int, item {item_kind}, score double")
 
 
@@ -292,7 +338,10 @@ def _named(top: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(path)
+    rows = cut(rows, "encoded")
+    files = rows.groupBy("cell").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("files"))  # MOST_CELLS rows at most
+    dealt = rows.join(F.broadcast(files), "cell").withColumn("files", F.pmod(F.xxhash64("id"), "files"))
+    dealt.repartition("cell", "files").drop("files").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(path)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
