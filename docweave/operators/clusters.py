@@ -7,12 +7,13 @@ of their neighbour graph (manifold.py); labels there are our own, as random draw
 
 Means and covariances are summed in the tasks. The spanning tree grows in rounds, each of which finds every component's
 nearest neighbour outside it and joins the components. Points are in blocks of space; bounds on how near two blocks can be
-leave most of them uncompared. Only the tree, one edge a point, comes together for the labels.
+leave most of them uncompared, and two blocks are compared once: what a later round can need of them are the edges of their own
+tree. Only the tree, one edge a point, comes together for the labels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 
 from docweave.config import DEFAULTS
 from docweave.lineage import cut
-from docweave.operators.components import components
 
 #: Points of a pool that are held against as many others in one task.
 BLOCK = 1000
+#: From this many dimensions on bounds leave few blocks of space uncompared, and blocks for spanning trees hold this many times BLOCK.
+FLAT, WIDER = 16, 3
+#: Distances that are worked out at once, as a square of this side.
+SIDE = 256
 
 
 def tree_labels(n: int, tree: np.ndarray, least: int = DEFAULTS.cluster_min_size) -> np.ndarray:
@@ -133,39 +137,91 @@ def principal_axes(rows: DataFrame, pool: str, vector: str = "vector") -> DataFr
 
 
 def distances_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of all rows of x to all of y. They are the same to the last bit whichever side a row is on, since components must agree on which edge is shorter."""
-    rows = max(1, 4_000_000 // max(1, y.size))
-    return np.concatenate([np.sqrt(((x[i : i + rows, None] - y[None]) ** 2).sum(2)) for i in range(0, len(x), rows)])
-
-
-def nearest_outside(mine: pd.DataFrame, others: pd.DataFrame) -> list[tuple]:
-    """For each component of mine its nearest pair with a point of another component: component, distance, and the pair, the smaller item first."""
-    x, y = np.stack(mine["x"].to_numpy()), np.stack(others["x"].to_numpy())
-    code = {c: i for i, c in enumerate(pd.unique(pd.concat([mine["c"], others["c"]])))}
-    cx, cy = mine["c"].map(code).to_numpy(), others["c"].map(code).to_numpy()
-    d = distances_of(x, y)
-    d[cx[:, None] == cy[None]] = np.inf
-    best: dict = {}
-    for i in np.flatnonzero(np.isfinite(d.min(1))):
-        low = d[i].min()
-        a, c = mine["item"].iloc[i], mine["c"].iloc[i]
-        for j in np.flatnonzero(d[i] == low):
-            b = others["item"].iloc[j]
-            found = (float(low), min(a, b), max(a, b))
-            if c not in best or found < best[c]:
-                best[c] = found
-    return [(c, *v) for c, v in best.items()]
-
-
-def space_blocks(points: DataFrame, pool: str) -> DataFrame:
-    """points (pool, item, x) with `block`: parts of space of about BLOCK points of a pool each.
+    """Distances of all rows of x to all of y. They are the same to the last bit whichever side a row is on and whatever rows are beside it, as squares are added up dimension by
+    dimension: components must agree on which edge is shorter."""
+    out = np.zeros((len(x), len(y)))
+    xs, ys = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    for i in range(0, len(x), SIDE):
+        for j in range(0, len(y), SIDE):
+            total = np.zeros((len(x[i : i + SIDE]), len(y[j : j + SIDE])))
+            part = np.empty_like(total)
+            for u, v in zip(xs[:, i : i + SIDE], ys[:, j : j + SIDE], strict=True):
+                np.subtract(u[:, None], v[None], out=part)
+                np.multiply(part, part, out=part)
+                total += part
+            np.sqrt(total, out=out[i : i + SIDE, j : j + SIDE])
+    return out
+
+
+def grown_tree(rank: np.ndarray, rows: Callable[[int], list[tuple[np.ndarray | slice, np.ndarray]]]) -> list[tuple[float, int, int]]:
+    """(d, a, b) of the minimum spanning tree of nodes in the order of d and the ranks of its ends, the smaller first; grown node by node. rank: of each node; rows(i): nodes next to i and their distances."""
+    n = len(rank)
+    names = np.arange(n)
+    best, open_ = np.full(n, np.inf), np.full(n, np.inf)  # of nodes in the tree -inf, so that nothing is better, and inf, so that they aren't chosen
+    towards, out, at = np.zeros(n, np.int64), [], 0
+    key = lambda i, j: np.minimum(rank[i], rank[j]) * n + np.maximum(rank[i], rank[j])
+    for _ in range(n - 1):
+        best[at], open_[at] = -np.inf, np.inf
+        for where, d in rows(at):
+            old, mine = best[where], names[where]
+            hit = mine[less] if (less := d < old).any() else mine[:0]
+            best[hit] = open_[hit] = d[less]
+            towards[hit] = at
+            if (same := d == old).any():
+                tied = mine[same]
+                towards[tied[key(tied, at) < key(tied, towards[tied])]] = at
+        nearest = int(open_.argmin())
+        low = open_[nearest]
+        ties = np.flatnonzero(open_ == low)
+        if len(ties) > 1:
+            nearest = int(ties[key(ties, towards[ties]).argmin()])
+        at, end = nearest, int(towards[nearest])
+        out.append((float(low), *sorted((at, end), key=lambda i: rank[i])))
+    return out
+
+
+def block_tree(g: pd.DataFrame) -> pd.DataFrame:
+    """d, a and b, a < b, of the minimum spanning tree of the points of one block (item, x)."""
+    g = g.sort_values("item")
+    items, x = g["item"].to_numpy(), np.stack(g["x"].to_numpy())
+    d = distances_of(x, x)
+    tree = grown_tree(np.arange(len(x)), lambda i: [(slice(None), d[i])])
+    return pd.DataFrame([(w, items[a], items[b]) for w, a, b in tree], columns=["d", "a", "b"])
+
+
+def tree_between(mine: pd.DataFrame, others: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    """d, a and b, a < b, of those edges of the minimum spanning tree of two blocks' points (item, x) that go from one to the other. trees: (a, b, d) of the edges of the blocks' own trees,
+    which with the edges between the blocks hold the tree of both."""
+    mine, others = mine.sort_values("item"), others.sort_values("item")
+    items, half = np.concatenate([mine["item"].to_numpy(), others["item"].to_numpy()]), len(mine)
+    n, order = len(items), np.argsort(items, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    d = distances_of(np.stack(mine["x"].to_numpy()), np.stack(others["x"].to_numpy()))
+    back = np.ascontiguousarray(d.T)
+    ends = order[np.searchsorted(items[order], np.concatenate([trees["a"].to_numpy(), trees["b"].to_numpy()]))]
+    far, long, by = np.roll(ends, len(trees)), np.tile(trees["d"].to_numpy(), 2), np.argsort(ends, kind="stable")
+    begin, far, long = np.searchsorted(ends[by], np.arange(n + 1)), far[by], long[by]
+    left, right = slice(0, half), slice(half, n)
+
+    def rows(i: int) -> list:
+        own = slice(begin[i], begin[i + 1])
+        return [(right, d[i]) if i < half else (left, back[i - half]), (far[own], long[own])]
+
+    tree = [(w, items[a], items[b]) for w, a, b in grown_tree(rank, rows) if (a < half) != (b < half)]
+    return pd.DataFrame(tree, columns=["d", "a", "b"])
+
+
+def space_blocks(points: DataFrame, pool: str, size: int | None = None) -> DataFrame:
+    """points (pool, item, x) with `block`: parts of space of about `size` (by default BLOCK) points of a pool each.
 
     Pools are halved at the median of their widest dimension, and the halves again, level by level and all at once, until none is too large. Points that
     are all alike can't be halved; they are dealt out by a hash.
     """
+    size = size or BLOCK
     out = cut(points.select(pool, "item", "x", F.lit(0).cast("long").alias("node")), "points")
     while True:
-        crowded = out.groupBy(pool, "node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        crowded = out.groupBy(pool, "node").agg(F.count("*").alias("n")).where(F.col("n") > size)
         large = cut(crowded, "large")
         if large.isEmpty():
             break
@@ -179,7 +235,7 @@ def space_blocks(points: DataFrame, pool: str) -> DataFrame:
         at = F.get("x", F.col("d"))
         first = F.when(F.col("upto"), at <= F.col("at")).otherwise(at < F.col("at"))
         out = cut(out.join(halves, [pool, "node"], "left").select(pool, "item", "x", F.when(F.col("d").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(first, 1).otherwise(2)).alias("node")), "points")
-    sizes = out.groupBy(pool, "node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = out.groupBy(pool, "node").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("item"), "parts")).otherwise(F.lit(0))
     return out.join(sizes, [pool, "node"]).select(pool, "item", "x", F.concat_ws(":", "node", part.cast("int")).alias("block"))
 
@@ -219,43 +275,79 @@ def spanning_trees(points: DataFrame, pool: str) -> DataFrame:
     """pool, d, a and b of the edges of each pool's minimum spanning tree. points: pool, item, x. Ties go to the smaller items,
     so the edges that the components choose make no circle.
 
-    In a round every component finds its nearest neighbour, first within the blocks of space its points are in, then in those blocks that can hold a nearer one;
-    blocks too far for all of a block's components are never compared with it.
+    In a round every component finds its nearest neighbour, first among the edges that are known, then in those blocks that can hold a nearer one;
+    blocks too far for all of a block's components are never compared with it. Known are the edges of each block's own tree and, of blocks that were compared, those edges of
+    the tree of both that go from one to the other. The shortest way out of a component, within two blocks, is an edge of their tree, so no blocks are compared twice.
     """
     kind = {c: points.schema[c].dataType.simpleString() for c in (pool, "item")}
-    points = cut(space_blocks(points, pool), "points")
+    dimensions = points.agg(F.max(F.size("x"))).first()[0] or 0
+    points = cut(space_blocks(points, pool, BLOCK * (WIDER if dimensions >= FLAT else 1)), "points")
     distances = block_distances(points, pool)
     own = cut(points.select(pool, "item", F.col("item").alias("c")), "own")
-    schema = f"{pool} {kind[pool]}, c {kind['item']}, d double, a {kind['item']}, b {kind['item']}"
-    columns, edges = [pool, "item", "c", "x"], None
+    schema = f"{pool} {kind[pool]}, d double, a {kind['item']}, b {kind['item']}"
 
-    def within(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(g[pool].iloc[0], *f) for f in nearest_outside(g, g)], columns=[pool, "c", "d", "a", "b"])
+    def within(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        tree = block_tree(g)
+        return tree.assign(block=key[1], **{pool: [key[0]] * len(tree)})[[pool, "block", "d", "a", "b"]]
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        mine, others = g[g["mine"]], g[~g["mine"]]
-        found = nearest_outside(mine, others) if len(mine) and len(others) else []
-        return pd.DataFrame([(g[pool].iloc[0], *f) for f in found], columns=[pool, "c", "d", "a", "b"])
+    def search(key: tuple, g: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        found = tree_between(g[g["mine"]], g[~g["mine"]], trees)
+        return found.assign(**{pool: [key[0]] * len(found)})[[pool, "d", "a", "b"]]
+
+    trees = cut(points.groupBy(pool, "block").applyInPandas(within, f"{pool} {kind[pool]}, block string, d double, a {kind['item']}, b {kind['item']}"), "trees")
+    known, compared, edges = trees, None, None
+    rest = distances.count() // 2  # pairs of blocks that weren't compared
+
+    def leaving(found: DataFrame) -> DataFrame:
+        """The edges that go from one component to another, with these."""
+        at = lambda side: own.select(pool, F.col("item").alias(side), F.col("c").alias(f"c_{side}"))
+        return found.select(pool, "d", "a", "b").join(at("a"), [pool, "a"]).join(at("b"), [pool, "b"]).where("c_a <> c_b")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        """pool, c, d, a, b and to: the nearest way out of each component, and the component it leads to."""
+        both = F.explode(F.array(F.struct(F.col("c_a").alias("c"), F.col("c_b").alias("to")), F.struct(F.col("c_b").alias("c"), F.col("c_a").alias("to")))).alias("w")
+        return found.select(pool, "d", "a", "b", both).groupBy(pool, F.col("w.c").alias("c")).agg(F.min(F.struct("d", "a", "b", "w.to")).alias("m")).select(pool, "c", "m.*")
 
-    best = F.min(F.struct("d", "a", "b")).alias("m")
     while True:
-        open_ = own.groupBy(pool).agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select(pool)
-        placed = cut(points.join(own, [pool, "item"]).join(open_, pool), "placed")
-        inside = cut(placed.select(*columns, "block").groupBy(pool, "block").applyInPandas(within, schema).groupBy(pool, "c").agg(best).select(pool, "c", "m.*"), "inside")
-        pairs = cut(block_pairs(placed, inside, distances, pool), "pairs")
-        here = pairs.join(placed.withColumnRenamed("block", "i"), [pool, "i"]).select(*columns, F.lit(True).alias("mine"), "i", "j")
-        there = pairs.join(placed.withColumnRenamed("block", "j"), [pool, "j"]).select(*columns, F.lit(False).alias("mine"), "i", "j")
-        near = here.unionByName(there).groupBy(pool, "i", "j").applyInPandas(search, schema)
-        chosen = cut(inside.select(pool, "c", "d", "a", "b").unionByName(near).groupBy(pool, "c").agg(best).select(pool, "c", "m.*"), "chosen")
+        known = cut(leaving(known), "known")
+        if rest:
+            inside = cut(nearest(known), "inside")
+            open_ = own.groupBy(pool).agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select(pool)
+            placed = cut(points.select(pool, "item", "block").join(own, [pool, "item"]).join(open_, pool), "placed")
+            pairs = block_pairs(placed, inside, distances, pool).select(pool, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+            pairs = cut(pairs if compared is None else pairs.join(compared, [pool, "i", "j"], "left_anti"), "pairs")
+            groups = pairs.count()
+            if groups:
+                side = lambda rows, s: pairs.join(rows.withColumnRenamed("block", s), [pool, s])  # noqa: B023, E731
+                here, there = (side(points, s).select(pool, "i", "j", "item", "x", F.lit(s == "i").alias("mine")) for s in ("i", "j"))
+                both = [side(trees, s).select(F.col(pool).alias("t_pool"), F.col("i").alias("t_i"), F.col("j").alias("t_j"), "d", "a", "b") for s in ("i", "j")]
+                tasks = min(2000, groups)  # a number of its own, as groups are few bytes and much work
+                left = here.unionByName(there).repartition(tasks, pool, "i", "j").groupBy(pool, "i", "j")
+                right = both[0].unionByName(both[1]).repartition(tasks, "t_pool", "t_i", "t_j").groupBy("t_pool", "t_i", "t_j")
+                near = cut(left.cogroup(right).applyInPandas(search, schema), "near")
+                known = cut(known.unionByName(leaving(near)), "known")
+                compared, rest = pairs if compared is None else cut(compared.unionByName(pairs), "compared"), rest - groups
+        chosen = cut(nearest(known), "chosen")
         if chosen.isEmpty():
             return points.select(pool, F.lit(0.0).alias("d"), F.col("item").alias("a"), F.col("item").alias("b")).limit(0) if edges is None else edges
         new = chosen.select(pool, "d", "a", "b").distinct()
         edges = new if edges is None else edges.union(new)
-        # components joined by the chosen edges
-        at = lambda side: own.select(pool, F.col("item").alias(side), F.struct(pool, "c").alias(f"c_{side}"))  # noqa: B023, E731
-        joined = new.join(at("a"), [pool, "a"]).join(at("b"), [pool, "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-        roots = components(joined).select(F.col(f"node.{pool}").alias(pool), F.col("node.c").alias("c"), F.col("root.c").alias("to"))
-        own = cut(own.join(roots, [pool, "c"], "left").select(pool, "item", F.coalesce("to", "c").alias("c")), "own")
+        own = cut(own.join(_united(chosen.select(pool, "c", "to"), pool), [pool, "c"], "left").select(pool, "item", F.coalesce("to", "c").alias("c")), "own")
+
+
+def _united(ways: DataFrame, pool: str) -> DataFrame:
+    """pool, c and to: the root of each component, if each leads to the one at the end of its shortest way out. Of any such components exactly two lead to each other; the smaller of them is the root."""
+
+    def onward(rows: DataFrame) -> DataFrame:
+        ahead = rows.select(pool, F.col("c").alias("to"), F.col("to").alias("next"))
+        return rows.select(pool, "c", "to").join(ahead, [pool, "to"]).select(pool, "c", F.col("to").alias("before"), F.col("next").alias("to"))
+
+    ahead = onward(ways)
+    roots = cut(ahead.select(pool, "c", F.when((F.col("to") == F.col("c")) & (F.col("c") < F.col("before")), F.col("c")).otherwise(F.col("before")).alias("to")), "roots")
+    while True:
+        roots = cut(onward(onward(onward(roots))), "roots")
+        if roots.where("to <> before").isEmpty():
+            return roots.select(pool, "c", "to")
 
 
 def cluster_pool(rows: DataFrame, pool: str, item: str, vector: str = "vector", least: int = DEFAULTS.cluster_min_size, reduce: str = "axes") -> DataFrame:
