@@ -224,27 +224,28 @@ class VectorIndex:
         exact = full.select("query", "cell", F.col("id").alias("item"), V.cosine(F.col("vector"), F.col("qv")).alias("score"))
         return _named(_top(exact.where(F.col("score") >= min_score), k))
 
-    def search_exact(self, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", probes: int | None = None, min_score: float = -1.0) -> DataFrame:
-        """As search(), and complete: the k best of all items.
+    def search_exact(self, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", probes: int | None = None, min_score: float = -1.0, digits: int | None = None) -> DataFrame:
+        """As search(), and complete: the k best of all items. With `digits` the scores are rounded before they are compared with min_score and with each other.
 
         The nearest cells give k scores; a cell can hold a better item only if the angle between the query and its centroid, less the widest angle in the cell,
         allows it. Those cells are compared too, all others are never read.
         """
         ready, probes = _directed(queries, key, vector), probes or self.model.probes
         probed = cut(self._probes(ready, probes), "probes")
-        first = cut(_top(self._compared(probed, k, "vector"), k), "first")
+        first = cut(_top(self._compared(probed, k, "vector", digits), k), "first")
         floors = first.groupBy("query").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
         ranges = self.items(None, "angle").groupBy("cell").agg(F.max("angle").alias("angle")).toPandas()  # a row for each cell
         model, kind = self.model, ready.schema["id"].dataType.simpleString()
         angles = np.full(len(model.centroids), -1.0)  # cells without rows are never needed
         angles[ranges["cell"].to_numpy(int)] = ranges["angle"].to_numpy()
+        slack = 1e-9 + (0.0 if digits is None else 10.0**-digits)  # a score may be rounded up to the floor
 
         def run(frames):
             for f in frames:
                 if len(f) and len(angles):
                     scores = unit_rows(np.stack(f["vector"].to_numpy())) @ model.centroids.T
                     done = np.argpartition(-scores, min(probes, scores.shape[1]) - 1, axis=1)[:, :probes]
-                    reach = np.cos(np.maximum(0, np.arccos(np.clip(scores, -1, 1)) - angles)) + 1e-9
+                    reach = np.cos(np.maximum(0, np.arccos(np.clip(scores, -1, 1)) - angles)) + slack
                     need = (reach >= np.maximum(f["floor"].to_numpy(float), min_score)[:, None]) & (angles >= 0)
                     np.put_along_axis(need, done, False, axis=1)
                     some = need.any(1)
@@ -254,7 +255,7 @@ class VectorIndex:
 
         open_ = ready.join(floors.withColumnRenamed("query", "id"), "id", "left").select("id", "vector", F.when(F.col("n") < k, -1.0).otherwise(F.coalesce("floor", F.lit(-1.0))).alias("floor"))
         more = cut(open_.mapInPandas(run, f"query {kind}, qv array<double>, cells array<int>"), "probes")
-        every = first.unionByName(_top(self._compared(more, k, "vector"), k))
+        every = first.unionByName(_top(self._compared(more, k, "vector", digits), k))
         return _named(_top(every.where(F.col("score") >= min_score), k))
 
     def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +272,9 @@ class VectorIndex:
                 first[cell], room = block, room - n
         return first, parts
 
-    def _compared(self, probed: DataFrame, k: int, by: str) -> DataFrame:
-        """query, cell, item and score: the k best of each block of items for each query that probes cells in it, by `code` or by `vector`. probed: query, qv, cells."""
+    def _compared(self, probed: DataFrame, k: int, by: str, digits: int | None = None) -> DataFrame:
+        """query, cell, item and score: the k best of each block of items for each query that probes cells in it, by `code` or by `vector`. probed: query, qv, cells.
+        Of scores that are equal, to `digits` if given, the least items are kept."""
         model, (first, parts) = self.model, self._blocks()
         kind, item_kind = probed.schema["query"].dataType.simpleString(), self.schema.split(",")[0].split(" ", 1)[1]
         tile, query_block = TILE, QUERY_BLOCK
@@ -312,7 +314,7 @@ class VectorIndex:
             probes = np.stack([np.isin(known, c) for c in asking["cells"]])
             out = []
             for at in range(0, len(units), tile):
-                scores = np.round(np.clip(units[at : at + tile] @ found.T, -1, 1), 12)  # equal vectors tie wherever they stand
+                scores = _rounded(np.clip(units[at : at + tile] @ found.T, -1, 1), digits)
                 scores[~probes[at : at + tile][:, place] | np.isnan(scores)] = -np.inf
                 least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -2.0)
                 q, i = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
@@ -327,6 +329,13 @@ class VectorIndex:
         return both.applyInPandas(run, f"query {kind}, cell int, item {item_kind}, score double")
 
 
+def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    """To `digits`, halves away from zero as in SQL; without, to 12, so that equal vectors tie wherever they stand."""
+    if digits is None:
+        return np.round(scores, 12)
+    return np.sign(scores) * np.floor(np.abs(scores) * 10.0**digits + 0.5) / 10.0**digits
+
+
 def _top(scored: DataFrame, k: int) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
     return scored.withColumn("rank", order).where(F.col("rank") <= k).drop("rank")

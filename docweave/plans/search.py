@@ -25,8 +25,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KNN.format(-2) + " SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10")
 def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _index(spark, sf_dir).search_exact(_queries(spark, sf_dir), 10, "vec_id")
-    return found.withColumn("score", F.round("score", 6))
+    return _index(spark, sf_dir).search_exact(_queries(spark, sf_dir), 10, "vec_id", digits=6)
 
 
 @query("SELECT count(DISTINCT vec_id) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
@@ -42,5 +41,5 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT query_id, kg_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, kg_id) AS INT) AS rank FROM g WHERE round(score, 5) >= 0.05) SELECT * FROM o WHERE rank <= 5""")
 def route_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     membership = _vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), F.col("label").alias("kg_id"))
-    found = _index(spark, sf_dir).search_exact(_queries(spark, sf_dir), classify.DEFAULTS.coarse_top_k, "vec_id")
-    return classify.route(found.withColumn("score", F.round("score", 6)), membership, digits=5)
+    found = _index(spark, sf_dir).search_exact(_queries(spark, sf_dir), classify.DEFAULTS.coarse_top_k, "vec_id", digits=6)
+    return classify.route(found, membership, digits=5)
