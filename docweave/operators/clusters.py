@@ -288,11 +288,11 @@ def spanning_trees(points: DataFrame, pool: str) -> DataFrame:
 
     def within(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         tree = block_tree(g)
-        return tree.assign(block=key[1], **{pool: [key[0]] * len(tree)})[[pool, "block", "d", "a", "b"]]
+        return tree.assign(block=key[1], **{pool: key[0]})  # not as a list: that of an empty tree has no type[[pool, "block", "d", "a", "b"]]
 
     def search(key: tuple, g: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         found = tree_between(g[g["mine"]], g[~g["mine"]], trees)
-        return found.assign(**{pool: [key[0]] * len(found)})[[pool, "d", "a", "b"]]
+        return found.assign(**{pool: key[0]})[[pool, "d", "a", "b"]]
 
     trees = cut(points.groupBy(pool, "block").applyInPandas(within, f"{pool} {kind[pool]}, block string, d double, a {kind['item']}, b {kind['item']}"), "trees")
     known, compared, edges = trees, None, None

@@ -66,7 +66,7 @@ def neighbours(points: DataFrame, pool: str, k: int = NEIGHBOURS) -> DataFrame:
         at = np.argsort(d, axis=1, kind="stable")[:, :n]
         out = pd.DataFrame({"item": np.repeat(ai, n), "other": bi[at.ravel()], "d": np.take_along_axis(d, at, 1).ravel()})
         out = out[np.isfinite(out["d"])]
-        return out.assign(**{pool: [key[0]] * len(out)})[[pool, "item", "other", "d"]]
+        return out.assign(**{pool: key[0]})[[pool, "item", "other", "d"]]
 
     found = mine.groupBy(pool, "i", "j").cogroup(others.groupBy("o_pool", "o_i", "o_j")).applyInPandas(search, f"{pool} {kind[pool]}, item {kind['item']}, other {kind['item']}, d double")
     rank = F.row_number().over(Window.partitionBy(pool, "item").orderBy("d", "other"))
