@@ -39,10 +39,11 @@ def write_chunks(staged: DataFrame, path: str) -> None:
 
 
 def sentences_or_rebuild(sources: DataFrame, index: DataFrame, originals: DataFrame, key: str = "source") -> DataFrame:
-    """Sentences of each source from the index, else from its original text; origin tells which. A source with neither has null sentences."""
-    own = index.select(key, F.col("sentences").alias("stored"))
-    raw = originals.select(key, F.col("text").alias("raw"))
-    out = sources.select(key).join(own, key, "left").join(raw, key, "left")
+    """Sentences of each source, a row for each, from the index, else from its original text; origin tells which. A source with neither has null sentences.
+    Of a source that is stored more than once the greatest sentences or text count."""
+    own = index.groupBy(key).agg(F.max("sentences").alias("stored"))
+    raw = originals.groupBy(key).agg(F.max("text").alias("raw"))
+    out = sources.select(key).distinct().join(own, key, "left").join(raw, key, "left")
     origin = F.when(F.col("stored").isNotNull(), "index").when(F.col("raw").isNotNull(), "original").otherwise("missing")
     return out.select(key, F.coalesce("stored", T.sentences(F.col("raw"))).alias("sentences"), origin.alias("origin"))
 
